@@ -81,8 +81,10 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+
             def grow(b: int) -> np.ndarray:
-                out = np.full(n, b, np.uint64)
+                out = np.full(size, b, np.uint64)
                 out[0] = 1
                 return np.multiply.accumulate(out)
             self.up, self.down = grow(self.base), grow(self.inverse)
