@@ -33,8 +33,62 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docvigil.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docvigil.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docvigil.llm.mixing import mix_sources
+
+    mix = mix_sources(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return mix.select("row.doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docvigil.llm.exact_dedup import exact_groups
+
+    groups = exact_groups(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return groups.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_simhash": op3_simhash,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_mixing": op5_mixing,
+    "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+    """,
+    "op4_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), windows AS (
+            SELECT doc_id, unnest(range(1, len(words) - 48)) AS pos, words FROM w WHERE len(words) >= 50
+        ), hashed AS (
+            SELECT doc_id, pos, sha256(array_to_string(words[pos : pos + 49], ' ')) AS h FROM windows
+        ), first AS (
+            SELECT h, min(doc_id) AS lo FROM hashed GROUP BY h HAVING min(doc_id) < max(doc_id)
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(pos, pos + 50)) AS i FROM hashed JOIN first USING (h) WHERE doc_id > lo
+        ), lost AS (
+            SELECT doc_id, list(i) AS l FROM gone GROUP BY doc_id
+        )
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(l), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string(list_transform(list_filter(range(1, len(words) + 1), lambda i: l IS NULL OR NOT list_contains(l, i)), lambda i: words[i]), ' ')) AS kept_sha256
+        FROM w LEFT JOIN lost USING (doc_id)
+    """,
+}
