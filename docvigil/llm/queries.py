@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvigil.llm.common import table
+from docvigil.llm.common import crc_mod, table
 
 #: The end id that the contracts of ops 1 and 8 name.
 END_ID = 1
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -22,14 +22,14 @@ def _vocabulary(name: str) -> str:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docvigil.llm.token_files import read_token_files, write_token_files
 
-    manifest = write_token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), END_ID)
+    manifest = write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), END_ID)
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docvigil.llm.packing import pack
 
-    packed = pack(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), END_ID)
+    packed = pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
@@ -59,13 +59,60 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def language_training() -> Column:
+    """Rows that op 2 may learn from."""
+    return crc_mod(F.col("doc_id"), 3) != 1
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docvigil.llm.language_id import fit_language, language_sample, predict_language
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language(language_sample(docs, language_training(), per_language=150))
+    found = predict_language(docs, model)
+    return found.select("doc_id", (~language_training()).alias("held_out"), "lang_pred", "score")
+
+
+def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docvigil.llm.tiff_media import decode_pages, texts_as_files, with_features
+
+    pages = with_features(decode_pages(texts_as_files(table(spark, sf_dir, "documents"))))
+    return pages.select(
+        "doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str):
+    from docvigil.llm.toxicity import fit_toxicity, labelled_sample
+
+    train = crc_mod(F.col("doc_id"), 5) != 0
+    return fit_toxicity(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train, positives=2500, negatives=5000))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docvigil.llm.toxicity import score_toxicity
+
+    found = score_toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "threshold", "rejected")
+
+
+def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docvigil.llm.importance import importance_sample
+
+    return importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_language_id": op2_language_id,
     "op3_simhash": op3_simhash,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_mixing": op5_mixing,
+    "op6_media_tiff": op6_media_tiff,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_packing": op8_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality_resampling": op10_quality_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
