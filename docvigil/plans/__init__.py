@@ -1 +1,10 @@
+"""The registered queries by family."""
 
+from importlib import import_module
+
+FAMILIES = ("cell_queries", "block_queries")
+
+
+def load() -> None:
+    for name in FAMILIES:
+        import_module(f"docvigil.plans.{name}")
