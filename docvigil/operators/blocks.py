@@ -184,7 +184,7 @@ def adapt_v0(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 def assign_metadata(fragments: DataFrame, sources: DataFrame) -> DataFrame:
     """Each fragment's metadata source, each used once: same page and text, best by box then extractor.
 
-    Keys that only one side repeats are settled by rank; a group is one text on one page.
+    Which source is free depends on the choices before, so a page is handled as a whole.
     """
     key = [*PAGE, "text"]
 
@@ -202,7 +202,7 @@ def assign_metadata(fragments: DataFrame, sources: DataFrame) -> DataFrame:
 
     s = sources.select(*key, "source_id", "rank", F.col("x").alias("sx"), F.col("y").alias("sy"))
     pairs = fragments.join(s, key).select(*key, "fragment_id", "source_id", "rank", (F.abs(F.col("x") - F.col("sx")) + F.abs(F.col("y") - F.col("sy"))).alias("distance"))
-    return pairs.groupBy(*key).applyInPandas(greedy, "doc_id long, fragment_id long, source_id long")
+    return pairs.groupBy(*PAGE).applyInPandas(greedy, "doc_id long, fragment_id long, source_id long")
 
 
 def attach_rows(tables: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ def p9(spark, sf_dir):
     return _blocks(spark, sf_dir).select("block_id", G.flip_origin(G.box(*[F.col(c) for c in "xywh"]), F.lit(842.0)).alias("f")).selectExpr("block_id", "f.x AS x", "f.y AS y")
 
 
-_TYPED = """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 7 WHEN 0 THEN CAST(CAST(l_extendedprice AS BIGINT) AS STRING) WHEN 1 THEN CONCAT('1,', lpad(CAST(l_suppkey AS STRING), 3, '0')) WHEN 2 THEN CONCAT(CAST(l_suppkey AS STRING), ',1') WHEN 3 THEN CAST(CAST(l_shipdate AS DATE) AS STRING)
+_TYPED = """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 7 WHEN 0 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING) WHEN 1 THEN CONCAT('1,', lpad(CAST(l_suppkey AS STRING), 3, '0')) WHEN 2 THEN CONCAT(CAST(l_suppkey AS STRING), ',1') WHEN 3 THEN CAST(CAST(l_shipdate AS DATE) AS STRING)
     WHEN 4 THEN CONCAT('1999-02-', CAST(20 + l_suppkey % 12 AS STRING)) WHEN 5 THEN CASE WHEN l_suppkey % 3 = 0 THEN ' Yes ' WHEN l_suppkey % 3 = 1 THEN 'false' ELSE 'maybe' END ELSE CONCAT('0', CAST(l_partkey AS STRING)) END AS v FROM lineitem"""
 
 

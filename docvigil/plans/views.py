@@ -56,7 +56,7 @@ _RUNS = """
 _STUDY = """
     SELECT o_orderkey AS run_id, o_custkey AS participant, o_orderpriority AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'assisted' ELSE 'manual' END AS arm,
            row_number() OVER (PARTITION BY o_custkey, o_orderpriority, o_orderkey % 2 ORDER BY o_orderdate, o_orderkey) AS attempt,
-           CAST(o_totalprice / 100 AS BIGINT) AS seconds, o_orderdate AS started_at, o_orderstatus AS outcome, o_orderkey % 9 <> 0 AS complete
+           CAST(floor(o_totalprice / 100) AS BIGINT) AS seconds, o_orderdate AS started_at, o_orderstatus AS outcome, o_orderkey % 9 <> 0 AS complete
     FROM orders
 """
 
