@@ -2,13 +2,16 @@
 
 The library spends most of its time merging the same words again. Both public vocabularies split a
 text before each run of blanks, so a text's ids are those of its chunks (a run of blanks and the
-word after it), one after another. Each Python worker keeps the ids of the chunks that it has seen,
-up to ``CACHE`` chunks, and hands the library only new ones. A text with white space other than
-blank, tab and line break, or with a special token's brackets, is encoded as a whole.
+word after it), one after another; a full stop or comma after Latin letters starts a piece of its
+own as well. Where the vocabulary drops white space, chunks go without it, and where it lowers its
+input, A-Z are lowered first. Each Python worker keeps the ids of the chunks that it has seen, up to
+``CACHE`` chunks, and hands the library only new ones. A text with white space other than blank, tab
+and line break, or with a special token's brackets, is encoded as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
@@ -16,12 +19,15 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks that a Python worker remembers (about 200 bytes each).
-CACHE = 400_000
+CACHE = 1_000_000
 #: Longer chunks are encoded but not remembered.
 LONGEST = 64
 
-_CHUNKS = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+").findall
-_ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|<\\|").search
+#: Letters of the Latin blocks; all are letters for the tokenizers' patterns.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_WITH_BLANKS = re.compile(rf" [{_LATIN}]+(?![^ .,\n])|[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+").findall
+_WITHOUT_BLANKS = re.compile(rf"[{_LATIN}]+(?![^ .,\n])|[^ \t\n\r]+").findall
+_ODD = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|<\|").search
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -31,6 +37,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str()).get("normalizer") or {}
+        steps = [x["type"] for x in steps.get("normalizers", [steps]) if x]
+        self.lowers = "Lowercase" in steps
+        self.chunks = _WITHOUT_BLANKS if "Replace" in steps else _WITH_BLANKS
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -41,7 +51,9 @@ class Encoder:
         """Unsigned 32-bit ids of each text."""
         texts = list(texts)
         whole = [bool(_ODD(x)) for x in texts]
-        chunks = [[x] if odd else _CHUNKS(x) for x, odd in zip(texts, whole)]
+        if self.lowers:
+            texts = [x if odd else x.encode().lower().decode() for x, odd in zip(texts, whole)]
+        chunks = [[x] if odd else self.chunks(x) for x, odd in zip(texts, whole)]
         known = self.known
         new = list(set().union(*chunks).difference(known)) if chunks else []
         fresh = dict(zip(new, self._whole(new)))
