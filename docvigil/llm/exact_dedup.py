@@ -39,10 +39,11 @@ def exact_groups(docs: DataFrame, carry: list[str] | None = None, block_bytes: i
         F.octet_length(data).alias("n_bytes"), F.substring(data, 1, head_bytes).alias("head"), data.alias("data"),
     )
     shared = materialize(rows.groupBy("n_bytes", "head").count().filter("count > 1").select("n_bytes", "head"), "heads")
-    alone = rows.join(shared, ["n_bytes", "head"], "left_anti").select(
-        "row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.sha2("data", 256).alias("text_sha256"))
+    # digests are taken before the join: texts that are alone do not travel (unless they are carried)
+    alone = rows.withColumn("text_sha256", F.sha2("data", 256)).drop("data").join(shared.hint("merge"), ["n_bytes", "head"], "left_anti").select(
+        "row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
 
-    held = rows.join(shared, ["n_bytes", "head"], "left_semi").drop("head")
+    held = rows.join(shared.hint("merge"), ["n_bytes", "head"], "left_semi").drop("head")
     held = materialize(held.withColumn("uid", F.monotonically_increasing_id()), "held")
     named = _name(held, block_bytes)
     rank = F.struct(F.coalesce("id", F.lit(-(1 << 63)).cast("long")), F.col("uid"))
