@@ -2,8 +2,8 @@
 
 1. *Heads.* Two texts can only be equal if their byte lengths and first bytes are. A row whose
    (length, head) no other row shares is settled: it is alone. Whole texts of all others go on.
-2. *Blocks.* Each remaining text is cut into fixed-size blocks. The distinct blocks are sorted over
-   the cluster and numbered in that order; a block's number is its name.
+2. *Blocks.* Each remaining text is cut into fixed-size blocks. The distinct blocks are sorted in the
+   partitions that they are dealt to and numbered in that order; a block's number is its name.
 3. *Pairs.* Names of adjacent blocks are paired, the distinct pairs sorted and numbered in turn,
    until each text has one name. Texts are equal if and only if (length, name) are: no hashing of
    contents decides anything, so nothing can collide.
@@ -26,8 +26,9 @@ from docvigil.llm.common import materialize
 
 
 def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
-    """Integer names of distinct keys in their sort order, written so that they stay."""
-    return materialize(distinct.orderBy(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
+    """Integer names of distinct keys, written so that they stay: the keys are dealt out by hash, sorted
+    in each partition and numbered in that order."""
+    return materialize(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
 
 
 def exact_groups(docs: DataFrame, carry: list[str] | None = None, block_bytes: int = 8192, head_bytes: int = 64) -> DataFrame:
