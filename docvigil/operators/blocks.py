@@ -257,3 +257,11 @@ def high_risk_coverage(targets: DataFrame, items: DataFrame, decisions: DataFram
     status = F.when(F.col("auto"), "auto_confirmed").when(F.col("items") == 0, "missed").when(F.col("items") > 1, "duplicate").when(F.col("decisions") == 0, "undecided").otherwise("covered")
     unexpected = items.join(targets, "target", "left_anti").select("target", F.lit("unexpected").alias("status")).distinct()
     return j.select("target", status.alias("status")).unionByName(unexpected)
+
+
+def check_ir(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Blocks whose id repeats in their document, whose page is unknown, or whose box leaves it."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "block_id"))
+    repeated = blocks.withColumn("n", n).filter("n > 1").select("doc_id", "block_id", F.lit("repeated block").alias("error")).distinct()
+    placed = check_blocks(blocks, pages).select("doc_id", "block_id", F.explode("errors").alias("error"))
+    return repeated.unionByName(placed.distinct())

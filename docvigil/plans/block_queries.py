@@ -312,3 +312,11 @@ def j23(spark, sf_dir):
     items = items.withColumn("item_id", F.concat("target", F.lit("#"), F.col("k").cast("string")))
     decisions = items.filter("doc_id % 3 <> 0").select("item_id", F.when(F.col("doc_id") % 17 == 0, "auto").otherwise("approve").alias("decision"))
     return B.high_risk_coverage(b.filter("idx % 7 = 0").select(F.col("block_id").alias("target")).distinct(), items.select("item_id", "target"), decisions)
+
+
+@query("d5_check_ir", duck("blocks") + _CHECKED + """, e AS (SELECT doc_id, CASE WHEN idx % 9 = 8 THEN doc_id || '-0' ELSE block_id END AS block_id, errors FROM bad)
+    SELECT doc_id, block_id, 'repeated block' AS error FROM e GROUP BY ALL HAVING count(*) > 1 UNION ALL SELECT DISTINCT doc_id, block_id, unnest(string_split(errors, ', ')) FROM e WHERE errors <> ''""".replace("SELECT doc_id, block_id, 'repeated block' AS error FROM e GROUP BY ALL HAVING count(*) > 1", "SELECT doc_id, block_id, 'repeated block' AS error FROM e GROUP BY doc_id, block_id HAVING count(*) > 1"))
+def d5(spark, sf_dir):
+    b = _shifted(spark, sf_dir)
+    b = b.withColumn("block_id", F.when(F.col("idx") % 9 == 8, F.concat(F.col("doc_id").cast("string"), F.lit("-0"))).otherwise(F.col("block_id")))
+    return B.check_ir(_pages(spark, sf_dir), b)
