@@ -26,9 +26,8 @@ def contains(a: Column, b: Column) -> Column:
 
 
 def share_row(a: Column, b: Column) -> Column:
-    """Centres within half of the lower height, 4 at least."""
-    apart = F.abs(a["y"] + a["height"] / 2 - b["y"] - b["height"] / 2)
-    return apart <= F.greatest(F.lit(4.0), F.least(a["height"], b["height"]) / 2)
+    """Overlapping vertically, with tops within half of the lower height, 4 at least."""
+    return overlap_y(a, b) & (F.abs(a["y"] - b["y"]) <= F.greatest(F.lit(4.0), F.least(a["height"], b["height"]) / 2))
 
 
 def overlap_x(a: Column, b: Column) -> Column:

@@ -41,11 +41,10 @@ def cell_type(c: Column) -> Column:
 
 
 def confidence(c: Column, percent: Column) -> tuple[Column, Column]:
-    """(confidence, invalid): a default where absent, engines' percentages scaled, and 0 with a flag
-    where the value is negative, above 1 or not finite."""
-    value = F.when(percent & (c > 1), c / 100).otherwise(c)
-    bad = c.isNotNull() & ~(finite(value) & (value >= 0) & (value <= 1))
-    return F.when(c.isNull(), F.lit(DEFAULT_CONFIDENCE)).when(bad, F.lit(0.0)).otherwise(value), bad
+    """(confidence, invalid): a default where absent, engines' percentages as shares, and 0 with a flag
+    where the value is negative or not finite."""
+    bad = c.isNotNull() & ~(finite(c) & (c >= 0))
+    return F.when(c.isNull(), F.lit(DEFAULT_CONFIDENCE)).when(bad, F.lit(0.0)).when(percent, c / 100).otherwise(c), bad
 
 
 def needs_review(c: Column) -> Column:

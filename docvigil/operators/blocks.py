@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docvigil.functions import geometry as G
 from docvigil.functions.text import norm
 from docvigil.functions.values import confidence, needs_review
 from docvigil.operators.cells import rules
@@ -35,31 +36,38 @@ def native_lines(fragments: DataFrame) -> DataFrame:
 def visual_lines(fragments: DataFrame) -> DataFrame:
     """(doc_id, page, fragment_id, line): fragments gathered into visual lines.
 
-    In reading order, a fragment joins the latest line whose last fragment it continues: centres
-    within a quarter of the height and a gap of two heights at most, or both overlapping and inline.
-    Each decision depends on those before it, so a page is handled as a whole; a group is one page.
+    In order of y and x, a fragment joins the latest line that it fits: its centre within a quarter of
+    the height of the line's leftmost fragment and two heights of a neighbour at most, or else a quarter
+    of the lower height in common with the line and a neighbour in line. Each decision depends on those
+    before it, so a page is handled as a whole; a group is one page.
     """
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x", "fragment_id"], kind="stable")
-        lines: list[list] = []  # of each line: bottom and top of its last fragment, right end, height, centre
+        lines: list[dict] = []
         numbers = []
         for x, y, w, h in zip(pdf.x, pdf.y, pdf.w, pdf.h):
-            centre = y + h / 2
-            found = None
-            for k in range(len(lines) - 1, -1, -1):
-                right, top, height, middle = lines[k]
-                low = max(min(height, h), 0.0)
-                near = abs(centre - middle) <= 0.25 * max(height, h) and -2 * low <= x - right <= 2 * max(height, h)
-                inline = min(top + height, y + h) - max(top, y) > 0.5 * low and 0 <= x - right <= max(height, h)
-                if near or inline:
-                    found = k
+            for number in range(len(lines) - 1, -1, -1):
+                line = lines[number]
+                _, top, tall = line["first"]
+                height = max(tall, h)
+                ahead = [x - right for _, right in line["spans"]]
+                behind = [left - x - w for left, _ in line["spans"]]
+                if abs(y + h / 2 - top - tall / 2) <= 0.25 * height:
+                    fits = min(max(a, b, 0.0) for a, b in zip(ahead, behind)) <= 2 * height
+                else:
+                    common = min(y + h, line["low"]) - max(y, line["top"])
+                    fits = max(common, 0.0) >= 0.25 * min(h, line["low"] - line["top"]) and any(-0.15 * height <= g <= 2 * height for g in ahead + behind)
+                if fits:
                     break
-            if found is None:
-                lines.append([])
-                found = len(lines) - 1
-            lines[found] = [x + w, y, h, centre]
-            numbers.append(found + 1)
+            else:
+                number = len(lines)
+                lines.append({"first": (x, y, h), "spans": [], "top": y, "low": y + h})
+            line = lines[number]
+            line["spans"].append((x, x + w))
+            line["first"] = min(line["first"], (x, y, h), key=lambda f: f[0])
+            line["top"], line["low"] = min(line["top"], y), max(line["low"], y + h)
+            numbers.append(number + 1)
         return pd.DataFrame({"doc_id": pdf.doc_id, "page": pdf.page, "fragment_id": pdf.fragment_id, "line": numbers})
 
     rows = fragments.select("doc_id", "page", "fragment_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
@@ -70,7 +78,7 @@ def line_text(fragments: DataFrame, by: list[str]) -> DataFrame:
     """Each line's text: fragments by x, with a blank where the gap is wide and neither side has one."""
     w = Window.partitionBy(*by).orderBy("x", "fragment_id")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(w)
-    blank = (gap > 0.15 * F.col("h")) & ~F.lag("text").over(w).rlike(r"\s$") & ~F.col("text").rlike(r"^\s")
+    blank = (gap > 0.15 * F.greatest("h", F.lag("h").over(w))) & ~F.lag("text").over(w).rlike(r"\s$") & ~F.col("text").rlike(r"^\s")
     piece = F.concat(F.when(blank, " ").otherwise(""), F.col("text"))
     parts = fragments.withColumn("piece", piece)
     return parts.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "fragment_id", "piece"))), lambda p: p["piece"]), "").alias("text"))
@@ -80,26 +88,32 @@ def table_groups(lines: DataFrame) -> DataFrame:
     """Consecutive tabular lines of a page as one table: their group's number; others have none."""
     w = Window.partitionBy(*PAGE).orderBy("y", "idx")
     above = F.lag(F.struct("tabular", "y", "h")).over(w)
-    gap = F.col("y") - above["y"] - above["h"]
-    joins = F.coalesce(above["tabular"] & (gap >= -0.75 * F.col("h")) & (gap <= F.col("h")), F.lit(False))
+    gap, tall = F.col("y") - above["y"] - above["h"], F.greatest(F.col("h"), above["h"])
+    down = (F.col("y") > above["y"]) & (F.col("y") + F.col("h") / 2 > above["y"] + above["h"] / 2)
+    joins = F.coalesce(above["tabular"] & down & (gap >= -0.75 * tall) & (gap <= tall), F.lit(False))
     new = lines.withColumn("_new", F.when(F.col("tabular") & ~joins, 1).otherwise(0))
     return new.withColumn("table_no", F.when(F.col("tabular"), F.sum("_new").over(w))).drop("_new")
 
 
 def headings(lines: DataFrame, most: int = 2, factor: float = 1.2) -> DataFrame:
-    """Lines that head a page: at most ``most`` earlier lines that are not tables, ``factor`` times the
-    upper median size of the body lines that follow without a break, and none larger before."""
+    """(doc_id, page, idx, heading) of the lines that are not tables.
+
+    A heading has at most ``most`` such lines before it, none of them larger than the body, and is
+    ``factor`` times the body's size: the upper median of the lines that follow it without a break,
+    tables left out. A line breaks where it does not lie lower, or three heights away.
+    """
     w = Window.partitionBy(*PAGE).orderBy("y", "idx")
-    earlier, later = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    plain = lines.filter(~F.col("tabular"))
-    n_before = F.row_number().over(w) - 1
-    following = F.collect_list("size").over(later)
-    run = F.aggregate(following, F.struct(F.lit(True).alias("on"), F.array().cast("array<double>").alias("s")), lambda acc, s: F.struct((acc["on"] & (s < F.col("size"))).alias("on"), F.when(acc["on"] & (s < F.col("size")), F.array_append(acc["s"], s)).otherwise(acc["s"]).alias("s")))["s"]
-    body = F.array_sort(run)
-    median = F.get(body, F.floor(F.size(body) / 2).cast("int"))
-    larger = F.coalesce(F.max("size").over(earlier) > F.col("size"), F.lit(False))
-    head = (n_before <= most) & F.coalesce(F.col("size") >= factor * median, F.lit(False)) & ~larger
-    return plain.select("doc_id", "page", "idx", head.alias("heading"))
+    above = F.lag(F.struct("y", "h")).over(w)
+    near = (F.col("y") + F.col("h") / 2 > above["y"] + above["h"] / 2) & (F.col("y") - above["y"] - above["h"] <= 3 * F.greatest("h", above["h"]))
+    placed = lines.withColumns({"place": F.row_number().over(w), "run": F.sum(F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).over(w)}).filter(~F.col("tabular"))
+    n = F.row_number().over(w) - 1
+    first = placed.withColumns({"before": n, "largest": F.max("size").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    some = first.filter(F.col("before") <= most).select(*PAGE, "idx", "run", "largest", F.col("place").alias("own"), F.col("size").alias("own_size"))
+    body = some.join(placed.select(*PAGE, "run", "place", "size"), [*PAGE, "run"]).filter("place > own")
+    body = body.groupBy(*PAGE, "idx", "largest", "own_size").agg(F.sort_array(F.collect_list("size")).alias("sizes"))
+    middle = F.get("sizes", F.floor(F.size("sizes") / 2).cast("int"))
+    heads = body.filter((F.col("own_size") >= factor * middle) & (F.col("largest").isNull() | (F.col("largest") <= middle))).select(*PAGE, "idx", F.lit(True).alias("heading"))
+    return placed.select(*PAGE, "idx").join(heads, [*PAGE, "idx"], "left").fillna(False, ["heading"])
 
 
 def blocks_from_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -113,11 +127,24 @@ def blocks_from_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def review_gate(blocks: DataFrame) -> DataFrame:
-    """Blocks with the ordered warnings of missing text, box or confidence, and whether to review."""
-    warnings = rules(
-        ("block text is missing", F.coalesce(norm(F.col("text")), F.lit("")) == ""), ("block bbox is missing", F.col("x").isNull() | (F.col("w") <= 0)),
-        ("block confidence is low", needs_review(F.col("confidence"))))
-    return blocks.withColumn("warnings", warnings).withColumn("requires_review", F.size("warnings") > 0)
+    """Blocks with their confidence, ordered warnings and whether a person must look.
+
+    Reads ``idx, text, x, confidence`` and, where the table has them, ``engine, missing_confidence,
+    low_confidence, parser_review, parser_warnings``. A missing box, text or confidence, or an invalid
+    one, sets the confidence to 0.
+    """
+    have = lambda c, kind: F.col(c) if c in blocks.columns else F.lit(None).cast(kind)
+    engine = have("engine", "string").isNotNull()
+    value, invalid = confidence(F.col("confidence"), engine)
+    yes = lambda c: F.coalesce(have(c, "boolean"), F.lit(False))
+    boxless, empty = F.col("x").isNull(), norm(F.coalesce("text", F.lit(""))) == ""
+    missing = yes("missing_confidence") | (F.col("confidence").isNull() & engine)
+    marked = "; block marked requires_review"
+    found = [("bbox missing" + marked, boxless), ("text empty" + marked, empty), ("confidence missing" + marked, missing), ("confidence invalid" + marked, invalid), ("low confidence" + marked, yes("low_confidence")), ("parser marked block requires_review", yes("parser_review"))]
+    own = F.filter(F.array(*[F.when(c, F.concat(F.lit("blocks["), F.col("idx").cast("string"), F.lit(f"].{m}"))) for m, c in found]), lambda x: x.isNotNull())
+    warnings = F.concat(own, F.filter(F.coalesce(have("parser_warnings", "array<string>"), F.array().cast("array<string>")), lambda x: x != ""))
+    zero = boxless | empty | missing | invalid
+    return blocks.withColumns({"warnings": warnings, "confidence": F.when(zero, 0.0).otherwise(value)}).withColumn("requires_review", F.size("warnings") > 0)
 
 
 def bbox_union(blocks: DataFrame, by: list[str]) -> DataFrame:
@@ -152,18 +179,26 @@ def validate_ir(docs: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFra
 
 def right_of(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     """Each anchor's nearest block to the right on the same text row: (doc_id, anchor_id, block_id)."""
-    a = anchors.select("doc_id", "page", "anchor_id", *[F.col(c).alias(f"a{c}") for c in "xywh"])
-    j = blocks.join(a, PAGE)
-    centre = F.abs(F.col("y") + F.col("h") / 2 - F.col("ay") - F.col("ah") / 2)
-    j = j.filter((F.col("x") >= F.col("ax") + F.col("aw")) & (centre <= F.greatest(F.lit(4.0), F.least("h", "ah") / 2)))
+    a = anchors.select("doc_id", "page", "anchor_id", F.col("block_id").alias("own"), G.box(*[F.col(c) for c in "xywh"]).alias("a"))
+    j = blocks.join(a, PAGE).withColumn("b", G.box(*[F.col(c) for c in "xywh"]))
+    j = j.filter((F.col("block_id") != F.col("own")) & (F.col("x") >= F.col("a.x") + F.col("a.width")) & G.share_row(F.col("b"), F.col("a")))
     return j.groupBy("doc_id", "anchor_id").agg(F.min_by("block_id", F.struct("x", "y", "block_id")).alias("block_id"))
 
 
-def below(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Each anchor's first block below it on its page that overlaps it horizontally."""
-    a = anchors.select("doc_id", "page", "anchor_id", *[F.col(c).alias(f"a{c}") for c in "xywh"])
-    j = blocks.join(a, PAGE).filter((F.col("y") >= F.col("ay") + F.col("ah")) & (F.col("x") < F.col("ax") + F.col("aw")) & (F.col("ax") < F.col("x") + F.col("w")))
-    return j.groupBy("doc_id", "anchor_id").agg(F.min_by("block_id", F.struct("y", "x", "block_id")).alias("block_id"))
+def below(blocks: DataFrame, anchors: DataFrame, values: tuple[str, ...] = ("paragraph", "field")) -> DataFrame:
+    """(doc_id, anchor_id, block_id, place) of blocks under an anchor that may hold its value.
+
+    A label's only candidate is the first block below that overlaps it horizontally, if its type can be
+    a value. Other anchors take the blocks below in reading order, up to the first that cannot be one.
+    """
+    a = anchors.select("doc_id", "page", "anchor_id", "kind", F.col("block_id").alias("own"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"))
+    j = blocks.join(a, PAGE).filter((F.col("block_id") != F.col("own")) & (F.col("y") > F.col("ay")))
+    aligned = (F.col("x") < F.col("ax") + F.col("aw")) & (F.col("ax") < F.col("x") + F.col("w"))
+    j = j.filter((F.col("kind") != "label") | aligned)
+    w = Window.partitionBy("doc_id", "anchor_id").orderBy("y", "x", "block_id")
+    stopped = F.sum(F.when(F.col("type").isin(*values), 0).otherwise(1)).over(w)
+    j = j.withColumns({"place": F.row_number().over(w), "stopped": stopped})
+    return j.filter((F.col("stopped") == 0) & ((F.col("kind") != "label") | (F.col("place") == 1))).select("doc_id", "anchor_id", "block_id", "place")
 
 
 def label_cells(labels: DataFrame, cells: DataFrame) -> DataFrame:

@@ -25,22 +25,30 @@ def rules(*pairs: tuple[str, Column]) -> Column:
 
 
 def match_cells(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Each expected cell with what became of it: present, text_match, source_match, false_auto."""
-    act = actual.select(*CELL, F.col("text").alias("_text"), F.struct("source_page", "source_x").alias("_source"), F.col("source_page").isNotNull().alias("_sourced"), F.col("auto_confirmed").alias("_auto"), F.lit(True).alias("_there"))
+    """Each expected cell with what became of it.
+
+    ``text_match`` compares normalised texts (an absent text is blank, and blank equals blank),
+    ``sourced`` says whether a source is expected at all, ``source_match`` compares whole sources, and
+    ``false_auto`` marks cells that need review and were confirmed by machine.
+    """
+    act = actual.select(*CELL, F.col("text").alias("_text"), F.struct("source_page", "source_x").alias("_source"), F.col("auto_confirmed").alias("_auto"), F.lit(True).alias("_there"))
     joined = expected.drop("auto_confirmed").join(act, CELL, "left")
     there = F.coalesce("_there", F.lit(False))
-    text = there & same_text(F.col("text"), F.col("_text"))
-    source = there & F.coalesce(F.col("_sourced") & (F.struct("source_page", "source_x") == F.col("_source")), F.lit(False))
-    wrong = there & F.coalesce("_auto", F.lit(False)) & (~(text & source) | F.col("requires_review"))
-    return joined.withColumns({"present": there, "text_match": text, "source_match": source, "false_auto": wrong}).drop("_text", "_source", "_sourced", "_auto", "_there")
+    blank = F.lit("")
+    text = there & (norm(F.coalesce("text", blank)) == norm(F.coalesce("_text", blank)))
+    sourced = F.coalesce(F.col("source_page") > 0, F.lit(False))
+    source = there & sourced & F.coalesce(F.struct("source_page", "source_x") == F.col("_source"), F.lit(False))
+    wrong = there & F.coalesce("requires_review", F.lit(False)) & F.coalesce("_auto", F.lit(False))
+    return joined.withColumns({"present": there, "text_match": text, "sourced": sourced, "source_match": source, "false_auto": wrong}).drop("_text", "_source", "_auto", "_there")
 
 
 def eval_metrics(matched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Match rates of tables, cells and sources, and wrongly confirmed cells, for each group."""
-    tables = matched.groupBy(*by, "case_id", "table_id").agg(F.bool_or("present").alias("present"), F.count("cell_id").alias("n"), *[F.count_if(c).alias(c) for c in ("text_match", "source_match", "false_auto")])
+    flags = ("text_match", "sourced", "source_match", "false_auto")
+    tables = matched.groupBy(*by, "case_id", "table_id").agg(F.bool_or("present").alias("present"), F.count("cell_id").alias("n"), *[F.count_if(c).alias(c) for c in flags])
     return tables.groupBy(*by).agg(
-        F.count("table_id").alias("expected_tables"), F.sum("n").alias("expected_cells"), ratio(F.count_if("present"), F.count("table_id")).alias("table_rate"),
-        ratio(F.sum("text_match"), F.sum("n")).alias("cell_rate"), ratio(F.sum("source_match"), F.sum("n")).alias("source_rate"), F.sum("false_auto").alias("false_auto"))
+        F.count("table_id").alias("expected_tables"), F.coalesce(F.sum("n"), F.lit(0)).alias("expected_cells"), ratio(F.count_if("present"), F.count("table_id")).alias("table_rate"),
+        ratio(F.sum("text_match"), F.sum("n")).alias("cell_rate"), ratio(F.sum("source_match"), F.sum("sourced")).alias("source_rate"), F.coalesce(F.sum("false_auto"), F.lit(0)).alias("false_auto"))
 
 
 def table_consistency(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from docvigil.functions import text as X
 from docvigil.functions import values as V
 from docvigil.operators import blocks as B
 from docvigil.plans.registry import query, select
-from docvigil.plans.views import duck, view
+from docvigil.plans.views import duck, view, with_views
 
 
 def n(column: str) -> str:
@@ -38,17 +38,23 @@ def p2(spark, sf_dir):
 _RAW = "CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN -confidence WHEN doc_id % 5 = 0 THEN confidence * 100 ELSE confidence END"
 
 
-@query("p5_confidence", duck("blocks") + f""", r AS (SELECT block_id, doc_id % 10 = 0 AS percent, {_RAW} AS c FROM blocks), s AS (SELECT *, CASE WHEN percent AND c > 1 THEN c / 100 ELSE c END AS v FROM r)
-    SELECT block_id, CASE WHEN c IS NULL THEN 0.95 WHEN v < 0 OR v > 1 THEN 0 ELSE v END::DOUBLE AS confidence, c IS NOT NULL AND (v < 0 OR v > 1) AS invalid FROM s""")
+@query("p5_confidence", duck("blocks") + f""", r AS (SELECT block_id, doc_id % 10 = 0 AS percent, {_RAW} AS c FROM blocks)
+    SELECT block_id, CASE WHEN c IS NULL THEN 0.95 WHEN c < 0 THEN 0 WHEN percent THEN c / 100 ELSE c END::DOUBLE AS confidence, coalesce(c < 0, false) AS invalid FROM r""")
 def p5(spark, sf_dir):
     value, bad = V.confidence(F.expr(_RAW), F.col("doc_id") % 10 == 0)
     return _blocks(spark, sf_dir).select("block_id", value.alias("confidence"), bad.alias("invalid"))
 
 
-@query("p6_review_gate", duck("blocks") + f""" SELECT block_id, concat_ws('|', CASE WHEN {n('text')} = '' THEN 'block text is missing' END, CASE WHEN w <= 0 THEN 'block bbox is missing' END, CASE WHEN NOT (confidence >= 0.8 AND confidence <= 1) THEN 'block confidence is low' END) AS warnings,
-    {n('text')} = '' OR w <= 0 OR NOT (confidence >= 0.8 AND confidence <= 1) AS requires_review FROM blocks""")
+_GATED = f"SELECT block_id, idx, text, CASE WHEN idx % 12 <> 5 THEN x END AS x, {_RAW} AS confidence, CASE WHEN doc_id % 3 = 0 THEN 'engine' END AS engine, idx % 10 = 1 AS low_confidence, idx % 15 = 2 AS parser_review FROM blocks"
+
+
+@query("p6_review_gate", duck("blocks") + f""", g AS ({_GATED}), w AS (SELECT *, 'blocks[' || idx || '].' AS b, '; block marked requires_review' AS m FROM g)
+    SELECT block_id, concat_ws('|', CASE WHEN x IS NULL THEN b || 'bbox missing' || m END, CASE WHEN {n('text')} = '' THEN b || 'text empty' || m END, CASE WHEN confidence IS NULL AND engine IS NOT NULL THEN b || 'confidence missing' || m END, CASE WHEN confidence < 0 THEN b || 'confidence invalid' || m END, CASE WHEN low_confidence THEN b || 'low confidence' || m END, CASE WHEN parser_review THEN b || 'parser marked block requires_review' END) AS warnings,
+    CASE WHEN x IS NULL OR {n('text')} = '' OR (confidence IS NULL AND engine IS NOT NULL) OR coalesce(confidence < 0, false) THEN 0 WHEN confidence IS NULL THEN 0.95 WHEN engine IS NOT NULL THEN confidence / 100 ELSE confidence END::DOUBLE AS confidence,
+    x IS NULL OR {n('text')} = '' OR (confidence IS NULL AND engine IS NOT NULL) OR coalesce(confidence < 0, false) OR low_confidence OR parser_review AS requires_review FROM w""")
 def p6(spark, sf_dir):
-    return B.review_gate(_blocks(spark, sf_dir)).select("block_id", F.concat_ws("|", "warnings").alias("warnings"), "requires_review")
+    g = select(spark, sf_dir, f"{with_views('spark', 'blocks')} {_GATED}")
+    return B.review_gate(g).select("block_id", F.concat_ws("|", "warnings").alias("warnings"), "confidence", "requires_review")
 
 
 @query("p7_clip_bbox", duck("blocks") + """, c AS (SELECT block_id, greatest(x - 100, 0) AS l, greatest(y - 90, 0) AS t, least(x - 100 + w, 300) AS r, least(y - 90 + h, 500) AS b FROM blocks)
@@ -58,7 +64,7 @@ def p7(spark, sf_dir):
     return _blocks(spark, sf_dir).select("block_id", G.clip(box, F.lit(300.0), F.lit(500.0)).alias("c")).filter("c IS NOT NULL").selectExpr("block_id", "c.x AS x", "c.y AS y", "c.width AS w", "c.height AS h")
 
 
-@query("p8_bbox_predicates", duck("blocks") + """ SELECT block_id, x >= 72 AND y >= 100 AND x + w <= 400 AND y + h <= 300 AS inside, abs(y + h / 2 - 200) <= 6 AS on_row, x < 172 AND 100 < x + w AS over_x, y < 300 AND 250 < y + h AS over_y,
+@query("p8_bbox_predicates", duck("blocks") + """ SELECT block_id, x >= 72 AND y >= 100 AND x + w <= 400 AND y + h <= 300 AS inside, y < 206 AND 194 < y + h AND abs(y - 194) <= 6 AS on_row, x < 172 AND 100 < x + w AS over_x, y < 300 AND 250 < y + h AS over_y,
     x < 0 OR y < 0 OR x + w > 500 OR y + h > 700 AS outside, w > 0 AS anchor FROM blocks""")
 def p8(spark, sf_dir):
     b = G.box(*[F.col(c) for c in "xywh"])
@@ -159,14 +165,13 @@ def w4(spark, sf_dir):
     return B.table_groups(_lines(spark, sf_dir)).select("doc_id", "page", "idx", "table_no")
 
 
-@query("w5_headings", duck("blocks") + """, p AS (SELECT doc_id, page, idx, CAST(12 + CASE WHEN length(text) % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN idx = 0 THEN 4 ELSE 0 END AS DOUBLE) AS size FROM blocks WHERE type <> 'table'),
-    q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) AS r FROM p),
-    b AS (SELECT a.doc_id, a.page, a.idx, b.size, b.r, bool_or(b.size >= a.size) OVER (PARTITION BY a.doc_id, a.page, a.idx ORDER BY b.r) AS broken FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.page = b.page AND b.r > a.r WHERE a.r <= 3),
-    m AS (SELECT doc_id, page, idx, list(size ORDER BY size) AS s FROM b WHERE NOT broken GROUP BY ALL)
-    SELECT q.doc_id, q.page, q.idx, coalesce(q.r <= 3 AND q.size >= 1.2 * m.s[len(m.s) // 2 + 1] AND NOT EXISTS (SELECT 1 FROM q e WHERE e.doc_id = q.doc_id AND e.page = q.page AND e.r < q.r AND e.size > q.size), false) AS heading
-    FROM q LEFT JOIN m USING (doc_id, page, idx)""")
+@query("w5_headings", duck("blocks") + """, q AS (SELECT doc_id, page, idx, y, h, type = 'table' AS tabular, CAST(12 + CASE WHEN length(text) % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN idx = 0 THEN 4 ELSE 0 END AS DOUBLE) AS size FROM blocks WHERE idx % 50 < 40 OR idx % 50 > 44),
+    r AS (SELECT *, sum(CASE WHEN y - pb <= 36 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY y) AS run FROM (SELECT *, lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY y) AS pb FROM q)),
+    t AS (SELECT *, row_number() OVER w - 1 AS before, max(size) OVER (PARTITION BY doc_id, page ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS largest FROM r WHERE NOT tabular WINDOW w AS (PARTITION BY doc_id, page ORDER BY y)),
+    m AS (SELECT a.doc_id, a.page, a.idx, list(b.size ORDER BY b.size) AS s FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page = b.page AND a.run = b.run AND b.y > a.y WHERE a.before <= 2 GROUP BY ALL)
+    SELECT t.doc_id, t.page, t.idx, coalesce(t.size >= 1.2 * m.s[len(m.s) // 2 + 1] AND (t.largest IS NULL OR t.largest <= m.s[len(m.s) // 2 + 1]), false) AS heading FROM t LEFT JOIN m USING (doc_id, page, idx)""")
 def w5(spark, sf_dir):
-    return B.headings(_lines(spark, sf_dir))
+    return B.headings(_lines(spark, sf_dir).filter("idx % 50 < 40 OR idx % 50 > 44"))
 
 
 _PAGES = """, pages_ AS (SELECT doc_id, p AS page, CAST(612 AS DOUBLE) AS width, CAST(700 AS DOUBLE) AS height, CASE WHEN doc_id % 8 = 0 THEN 'px' ELSE 'pt' END AS unit FROM (SELECT doc_id, max(page) AS m FROM blocks GROUP BY doc_id) CROSS JOIN (SELECT 1 AS p UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE p <= m + 1 AND doc_id % 13 <> 0)"""
@@ -195,7 +200,7 @@ _CHECKED = _PAGES + """, bad AS (SELECT b.doc_id, b.block_id, b.idx, concat_ws('
 
 
 def _shifted(spark, sf_dir):
-    return _blocks(spark, sf_dir).withColumn("x", F.col("x") + F.when(F.col("doc_id") % 2 == 0, 100.0).otherwise(0.0)).withColumn("unit", F.lit("pt"))
+    return _blocks(spark, sf_dir).withColumn("x", F.col("x") + F.when(F.col("doc_id") % 2 == 0, 100.0).otherwise(0.0)).withColumns({"unit": F.lit("pt"), "low_confidence": F.col("confidence") < 0.8})
 
 
 _CHECKED = _CHECKED.replace("b.x + b.w > 500 AND b.doc_id % 2 = 0 AND p.page IS NOT NULL AND b.x + b.w + 100 > p.width", "b.x + b.w > p.width")
@@ -207,7 +212,7 @@ def j5(spark, sf_dir):
 
 
 @query("a21_validate_ir", duck("blocks") + _CHECKED + f""", e AS (SELECT doc_id, string_agg(idx || ': ' || errors, '|' ORDER BY idx) AS errors FROM bad WHERE errors <> '' GROUP BY doc_id),
-    r AS (SELECT doc_id, bool_or({n('text')} = '' OR w <= 0 OR NOT (confidence >= 0.8 AND confidence <= 1)) AS review FROM blocks GROUP BY doc_id)
+    r AS (SELECT doc_id, bool_or({n('text')} = '' OR confidence < 0.8) AS review FROM blocks GROUP BY doc_id)
     SELECT doc_id, concat_ws('|', CASE WHEN doc_id % 13 = 0 THEN 'document has no pages' END, e.errors) AS errors, doc_id % 13 <> 0 AND e.errors IS NULL AS ok, review OR doc_id % 13 = 0 OR e.errors IS NOT NULL AS requires_review FROM r LEFT JOIN e USING (doc_id)""")
 def a21(spark, sf_dir):
     docs = select(spark, sf_dir, "SELECT doc_id FROM documents")
@@ -231,14 +236,17 @@ def _placed(spark, sf_dir):
     return p, p.filter("idx % 6 = 0").withColumn("anchor_id", F.col("block_id"))
 
 
-@query("j7_right_of", duck("blocks") + _SIDES + """ SELECT a.doc_id, a.anchor_id, arg_min(b.block_id, (b.x, b.y, b.block_id)) AS block_id FROM anchors a JOIN placed b ON a.doc_id = b.doc_id AND a.page = b.page AND b.x >= a.x + a.w AND abs(b.y + b.h / 2 - a.y - a.h / 2) <= greatest(4, least(a.h, b.h) / 2) GROUP BY a.doc_id, a.anchor_id""")
+@query("j7_right_of", duck("blocks") + _SIDES + """ SELECT a.doc_id, a.anchor_id, arg_min(b.block_id, (b.x, b.y, b.block_id)) AS block_id FROM anchors a JOIN placed b ON a.doc_id = b.doc_id AND a.page = b.page AND b.block_id <> a.anchor_id AND b.x >= a.x + a.w AND b.y < a.y + a.h AND a.y < b.y + b.h AND abs(b.y - a.y) <= greatest(4, least(a.h, b.h) / 2) GROUP BY a.doc_id, a.anchor_id""")
 def j7(spark, sf_dir):
     return B.right_of(*_placed(spark, sf_dir))
 
 
-@query("j8_below", duck("blocks") + _SIDES + """ SELECT a.doc_id, a.anchor_id, arg_min(b.block_id, (b.y, b.x, b.block_id)) AS block_id FROM anchors a JOIN placed b ON a.doc_id = b.doc_id AND a.page = b.page AND b.y >= a.y + a.h AND b.x < a.x + a.w AND a.x < b.x + b.w GROUP BY a.doc_id, a.anchor_id""")
+@query("j8_below", duck("blocks") + _SIDES + """, k AS (SELECT doc_id, a.anchor_id, CASE WHEN a.y % 3 = 0 THEN 'label' ELSE 'text' END AS kind, b.block_id, b.y, b.x, t.type IN ('paragraph', 'field') AS ok FROM anchors a JOIN placed b USING (doc_id, page) JOIN blocks t USING (doc_id, block_id)
+    WHERE b.block_id <> a.anchor_id AND b.y > a.y AND (a.y % 3 <> 0 OR (b.x < a.x + a.w AND a.x < b.x + b.w))), o AS (SELECT *, row_number() OVER w AS place, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER w AS stopped FROM k WINDOW w AS (PARTITION BY doc_id, anchor_id ORDER BY y, x, block_id))
+    SELECT doc_id, anchor_id, block_id, place FROM o WHERE stopped = 0 AND (kind <> 'label' OR place = 1)""")
 def j8(spark, sf_dir):
-    return B.below(*_placed(spark, sf_dir))
+    p, a = _placed(spark, sf_dir)
+    return B.below(p, a.withColumn("kind", F.when(F.col("y") % 3 == 0, "label").otherwise("text")))
 
 
 _LABELS = """, lab AS (SELECT doc_id, page, block_id AS label_id, substr(text, 1, 6) AS text, x - 1 AS x, y - 15 AS y, w + 300 AS w, h + 30 AS h FROM blocks WHERE idx % 5 = 0)"""

@@ -50,7 +50,8 @@ def x5(spark, sf_dir):
 def x7(spark, sf_dir):
     docs = L.stream_table(spark, sf_dir, "documents", "doc_id long, text string, lang string, source string, n_chars long")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
-    blocks = lines.select("doc_id", "text", F.lit(72.0).alias("x"), F.lit(1.0).alias("w"), (((F.col("doc_id") * 7 + F.col("idx") * 13) % 41 + 60) / 100).alias("confidence"))
+    sure = ((F.col("doc_id") * 7 + F.col("idx") * 13) % 41 + 60) / 100
+    blocks = lines.select("doc_id", "idx", "text", F.lit(72.0).alias("x"), sure.alias("confidence"), (sure < 0.8).alias("low_confidence"))
 
     def count(df):
         return B.review_gate(df).groupBy("doc_id").agg(F.count("text").alias("blocks"), F.count_if("requires_review").alias("to_review"))
