@@ -126,56 +126,90 @@ def table_shape(cells: DataFrame, by: list[str]) -> DataFrame:
         F.count("row").alias("n_rows"), F.min("width").alias("narrowest"), F.max("width").alias("widest"), (F.min("width") == F.max("width")).alias("rectangular"), (F.sum("unboxed") == 0).alias("complete_boxes"))
 
 
-def compare_candidates(cells: DataFrame) -> DataFrame:
-    """Pairs of extractors (by rank) of a document that disagree, with the kind of disagreement:
-    number of tables, else shape, else text. Cells of (doc, extractor, rank, table_no, row, col, text)."""
-    text = F.array_sort(F.collect_list(F.struct("row", "col", norm(F.col("text")).alias("text"))))
-    tables = cells.groupBy("doc", "extractor", "rank", "table_no").agg(text.alias("body"))
-    tables = tables.select("doc", "extractor", "rank", "table_no", F.transform("body", lambda c: F.struct(c["row"], c["col"])).alias("shape"), F.sha2(F.to_json("body"), 256).alias("content"))
-    counts = tables.groupBy("doc", "extractor", "rank").agg(F.count("table_no").alias("n"))
-    l, r = counts.select("doc", F.col("extractor").alias("left"), F.col("rank").alias("lr"), F.col("n").alias("ln")), counts.select("doc", F.col("extractor").alias("right"), F.col("rank").alias("rr"), F.col("n").alias("rn"))
-    pairs = l.join(r, "doc").filter("lr < rr")
-    uneven = pairs.filter("ln <> rn").select("doc", "left", "right", F.lit("table_count").alias("kind"), F.lit(1).cast("long").alias("tables"))
-    a = tables.select("doc", F.col("extractor").alias("left"), F.col("rank").alias("lr"), "table_no", F.col("shape").alias("ls"), F.col("content").alias("lc"))
-    b = tables.select("doc", F.col("extractor").alias("right"), F.col("rank").alias("rr"), "table_no", F.col("shape").alias("rs"), F.col("content").alias("rc"))
-    kind = F.when(F.col("ls") != F.col("rs"), "shape").when(F.col("lc") != F.col("rc"), "text")
-    bodies = a.join(b, ["doc", "table_no"]).filter("lr < rr").withColumn("kind", kind).filter("kind IS NOT NULL")
-    return uneven.unionByName(bodies.groupBy("doc", "left", "right", "kind").agg(F.count("table_no").alias("tables")))
-
-
-def select_candidate(tables: DataFrame, mismatches: DataFrame) -> DataFrame:
-    """The first extractor of each document that has a table and disagrees with none."""
-    blocked = mismatches.select("doc", F.explode(F.array("left", "right")).alias("extractor")).distinct()
-    free = tables.filter("n_tables > 0").join(blocked, ["doc", "extractor"], "left_anti").groupBy("doc").agg(F.min_by("extractor", "rank").alias("selected"))
-    return tables.select("doc").distinct().join(free, "doc", "left")
-
-
-def table_warnings(tables: DataFrame, selected: DataFrame, mismatches: DataFrame) -> DataFrame:
-    """Warnings of each document's table report: nothing selected, extractors disagree, one found none."""
-    some = tables.groupBy("doc").agg(F.count_if(F.col("n_tables") == 0).alias("empty"))
-    apart = mismatches.groupBy("doc").agg(F.count("kind").alias("apart"))
-    j = some.join(selected, "doc", "left").join(apart, "doc", "left")
-    w = rules(("no extractor selected", F.col("selected").isNull()), ("extractors disagree", F.coalesce("apart", F.lit(0)) > 0), ("extractor found no table", F.col("empty") > 0))
-    return j.select("doc", F.concat_ws("; ", w).alias("warnings")).filter("warnings <> ''")
+def _candidate_tables(cells: DataFrame) -> DataFrame:
+    """Each extractor's tables in order: place, page, row widths and a digest of the texts."""
+    rows = cells.groupBy("doc", "extractor", "rank", "table_no", "row").agg(F.min("page").alias("page"), F.count("col").alias("width"), F.transform(F.array_sort(F.collect_list(F.struct("col", norm(F.col("text")).alias("t")))), lambda c: c["t"]).alias("texts"), F.bool_and("boxed").alias("boxed"))
+    body = F.array_sort(F.collect_list(F.struct("row", "width", "texts")))
+    t = rows.groupBy("doc", "extractor", "rank", "table_no").agg(F.min("page").alias("page"), F.bool_and("boxed").alias("boxed"), body.alias("body"))
+    t = t.withColumn("place", F.row_number().over(Window.partitionBy("doc", "extractor").orderBy("table_no")))
+    return t.select("doc", "extractor", "rank", "place", "page", "boxed", F.transform("body", lambda r: r["width"]).alias("widths"), F.sha2(F.to_json(F.transform("body", lambda r: r["texts"])), 256).alias("content"))
+
+
+def compare_candidates(cells: DataFrame, extractors: DataFrame) -> DataFrame:
+    """Pairs of extractors of a document that disagree: (doc, left, right, kind, tables).
+
+    Kinds: another number of tables; and of tables at the same place another page, other row widths,
+    or, where these agree, other texts. ``extractors(doc, extractor, rank, status)`` that are not ok
+    have no say.
+    """
+    ok = extractors.filter("status = 'ok'").select("doc", "extractor", "rank")
+    t = _candidate_tables(cells).join(ok.select("doc", "extractor"), ["doc", "extractor"], "left_semi")
+    counts = ok.join(t.groupBy("doc", "extractor").agg(F.count("place").alias("n")), ["doc", "extractor"], "left").fillna(0, ["n"])
+    side = lambda df, p: df.select("doc", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "doc"])
+    pairs = side(counts, "l").join(side(counts, "r"), "doc").filter("l_rank < r_rank AND l_n <> r_n").select("doc", F.col("l_extractor").alias("left"), F.col("r_extractor").alias("right"), F.lit("candidate-table-count").alias("kind"))
+    same = side(t, "l").join(side(t, "r"), "doc").filter("l_place = r_place AND l_rank < r_rank")
+    shape = F.when(F.col("l_widths") != F.col("r_widths"), "candidate-shape").when(F.col("l_content") != F.col("r_content"), "candidate-text")
+    kinds = F.filter(F.array(F.when(F.col("l_page") != F.col("r_page"), "candidate-page"), shape), lambda k: k.isNotNull())
+    tables = same.select("doc", F.col("l_extractor").alias("left"), F.col("r_extractor").alias("right"), F.explode(kinds).alias("kind"))
+    return pairs.unionByName(tables).groupBy("doc", "left", "right", "kind").agg(F.count(F.lit(1)).alias("tables"))
+
+
+def check_candidates(cells: DataFrame, extractors: DataFrame, expected: tuple[int, int] | None = None, require_boxes: bool = True) -> DataFrame:
+    """What is wrong with each extractor's own tables: (doc, extractor, kind, tables). Without a shape to
+    expect, only absent tables and cells without boxes count."""
+    ok = extractors.filter("status = 'ok'").select("doc", "extractor")
+    t = _candidate_tables(cells).join(ok, ["doc", "extractor"], "left_semi")
+    found = [ok.join(t.select("doc", "extractor").distinct(), ["doc", "extractor"], "left_anti").withColumn("kind", F.lit("missing-table"))]
+    if expected is not None:
+        first = t.filter("place = 1")
+        found.append(first.filter(F.size("widths") != expected[0]).select("doc", "extractor", F.lit("row-count").alias("kind")))
+        found.append(first.filter(F.exists("widths", lambda w: w != expected[1])).select("doc", "extractor", F.lit("column-count").alias("kind")))
+    if require_boxes:
+        found.append(t.filter(~F.col("boxed")).select("doc", "extractor", F.lit("cell-boundary").alias("kind")))
+    return reduce(DataFrame.unionByName, found).groupBy("doc", "extractor", "kind").agg(F.count(F.lit(1)).alias("tables"))
+
+
+def select_candidate(extractors: DataFrame, own: DataFrame, pairs: DataFrame, consensus: bool = True) -> DataFrame:
+    """Each document's extractor by rank of those that are ok and that nothing blocks: their own
+    mismatches, and disagreements too where no shape was expected."""
+    blocked = own.select("doc", "extractor")
+    if consensus:
+        blocked = blocked.unionByName(pairs.select("doc", F.explode(F.array("left", "right")).alias("extractor")))
+    free = extractors.filter("status = 'ok'").join(blocked.distinct(), ["doc", "extractor"], "left_anti")
+    best = free.groupBy("doc").agg(F.min_by("extractor", "rank").alias("selected"))
+    return extractors.select("doc").distinct().join(best, "doc", "left")
+
+
+def table_warnings(extractors: DataFrame, own: DataFrame, pairs: DataFrame, selected: DataFrame) -> DataFrame:
+    """Warnings of each document's table report, in order: nothing selected, extractors disagree, the
+    selected one lacks cell boundaries, extractors that are not available."""
+    apart = own.select("doc").unionByName(pairs.select("doc")).distinct().withColumn("apart", F.lit(True))
+    open_cells = own.filter("kind = 'cell-boundary'").select("doc", F.col("extractor").alias("selected"), F.lit(True).alias("open"))
+    away = extractors.filter("status <> 'ok'").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list("extractor")), ", ").alias("away"))
+    j = selected.join(apart, "doc", "left").join(open_cells, ["doc", "selected"], "left").join(away, "doc", "left")
+    w = F.concat_ws(
+        "; ", F.when(F.col("selected").isNull(), "no table selected"), F.when(F.col("apart"), "candidates disagreed"), F.when(F.col("open"), "selected table has incomplete cell boundaries"),
+        F.when(F.col("away").isNotNull(), F.concat(F.lit("candidate unavailable: "), "away")))
+    return j.select("doc", w.alias("warnings")).filter("warnings <> ''")
 
 
 def extractor_summary(fragments: DataFrame) -> DataFrame:
     """Fragments of each document and extractor, and whether it found any text."""
     out = fragments.groupBy("doc", "extractor").agg(F.count("text").alias("fragments"), F.count_if(norm(F.col("text")) != "").alias("with_text"))
-    return out.withColumn("status", F.when(F.col("with_text") > 0, "ok").otherwise("no_text"))
+    return out.withColumn("status", F.when(F.col("with_text") > 0, "ok").otherwise("no-text"))
 
 
 def ocr_pages(regions: DataFrame, pages: DataFrame, low: float = 0.8) -> DataFrame:
-    """Each page's status: no_text, low_confidence (any region below ``low`` or without one), ok."""
+    """Each page's status: no-text, low-confidence (any region below ``low`` or without one), ok."""
     r = regions.filter(norm(F.col("text")) != "").groupBy("doc", "page").agg(F.count("text").alias("regions"), F.count_if(F.col("confidence").isNull() | (F.col("confidence") < low)).alias("low_regions"))
     out = pages.join(r, ["doc", "page"], "left").fillna(0, ["regions", "low_regions"])
-    return out.withColumn("status", F.when(F.col("regions") == 0, "no_text").when(F.col("low_regions") > 0, "low_confidence").otherwise("ok"))
+    return out.withColumn("status", F.when(F.col("regions") == 0, "no-text").when(F.col("low_regions") > 0, "low-confidence").otherwise("ok"))
 
 
 def ocr_engines(page_status: DataFrame) -> DataFrame:
-    """Pages of each document by status, and the engine's status from them."""
-    out = page_status.groupBy("doc").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("no_text", "low_confidence", "ok")])
-    return out.withColumn("engine_status", F.when(F.col("ok") + F.col("low_confidence") == 0, "no_text").when(F.col("low_confidence") + F.col("no_text") > 0, "low_confidence").otherwise("ok"))
+    """Regions of each document, and the engine's status: no-text if all pages are, low-confidence if any is."""
+    out = page_status.groupBy("doc").agg(F.count("page").alias("pages"), F.sum("regions").alias("regions"), F.sum("low_regions").alias("low_regions"), F.bool_and(F.col("status") == "no-text").alias("bare"), F.bool_or(F.col("status") == "low-confidence").alias("low"))
+    return out.withColumn("engine_status", F.when(F.col("bare"), "no-text").when(F.col("low"), "low-confidence").otherwise("ok")).drop("bare", "low")
 
 
 # ---------------------------------------------------------------- sets

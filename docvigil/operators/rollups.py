@@ -23,12 +23,15 @@ def with_modes(runs: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def stability(runs: DataFrame, by: list[str]) -> DataFrame:
-    """Agreement of each input's runs with its most common plan and values, and rates of outcomes."""
+    """Agreement of each input's runs with its most common plan and values, and rates of outcomes:
+    failures and fallbacks of all runs, repairs of those that were tried, transmissions counted."""
     r = with_modes(runs, by, ["plan", "run_values"])
+    n = F.count("run_id")
     return r.groupBy(*by).agg(
-        F.count("run_id").alias("runs"), F.count_distinct("plan").alias("plans"), F.count_distinct("run_values").alias("value_sets"),
-        ratio(F.count_if(F.col("plan") == F.col("modal_plan")), F.count("run_id")).alias("plan_agreement"), ratio(F.count_if(F.col("run_values") == F.col("modal_run_values")), F.count("run_id")).alias("value_agreement"),
-        *[ratio(F.count_if(c), F.count("run_id")).alias(f"{c}_rate") for c in ("failed", "repaired", "fell_back")])
+        n.alias("runs"), F.count_distinct("plan").alias("plans"), F.count_distinct("run_values").alias("value_sets"),
+        ratio(F.count_if(F.col("plan") == F.col("modal_plan")), n).alias("plan_agreement"), ratio(F.count_if(F.col("run_values") == F.col("modal_run_values")), n).alias("value_agreement"),
+        ratio(F.count_if(~F.col("schema_ok")), n).alias("schema_failure_rate"), ratio(F.count_if("repaired"), F.count_if("repair_tried")).alias("repair_success_rate"), ratio(F.count_if("fell_back"), n).alias("fallback_rate"),
+        F.count_if("transmitted").alias("transmissions"), F.count_if((F.col("plan") != F.col("modal_plan")) | (F.col("run_values") != F.col("modal_run_values"))).alias("unstable_runs"))
 
 
 def reference_run(runs: DataFrame, by: list[str]) -> DataFrame:
@@ -42,8 +45,8 @@ def reference_run(runs: DataFrame, by: list[str]) -> DataFrame:
 def unstable_examples(runs: DataFrame, by: list[str], most: int = 3) -> DataFrame:
     """The first runs of each input that differ from its reference, and in what."""
     r = with_modes(runs, by, ["plan", "run_values"])
-    changed = rules(("plan", F.col("plan") != F.col("modal_plan")), ("values", F.col("run_values") != F.col("modal_run_values")))
-    r = r.withColumn("changed", F.concat_ws(", ", changed)).filter("changed <> ''")
+    changed = rules(("conversion_plan", F.col("plan") != F.col("modal_plan")), ("confirmed_values", F.col("run_values") != F.col("modal_run_values")))
+    r = r.withColumn("changed", F.concat_ws(",", changed)).filter("changed <> ''")
     return r.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("run_id"))).filter(F.col("place") <= most).select(*by, "run_id", "place", "changed")
 
 
@@ -54,7 +57,10 @@ def threshold_failures(metrics: DataFrame, limits: dict[str, tuple[str, float]])
 
 def check_outcomes(runs: DataFrame) -> DataFrame:
     """Runs whose outcome flags contradict each other."""
-    bad = rules(("repair without failure", F.col("repaired") & ~F.col("failed")), ("success with fallback", F.col("succeeded") & F.col("fell_back")), ("failure without repair or fallback", F.col("failed") & ~F.col("repaired") & ~F.col("fell_back")))
+    ok, tried, repaired, fell = (F.col(c) for c in ("schema_ok", "repair_tried", "repaired", "fell_back"))
+    bad = rules(
+        ("repair was not tried", repaired & ~tried), ("repair without failure", ok & (tried | repaired)), ("fallback without failure", ok & fell), ("repair and fallback", ~ok & repaired & fell),
+        ("failure without repair or fallback", ~ok & ~repaired & ~fell))
     return runs.select("run_id", F.concat_ws("; ", bad).alias("violations")).filter("violations <> ''")
 
 

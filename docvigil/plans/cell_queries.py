@@ -106,8 +106,8 @@ def d9(spark, sf_dir):
 
 
 #: Three extractors of a document's table: rank 2 loses cells, rank 3 changes texts.
-_EXTRACTED = """SELECT CAST(case_id % 2000 AS STRING) AS doc, e.extractor, e.rank, CAST(case_id % 4 AS INT) AS table_no, CAST(case_id AS INT) AS row, CAST(cell_id AS INT) AS col, CONCAT(CASE WHEN e.rank = 3 AND l_partkey % 97 = 0 THEN 'x' ELSE '' END, text) AS text,
-    e.rank <> 2 OR l_suppkey % 7 <> 0 AS boxed FROM cells CROSS JOIN (SELECT 'lattice' AS extractor, 1 AS rank UNION ALL SELECT 'stream', 2 UNION ALL SELECT 'words', 3) e WHERE NOT (e.rank = 2 AND l_partkey % 89 = 0) AND NOT (e.rank = 1 AND case_id % 2000 % 53 = 0)"""
+_EXTRACTED = """SELECT CAST(case_id % 2000 AS STRING) AS doc, e.extractor, e.rank, CAST(case_id % 4 AS INT) AS table_no, CAST(case_id % 4 AS INT) + CASE WHEN e.rank = 2 AND case_id % 2000 % 41 = 0 THEN 1 ELSE 0 END AS page, CAST(case_id AS INT) AS row, CAST(cell_id AS INT) AS col, CONCAT(CASE WHEN e.rank = 3 AND l_partkey % 97 = 0 THEN 'x' ELSE '' END, text) AS text,
+    e.rank <> 2 OR case_id % 2000 % 7 <> 0 AS boxed FROM cells CROSS JOIN (SELECT 'lattice' AS extractor, 1 AS rank UNION ALL SELECT 'stream', 2 UNION ALL SELECT 'words', 3) e WHERE NOT (e.rank = 2 AND l_partkey % 89 = 0) AND NOT (e.rank = 1 AND case_id % 2000 % 53 = 0)"""
 
 
 @query("a22_table_shape", duck("cells") + f""", x AS ({_EXTRACTED}), r AS (SELECT doc, extractor, table_no, row, count(*) AS w, count_if(NOT boxed) AS u FROM x GROUP BY ALL)
@@ -117,40 +117,52 @@ def a22(spark, sf_dir):
     return C.table_shape(x, ["doc", "extractor", "table_no"])
 
 
-_APART = f""", x AS ({_EXTRACTED}), t AS (SELECT doc, extractor, rank, table_no, list((row, col) ORDER BY row, col) AS s, list((row, col, text) ORDER BY row, col) AS b FROM x GROUP BY ALL),
-    n AS (SELECT doc, extractor, rank, count(*) AS n FROM t GROUP BY ALL), apart AS (
-    SELECT l.doc, l.extractor AS "left", r.extractor AS "right", 'table_count' AS kind, 1 AS tables FROM n l JOIN n r ON l.doc = r.doc AND l.rank < r.rank AND l.n <> r.n
-    UNION ALL SELECT l.doc, l.extractor, r.extractor, CASE WHEN l.s <> r.s THEN 'shape' ELSE 'text' END, count(*) FROM t l JOIN t r ON l.doc = r.doc AND l.table_no = r.table_no AND l.rank < r.rank AND l.b <> r.b GROUP BY ALL)"""
+#: The extractors that ran on each document; the third was not always there.
+_RAN = "SELECT DISTINCT CAST(case_id % 2000 AS STRING) AS doc, e.extractor, e.rank, CASE WHEN e.rank = 3 AND case_id % 2000 % 31 = 0 THEN 'not-installed' ELSE 'ok' END AS status FROM cells CROSS JOIN (SELECT 'lattice' AS extractor, 1 AS rank UNION ALL SELECT 'stream', 2 UNION ALL SELECT 'words', 3) e"
+
+_APART = f""", x AS ({_EXTRACTED}), e AS ({_RAN}), w AS (SELECT doc, extractor, rank, table_no, row, min(page) AS page, count(*) AS width, list(text ORDER BY col) AS texts, bool_and(boxed) AS boxed FROM x GROUP BY ALL),
+    t AS (SELECT doc, extractor, rank, table_no, min(page) AS page, bool_and(boxed) AS boxed, list(width ORDER BY row) AS s, list(texts ORDER BY row) AS b FROM w WHERE (doc, extractor) IN (SELECT (doc, extractor) FROM e WHERE status = 'ok') GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY doc, extractor ORDER BY table_no) AS place FROM t), n AS (SELECT e.doc, e.extractor, e.rank, count(t.doc) AS n FROM e LEFT JOIN t USING (doc, extractor) WHERE e.status = 'ok' GROUP BY ALL),
+    apart AS (SELECT l.doc, l.extractor AS "left", r.extractor AS "right", 'candidate-table-count' AS kind, 1 AS tables FROM n l JOIN n r ON l.doc = r.doc AND l.rank < r.rank AND l.n <> r.n
+    UNION ALL SELECT l.doc, l.extractor, r.extractor, 'candidate-page', count(*) FROM p l JOIN p r ON l.doc = r.doc AND l.place = r.place AND l.rank < r.rank AND l.page <> r.page GROUP BY ALL
+    UNION ALL SELECT l.doc, l.extractor, r.extractor, CASE WHEN l.s <> r.s THEN 'candidate-shape' ELSE 'candidate-text' END, count(*) FROM p l JOIN p r ON l.doc = r.doc AND l.place = r.place AND l.rank < r.rank AND (l.s <> r.s OR l.b <> r.b) GROUP BY ALL),
+    own AS (SELECT doc, extractor, 'missing-table' AS kind, 1 AS tables FROM n WHERE n = 0 UNION ALL SELECT doc, extractor, 'row-count', 1 FROM p WHERE place = 1 AND len(s) <> 8 UNION ALL SELECT doc, extractor, 'column-count', 1 FROM p WHERE place = 1 AND len(list_filter(s, lambda v: v <> 4)) > 0 UNION ALL SELECT doc, extractor, 'cell-boundary', count(*) FROM p WHERE NOT boxed GROUP BY ALL)"""
+
+
+def _candidates(spark, sf_dir):
+    x, e = (select(spark, sf_dir, with_views("spark", "cells") + " " + q) for q in (_EXTRACTED, _RAN))
+    return x, e
 
 
 @query("j15_compare_candidates", duck("cells") + _APART + ' SELECT doc, "left", "right", kind, CAST(tables AS BIGINT) AS tables FROM apart')
 def j15(spark, sf_dir):
-    return C.compare_candidates(select(spark, sf_dir, with_views("spark", "cells") + " " + _EXTRACTED))
+    return C.compare_candidates(*_candidates(spark, sf_dir))
 
 
-def _reports(spark, sf_dir):
-    x = select(spark, sf_dir, with_views("spark", "cells") + " " + _EXTRACTED)
-    tables = x.groupBy("doc", "extractor", "rank").agg(F.countDistinct("table_no").alias("n_tables"))
-    return tables, C.compare_candidates(x)
+@query("d15_check_candidates", duck("cells") + _APART + " SELECT doc, extractor, kind, CAST(tables AS BIGINT) AS tables FROM own")
+def d15a(spark, sf_dir):
+    return C.check_candidates(*_candidates(spark, sf_dir), expected=(8, 4))
 
 
-_PICKED = _APART + """, picked AS (SELECT d.doc, s.selected FROM (SELECT DISTINCT doc FROM n) d LEFT JOIN (SELECT n.doc, arg_min(extractor, rank) AS selected FROM n
-    WHERE NOT EXISTS (SELECT 1 FROM apart p WHERE p.doc = n.doc AND n.extractor IN (p."left", p."right")) GROUP BY n.doc) s USING (doc))"""
+_PICKED = _APART + """, picked AS (SELECT d.doc, s.selected FROM (SELECT DISTINCT doc FROM e) d LEFT JOIN (SELECT n.doc, arg_min(extractor, rank) AS selected FROM n WHERE (n.doc, n.extractor) NOT IN (SELECT (doc, extractor) FROM own WHERE kind IN ('missing-table', 'cell-boundary'))
+    AND NOT EXISTS (SELECT 1 FROM apart p WHERE p.doc = n.doc AND n.extractor IN (p."left", p."right")) GROUP BY n.doc) s USING (doc))"""
 
 
 @query("t1_select_candidate", duck("cells") + _PICKED + " SELECT * FROM picked")
 def t1(spark, sf_dir):
-    return C.select_candidate(*_reports(spark, sf_dir))
+    x, e = _candidates(spark, sf_dir)
+    return C.select_candidate(e, C.check_candidates(x, e), C.compare_candidates(x, e))
 
 
-@query("d15_table_warnings", duck("cells") + _PICKED + """ SELECT doc, concat_ws('; ', CASE WHEN selected IS NULL THEN 'no extractor selected' END, CASE WHEN EXISTS (SELECT 1 FROM apart p WHERE p.doc = picked.doc) THEN 'extractors disagree' END) AS warnings
-    FROM picked WHERE selected IS NULL OR EXISTS (SELECT 1 FROM apart p WHERE p.doc = picked.doc)""")
+@query("d15_table_warnings", duck("cells") + _PICKED + """, v AS (SELECT doc, concat_ws('; ', CASE WHEN selected IS NULL THEN 'no table selected' END, CASE WHEN doc IN (SELECT doc FROM apart) OR doc IN (SELECT doc FROM own WHERE kind IN ('missing-table', 'cell-boundary')) THEN 'candidates disagreed' END, CASE WHEN (SELECT bool_or(status <> 'ok') FROM e WHERE e.doc = picked.doc) THEN 'candidate unavailable: words' END) AS warnings FROM picked)
+    SELECT * FROM v WHERE warnings <> ''""")
 def d15(spark, sf_dir):
-    tables, apart = _reports(spark, sf_dir)
-    return C.table_warnings(tables, C.select_candidate(tables, apart), apart)
+    x, e = _candidates(spark, sf_dir)
+    own, pairs = C.check_candidates(x, e), C.compare_candidates(x, e)
+    return C.table_warnings(e, own, pairs, C.select_candidate(e, own, pairs))
 
 
-@query("a19_extractor_summary", """SELECT doc_id AS doc, source AS extractor, count(*) AS fragments, count_if(trim(text) <> '') AS with_text, CASE WHEN count_if(trim(text) <> '') > 0 THEN 'ok' ELSE 'no_text' END AS status
+@query("a19_extractor_summary", """SELECT doc_id AS doc, source AS extractor, count(*) AS fragments, count_if(trim(text) <> '') AS with_text, CASE WHEN count_if(trim(text) <> '') > 0 THEN 'ok' ELSE 'no-text' END AS status
     FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text FROM documents) GROUP BY ALL""")
 def a19(spark, sf_dir):
     docs = select(spark, sf_dir, "SELECT doc_id, source, text FROM documents")
@@ -159,7 +171,7 @@ def a19(spark, sf_dir):
 
 _OCR = ", regions AS (SELECT doc_id AS doc, page, text, CASE WHEN idx % 17 = 3 THEN NULL ELSE least(1, confidence + 0.25) END AS confidence FROM blocks WHERE doc_id % 9 <> 0), pages_ AS (SELECT DISTINCT doc_id AS doc, page FROM blocks)"
 _STATUS = _OCR + """, st AS (SELECT p.doc, p.page, count(r.doc) AS regions, count_if(r.doc IS NOT NULL AND (confidence IS NULL OR confidence < 0.8)) AS low_regions FROM pages_ p LEFT JOIN (SELECT * FROM regions WHERE trim(text) <> '') r ON p.doc = r.doc AND p.page = r.page GROUP BY ALL),
-    st2 AS (SELECT *, CASE WHEN regions = 0 THEN 'no_text' WHEN low_regions > 0 THEN 'low_confidence' ELSE 'ok' END AS status FROM st)"""
+    st2 AS (SELECT *, CASE WHEN regions = 0 THEN 'no-text' WHEN low_regions > 0 THEN 'low-confidence' ELSE 'ok' END AS status FROM st)"""
 
 
 def _ocr(spark, sf_dir):
@@ -173,8 +185,7 @@ def a18(spark, sf_dir):
     return _ocr(spark, sf_dir)
 
 
-@query("a18_ocr_engine_status", duck("blocks") + _STATUS + """, g AS (SELECT doc, count_if(status = 'no_text') AS no_text, count_if(status = 'low_confidence') AS low_confidence, count_if(status = 'ok') AS ok FROM st2 GROUP BY doc)
-    SELECT *, CASE WHEN ok + low_confidence = 0 THEN 'no_text' WHEN low_confidence + no_text > 0 THEN 'low_confidence' ELSE 'ok' END AS engine_status FROM g""")
+@query("a18_ocr_engine_status", duck("blocks") + _STATUS + """ SELECT doc, count(*) AS pages, CAST(sum(regions) AS BIGINT) AS regions, CAST(sum(low_regions) AS BIGINT) AS low_regions, CASE WHEN bool_and(status = 'no-text') THEN 'no-text' WHEN bool_or(status = 'low-confidence') THEN 'low-confidence' ELSE 'ok' END AS engine_status FROM st2 GROUP BY doc""")
 def a18b(spark, sf_dir):
     return C.ocr_engines(_ocr(spark, sf_dir))
 

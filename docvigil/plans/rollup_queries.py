@@ -25,8 +25,8 @@ def t2(spark, sf_dir):
     return R.modal(view(spark, sf_dir, "runs"), ["input_id"], "plan")
 
 
-_RATES = ", ".join(f"count_if({c})::DOUBLE / count(*) AS {c}_rate" for c in ("failed", "repaired", "fell_back"))
-_STABILITY = f"SELECT input_id, count(*) AS runs, count(DISTINCT plan) AS plans, count(DISTINCT run_values) AS value_sets, count_if(plan = mplan)::DOUBLE / count(*) AS plan_agreement, count_if(run_values = mval)::DOUBLE / count(*) AS value_agreement, {_RATES} FROM r GROUP BY input_id"
+_STABILITY = """SELECT input_id, count(*) AS runs, count(DISTINCT plan) AS plans, count(DISTINCT run_values) AS value_sets, count_if(plan = mplan)::DOUBLE / count(*) AS plan_agreement, count_if(run_values = mval)::DOUBLE / count(*) AS value_agreement, count_if(NOT schema_ok)::DOUBLE / count(*) AS schema_failure_rate,
+    CASE WHEN count_if(repair_tried) = 0 THEN 0 ELSE count_if(repaired)::DOUBLE / count_if(repair_tried) END AS repair_success_rate, count_if(fell_back)::DOUBLE / count(*) AS fallback_rate, count_if(transmitted) AS transmissions, count_if(plan <> mplan OR run_values <> mval) AS unstable_runs FROM r GROUP BY input_id"""
 
 
 @query("a2_stability", duck("runs") + _MODAL + _STABILITY)
@@ -40,19 +40,19 @@ def a3(spark, sf_dir):
     return R.reference_run(view(spark, sf_dir, "runs"), ["input_id"])
 
 
-@query("a4_threshold_failures", duck("runs") + _MODAL + f", s AS ({_STABILITY}) SELECT input_id, concat_ws('|', CASE WHEN plan_agreement < 0.4 THEN 'plan_agreement' END, CASE WHEN value_agreement < 0.6 THEN 'value_agreement' END, CASE WHEN fell_back_rate > 0.05 THEN 'fell_back_rate' END) AS failures FROM s")
+@query("a4_threshold_failures", duck("runs") + _MODAL + f", s AS ({_STABILITY}) SELECT input_id, concat_ws('|', CASE WHEN plan_agreement < 0.4 THEN 'plan_agreement' END, CASE WHEN value_agreement < 0.6 THEN 'value_agreement' END, CASE WHEN fallback_rate > 0.05 THEN 'fallback_rate' END) AS failures FROM s")
 def a4(spark, sf_dir):
     s = R.stability(view(spark, sf_dir, "runs"), ["input_id"])
-    return s.select("input_id", F.concat_ws("|", R.threshold_failures(s, {"plan_agreement": (">=", 0.4), "value_agreement": (">=", 0.6), "fell_back_rate": ("<=", 0.05)})).alias("failures"))
+    return s.select("input_id", F.concat_ws("|", R.threshold_failures(s, {"plan_agreement": (">=", 0.4), "value_agreement": (">=", 0.6), "fallback_rate": ("<=", 0.05)})).alias("failures"))
 
 
-@query("t3_unstable_examples", duck("runs") + _MODAL + """, c AS (SELECT input_id, run_id, concat_ws(', ', CASE WHEN plan <> mplan THEN 'plan' END, CASE WHEN run_values <> mval THEN 'values' END) AS changed FROM r)
+@query("t3_unstable_examples", duck("runs") + _MODAL + """, c AS (SELECT input_id, run_id, concat_ws(',', CASE WHEN plan <> mplan THEN 'conversion_plan' END, CASE WHEN run_values <> mval THEN 'confirmed_values' END) AS changed FROM r)
     SELECT input_id, run_id, place, changed FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY run_id) AS place FROM c WHERE changed <> '') WHERE place <= 3""")
 def t3(spark, sf_dir):
     return R.unstable_examples(view(spark, sf_dir, "runs"), ["input_id"])
 
 
-@query("d6_check_outcomes", duck("runs") + """, v AS (SELECT run_id, concat_ws('; ', CASE WHEN repaired AND NOT failed THEN 'repair without failure' END, CASE WHEN succeeded AND fell_back THEN 'success with fallback' END, CASE WHEN failed AND NOT repaired AND NOT fell_back THEN 'failure without repair or fallback' END) AS violations FROM runs) SELECT * FROM v WHERE violations <> ''""")
+@query("d6_check_outcomes", duck("runs") + """, v AS (SELECT run_id, concat_ws('; ', CASE WHEN repaired AND NOT repair_tried THEN 'repair was not tried' END, CASE WHEN schema_ok AND (repair_tried OR repaired) THEN 'repair without failure' END, CASE WHEN schema_ok AND fell_back THEN 'fallback without failure' END, CASE WHEN NOT schema_ok AND repaired AND fell_back THEN 'repair and fallback' END, CASE WHEN NOT schema_ok AND NOT repaired AND NOT fell_back THEN 'failure without repair or fallback' END) AS violations FROM runs) SELECT * FROM v WHERE violations <> ''""")
 def d6(spark, sf_dir):
     return R.check_outcomes(view(spark, sf_dir, "runs"))
 

@@ -49,7 +49,7 @@ _LOG = """
 
 _RUNS = """
     SELECT o_custkey AS input_id, o_orderkey AS run_id, o_orderpriority AS plan, o_orderstatus AS run_values,
-           o_orderkey % 10 <> 0 AS succeeded, o_orderkey % 10 = 0 AS failed, o_orderkey % 20 = 0 AS repaired, o_orderkey % 30 = 0 AS fell_back
+           o_orderkey % 5 <> 0 AS schema_ok, o_orderkey % 10 = 0 OR o_orderkey % 101 = 0 AS repair_tried, o_orderkey % 20 = 0 AS repaired, o_orderkey % 15 = 0 OR o_orderkey % 103 = 0 AS fell_back, o_orderkey % 97 = 0 AS transmitted
     FROM orders
 """
 
