@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docvigil.functions.categories import REVIEW_CATEGORIES, llm_involved, norm_category, ocr_derived
 from docvigil.functions.text import norm, same_text
-from docvigil.functions.values import needs_review
+from docvigil.functions.values import finite, needs_review
 
 CELL = ["case_id", "table_id", "cell_id"]
 
@@ -62,21 +63,46 @@ def table_consistency(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return out.withColumn("consistent", F.col("missing") + F.col("extra") + F.col("changed") == 0)
 
 
+RISK_LEVELS = ("low", "medium", "high", "critical")
+SCOPE = ("fixture_id", "document_id", "block_id")
+
+
 def validate_items(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """A decision for each expected item (item_id, scope, value, number, page, x, risk): scope, value,
-    provenance, number and risk gate, failing closed. ``actual`` has the same and confidence, auto."""
-    a = actual.select("item_id", *[F.col(c).alias(f"a_{c}") for c in ("scope", "value", "number", "page", "x", "confidence", "auto")], F.lit(True).alias("there"))
+    """A decision for each expected item: (item_id, status, failed_rules, warnings, auto_confirm_allowed).
+
+    Both sides have ``item_id, label_id``, the scope ids, ``value`` and ``number`` (a number is expected
+    where the expected one is not null), ``page, x`` of the source, ``risk, requires_review, extractor,
+    kind``; the actual side also ``confidence, auto_confirmed``. An expected scope id that is null is not
+    declared. Whatever is absent or malformed fails.
+    """
+    cols = ("label_id", *SCOPE, "value", "number", "page", "x", "risk", "requires_review", "extractor", "kind")
+    a = actual.select("item_id", *[F.col(c).alias(f"a_{c}") for c in (*cols, "confidence", "auto_confirmed")])
     j = expected.join(a, "item_id", "left")
-    high = F.col("risk").isin("high", "critical")
-    unsure = needs_review(F.col("a_confidence"))
-    review = high | unsure
-    sourced = F.coalesce((F.struct("page", "x") == F.struct("a_page", "a_x")) & (F.col("a_page") > 0), F.lit(False))
+    no = F.lit(False)
+    same = lambda c: F.coalesce((F.col(c) == F.col(f"a_{c}")) & (F.trim(c) != ""), no)
+
+    # each is a column of its own: the rules below use them several times
+    sourced = F.coalesce((F.struct("page", "x") == F.struct("a_page", "a_x")) & (F.col("page") > 0), no)
+    number = F.col("number").isNotNull()
+    equal = F.coalesce(finite(F.col("number")) & finite(F.col("a_number")) & (F.col("number") == F.col("a_number")), no)
+    high = F.coalesce(F.col("risk").isin("high", "critical"), no) | F.coalesce(F.col("a_risk").isin("high", "critical"), no)
+    j = j.withColumns({
+        "unsure": needs_review(F.col("a_confidence")), "sourced": sourced, "category": norm_category(F.col("label_id")), "high": high, "by_value": F.when(number, equal).otherwise(same_text(F.col("value"), F.col("a_value"))), "by_number": ~number | equal,
+        "explicit": F.coalesce("requires_review", no) | F.coalesce("a_requires_review", no), "ocr": ocr_derived(F.col("kind"), F.col("extractor")) | ocr_derived(F.col("a_kind"), F.col("a_extractor")),
+        "engine": F.col("extractor").isNotNull() & ~same("extractor"), "model": llm_involved(no, F.col("extractor")) | llm_involved(no, F.col("a_extractor")),
+        "declared": reduce(lambda p, q: p | q, [F.col(c).isNotNull() & ~same(c) for c in SCOPE]), "unbound": reduce(lambda p, q: p | q, [~same(c) for c in SCOPE]),
+    })
+    j = j.withColumn("important", F.col("explicit") | F.col("high") | number | F.coalesce(F.col("category").isin(*REVIEW_CATEGORIES), no))
+    j = j.withColumn("review", F.col("important") | F.col("unsure") | F.col("ocr") | F.col("engine") | ~F.col("sourced"))
+    # a flag that is no flag counts as set, and fails
+    gate = F.col("a_auto_confirmed").isNull() | (F.col("review") & F.coalesce("a_auto_confirmed", F.lit(True))) | F.col("requires_review").isNull()
     failed = rules(
-        ("scope_binding", ~same_text(F.col("scope"), F.col("a_scope"))), ("value_non_modification", ~same_text(F.col("value"), F.col("a_value"))), ("provenance", ~sourced),
-        ("numeric", F.col("number").isNotNull() & ~F.coalesce(F.col("number") == F.col("a_number"), F.lit(False))),
-        ("risk_gate", ~F.col("risk").isin("low", "medium", "high", "critical") | (review & F.coalesce("a_auto", F.lit(True)))))
-    warnings = rules(("item confidence requires human review", unsure), ("item source requires human review", ~sourced), ("item requires human review", review))
-    out = j.select("item_id", failed.alias("failed_rules"), warnings.alias("warnings"), (review | ~sourced).alias("review"))
+        ("scope_binding", ~same("label_id") | F.col("declared") | (~F.col("important") & F.col("unbound"))), ("value_non_modification", ~F.col("by_value")), ("provenance", ~F.col("sourced")), ("numeric", ~F.col("by_number")),
+        ("risk_gate", gate | ~F.coalesce(F.col("risk").isin(*RISK_LEVELS), no) | F.coalesce(~F.col("a_risk").isin(*RISK_LEVELS), no)))
+    warnings = rules(
+        ("item confidence requires human review", F.col("unsure")), ("ocr-derived item requires human review", F.col("ocr")), ("extraction engine mismatch requires human review", F.col("engine")), ("item source requires human review", ~F.col("sourced")),
+        ("llm-involved important item requires human review", F.col("important") & F.col("model")), ("item requires human review", F.col("review")))
+    out = j.select("item_id", failed.alias("failed_rules"), warnings.alias("warnings"), "review")
     status = F.when(F.size("failed_rules") > 0, "block_auto_confirm").when(F.col("review"), "requires_review").otherwise("pass")
     return out.select("item_id", status.alias("status"), "failed_rules", "warnings", (status == "pass").alias("auto_confirm_allowed"))
 

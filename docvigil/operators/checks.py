@@ -81,7 +81,8 @@ def check_labels(labels: DataFrame, taxonomy: DataFrame, blocks: DataFrame) -> D
 
 def review_conditions(items: DataFrame) -> DataFrame:
     """Each item's category, whether it must be reviewed, and the conditions that say so."""
-    category = norm_category(F.col("label"))
+    items = items.withColumn("category", norm_category(F.col("label")))
+    category = F.col("category")
     important = category.isin(*REVIEW_CATEGORIES) | type_category(F.col("value_type")).isin(*REVIEW_CATEGORIES) | is_high_risk(F.col("flag"), F.col("risk"), F.col("warnings"))
     w = rules(("ocr-derived item requires human review", ocr_derived(F.col("kind"), F.col("extractor"))), ("extraction engine mismatch requires human review", F.col("expected_extractor").isNotNull() & ~same_text(F.col("expected_extractor"), F.col("extractor"))), ("llm-involved important item requires human review", important & llm_involved(F.col("llm"), F.col("extractor"))))
     return items.select("item_id", category.alias("category"), (important | (F.size(w) > 0)).alias("review"), F.concat_ws("; ", w).alias("conditions"))

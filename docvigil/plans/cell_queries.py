@@ -49,20 +49,22 @@ def j2(spark, sf_dir):
     return C.table_consistency(view(spark, sf_dir, "cells").filter("l_partkey % 19 <> 0"), view(spark, sf_dir, "actual"))
 
 
-_ITEMS = """SELECT CONCAT(CAST(case_id AS STRING), '-', cell_id) AS item_id, CONCAT('doc ', CAST(case_id AS STRING)) AS scope, text AS value, CAST(l_suppkey AS DOUBLE) AS number, source_page AS page, source_x AS x,
-    CASE l_partkey % 6 WHEN 0 THEN 'high' WHEN 1 THEN 'critical' WHEN 2 THEN 'unknown' WHEN 3 THEN 'medium' ELSE 'low' END AS risk FROM cells"""
-_FOUND = """SELECT CONCAT(CAST(case_id AS STRING), '-', cell_id) AS item_id, CONCAT('doc ', CAST(case_id AS STRING), ' ') AS scope, text AS value, CAST(CASE WHEN l_suppkey % 23 = 0 THEN l_suppkey + 1 ELSE l_suppkey END AS DOUBLE) AS number,
-    source_page AS page, source_x AS x, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(0.7 + (l_suppkey % 5) * 0.1 AS DOUBLE) END AS confidence, auto_confirmed AS auto FROM actual"""
+_SIDE = """CONCAT(CAST(case_id AS STRING), '-', cell_id) AS item_id, CASE WHEN l_partkey % 3 = 0 THEN 'Lot No' ELSE 'colour' END AS label_id, 'f1' AS fixture_id, CONCAT('doc ', CAST(case_id AS STRING)) AS document_id,"""
+_ITEMS = f"""SELECT {_SIDE} CASE WHEN case_id % 2 = 0 THEN 'b' END AS block_id, text AS value, CASE WHEN l_partkey % 5 = 0 THEN CAST(l_suppkey AS DOUBLE) END AS number, source_page AS page, source_x AS x, CASE l_partkey % 11 WHEN 0 THEN 'high' WHEN 1 THEN 'unknown' WHEN 3 THEN 'medium' ELSE 'low' END AS risk,
+    CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE l_suppkey % 9 = 0 END AS requires_review, CASE WHEN l_partkey % 4 <> 0 THEN 'words' END AS extractor, 'pdf' AS kind FROM cells"""
+_FOUND = f"""SELECT {_SIDE} CASE WHEN l_suppkey % 7 = 0 THEN 'c' ELSE 'b' END AS block_id, text AS value, CASE WHEN l_suppkey % 23 = 0 THEN l_suppkey + 1 ELSE CAST(l_suppkey AS DOUBLE) END AS number, source_page AS page, source_x AS x, CASE WHEN l_suppkey % 31 = 0 THEN 'critical' END AS risk,
+    false AS requires_review, CASE WHEN l_suppkey % 6 = 0 THEN 'local-llm' ELSE 'words' END AS extractor, CASE WHEN l_suppkey % 10 = 0 THEN 'scanned_pdf' ELSE 'pdf' END AS kind, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(0.7 + (l_suppkey % 5) * 0.1 AS DOUBLE) END AS confidence, CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE auto_confirmed END AS auto_confirmed FROM actual"""
 
 
 @query("j3_validate_items", duck("actual") + f""", e AS ({_ITEMS}), a AS ({_FOUND}), j AS (
-    SELECT item_id, a.item_id IS NOT NULL AS there, coalesce(trim(e.scope) = trim(a.scope), false) AS sc, coalesce(trim(e.value) = trim(a.value), false) AS va, coalesce(e.page = a.page AND e.x = a.x, false) AS pr,
-           coalesce(e.number = a.number, false) AS nu, e.risk, NOT coalesce(a.confidence >= 0.8 AND a.confidence <= 1, false) AS unsure, coalesce(a.auto, true) AS auto FROM e LEFT JOIN a USING (item_id)), k AS (
-    SELECT *, risk IN ('high', 'critical') OR unsure AS review FROM j), m AS (
-    SELECT *, concat_ws('|', CASE WHEN NOT sc THEN 'scope_binding' END, CASE WHEN NOT va THEN 'value_non_modification' END, CASE WHEN NOT pr THEN 'provenance' END, CASE WHEN NOT nu THEN 'numeric' END,
-           CASE WHEN risk = 'unknown' OR (review AND auto) THEN 'risk_gate' END) AS failed,
-           concat_ws('|', CASE WHEN unsure THEN 'item confidence requires human review' END, CASE WHEN NOT pr THEN 'item source requires human review' END, CASE WHEN review THEN 'item requires human review' END) AS warned FROM k)
-    SELECT item_id, CASE WHEN failed <> '' THEN 'block_auto_confirm' WHEN review OR NOT pr THEN 'requires_review' ELSE 'pass' END AS status, failed, warned, failed = '' AND pr AND NOT review AS auto_confirm_allowed FROM m""")
+    SELECT e.*, coalesce(e.label_id = a.label_id, false) AS lab, coalesce(e.fixture_id = a.fixture_id, false) AS fix, coalesce(e.document_id = a.document_id, false) AS doc, coalesce(e.block_id = a.block_id, false) AS blo, coalesce(trim(e.value) = trim(a.value), false) AS val, e.number IS NOT NULL AS num, coalesce(e.number = a.number, false) AS nu,
+           coalesce(e.page = a.page AND e.x = a.x, false) AS pr, coalesce(e.risk = 'high', false) OR coalesce(a.risk = 'critical', false) AS high, coalesce(e.requires_review, false) AS explicit, NOT coalesce(a.confidence >= 0.8 AND a.confidence <= 1, false) AS unsure, a.auto_confirmed AS auto,
+           coalesce(a.kind, '') = 'scanned_pdf' AS ocr, e.extractor IS NOT NULL AND NOT coalesce(e.extractor = a.extractor, false) AS mis, coalesce(a.extractor = 'local-llm', false) AS llm FROM e LEFT JOIN a USING (item_id)),
+    k AS (SELECT *, explicit OR high OR num OR label_id = 'Lot No' AS imp FROM j), m AS (SELECT *, imp OR unsure OR ocr OR mis OR NOT pr AS review FROM k),
+    f AS (SELECT item_id, review, concat_ws('|', CASE WHEN NOT lab OR NOT fix OR NOT doc OR (block_id IS NOT NULL AND NOT blo) OR (NOT imp AND NOT blo) THEN 'scope_binding' END, CASE WHEN CASE WHEN num THEN NOT nu ELSE NOT val END THEN 'value_non_modification' END, CASE WHEN NOT pr THEN 'provenance' END, CASE WHEN num AND NOT nu THEN 'numeric' END,
+        CASE WHEN auto IS NULL OR (review AND auto) OR requires_review IS NULL OR risk = 'unknown' THEN 'risk_gate' END) AS failed, concat_ws('|', CASE WHEN unsure THEN 'item confidence requires human review' END, CASE WHEN ocr THEN 'ocr-derived item requires human review' END, CASE WHEN mis THEN 'extraction engine mismatch requires human review' END,
+        CASE WHEN NOT pr THEN 'item source requires human review' END, CASE WHEN imp AND llm THEN 'llm-involved important item requires human review' END, CASE WHEN review THEN 'item requires human review' END) AS warned FROM m)
+    SELECT item_id, CASE WHEN failed <> '' THEN 'block_auto_confirm' WHEN review THEN 'requires_review' ELSE 'pass' END AS status, failed, warned, failed = '' AND NOT review AS auto_confirm_allowed FROM f""")
 def j3(spark, sf_dir):
     e, a = (select(spark, sf_dir, with_views("spark", "actual") + " " + q) for q in (_ITEMS, _FOUND))
     return C.validate_items(e, a).select("item_id", "status", F.concat_ws("|", "failed_rules").alias("failed"), F.concat_ws("|", "warnings").alias("warned"), "auto_confirm_allowed")
