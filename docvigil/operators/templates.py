@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docvigil.functions.text import fold, norm, norm_col
+from docvigil.functions.text import fold, norm, norm_col, split_table
 from docvigil.functions.values import parse_bool, parse_date, parse_number
 from docvigil.operators.cells import rules
 
@@ -38,43 +38,64 @@ def latest_templates(versions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- anchors and scores
 
 
+def _text_hit(mode: Column, text: Column, wanted: Column) -> Column:
+    """Whether a text is an anchor's: the same, containing it, or the same when folded. Blank is nothing."""
+    exact = (text == wanted) & (text != "")
+    plain, name = fold(text), fold(wanted)
+    loose = F.when(mode == "contains", F.contains(plain, name)).otherwise(plain == name) & (plain != "") & (name != "")
+    return F.when(mode == "exact", exact).otherwise(loose)
+
+
 def match_anchors(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, template_id, anchor_id, block_id) of blocks that an anchor's page, type and text allow.
+    """(doc_id, template_id, anchor_id, block_id, place) of blocks that an anchor's page, type and text allow.
 
-    Anchors are a dimension table; Spark broadcasts it while it is small and shuffles beyond.
+    A table header is looked for in the cells of table blocks only. Anchors are a dimension table; Spark
+    broadcasts it while it is small.
     """
-    a = anchors.select("template_id", "anchor_id", "mode", F.col("text").alias("anchor_text"), F.col("page").alias("anchor_page"), "block_types")
-    hit = (
-        F.when(F.col("mode") == "exact", F.col("text") == F.col("anchor_text"))
-        .when(F.col("mode") == "contains", F.contains("text", "anchor_text"))
-        .when(F.col("mode") == "normalized", F.contains(fold(F.col("text")), fold(F.col("anchor_text"))))
-    )
+    a = anchors.select("template_id", "anchor_id", "mode", F.col("kind").alias("anchor_kind"), F.col("text").alias("anchor_text"), F.col("page").alias("anchor_page"), "block_types")
     scope = (F.col("anchor_page").isNull() | (F.col("page") == F.col("anchor_page"))) & (F.col("block_types").isNull() | F.array_contains("block_types", F.col("type")))
+    header = F.col("anchor_kind") == "table_header"
+    in_cells = (F.col("type") == "table") & F.exists(F.flatten(split_table(F.col("text"))), lambda c: _text_hit(F.col("mode"), c, F.col("anchor_text")))
+    hit = F.when(header, in_cells).otherwise(_text_hit(F.col("mode"), F.col("text"), F.col("anchor_text")))
     return blocks.join(a, scope & hit).select("doc_id", "template_id", "anchor_id", "block_id", "page", "y", "x")
 
 
 def anchor_roles(anchors: DataFrame, fields: DataFrame, tables: DataFrame) -> DataFrame:
-    """Anchors that a required field or a table needs are required, the others optional."""
-    need = fields.filter("required").select("template_id", "anchor_id").unionByName(tables.select("template_id", "anchor_id")).distinct().withColumn("required", F.lit(True))
-    return anchors.select("template_id", "anchor_id").join(need, ["template_id", "anchor_id"], "left").fillna(False, ["required"])
+    """(template_id, anchor_id, required, scope_page): required are anchors of tables and of required
+    fields, optional those of other fields only; what nothing refers to goes by its kind."""
+    key = ["template_id", "anchor_id"]
+    need = fields.filter("required").select(*key).unionByName(tables.select(*key)).distinct().withColumn("need", F.lit(True))
+    may = fields.filter("NOT required").select(*key).distinct().withColumn("may", F.lit(True))
+    j = anchors.select(*key, "kind", F.col("page").alias("scope_page")).join(need, key, "left").join(may, key, "left")
+    by_kind = F.col("kind").isin("heading", "table_header")
+    return j.select(*key, F.coalesce("need", ~F.col("may"), by_kind).alias("required"), "scope_page")
 
 
 def score_templates(docs: DataFrame, roles: DataFrame, matches: DataFrame, pages: DataFrame, tables: DataFrame) -> DataFrame:
-    """0.6 x anchors found + 0.2 x pages + 0.2 x columns, capped at 0.79 where a required anchor and at
-    0.94 where an optional one is missing; class at 0.95 and 0.80. One row a document and template.
+    """One row a document and template: 0.6 x anchors + 0.2 x pages + 0.2 x tables, and the class.
 
-    ``docs(doc_id)``, ``roles`` of anchors, ``pages`` and ``tables`` (doc_id, template_id, share).
+    Anchors: the share found of those that are required or found. Pages: the share of the required
+    anchors' pages that the document has (``pages(doc_id, page)``). Tables: the mean column share
+    (``tables(doc_id, template_id, table_id, share)``, null where the table was not found); without
+    tables, 1. A document without pages, a missing required anchor or page caps the score at 0.79, an
+    incomplete table at 0.94; known from 0.95, candidate from 0.80.
     """
-    found = matches.select("doc_id", "template_id", "anchor_id").distinct().withColumn("hit", F.lit(1))
-    every = docs.select("doc_id").join(roles, F.lit(True))
-    j = every.join(found, ["doc_id", "template_id", "anchor_id"], "left").fillna(0, ["hit"])
-    s = j.groupBy("doc_id", "template_id").agg(F.avg("hit").alias("anchors"), F.bool_or((F.col("hit") == 0) & F.col("required")).alias("lacks"), F.bool_or(F.col("hit") == 0).alias("partial"))
     key = ["doc_id", "template_id"]
-    s = s.join(pages.withColumnRenamed("share", "pages"), key, "left").join(tables.withColumnRenamed("share", "columns"), key, "left")
-    raw = 0.6 * F.col("anchors") + 0.2 * F.coalesce("pages", F.lit(0.0)) + 0.2 * F.coalesce("columns", F.lit(1.0))
-    score = F.when(F.col("lacks"), F.least(raw, F.lit(0.79))).when(F.col("partial"), F.least(raw, F.lit(0.94))).otherwise(raw)
+    found = matches.select(*key, "anchor_id").distinct().withColumn("hit", F.lit(True))
+    j = docs.select("doc_id").join(roles, F.lit(True)).join(found, [*key, "anchor_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    s = j.groupBy(*key).agg(
+        F.coalesce(F.avg(F.when(F.col("required") | F.col("hit"), F.col("hit").cast("double"))), F.lit(0.0)).alias("anchors"), F.bool_or(F.col("required") & ~F.col("hit")).alias("lacks"),
+        F.collect_set(F.when(F.col("required"), F.col("scope_page"))).alias("scoped"), F.count_if("hit").alias("matched"))
+    seen = pages.groupBy("doc_id").agg(F.collect_set("page").alias("seen"))
+    t = tables.groupBy(*key).agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("columns"), F.bool_or(F.coalesce(F.col("share") < 1, F.lit(False))).alias("partial"))
+    s = s.join(seen, "doc_id", "left").join(t, key, "left")
+    have = F.size(F.array_intersect("scoped", F.coalesce("seen", F.array().cast("array<int>"))))
+    page_share = F.when(F.size("scoped") == 0, 1.0).otherwise(have / F.size("scoped"))
+    closed = F.col("lacks") | F.col("seen").isNull() | (page_share < 1)
+    raw = 0.6 * F.col("anchors") + 0.2 * page_share + 0.2 * F.coalesce("columns", F.lit(1.0))
+    score = F.round(F.when(closed, F.least(raw, F.lit(0.79))).when(F.coalesce("partial", F.lit(False)), F.least(raw, F.lit(0.94))).otherwise(raw), 6)
     kind = F.when(score >= 0.95, "known").when(score >= 0.80, "candidate").otherwise("unknown")
-    return s.select(*key, F.round(score, 6).alias("score"), kind.alias("class"))
+    return s.select(*key, score.alias("score"), kind.alias("class"), "matched")
 
 
 def column_score(rows: DataFrame, tables: DataFrame) -> DataFrame:
@@ -97,7 +118,7 @@ def table_lookup(rows: DataFrame, fields: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "table_no", "template_id", "field_id").agg(F.min_by("text", "row").alias("value"))
 
 
-RULE_CONFIDENCE = {"exact": 0.98, "table": 0.95, "right": 0.94, "below": 0.90}
+RULE_CONFIDENCE = {"same_block": 0.98, "below": 0.95, "right": 0.94, "table_cell": 0.90}
 
 
 def best_value(candidates: DataFrame) -> DataFrame:
