@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: The word pattern of the contracts: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; bounds the working memory of a task.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _M64 = (1 << 64) - 1
 

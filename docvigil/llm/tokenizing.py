@@ -19,7 +19,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks that a Python worker remembers (about 200 bytes each).
-CACHE = 1_000_000
+CACHE = 600_000
 #: Longer chunks are encoded but not remembered.
 LONGEST = 64
 
