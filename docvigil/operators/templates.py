@@ -98,24 +98,45 @@ def score_templates(docs: DataFrame, roles: DataFrame, matches: DataFrame, pages
     return s.select(*key, score.alias("score"), kind.alias("class"), "matched")
 
 
+def header_spans(rows: DataFrame, longest: int) -> DataFrame:
+    """Names that runs of up to ``longest`` filled neighbouring cells of a row spell together:
+    (doc_id, table_no, row, name, first_col, last_col). Headers may be merged over several cells."""
+    filled = F.array_sort(F.collect_list(F.when(norm(F.col("text")) != "", F.struct("col", "text"))))
+    r = rows.groupBy("doc_id", "table_no", "row").agg(filled.alias("cells")).filter("size(cells) > 0")
+
+    def span(i: Column, n: Column) -> Column:
+        part = F.slice("cells", i, n)
+        name = norm_col(F.array_join(F.transform(part, lambda c: c["text"]), " "))
+        return F.struct(name.alias("name"), part[0]["col"].alias("first_col"), F.element_at(part, -1)["col"].alias("last_col"))
+
+    spans = F.transform(F.sequence(F.lit(1), F.size("cells")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("cells") - i + 1)), lambda n: span(i, n)))
+    return r.select("doc_id", "table_no", "row", F.explode(F.flatten(spans)).alias("s")).select("doc_id", "table_no", "row", "s.*")
+
+
+def _longest(names: DataFrame, column: str) -> int:
+    """Words of the longest name: no span of more filled cells can spell it."""
+    return names.agg(F.max(F.size(F.split(column, " ")))).first()[0] or 1
+
+
 def column_score(rows: DataFrame, tables: DataFrame) -> DataFrame:
     """The share of a template table's required columns on the best row of each found table.
 
-    ``rows(doc_id, table_no, row, text)`` are cells, ``tables(template_id, columns)``.
+    ``rows(doc_id, table_no, row, col, text)`` are cells, ``tables(template_id, columns)``.
     """
     need = tables.select("template_id", F.size("columns").alias("n"), F.explode("columns").alias("column")).select("template_id", "n", norm_col(F.col("column")).alias("name"))
-    hits = rows.withColumn("name", norm_col(F.col("text"))).join(need, "name").groupBy("doc_id", "table_no", "row", "template_id", "n").agg(F.count_distinct("name").alias("found"))
+    spans = header_spans(rows, _longest(need, "name"))
+    hits = spans.join(need, "name").groupBy("doc_id", "table_no", "row", "template_id", "n").agg(F.count_distinct("name").alias("found"))
     return hits.groupBy("doc_id", "table_no", "template_id").agg(F.max(F.col("found") / F.col("n")).alias("share"), F.max_by("row", F.struct("found", -F.col("row"))).alias("header_row"))
 
 
 def table_lookup(rows: DataFrame, fields: DataFrame) -> DataFrame:
-    """The first filled value under a field's label: header cell by name, then its column downwards."""
+    """The first filled value under a field's label: header span by name, then its columns downwards."""
     f = fields.select("template_id", "field_id", norm_col(F.col("label")).alias("name"))
-    heads = rows.withColumn("name", norm_col(F.col("text"))).join(f, "name").groupBy("doc_id", "table_no", "template_id", "field_id").agg(F.min(F.struct("row", "col")).alias("head"))
-    heads = heads.select("doc_id", "table_no", "template_id", "field_id", F.col("head.row").alias("head_row"), F.col("head.col").alias("col"))
+    heads = header_spans(rows, _longest(f, "name")).join(f, "name").groupBy("doc_id", "table_no", "template_id", "field_id").agg(F.min(F.struct("row", "first_col", "last_col")).alias("head"))
+    heads = heads.select("doc_id", "table_no", "template_id", "field_id", F.col("head.row").alias("head_row"), "head.first_col", "head.last_col")
     body = rows.filter(norm(F.col("text")) != "")
-    j = heads.join(body, ["doc_id", "table_no", "col"]).filter("row > head_row")
-    return j.groupBy("doc_id", "table_no", "template_id", "field_id").agg(F.min_by("text", "row").alias("value"))
+    j = heads.join(body, ["doc_id", "table_no"]).filter((F.col("row") > F.col("head_row")) & F.col("col").between(F.col("first_col"), F.col("last_col")))
+    return j.groupBy("doc_id", "table_no", "template_id", "field_id").agg(F.min_by("text", F.struct("row", "col")).alias("value"))
 
 
 RULE_CONFIDENCE = {"same_block": 0.98, "below": 0.95, "right": 0.94, "table_cell": 0.90}
@@ -148,9 +169,16 @@ def check_rules(values: DataFrame, rule_table: DataFrame) -> DataFrame:
 
 
 def risk_policy(fields: DataFrame, levels: DataFrame) -> DataFrame:
-    """Each field's risk: undeclared and missing levels fail closed, declared ones say whether to review."""
-    j = fields.join(levels.select("template_id", F.col("level").alias("risk_level"), "review"), ["template_id", "risk_level"], "left")
-    state = F.when(F.col("risk_level").isNull(), "missing").when(F.col("review").isNull(), "undeclared").when(F.col("review"), "review").otherwise("free")
+    """Each field's risk: where a template declares levels, missing and undeclared ones fail closed and
+    declared ones say whether to review; high and critical always mean review."""
+    plain = lambda c: F.lower(F.trim(c))
+    l = levels.select("template_id", plain("level").alias("_level"), "review")
+    f = fields.withColumn("_level", plain("risk_level"))
+    j = f.join(l, ["template_id", "_level"], "left").join(levels.select("template_id").distinct().withColumn("declared", F.lit(True)), "template_id", "left")
+    always = F.coalesce(F.col("_level").isin("high", "critical"), F.lit(False))
+    open_ = F.when(always, "review").otherwise("free")
+    closed = F.when(F.coalesce("_level", F.lit("")) == "", "missing").when(F.col("review").isNull(), "undeclared").when(always | F.col("review"), "review").otherwise("free")
+    state = F.when(F.col("declared"), closed).otherwise(open_)
     return j.select("template_id", "field_id", state.alias("policy"), (state != "free").alias("requires_review"))
 
 

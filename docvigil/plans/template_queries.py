@@ -89,8 +89,8 @@ def a23(spark, sf_dir):
 
 
 #: Cells of tables: an order's lines, with a header row of column names.
-_GRID = """SELECT l_orderkey AS doc_id, 0 AS table_no, 0 AS row, h.c AS col, h.t AS text FROM (SELECT DISTINCT l_orderkey FROM lineitem) o CROSS JOIN (SELECT 0 AS c, 'Part_No' AS t UNION ALL SELECT 1, 'QTY' UNION ALL SELECT 2, 'Ship-Date') h WHERE NOT (l_orderkey % 5 = 0 AND h.c = 2)
-    UNION ALL SELECT case_id, 0, CAST(cell_id AS INT), c.c, CASE WHEN c.c = 0 AND l_partkey % 4 <> 0 THEN CAST(l_partkey AS STRING) WHEN c.c = 1 THEN CAST(l_suppkey AS STRING) WHEN c.c = 2 THEN text ELSE ' ' END FROM cells CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) c"""
+_GRID = """SELECT l_orderkey AS doc_id, 0 AS table_no, 0 AS row, h.c AS col, h.t AS text FROM (SELECT DISTINCT l_orderkey FROM lineitem) o CROSS JOIN (SELECT 0 AS c, 'Part_No' AS t UNION ALL SELECT 1, 'QTY' UNION ALL SELECT 2, 'Ship' UNION ALL SELECT 3, ' ' UNION ALL SELECT 4, '-Date') h WHERE NOT (l_orderkey % 5 = 0 AND h.c = 4)
+    UNION ALL SELECT case_id, 0, CAST(cell_id AS INT), c.c, CASE WHEN c.c = 0 AND l_partkey % 4 <> 0 THEN CAST(l_partkey AS STRING) WHEN c.c = 1 THEN CAST(l_suppkey AS STRING) WHEN c.c = 4 THEN text ELSE ' ' END FROM cells CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) c"""
 
 
 @query("j10_column_score", duck("cells") + " SELECT DISTINCT l_orderkey AS doc_id, 0 AS table_no, 't' AS template_id, CASE WHEN l_orderkey % 5 = 0 THEN 2 ELSE 3 END / 4.0::DOUBLE AS share, 0 AS header_row FROM lineitem")
@@ -99,9 +99,9 @@ def j10(spark, sf_dir):
     return T.column_score(_sql(spark, sf_dir, ("cells",), _GRID), t)
 
 
-@query("j9_table_lookup", duck("cells") + f", g AS ({_GRID}) SELECT doc_id, 0 AS table_no, 't' AS template_id, 'part' AS field_id, arg_min(text, row) AS value FROM g WHERE col = 0 AND row > 0 AND trim(text) <> '' GROUP BY doc_id")
+@query("j9_table_lookup", duck("cells") + f", g AS ({_GRID}) SELECT doc_id, 0 AS table_no, 't' AS template_id, 'part' AS field_id, arg_min(text, row) AS value FROM g WHERE col = 0 AND row > 0 AND trim(text) <> '' GROUP BY doc_id UNION ALL SELECT doc_id, 0, 't', 'day', arg_min(text, row) FROM g WHERE col = 4 AND row > 0 AND doc_id % 5 <> 0 GROUP BY doc_id")
 def j9(spark, sf_dir):
-    f = spark.createDataFrame([("t", "part", "part no")], "template_id string, field_id string, label string")
+    f = spark.createDataFrame([("t", "part", "part no"), ("t", "day", "Ship Date")], "template_id string, field_id string, label string")
     return T.table_lookup(_sql(spark, sf_dir, ("cells",), _GRID), f)
 
 
@@ -129,11 +129,12 @@ def d1(spark, sf_dir):
     return T.check_rules(_sql(spark, sf_dir, (), _VALUES), table)
 
 
-_FIELDS = "SELECT p_brand AS template_id, CAST(p_partkey % 60 AS STRING) AS field_id, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'odd' WHEN p_partkey % 2 = 0 THEN 'high' ELSE 'low' END AS risk_level FROM part"
-_LEVELS = "SELECT DISTINCT p_brand AS template_id, l AS level, l = 'high' AS review FROM part CROSS JOIN (SELECT 'high' AS l UNION ALL SELECT 'low') k"
+_FIELDS = "SELECT p_brand AS template_id, CAST(p_partkey % 60 AS STRING) AS field_id, CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 'odd' WHEN p_partkey % 4 = 0 THEN 'high' WHEN p_partkey % 4 = 2 THEN 'mid' ELSE 'low' END AS risk_level FROM part"
+_LEVELS = "SELECT DISTINCT p_brand AS template_id, l AS level, l = 'Mid' AS review FROM part CROSS JOIN (SELECT 'High' AS l UNION ALL SELECT 'low' UNION ALL SELECT 'Mid') k WHERE p_brand <> 'Brand#2'"
 
 
-@query("d2_risk_policy", f"WITH f AS ({_FIELDS}) SELECT template_id, field_id, CASE WHEN risk_level IS NULL THEN 'missing' WHEN risk_level = 'odd' THEN 'undeclared' WHEN risk_level = 'high' THEN 'review' ELSE 'free' END AS policy, coalesce(risk_level, '') <> 'low' AS requires_review FROM f")
+@query("d2_risk_policy", f"""WITH f AS ({_FIELDS}), s AS (SELECT template_id, field_id, CASE WHEN template_id = 'Brand#2' THEN CASE WHEN risk_level = 'high' THEN 'review' ELSE 'free' END WHEN risk_level IS NULL THEN 'missing' WHEN risk_level = 'odd' THEN 'undeclared' WHEN risk_level IN ('high', 'mid') THEN 'review' ELSE 'free' END AS policy FROM f)
+    SELECT *, policy <> 'free' AS requires_review FROM s""")
 def d2(spark, sf_dir):
     return T.risk_policy(_sql(spark, sf_dir, (), _FIELDS), _sql(spark, sf_dir, (), _LEVELS))
 
@@ -141,7 +142,7 @@ def d2(spark, sf_dir):
 _MAPPING = "SELECT DISTINCT p_brand AS template_id, CAST(p_partkey % 61 AS STRING) AS field_id FROM part WHERE p_partkey % 4 <> 0"
 
 
-@query("d3_check_templates", f"""WITH f AS ({_FIELDS}), m AS ({_MAPPING}), e AS (SELECT template_id, 'repeated field' AS problem FROM f GROUP BY template_id, field_id HAVING count(*) > 1 UNION ALL SELECT template_id, 'undeclared risk level' FROM f WHERE coalesce(risk_level, 'odd') = 'odd'
+@query("d3_check_templates", f"""WITH f AS ({_FIELDS}), m AS ({_MAPPING}), e AS (SELECT template_id, 'repeated field' AS problem FROM f GROUP BY template_id, field_id HAVING count(*) > 1 UNION ALL SELECT template_id, 'undeclared risk level' FROM f WHERE coalesce(risk_level, 'odd') = 'odd' OR template_id = 'Brand#2' OR risk_level IN ('high', 'mid')
     UNION ALL SELECT template_id, 'unmapped field' FROM f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.template_id = f.template_id AND m.field_id = f.field_id) UNION ALL SELECT template_id, 'mapping to nothing' FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE m.template_id = f.template_id AND m.field_id = f.field_id))
     SELECT template_id, problem, count(*) AS n FROM e GROUP BY ALL""")
 def d3(spark, sf_dir):
