@@ -36,7 +36,9 @@ def norm_category(c: Column) -> Column:
     alias = F.create_map(*[F.lit(x) for kv in CATEGORY_ALIASES.items() for x in kv])
     known = sorted({*REVIEW_CATEGORIES, *CATEGORY_ALIASES}, key=lambda k: (-len(k), k))
     words = F.concat(F.lit("_"), name, F.lit("_"))
-    found = F.get(F.filter(F.array(*[F.lit(k) for k in known]), lambda k: F.contains(words, F.concat(F.lit("_"), k, F.lit("_")))), 0)
+    # at each word the longest known name that begins there; of all, the longest
+    each = F.regexp_extract_all(words, F.lit(f"(?=_({'|'.join(known)})_)"), F.lit(1))
+    found = F.array_max(F.transform(each, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
     inside = F.coalesce(F.try_element_at(alias, found), found)
     ending = F.when(name.rlike("_(date|time|timestamp|datetime)$"), "date_time")
     return F.coalesce(F.try_element_at(alias, name), F.when(name.isin(*REVIEW_CATEGORIES), name), inside, ending, name)

@@ -68,10 +68,15 @@ def _roles(spark):
     return T.anchor_roles(anchors, fields, spark.createDataFrame([("t2", "a3")], "template_id string, anchor_id string"))
 
 
-@query("a24_anchor_roles", f"WITH {_ROLES} SELECT * FROM r WHERE (SELECT count(*) FROM part) > 0")
+_PART_ANCHORS = "SELECT DISTINCT p_brand AS template_id, CAST(p_partkey % 30 AS STRING) AS anchor_id, CASE WHEN p_partkey % 30 % 4 = 0 THEN 'heading' WHEN p_partkey % 30 % 11 = 0 THEN 'table_header' ELSE 'label' END AS kind, CASE WHEN p_partkey % 30 % 5 = 0 THEN 1 END AS page FROM part"
+_PART_FIELDS = "SELECT p_brand AS template_id, CAST(p_partkey % 90 AS STRING) AS anchor_id, p_size % 6 = 0 AS required FROM part WHERE p_partkey % 5 <> 0"
+_PART_TABLES = "SELECT DISTINCT p_brand AS template_id, CAST(p_partkey % 30 AS STRING) AS anchor_id FROM part WHERE p_partkey % 30 % 13 = 0"
+
+
+@query("a24_anchor_roles", f"""WITH a AS ({_PART_ANCHORS}), f AS ({_PART_FIELDS}), t AS ({_PART_TABLES}), n AS (SELECT DISTINCT template_id, anchor_id FROM (SELECT template_id, anchor_id FROM f WHERE required UNION ALL SELECT * FROM t)), m AS (SELECT DISTINCT template_id, anchor_id FROM f WHERE NOT required)
+    SELECT template_id, anchor_id, CASE WHEN (template_id, anchor_id) IN (SELECT (template_id, anchor_id) FROM n) THEN true WHEN (template_id, anchor_id) IN (SELECT (template_id, anchor_id) FROM m) THEN false ELSE kind IN ('heading', 'table_header') END AS required, page AS scope_page FROM a""")
 def a24(spark, sf_dir):
-    some = _sql(spark, sf_dir, (), "SELECT p_partkey FROM part").limit(1)
-    return _roles(spark).join(F.broadcast(some), F.lit(True)).drop("p_partkey")
+    return T.anchor_roles(*[_sql(spark, sf_dir, (), q) for q in (_PART_ANCHORS, _PART_FIELDS, _PART_TABLES)])
 
 
 @query("a23_score_templates", duck("blocks") + _HITS + f""", {_ROLES}, d AS (SELECT doc_id, max(page) AS pages FROM blocks GROUP BY doc_id), j AS (SELECT d.doc_id, d.pages, r.*, EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id AND h.template_id = r.template_id AND h.anchor_id = r.anchor_id) AS hit FROM d CROSS JOIN r),
