@@ -283,15 +283,24 @@ def doc_text(blocks: DataFrame, header: Column) -> DataFrame:
     return out.select("doc_id", F.array_join(F.concat(F.array(header), "lines"), "\n").alias("text"))
 
 
+DECIDED = ("approved", "rejected", "needs_fix")
+
+
 def high_risk_coverage(targets: DataFrame, items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Each high-risk target: covered (reviewed and decided), missed, confirmed without review, or
-    reviewed twice; and review items that nothing expected."""
-    d = decisions.groupBy("item_id").agg(F.count("decision").alias("decisions"), F.bool_or(F.col("decision") == "auto").alias("auto"))
-    i = items.join(d, "item_id", "left").groupBy("target").agg(F.count("item_id").alias("items"), F.coalesce(F.sum("decisions"), F.lit(0)).alias("decisions"), F.coalesce(F.bool_or("auto"), F.lit(False)).alias("auto"))
-    j = targets.select("target").join(i, "target", "left").fillna(0, ["items", "decisions"]).withColumn("auto", F.coalesce("auto", F.lit(False)))
-    status = F.when(F.col("auto"), "auto_confirmed").when(F.col("items") == 0, "missed").when(F.col("items") > 1, "duplicate").when(F.col("decisions") == 0, "undecided").otherwise("covered")
-    unexpected = items.join(targets, "target", "left_anti").select("target", F.lit("unexpected").alias("status")).distinct()
-    return j.select("target", status.alias("status")).unionByName(unexpected)
+    """(target, status, duplicates) of expected high-risk targets, and of items that nothing expected.
+
+    Of several ``items(item_id, target, high_risk, auto_confirmed, converted)`` of a target the first
+    counts. It is confirmed by machine if it says so, or if its case was converted and nobody has decided;
+    covered if somebody has; else undecided. Items of high risk without a target are unexpected.
+    """
+    d = decisions.filter(F.col("decision").isin(*DECIDED)).select("item_id").distinct().withColumn("decided", F.lit(True))
+    i = items.join(d, "item_id", "left")
+    first = i.groupBy("target").agg(F.min_by(F.struct(F.coalesce("auto_confirmed", F.lit(False)).alias("auto"), F.coalesce("converted", F.lit(False)).alias("converted"), F.coalesce("decided", F.lit(False)).alias("decided")), "item_id").alias("i"), (F.count("item_id") - 1).alias("duplicates"))
+    j = targets.select("target").join(first, "target", "left")
+    auto = F.col("i.auto") | (F.col("i.converted") & ~F.col("i.decided"))
+    status = F.when(F.col("i").isNull(), "missed").when(auto, "auto_confirmed").when(F.col("i.decided"), "covered").otherwise("undecided")
+    unexpected = items.filter("high_risk").join(targets, "target", "left_anti").groupBy("target").agg(F.lit("unexpected").alias("status"), (F.count("item_id") - 1).alias("duplicates"))
+    return j.select("target", status.alias("status"), F.coalesce("duplicates", F.lit(0)).alias("duplicates")).unionByName(unexpected)
 
 
 def check_ir(pages: DataFrame, blocks: DataFrame) -> DataFrame:

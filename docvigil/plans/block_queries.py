@@ -309,17 +309,19 @@ def a28(spark, sf_dir):
     return B.doc_text(_blocks(spark, sf_dir), F.concat(F.lit("document "), F.col("doc_id").cast("string")))
 
 
-@query("j23_high_risk_coverage", duck("blocks") + """, t AS (SELECT DISTINCT block_id AS target FROM blocks WHERE idx % 7 = 0), i AS (SELECT block_id || '#' || k AS item_id, block_id AS target, doc_id, idx, k FROM blocks CROSS JOIN range(2) r(k) WHERE idx % 14 <> 7 AND idx % 7 < 2 AND (k = 0 OR doc_id % 11 = 0)),
-    d AS (SELECT item_id, count(*) AS decisions, bool_or(doc_id % 17 = 0) AS auto FROM i WHERE doc_id % 3 <> 0 GROUP BY item_id),
-    g AS (SELECT target, count(*) AS items, coalesce(sum(decisions), 0) AS decisions, coalesce(bool_or(auto), false) AS auto FROM i LEFT JOIN d USING (item_id) GROUP BY target)
-    SELECT target, CASE WHEN auto THEN 'auto_confirmed' WHEN coalesce(items, 0) = 0 THEN 'missed' WHEN items > 1 THEN 'duplicate' WHEN decisions = 0 THEN 'undecided' ELSE 'covered' END AS status FROM t LEFT JOIN g USING (target)
-    UNION ALL SELECT DISTINCT target, 'unexpected' FROM i WHERE target NOT IN (SELECT target FROM t)""")
+_COVERED = """SELECT doc_id, idx, block_id AS target, CONCAT(block_id, '#', CAST(k AS STRING)) AS item_id, doc_id % 4 <> 0 AS high_risk, doc_id % 17 = 0 AND k = 0 AS auto_confirmed, doc_id % 5 <> 0 AS converted
+    FROM blocks CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) r WHERE idx % 14 <> 7 AND idx % 7 < 2 AND (k = 0 OR doc_id % 11 = 0)"""
+
+
+@query("j23_high_risk_coverage", duck("blocks") + f""", t AS (SELECT DISTINCT block_id AS target FROM blocks WHERE idx % 7 = 0), i AS ({_COVERED}), d AS (SELECT item_id FROM i WHERE doc_id % 3 = 0),
+    f AS (SELECT *, item_id IN (SELECT item_id FROM d) AS decided, row_number() OVER (PARTITION BY target ORDER BY item_id) AS r, count(*) OVER (PARTITION BY target) - 1 AS duplicates FROM i)
+    SELECT t.target, CASE WHEN f.target IS NULL THEN 'missed' WHEN auto_confirmed OR (converted AND NOT decided) THEN 'auto_confirmed' WHEN decided THEN 'covered' ELSE 'undecided' END AS status, coalesce(duplicates, 0) AS duplicates FROM t LEFT JOIN f ON f.target = t.target AND f.r = 1
+    UNION ALL SELECT target, 'unexpected', count(*) - 1 FROM i WHERE high_risk AND target NOT IN (SELECT target FROM t) GROUP BY target""")
 def j23(spark, sf_dir):
-    b = _blocks(spark, sf_dir)
-    items = b.filter("idx % 14 <> 7 AND idx % 7 < 2").select("doc_id", F.col("block_id").alias("target"), F.explode(F.when(F.col("doc_id") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
-    items = items.withColumn("item_id", F.concat("target", F.lit("#"), F.col("k").cast("string")))
-    decisions = items.filter("doc_id % 3 <> 0").select("item_id", F.when(F.col("doc_id") % 17 == 0, "auto").otherwise("approve").alias("decision"))
-    return B.high_risk_coverage(b.filter("idx % 7 = 0").select(F.col("block_id").alias("target")).distinct(), items.select("item_id", "target"), decisions)
+    items = select(spark, sf_dir, f"{with_views('spark', 'blocks')} {_COVERED}")
+    decisions = items.filter("doc_id % 3 < 2").select("item_id", F.when(F.col("doc_id") % 3 == 0, "approved").otherwise("opened").alias("decision"))
+    targets = _blocks(spark, sf_dir).filter("idx % 7 = 0").select(F.col("block_id").alias("target")).distinct()
+    return B.high_risk_coverage(targets, items, decisions)
 
 
 @query("d5_check_ir", duck("blocks") + _CHECKED + """, e AS (SELECT doc_id, CASE WHEN idx % 9 = 8 THEN doc_id || '-0' ELSE block_id END AS block_id, errors FROM bad)
