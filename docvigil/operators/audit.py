@@ -79,22 +79,33 @@ def job_context(jobs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def approval_check(events: DataFrame, by: list[str]) -> DataFrame:
-    """Approvals with what stands against them: no earlier edit, the same actor, stale text, needs-fix.
+    """Approvals with what stands against them: open needs-fix, same actor, no edit, stale text.
 
-    Events are (by..., seq, actor, action, hash); the last edit and the last open needs-fix before an
-    approval decide.
+    ``events(by..., seq, actor, action, text, original, conversion, source)``; an approval is held against
+    the earlier edits and needs-fix marks of its target, as far as their source, where both name one, is
+    its own. Marks of another conversion do not count; edits of another conversion count only where none
+    of the approval's own exists, and only with the approved text. Edits without an actor do not count.
     """
-    w = Window.partitionBy(*by).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    edit = F.col("action") == "edit"
-    e = events.withColumns({
-        "edit_actor": F.last(F.when(edit, F.col("actor")), ignorenulls=True).over(w), "edit_hash": F.last(F.when(edit, F.col("hash")), ignorenulls=True).over(w),
-        "edit_seq": F.max(F.when(edit, F.col("seq"))).over(w), "fix_seq": F.max(F.when(F.col("action") == "needs_fix", F.col("seq"))).over(w),
-    })
-    none = F.col("edit_seq").isNull()
+    cols = ("actor", "text", "conversion", "source")
+    appr = events.filter("action = 'approve'").select(*by, "seq", "original", *cols)
+    past = events.filter("action IN ('edit', 'needs_fix')").select(*by, F.col("seq").alias("p_seq"), "action", *[F.col(c).alias(f"p_{c}") for c in cols])
+    no = F.lit(False)
+    differ = lambda c: F.coalesce(F.col(c) != F.col(f"p_{c}"), no)
+    j = appr.join(past, by, "left").withColumns({"before": F.coalesce(F.col("p_seq") < F.col("seq"), no) & ~differ("source"), "other": differ("conversion")})
+    edit = F.col("before") & (F.col("action") == "edit") & F.col("p_actor").isNotNull()
+    own, far = edit & ~F.col("other"), edit & F.col("other") & F.coalesce(F.col("text") == F.col("p_text"), no)
+    mark = F.col("before") & (F.col("action") == "needs_fix") & ~F.col("other")
+    any_ = lambda c: F.coalesce(F.bool_or(c), no)
+    mine = F.col("actor") == F.col("p_actor")
+    g = j.groupBy(*by, "seq").agg(
+        F.first("text").alias("text"), F.first("original").alias("original"), F.max(F.when(own, F.col("p_seq"))).alias("last"), F.max_by("p_text", F.when(own, F.col("p_seq"))).alias("latest"), F.max(F.when(mark, F.col("p_seq"))).alias("fix"),
+        any_(own & mine).alias("same"), any_(own & (F.col("conversion") == F.col("p_conversion"))).alias("matched"), any_(far).alias("far"), any_(far & mine).alias("far_same"))
+    far_counts = ~F.col("matched") & F.col("far")
+    wanted = F.when(F.col("last").isNotNull(), F.col("latest")).otherwise(F.col("original"))
     bad = rules(
-        ("no edit", none), ("same actor", ~none & (F.col("actor") == F.col("edit_actor"))), ("stale text", ~none & F.coalesce(F.col("hash") != F.col("edit_hash"), F.lit(False))),
-        ("needs fix", F.coalesce(F.col("fix_seq") > F.coalesce("edit_seq", F.lit(0)), F.lit(False))))
-    return e.filter(F.col("action") == "approve").select(*by, "seq", F.concat_ws("; ", bad).alias("against"))
+        ("needs fix", F.coalesce(F.col("fix") > F.coalesce("last", F.lit(0)), no)), ("same actor", F.col("same") | (far_counts & F.col("far_same"))), ("no edit", F.col("last").isNull() & ~far_counts),
+        ("stale text", ~F.col("text").eqNullSafe(wanted) | (far_counts & ~F.col("text").eqNullSafe(F.col("original")))))
+    return g.select(*by, "seq", F.concat_ws("; ", bad).alias("against"))
 
 
 def check_contract(events: DataFrame, contracts: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -200,7 +211,7 @@ def check_decisions(decisions: DataFrame, items: DataFrame, roles: DataFrame) ->
     """Decisions by roles that may not decide, on items that are not open, or too low for high risk."""
     j = decisions.join(items, "item_id", "left").join(F.broadcast(roles), "role", "left")
     high = F.col("risk").isin("high", "critical")
-    bad = rules(("role", ~F.coalesce("may_decide", F.lit(False))), ("item", F.coalesce(F.col("state") != "open", F.lit(True))), ("high risk needs approval", F.coalesce(high, F.lit(False)) & (F.col("decision") == "approve") & ~F.coalesce("may_approve_high", F.lit(False))))
+    bad = rules(("role", ~F.coalesce("may_decide", F.lit(False))), ("item", F.coalesce(F.col("state") != "open", F.lit(True))), ("high risk needs approval", F.coalesce(high, F.lit(False)) & ~((F.col("decision") == "approve") & F.coalesce("may_approve_high", F.lit(False)))))
     return j.select("decision_id", F.concat_ws("; ", bad).alias("violations")).filter("violations <> ''")
 
 

@@ -91,14 +91,17 @@ def j21(spark, sf_dir):
     return A.job_context(_sql(spark, sf_dir, (), "SELECT o_orderkey AS job_id, o_custkey AS document_id, o_orderstatus AS status FROM orders"), _sql(spark, sf_dir, (), "SELECT c_custkey AS document_id, c_name AS title FROM customer"))
 
 
-#: Review threads: turns of conversations as edits, requests and approvals.
-_THREADS = "SELECT conv_id, turn AS seq, CASE WHEN conv_id % 5 = 0 THEN 'a' ELSE role END AS actor, CASE (turn + conv_id % 2) % 3 WHEN 0 THEN 'edit' WHEN 1 THEN 'needs_fix' ELSE 'approve' END AS action, CAST(conv_id % 4 + CASE WHEN turn > 4 THEN 1 ELSE 0 END AS STRING) AS hash FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn < 2)"
+#: Review threads: events of users as edits, requests and approvals of blocks.
+_THREADS = """SELECT user_id, event_id % 3 AS block, event_id AS seq, CASE WHEN event_id % 23 <> 0 THEN CAST(event_id % 4 AS STRING) END AS actor, CASE event_id % 5 WHEN 0 THEN 'edit' WHEN 1 THEN 'needs_fix' WHEN 2 THEN 'approve' WHEN 3 THEN 'approve' ELSE 'edit' END AS action,
+    CAST(event_id % 7 % 2 AS STRING) AS text, CAST(event_id % 2 AS STRING) AS original, CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'k2' WHEN 2 THEN 'k3' ELSE 'k1' END AS conversion, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 13 = 1 THEN 's2' ELSE 's1' END AS source FROM events WHERE event_id % 10 < 6 AND event_id % 150 < 25"""
 
 
-@query("j22_approval_check", f"""WITH e AS ({_THREADS}), j AS (SELECT *, max(CASE WHEN action = 'edit' THEN seq END) OVER w AS es, max(CASE WHEN action = 'needs_fix' THEN seq END) OVER w AS fs FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT j.conv_id, j.seq, concat_ws('; ', CASE WHEN es IS NULL THEN 'no edit' END, CASE WHEN d.actor = j.actor THEN 'same actor' END, CASE WHEN d.hash <> j.hash THEN 'stale text' END, CASE WHEN fs > coalesce(es, 0) THEN 'needs fix' END) AS against FROM j LEFT JOIN e d ON d.conv_id = j.conv_id AND d.seq = j.es WHERE j.action = 'approve'""")
+@query("j22_approval_check", f"""WITH e AS ({_THREADS}), j AS (SELECT a.user_id, a.block, a.seq, a.text, a.original, p.seq AS ps, p.action = 'edit' AND p.actor IS NOT NULL AS ed, p.action = 'needs_fix' AS nf, coalesce(a.conversion <> p.conversion, false) AS oth, coalesce(a.conversion = p.conversion, false) AS con, coalesce(a.actor = p.actor, false) AS mine, p.text AS pt
+    FROM e a LEFT JOIN e p ON a.user_id = p.user_id AND a.block = p.block AND p.seq < a.seq AND p.action <> 'approve' AND NOT coalesce(a.source <> p.source, false) WHERE a.action = 'approve'),
+    g AS (SELECT user_id, block, seq, text, original, max(CASE WHEN ed AND NOT oth THEN ps END) AS last, arg_max(pt, ps) FILTER (WHERE ed AND NOT oth) AS latest, max(CASE WHEN nf AND NOT oth THEN ps END) AS fix, coalesce(bool_or(ed AND NOT oth AND mine), false) AS same, coalesce(bool_or(ed AND con), false) AS matched, coalesce(bool_or(ed AND oth AND pt = text), false) AS far, coalesce(bool_or(ed AND oth AND pt = text AND mine), false) AS fs FROM j GROUP BY ALL)
+    SELECT user_id, block, seq, concat_ws('; ', CASE WHEN fix > coalesce(last, 0) THEN 'needs fix' END, CASE WHEN same OR (NOT matched AND far AND fs) THEN 'same actor' END, CASE WHEN last IS NULL AND NOT (NOT matched AND far) THEN 'no edit' END, CASE WHEN text <> CASE WHEN last IS NOT NULL THEN latest ELSE original END OR (NOT matched AND far AND text <> original) THEN 'stale text' END) AS against FROM g""")
 def j22(spark, sf_dir):
-    return A.approval_check(_sql(spark, sf_dir, (), _THREADS), ["conv_id"])
+    return A.approval_check(_sql(spark, sf_dir, (), _THREADS), ["user_id", "block"])
 
 
 _CONTRACT_EVENTS = "SELECT event_id, user_id AS job_id, event_type AS action, user_id % 7 AS actor, CASE WHEN event_id % 5 = 0 THEN 'document' ELSE 'job' END AS scope FROM events"
@@ -209,7 +212,7 @@ _DECISIONS = "SELECT conv_id * 100 + turn AS decision_id, conv_id AS item_id, CA
 _OPEN = "SELECT DISTINCT conv_id AS item_id, CASE WHEN conv_id % 6 = 0 THEN 'closed' ELSE 'open' END AS state, CASE WHEN conv_id % 4 = 0 THEN 'high' ELSE 'low' END AS risk FROM conversations WHERE conv_id % 10 <> 0"
 
 
-@query("d12_check_decisions", f"""WITH v AS (SELECT decision_id, concat_ws('; ', CASE WHEN role = 'viewer' THEN 'role' END, CASE WHEN coalesce(state, '') <> 'open' THEN 'item' END, CASE WHEN risk = 'high' AND decision = 'approve' AND role <> 'approver' THEN 'high risk needs approval' END) AS violations FROM ({_DECISIONS}) LEFT JOIN ({_OPEN}) USING (item_id)) SELECT * FROM v WHERE violations <> ''""")
+@query("d12_check_decisions", f"""WITH v AS (SELECT decision_id, concat_ws('; ', CASE WHEN role = 'viewer' THEN 'role' END, CASE WHEN coalesce(state, '') <> 'open' THEN 'item' END, CASE WHEN risk = 'high' AND NOT (decision = 'approve' AND role = 'approver') THEN 'high risk needs approval' END) AS violations FROM ({_DECISIONS}) LEFT JOIN ({_OPEN}) USING (item_id)) SELECT * FROM v WHERE violations <> ''""")
 def d12(spark, sf_dir):
     roles = spark.createDataFrame([("reviewer", True, False), ("approver", True, True), ("admin", True, True), ("viewer", False, False)], "role string, may_decide boolean, may_approve_high boolean")
     return A.check_decisions(_sql(spark, sf_dir, (), _DECISIONS), _sql(spark, sf_dir, (), _OPEN), roles)

@@ -38,8 +38,9 @@ def x4(spark, sf_dir):
 _REVIEW = "SELECT event_id, ts, user_id, event_id % 5 AS actor, CASE event_id % 4 WHEN 0 THEN 'edit' WHEN 1 THEN 'needs_fix' ELSE 'approve' END AS action, CAST(event_id % 3 AS STRING) AS hash FROM events"
 
 
-@query("x5_stream_reviews", f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM ({_REVIEW})), j AS (SELECT *, max(CASE WHEN action = 'edit' THEN seq END) OVER w AS es, max(CASE WHEN action = 'needs_fix' THEN seq END) OVER w AS fs FROM e WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-    SELECT j.user_id, j.event_id, concat_ws('; ', CASE WHEN es IS NULL THEN 'no edit' END, CASE WHEN d.actor = j.actor THEN 'same actor' END, CASE WHEN d.hash <> j.hash THEN 'stale text' END, CASE WHEN fs > coalesce(es, 0) THEN 'needs fix' END) AS against FROM j LEFT JOIN e d ON d.user_id = j.user_id AND d.seq = j.es WHERE j.action = 'approve'""")
+@query("x5_stream_reviews", f"""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM ({_REVIEW})), j AS (SELECT a.user_id, a.event_id, a.hash, a.actor, max(CASE WHEN p.action = 'edit' THEN p.seq END) AS last, arg_max(p.hash, p.seq) FILTER (WHERE p.action = 'edit') AS latest, max(CASE WHEN p.action = 'needs_fix' THEN p.seq END) AS fix, coalesce(bool_or(p.action = 'edit' AND p.actor = a.actor), false) AS same
+    FROM e a LEFT JOIN e p ON a.user_id = p.user_id AND p.seq < a.seq WHERE a.action = 'approve' GROUP BY ALL)
+    SELECT user_id, event_id, concat_ws('; ', CASE WHEN fix > coalesce(last, 0) THEN 'needs fix' END, CASE WHEN same THEN 'same actor' END, CASE WHEN last IS NULL THEN 'no edit' END, CASE WHEN latest <> hash THEN 'stale text' END) AS against FROM j""")
 def x5(spark, sf_dir):
     n = F.col("event_id")
     e = _events(spark, sf_dir).select("event_id", "ts", "user_id", (n % 5).alias("actor"), F.when(n % 4 == 0, "edit").when(n % 4 == 1, "needs_fix").otherwise("approve").alias("action"), (n % 3).cast("string").alias("hash"))

@@ -114,24 +114,27 @@ def stream_chain(events: DataFrame, key: str) -> DataFrame:
 
 
 def stream_reviews(events: DataFrame, key: str) -> DataFrame:
-    """Approvals and what stands against each, decided from the key's state alone."""
+    """Approvals and what stands against each, decided from the key's state alone: its editors, the latest
+    text, and whether a needs-fix mark is open. Edits without an actor do not count."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        editor, text, open_fix = state
+        editors, text, open_fix = state
+        known = set(editors.split("\x1f")) if editors is not None else set()
         out = []
         for i, actor, action, digest in zip(rows["event_id"], rows["actor"], rows["action"], rows["hash"]):
-            if action == "edit":
-                editor, text, open_fix = str(actor), digest, False
+            if action == "edit" and actor is not None:
+                known.add(str(actor))
+                text, open_fix = digest, False
             elif action == "needs_fix":
                 open_fix = True
             elif action == "approve":
-                bad = ["no edit"] if editor is None else [n for n, b in (("same actor", str(actor) == editor), ("stale text", digest != text)) if b]
-                out.append((i, "; ".join(bad + (["needs fix"] if open_fix else []))))
+                bad = [("needs fix", open_fix), ("same actor", str(actor) in known), ("no edit", not known), ("stale text", bool(known) and digest != text)]
+                out.append((i, "; ".join(n for n, b in bad if b)))
         done = pd.DataFrame(out, columns=["event_id", "against"])
         done.insert(0, key, rows[key].iloc[0])
-        return (editor, text, open_fix), done.astype({"event_id": "int64"})
+        return ("\x1f".join(sorted(known)) if known else None, text, open_fix), done.astype({"event_id": "int64"})
 
-    return _keyed(events, key, step, f"{key} long, event_id long, against string", "editor string, text string, open_fix boolean", (None, None, False))
+    return _keyed(events, key, step, f"{key} long, event_id long, against string", "editors string, text string, open_fix boolean", (None, None, False))
 
 
 def stream_review_queue(blocks: DataFrame, batch: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
