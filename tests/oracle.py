@@ -21,7 +21,9 @@ def plain(value: object) -> object:
     if value is None or value is pd.NA or value is pd.NaT or isinstance(value, float) and value != value:
         return None
     value = value.item() if hasattr(value, "item") and not hasattr(value, "__len__") else value
-    return repr(round(value, 6)) if isinstance(value, float) else str(value)
+    if isinstance(value, float):  # pandas shows whole numbers as floats where others are null
+        return str(int(value)) if value.is_integer() else repr(round(value, 6))
+    return str(value)
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:

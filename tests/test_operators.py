@@ -149,3 +149,50 @@ def test_empty_inputs(spark):
     b = view(spark, SF, "blocks").limit(0)
     for out in (B.reading_order(b), B.review_gate(b), B.ocr_boundary(b), B.visual_lines(b.withColumn("fragment_id", F.col("idx").cast("long"))), B.table_groups(b.withColumn("tabular", F.lit(True)))):
         assert isinstance(out.toPandas(), pd.DataFrame) and out.count() == 0
+
+
+def test_headers_merged_over_cells(spark):
+    rows = spark.createDataFrame([(1, 0, 0, c, t) for c, t in enumerate(["Lot", "", "No", "Qty"])] + [(1, 0, 1, c, t) for c, t in enumerate(["", " ", "L7", "3"])] + [(1, 0, 2, 0, "L8")], "doc_id long, table_no int, row int, col int, text string")
+    tables = spark.createDataFrame([("t", ["lot_no", "QTY", "unit"])], "template_id string, columns array<string>")
+    score = T.column_score(rows, tables).first()
+    assert abs(score.share - 2 / 3) < 1e-12 and score.header_row == 0
+    fields = spark.createDataFrame([("t", "lot", "Lot No"), ("t", "qty", "qty"), ("t", "none", "colour")], "template_id string, field_id string, label string")
+    assert {r.field_id: r.value for r in T.table_lookup(rows, fields).collect()} == {"lot": "L7", "qty": "3"}
+
+
+def test_approvals_over_conversions(spark):
+    schema = "block int, seq int, actor string, action string, text string, original string, conversion string, source string"
+    events = spark.createDataFrame(
+        [
+            (1, 1, "a", "edit", "new", "old", "k1", "s"), (1, 2, "b", "approve", "new", "old", "k1", "s"), (1, 3, "a", "approve", "new", "old", "k1", "s"), (1, 4, "b", "approve", "old", "old", "k1", "s"),
+            (1, 5, "c", "needs_fix", None, None, None, "s"), (1, 6, "b", "approve", "new", "old", "k1", "s"),
+            (2, 1, "a", "edit", "new", "old", "k1", "s"), (2, 2, "b", "approve", "new", "new", "k2", "s"), (2, 3, "b", "approve", "new", "old", "k2", "s"), (2, 4, "b", "approve", "new", "new", "k2", "s2"),
+            (3, 1, None, "edit", "new", "old", "k1", "s"), (3, 2, "b", "approve", "old", "old", "k1", "s"),
+        ], schema)
+    found = {(r.block, r.seq): r.against for r in A.approval_check(events, ["block"]).collect()}
+    assert found == {
+        (1, 2): "", (1, 3): "same actor", (1, 4): "stale text", (1, 6): "needs fix",
+        (2, 2): "", (2, 3): "stale text", (2, 4): "no edit", (3, 2): "no edit",
+    }
+
+
+def test_secrets_and_content(spark):
+    from docvigil.operators import parameters as P
+
+    rows = [(1, '{"Api-Key":"k","n":null,"max_tokens":"3","url":"http://u:p@h/x"}'), (2, "token=abc; x=1"), (3, None), (4, "[1,2]"), (5, '{"message":"hello","secret_text":"x"}')]
+    df = spark.createDataFrame(rows, "id int, p string")
+    found = {r.id: r.parameters for r in P.redact_params(df, "id", "p").collect()}
+    assert '"k"' not in found[1] and "u:p" not in found[1] and '"max_tokens":"3"' in found[1]
+    assert found[2] == "token=[REDACTED]; x=1" and found[3] is None and found[4] == "[1,2]"
+    assert [(r.id, r.name) for r in P.reject_content(df, "id", "p").collect()] == [(5, "message")]
+
+
+def test_items_without_a_counterpart_are_blocked(spark):
+    side = "item_id string, label_id string, fixture_id string, document_id string, block_id string, value string, number double, page int, x double, risk string, requires_review boolean, extractor string, kind string"
+    e = spark.createDataFrame([("i", "colour", "f", "d", "b", "red", None, 1, 2.0, "low", False, None, "pdf")], side)
+    a = e.withColumns({"confidence": F.lit(0.9), "auto_confirmed": F.lit(True)})
+    assert C.validate_items(e, a).first().status == "pass"
+    none = C.validate_items(e, a.limit(0)).first()
+    assert none.status == "block_auto_confirm" and none.failed_rules == ["scope_binding", "value_non_modification", "provenance", "risk_gate"]
+    unsure = C.validate_items(e, a.withColumn("confidence", F.lit(float("nan")))).first()
+    assert unsure.status == "block_auto_confirm" and unsure.failed_rules == ["risk_gate"]
