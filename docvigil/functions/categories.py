@@ -29,19 +29,26 @@ NUMBER_TYPES = ("number", "numeric", "integer", "int", "float", "decimal")
 TIME_TYPES = ("date", "datetime", "time", "timestamp")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def norm_category(c: Column) -> Column:
     """A name's category: itself or its alias, else that of the longest known name among its words,
     else date_time by its ending, else the plain name."""
-    name = word_split(c)
     alias = F.create_map(*[F.lit(x) for kv in CATEGORY_ALIASES.items() for x in kv])
     known = sorted({*REVIEW_CATEGORIES, *CATEGORY_ALIASES}, key=lambda k: (-len(k), k))
-    words = F.concat(F.lit("_"), name, F.lit("_"))
-    # at each word the longest known name that begins there; of all, the longest
-    each = F.regexp_extract_all(words, F.lit(f"(?=_({'|'.join(known)})_)"), F.lit(1))
-    found = F.array_max(F.transform(each, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
-    inside = F.coalesce(F.try_element_at(alias, found), found)
-    ending = F.when(name.rlike("_(date|time|timestamp|datetime)$"), "date_time")
-    return F.coalesce(F.try_element_at(alias, name), F.when(name.isin(*REVIEW_CATEGORIES), name), inside, ending, name)
+
+    def category(name: Column) -> Column:
+        # at each word the longest known name that begins there; of all, the longest
+        each = F.regexp_extract_all(F.concat(F.lit("_"), name, F.lit("_")), F.lit(f"(?=_({'|'.join(known)})_)"), F.lit(1))
+        found = F.array_max(F.transform(each, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+        inside = _let(found, lambda k: F.coalesce(F.try_element_at(alias, k), k))
+        ending = F.when(name.rlike("_(date|time|timestamp|datetime)$"), "date_time")
+        return F.coalesce(F.try_element_at(alias, name), F.when(name.isin(*REVIEW_CATEGORIES), name), inside, ending, name)
+
+    return _let(word_split(c), category)
 
 
 def type_category(c: Column) -> Column:
@@ -52,8 +59,8 @@ def type_category(c: Column) -> Column:
 def ocr_derived(kind: Column, extractor: Column) -> Column:
     """Whether a source kind or an extractor's name says that text was recognised."""
     plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
-    source = plain(kind).isin("ocr", "optical_character_recognition", "pdf_ocr", "scanned_pdf", "scanned_pdf_ocr") | F.concat(F.lit("_"), plain(kind), F.lit("_")).contains("_ocr_")
-    return F.coalesce(source, F.lit(False)) | F.coalesce(plain(extractor).rlike("ocr|tesseract"), F.lit(False))
+    source = _let(plain(kind), lambda k: k.isin("ocr", "optical_character_recognition", "pdf_ocr", "scanned_pdf", "scanned_pdf_ocr") | F.concat(F.lit("_"), k, F.lit("_")).contains("_ocr_"))
+    return F.coalesce(source, F.lit(False)) | F.coalesce(F.lower(extractor).rlike("ocr|tesseract"), F.lit(False))
 
 
 def llm_involved(flag: Column, extractor: Column) -> Column:

@@ -19,9 +19,10 @@ def effective_version(docs: DataFrame, templates: DataFrame) -> DataFrame:
     valid_until)``; version is a struct of integers, from is inclusive, until exclusive or null.
     """
     t = templates.filter("active").select("template_id", "version", "valid_from", "valid_until")
-    j = docs.join(t, "template_id").filter((F.col("valid_from") <= F.col("as_of")) & (F.col("valid_until").isNull() | (F.col("as_of") < F.col("valid_until"))))
-    best = j.groupBy("doc").agg(F.max("version").alias("version"))
-    return docs.select("doc", "template_id").join(best, "doc", "left")
+    # versions meet the distinct (template, day) keys, not every document
+    j = docs.select("template_id", "as_of").distinct().join(t, "template_id").filter((F.col("valid_from") <= F.col("as_of")) & (F.col("valid_until").isNull() | (F.col("as_of") < F.col("valid_until"))))
+    best = j.groupBy("template_id", "as_of").agg(F.max("version").alias("version"))
+    return docs.select("doc", "template_id", "as_of").join(best, ["template_id", "as_of"], "left").select("doc", "template_id", "version")
 
 
 def template_snapshot(jobs: DataFrame, versions: DataFrame) -> DataFrame:
