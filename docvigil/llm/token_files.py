@@ -84,6 +84,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         if files is not None:
             for x, f in files.items():
                 f.close()
+                if store.get_file_info(f"{name}.{x}").is_file:  # a lost attempt's: some stores do not rename onto a file
+                    store.delete_file(f"{name}.{x}")
                 store.move(f"{name}.{x}-{mark}", f"{name}.{x}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [f"{folder}/{shard:06d}"], "n_docs": [n_docs], "n_tokens": [total], "width": pa.array([width], pa.int32())})
 
