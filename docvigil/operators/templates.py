@@ -39,26 +39,24 @@ def latest_templates(versions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- anchors and scores
 
 
-def _text_hit(mode: Column, text: Column, wanted: Column) -> Column:
-    """Whether a text is an anchor's: the same, containing it, or the same when folded. Blank is nothing."""
-    exact = (text == wanted) & (text != "")
-    plain, name = fold(text), fold(wanted)
-    loose = F.when(mode == "contains", F.contains(plain, name)).otherwise(plain == name) & (plain != "") & (name != "")
-    return F.when(mode == "exact", exact).otherwise(loose)
-
-
 def match_anchors(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, template_id, anchor_id, block_id, place) of blocks that an anchor's page, type and text allow.
+    """(doc_id, template_id, anchor_id, block_id, page, y, x) of blocks that an anchor's page, type and text allow.
 
-    A table header is looked for in the cells of table blocks only. Anchors are a dimension table; Spark
-    broadcasts it while it is small.
+    ``exact`` texts are the same as written, ``contains`` and all others compare folded texts; blank is
+    nothing. A table header is looked for in the cells of table blocks only. Texts are folded and cut into
+    cells before the join, once for all anchors. Anchors are a dimension table; Spark broadcasts it while
+    it is small.
     """
-    a = anchors.select("template_id", "anchor_id", "mode", F.col("kind").alias("anchor_kind"), F.col("text").alias("anchor_text"), F.col("page").alias("anchor_page"), "block_types")
+    a = anchors.select("template_id", "anchor_id", "mode", F.col("kind").alias("anchor_kind"), F.col("text").alias("anchor_text"), fold(F.col("text")).alias("name"), F.col("page").alias("anchor_page"), "block_types")
+    cells = F.when(F.col("type") == "table", F.flatten(split_table(F.col("text"))))
+    b = blocks.select("doc_id", "block_id", "page", "type", "y", "x", "text", fold(F.col("text")).alias("plain"), cells.alias("cells"))
+    b = b.withColumn("names", F.transform("cells", fold))
     scope = (F.col("anchor_page").isNull() | (F.col("page") == F.col("anchor_page"))) & (F.col("block_types").isNull() | F.array_contains("block_types", F.col("type")))
-    header = F.col("anchor_kind") == "table_header"
-    in_cells = (F.col("type") == "table") & F.exists(F.flatten(split_table(F.col("text"))), lambda c: _text_hit(F.col("mode"), c, F.col("anchor_text")))
-    hit = F.when(header, in_cells).otherwise(_text_hit(F.col("mode"), F.col("text"), F.col("anchor_text")))
-    return blocks.join(a, scope & hit).select("doc_id", "template_id", "anchor_id", "block_id", "page", "y", "x")
+    exact, inside, named = F.col("mode") == "exact", F.col("mode") == "contains", F.col("name") != ""
+    in_text = F.when(exact, (F.col("text") == F.col("anchor_text")) & (F.col("text") != "")).when(inside, named & F.contains("plain", "name")).otherwise(named & (F.col("plain") == F.col("name")))
+    in_cell = F.when(exact, F.array_contains("cells", F.col("anchor_text")) & (F.col("anchor_text") != "")).when(inside, named & F.exists("names", lambda c: F.contains(c, F.col("name")))).otherwise(named & F.array_contains("names", F.col("name")))
+    hit = F.when(F.col("anchor_kind") == "table_header", in_cell).otherwise(in_text)
+    return b.join(a, scope & hit).select("doc_id", "template_id", "anchor_id", "block_id", "page", "y", "x")
 
 
 def anchor_roles(anchors: DataFrame, fields: DataFrame, tables: DataFrame) -> DataFrame:
@@ -82,11 +80,12 @@ def score_templates(docs: DataFrame, roles: DataFrame, matches: DataFrame, pages
     incomplete table at 0.94; known from 0.95, candidate from 0.80.
     """
     key = ["doc_id", "template_id"]
-    found = matches.select(*key, "anchor_id").distinct().withColumn("hit", F.lit(True))
-    j = docs.select("doc_id").join(roles, F.lit(True)).join(found, [*key, "anchor_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    s = j.groupBy(*key).agg(
-        F.coalesce(F.avg(F.when(F.col("required") | F.col("hit"), F.col("hit").cast("double"))), F.lit(0.0)).alias("anchors"), F.bool_or(F.col("required") & ~F.col("hit")).alias("lacks"),
-        F.collect_set(F.when(F.col("required"), F.col("scope_page"))).alias("scoped"), F.count_if("hit").alias("matched"))
+    per = roles.groupBy("template_id").agg(F.count_if("required").alias("needed"), F.collect_set(F.when(F.col("required"), F.col("scope_page"))).alias("scoped"))
+    found = matches.select(*key, "anchor_id").distinct().join(roles, ["template_id", "anchor_id"])
+    found = found.groupBy(*key).agg(F.count("anchor_id").alias("matched"), F.count_if("required").alias("met"))
+    # documents times templates is the size of the result; anchors meet it as counts
+    s = docs.select("doc_id").join(per, F.lit(True)).join(found, key, "left").fillna(0, ["matched", "met"])
+    s = s.withColumns({"anchors": F.coalesce(F.try_divide(F.col("matched"), F.col("needed") + F.col("matched") - F.col("met")), F.lit(0.0)), "lacks": F.col("met") < F.col("needed")})
     seen = pages.groupBy("doc_id").agg(F.collect_set("page").alias("seen"))
     t = tables.groupBy(*key).agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("columns"), F.bool_or(F.coalesce(F.col("share") < 1, F.lit(False))).alias("partial"))
     s = s.join(seen, "doc_id", "left").join(t, key, "left")
