@@ -179,11 +179,12 @@ def test_approvals_over_conversions(spark):
 def test_secrets_and_content(spark):
     from docvigil.operators import parameters as P
 
-    rows = [(1, '{"Api-Key":"k","n":null,"max_tokens":"3","url":"http://u:p@h/x"}'), (2, "token=abc; x=1"), (3, None), (4, "[1,2]"), (5, '{"message":"hello","secret_text":"x"}')]
+    rows = [(1, '{"Api-Key":"k","n":null,"max_tokens":"3","url":"http://u:p@h/x"}'), (2, "token=abc; x=1"), (3, None), (4, "[1,2]"), (5, '{"message":"hello","secret_text":"x"}'), (6, '{"outer":{"my_password":"pw1","max_tokens":7},"list":["token: t2"]}'), (7, r'{"encoded":"{\\"api_key\\":\\"k9\\"}"}')]
     df = spark.createDataFrame(rows, "id int, p string")
     found = {r.id: r.parameters for r in P.redact_params(df, "id", "p").collect()}
     assert '"k"' not in found[1] and "u:p" not in found[1] and '"max_tokens":"3"' in found[1]
     assert found[2] == "token=[REDACTED]; x=1" and found[3] is None and found[4] == "[1,2]"
+    assert "pw1" not in found[6] and "t2" not in found[6] and "max_tokens" in found[6] and "7" in found[6] and "k9" not in found[7]
     assert [(r.id, r.name) for r in P.reject_content(df, "id", "p").collect()] == [(5, "message")]
 
 
