@@ -64,3 +64,15 @@ def word_split(c: Column) -> Column:
     """Camel humps and other characters as underscores, in lower case."""
     snake = F.regexp_replace(F.trim(c), r"(?<=[a-z0-9])(?=[A-Z])", "_")
     return F.regexp_replace(F.regexp_replace(F.lower(snake), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+
+
+def value_after(c: Column, label: Column, stops: Column) -> Column:
+    """The text after a label and its colon, up to the first of the ``stops`` labels with a colon; null
+    where the label is not there or nothing follows it. Labels are found in any case, as whole words."""
+    low = F.lower(c)
+    name = lambda x: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), F.regexp_replace(F.lower(F.trim(x)), r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(r"\s*[:：]"))
+    head = F.regexp_substr(low, name(label))
+    rest = F.substr(c, F.regexp_instr(low, name(label)) + F.length(head))
+    ends = F.filter(F.transform(stops, lambda s: F.regexp_instr(F.lower(rest), name(s))), lambda p: p > 0)
+    value = F.trim(F.substr(rest, F.lit(1), F.coalesce(F.array_min(ends) - 1, F.length(rest))))
+    return F.when(head.isNotNull() & (value != ""), value)

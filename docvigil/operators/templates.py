@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docvigil.functions.text import fold, norm, norm_col, split_table
+from docvigil.functions.text import fold, norm, norm_col, split_table, value_after
 from docvigil.functions.values import parse_bool, parse_date, parse_number
 from docvigil.operators.cells import rules
 
@@ -139,6 +139,15 @@ def table_lookup(rows: DataFrame, fields: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "table_no", "template_id", "field_id").agg(F.min_by("text", F.struct("row", "col")).alias("value"))
 
 
+def label_values(blocks: DataFrame, fields: DataFrame) -> DataFrame:
+    """(doc_id, block_id, template_id, field_id, value) of fields whose label and value share a block; a
+    value ends where another label of the template begins."""
+    others = F.collect_set("label").over(Window.partitionBy("template_id"))
+    f = fields.select("template_id", "field_id", "label").withColumn("stops", F.array_except(others, F.array("label")))
+    j = blocks.select("doc_id", "block_id", "text").join(f, F.contains(F.lower("text"), F.lower(F.trim("label"))))
+    return j.withColumn("value", value_after(F.col("text"), F.col("label"), F.col("stops"))).filter("value IS NOT NULL").select("doc_id", "block_id", "template_id", "field_id", "value")
+
+
 RULE_CONFIDENCE = {"same_block": 0.98, "below": 0.95, "right": 0.94, "table_cell": 0.90}
 
 

@@ -110,6 +110,16 @@ def j9(spark, sf_dir):
     return T.table_lookup(_sql(spark, sf_dir, ("cells",), _GRID), f)
 
 
+_LABELLED = "SELECT p_partkey AS doc_id, CAST(p_partkey AS STRING) AS block_id, CASE p_partkey % 4 WHEN 0 THEN CONCAT('Type: ', p_type, ' NAME : ', p_name, ' Size (mm): ', CAST(p_size AS STRING)) WHEN 1 THEN CONCAT('Name:', p_name) WHEN 2 THEN CONCAT('subtype: no, type: ', p_type) ELSE CONCAT('Type ', p_type, ' Name: ') END AS text FROM part"
+
+
+@query("j8_label_values", """SELECT p_partkey AS doc_id, CAST(p_partkey AS VARCHAR) AS block_id, 't' AS template_id, 'type' AS field_id, p_type AS value FROM part WHERE p_partkey % 4 IN (0, 2) UNION ALL SELECT p_partkey, CAST(p_partkey AS VARCHAR), 't', 'name', p_name FROM part WHERE p_partkey % 4 IN (0, 1)
+    UNION ALL SELECT p_partkey, CAST(p_partkey AS VARCHAR), 't', 'size', CAST(p_size AS VARCHAR) FROM part WHERE p_partkey % 4 = 0""")
+def j8_labels(spark, sf_dir):
+    f = spark.createDataFrame([("t", "type", "Type"), ("t", "name", "name"), ("t", "size", " Size (mm)")], "template_id string, field_id string, label string")
+    return T.label_values(_sql(spark, sf_dir, (), _LABELLED), f)
+
+
 _CANDIDATES = "SELECT doc_id, CONCAT('f', CAST(idx % 3 AS STRING)) AS field_id, CASE WHEN idx % 7 = 0 THEN 'same_block' WHEN idx % 5 = 0 THEN 'table_cell' WHEN idx % 2 = 0 THEN 'right' ELSE 'below' END AS rule, page, y, x, block_id, text AS value FROM blocks"
 
 
