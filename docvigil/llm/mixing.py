@@ -11,8 +11,12 @@ table that each step aggregates is a pre-aggregated histogram, and a step's resu
 source; no rate, document or sum of documents passes through the driver.
 
 Copies: a document gets floor(r) copies, and one more where its hash is below a cut-off of its
-source, read from a histogram of hashes so that the source's tokens reach the target from below;
-then, a few times, each source takes the one document that fits best into what is missing.
+source, read from a histogram of hashes so that the source's tokens reach the target from below.
+Then rounds follow: documents larger than what is missing are set aside, the others are dealt anew
+and taken in turn as far as they fit, and one more that fits best. A document gets a second copy
+beyond its rate only when none with fewer fits. Rounds end when no document of any source fits, so
+what a source lacks is less than its smallest document that may still be taken. The rounds are kept
+as a few numbers of each source, from which every row finds its own copies.
 
 Edge cases: null text has size 0; empty documents take nothing; a source without tokens has target
 0; null source is a source; ties and reruns give the same copies, since the order is a hash of id
@@ -22,6 +26,8 @@ columns travel in a struct, so none of their names can clash.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +35,8 @@ from docvigil.llm.common import materialize, n_words
 
 #: Bins of the hash histogram of a source.
 BINS = 2048
+#: Bins of a round's hashes for each power of two.
+FINE = 64
 #: Newton steps end when every source is this near its constraints, relatively.
 TOLERANCE = 1e-7
 
@@ -74,7 +82,7 @@ def entropy_rates(sizes: DataFrame, targets: DataFrame, steps: int = 30) -> Data
     return targets.join(state, targets["source"].eqNullSafe(state["s"]), "left").drop("s")
 
 
-def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), carry: list[str] | None = None, fits: int = 6) -> DataFrame:
+def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), carry: list[str] | None = None) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, source, ...)``: ``row`` (struct of the
     ``carry`` columns, all by default), ``size``, ``source_size``, ``target``, ``rate``, ``copies``
     (at most ``most``) and ``taken`` = copies x size."""
@@ -110,26 +118,55 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
     cut = materialize(cut, "cuts")
     plan = materialize(plan.join(cut.withColumnRenamed("source", "s"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s"), "plan")
 
-    # what is still missing: again and again, the best fitting document of each source
-    left = materialize(planned(sized, plan).filter("bin > cut AND size > 0 AND size <= missing").select("source", "key", "size"), "left")
-    gap = plan.select(F.col("source").alias("s"), "missing")
-    picks = None
-    for _ in range(fits):
-        best = left.join(gap, left["source"].eqNullSafe(gap["s"])).filter("size <= missing")
-        best = best.groupBy("s").agg(F.max(F.struct("size", "key")).alias("best"), F.first("missing").alias("missing"))
-        best = materialize(best.select("s", F.col("best.key").alias("key"), (F.col("missing") - F.col("best.size")).alias("missing")), "fit")
-        if not best.limit(1).count():
+    # what is still missing: rounds among the documents that fit, until none does
+    unit = F.xxhash64("key", "source")
+    first = F.when(F.col("bin").isNotNull() & (F.col("bin") <= F.col("cut")), 1).otherwise(0).cast("long")
+
+    def place(of: Column, turn: Column) -> Column:
+        return F.floor(F.log2(F.pmod(F.xxhash64(of, turn), F.lit(1 << 40)) + 1) * FINE).cast("int")
+
+    def gains(r: Column, of: Column, size: Column, whole: Column, extra: Column) -> Column:
+        """Whether round ``r`` gives a document with ``extra`` copies beyond ``whole`` one more."""
+        open_ = (size <= r["gap"]) & (extra == r["level"]) & (whole + extra < most)
+        return F.when(open_ & ((place(of, r["turn"]) <= r["cut"]) | (of == r["pick"])), 1).otherwise(0).cast("long")
+
+    may = (F.col("size") <= F.col("gap")) & (F.col("whole") + F.col("extra") < most) & (F.col("extra") >= F.col("floor"))
+    round_type = "array<struct<turn:int,gap:double,level:bigint,cut:int,pick:bigint>>"
+    state = materialize(plan.select(F.col("source").alias("s"), F.col("missing").alias("gap"), F.lit(0).cast("long").alias("floor"), F.array().cast(round_type).alias("rounds")), "state")
+    left = planned(sized, plan).filter("size > 0 AND size <= missing").select("source", unit.alias("unit"), "size", "whole", first.alias("extra")).filter(F.col("whole") + F.col("extra") < most)
+    left = materialize(left, "left")
+    for n in count():
+        nth = F.lit(n).cast("int")
+        of_s, by_place = Window.partitionBy("s"), Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # at most 40 * FINE + 1 rows a source
+        seen = left.join(state.drop("rounds"), left["source"].eqNullSafe(state["s"])).filter(may)
+        hist = seen.groupBy("s", "extra", place(F.col("unit"), nth).alias("place")).agg(F.sum("size").alias("tokens"), F.first("gap").alias("gap"))
+        hist = hist.withColumn("level", F.min("extra").over(of_s)).filter("extra = level").withColumn("upto", F.sum("tokens").over(by_place))
+        fit = F.col("upto") <= F.col("gap")
+        cut = hist.groupBy("s").agg(F.first("level").alias("level"), F.coalesce(F.max(F.when(fit, F.col("place"))), F.lit(-1)).alias("cut"), (F.first("gap") - F.coalesce(F.max(F.when(fit, F.col("upto"))), F.lit(0))).alias("rest"))
+        cut = materialize(cut, "fit")
+        if not cut.limit(1).count():
             break
-        picks = best.select("key") if picks is None else picks.unionByName(best.select("key"))
-        left = left.join(best.select("key"), "key", "left_anti")
-        gap = best.select("s", "missing")
-    out = planned(sized if light else rows, plan)
-    extra = F.col("bin").isNotNull() & (F.col("bin") <= F.col("cut"))
-    if picks is not None:
-        picked = materialize(picks.distinct().withColumn("picked", F.lit(True)), "picks")
-        out = out.join(picked, "key", "left")
-        extra = extra | F.coalesce("picked", F.lit(False))
-    copies = F.least(F.lit(most), F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long")
+        # of the others the one that fits best; rows that are equal in all go together
+        best = left.join(cut, left["source"].eqNullSafe(cut["s"])).filter((F.col("extra") == F.col("level")) & (place(F.col("unit"), nth) > F.col("cut")) & (F.col("size") <= F.col("rest")))
+        best = best.groupBy("s", "unit").agg(F.sum("size").alias("total"), F.first("rest").alias("room")).filter("total <= room")
+        best = best.groupBy(F.col("s").alias("b")).agg(F.max(F.struct("total", "unit")).alias("best"))
+        done = cut.withColumnRenamed("s", "c")
+        step = state.join(done, state["s"].eqNullSafe(done["c"]), "left").join(best, F.col("s").eqNullSafe(best["b"]), "left")
+        moved = (F.col("cut") >= 0) | F.col("best").isNotNull()
+        one = F.struct(nth.alias("turn"), "gap", "level", "cut", F.col("best.unit").alias("pick"))
+        state = materialize(step.select(
+            "s", F.coalesce(F.col("rest") - F.coalesce("best.total", F.lit(0)), "gap").alias("gap"),
+            F.when(F.col("level").isNull(), F.col("floor")).when(moved, F.col("level")).otherwise(F.col("level") + 1).alias("floor"),
+            F.when(moved, F.concat("rounds", F.array(one))).otherwise(F.col("rounds")).alias("rounds")), "state")
+        was = F.try_element_at("rounds", F.lit(-1))
+        won = F.when(was["turn"] == nth, gains(was, F.col("unit"), F.col("size"), F.col("whole"), F.col("extra"))).otherwise(0)
+        left = left.join(state, left["source"].eqNullSafe(state["s"])).withColumn("extra", F.col("extra") + won).filter(may)
+        left = materialize(left.select("source", "unit", "size", "whole", "extra"), "left")
+    plan = plan.join(state.select("s", "rounds"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s")
+    out = planned(sized if light else rows, plan).withColumn("unit", unit)
+    rounds = F.coalesce("rounds", F.array().cast(round_type))
+    extra = F.aggregate(rounds, first, lambda x, r: x + gains(r, F.col("unit"), F.col("size"), F.col("whole"), x))
+    copies = F.least(F.lit(most), F.col("whole") + extra).cast("long")
     return out.select("row", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 

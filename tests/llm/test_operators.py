@@ -263,6 +263,22 @@ def test_mixing_of_awkward_rows(spark):
     assert [(r.target, r.taken) for r in empty] == [(0.0, 0), (0.0, 0)]
 
 
+def test_mixing_fills_the_target_around_long_documents(spark):
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 20), None, "a") for i in range(400)] + [(1000 + i, sentence(rng, 8000), None, "a") for i in range(1)]  # the short ones alone reach the target
+    rows += [(2000 + i, sentence(rng, 5), None, "b") for i in range(20)] + [(3000, sentence(rng, 9000), None, "b")]  # all short ones thrice do not
+    rows += [(4000 + i, sentence(rng, 10), None, "c") for i in range(30)] + [(5000, sentence(rng, 7000), None, "c")] + [(6000 + i, sentence(rng, 40), None, "d") for i in range(60)]
+    rows += [(7, "one two three", None, "d")] * 5
+    taken, wanted, spare = Counter(), {}, defaultdict(list)
+    for r in mix_sources(frame(spark, rows)).select("row.source", "size", "target", "copies", "taken").collect():
+        taken[r.source] += r.taken
+        wanted[r.source] = r.target
+        if r.copies < 3 and r["size"] > 3:
+            spare[r.source].append(r["size"])
+    for k, t in wanted.items():
+        assert taken[k] <= t + 1e-6 and t - taken[k] < min(spare[k]), (k, taken[k], t, min(spare[k]))
+
+
 # ---------------------------------------------------------------- 6
 
 
