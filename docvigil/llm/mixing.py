@@ -1,11 +1,12 @@
-"""Mixing sources to target weights by entropy balancing, in DataFrame operations only.
+"""Mixing sources to target weights by flat rates, in DataFrame operations only.
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, 1, ... and share all tokens; no
 target passes ``most`` times its source's tokens, and what is above goes to the others by weight.
 
 Rates: of all document rates r with the source's target in tokens and its mean document length
 unchanged, entropy balancing takes those closest to 1 in entropy, which have the form
-r = exp(a + b x) with x the document's size over the source's mean. The convex dual in (a, b) is
+r = exp(a + b x) with x the document's size over the source's mean. The flat rate target over tokens
+meets both constraints, so it is the solution and b is 0 up to rounding: nothing is tilted by size. The convex dual in (a, b) is
 solved for all sources at once by Newton steps. Documents enter only by (source, size), so the
 table that each step aggregates is a pre-aggregated histogram, and a step's result has one row a
 source; no rate, document or sum of documents passes through the driver.
