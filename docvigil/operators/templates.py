@@ -204,6 +204,20 @@ def key_conflicts(keys: DataFrame) -> DataFrame:
     return j.select("template_id", "a", "b", "a_key", "b_key")
 
 
+def key_classes(keys: DataFrame) -> DataFrame:
+    """Each key of a template with the other fields it conflicts with, by class: ``equal`` keys, its
+    dotted prefixes (``shorter``), keys it is a prefix of (``longer``). One row a key, no pairs."""
+    k = keys.groupBy("template_id", "output_key").agg(F.count("field_id").alias("n")).withColumn("parts", F.split("output_key", r"\."))
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", 1, i), "."))
+    long = k.select("template_id", F.col("output_key").alias("long"), F.col("n").alias("n_long"), F.explode(prefixes).alias("short"))
+    short = k.select("template_id", F.col("output_key").alias("short"), F.col("n").alias("n_short"))
+    j = short.join(long, ["template_id", "short"])
+    own = F.col("short") == F.col("long")
+    up = j.select("template_id", F.col("short").alias("output_key"), F.when(own, F.col("n_short") - 1).otherwise(0).alias("equal"), F.lit(0).alias("shorter"), F.when(own, 0).otherwise(F.col("n_long")).alias("longer"))
+    down = j.filter(~own).select("template_id", F.col("long").alias("output_key"), F.lit(0).alias("equal"), F.col("n_short").alias("shorter"), F.lit(0).alias("longer"))
+    return up.unionByName(down).groupBy("template_id", "output_key").agg(*[F.sum(c).alias(c) for c in ("equal", "shorter", "longer")]).filter("equal + shorter + longer > 0")
+
+
 def cross_field(values: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
     """Fields that stay reviewed when every field whose rule needs an unreviewed or larger one has gone.
 

@@ -207,6 +207,12 @@ def j26(spark, sf_dir):
     return R.missing_runs(s.filter("participant % 10 = 1").select("participant").distinct(), s.select("case_id").distinct(), s.select("arm").distinct(), s)
 
 
+@query("j26_missing_runs_all", duck("study") + ", g AS (SELECT * FROM (SELECT DISTINCT participant FROM study) CROSS JOIN (SELECT DISTINCT case_id FROM study) CROSS JOIN (SELECT DISTINCT arm FROM study)) SELECT participant, case_id, arm FROM g EXCEPT SELECT participant, case_id, arm FROM study")
+def j26_all(spark, sf_dir):
+    s = view(spark, sf_dir, "study")
+    return R.missing_runs(s.select("participant").distinct(), s.select("case_id").distinct(), s.select("arm").distinct(), s)
+
+
 @query("a15_arm_metrics", duck("study") + " SELECT arm, count(*) AS runs, count_if(complete) AS complete, CAST(sum(seconds) AS BIGINT) AS seconds FROM study GROUP BY arm UNION ALL SELECT 'all', count(*), count_if(complete), CAST(sum(seconds) AS BIGINT) FROM study")
 def a15(spark, sf_dir):
     return R.arm_metrics(view(spark, sf_dir, "study"))

@@ -182,6 +182,16 @@ def w15(spark, sf_dir):
     return T.key_conflicts(_sql(spark, sf_dir, (), _KEYS))
 
 
+#: The keys of all parts.
+_ALL_KEYS = _KEYS.removesuffix(" WHERE p_partkey % 10 < 4")
+
+
+@query("w15_key_classes", f"""WITH f AS ({_ALL_KEYS}), k AS (SELECT template_id, output_key, count(*) AS n FROM f GROUP BY ALL), c AS (SELECT s.template_id, s.output_key, s.n - 1 AS equal, coalesce((SELECT sum(o.n) FROM k o WHERE o.template_id = s.template_id AND s.output_key LIKE o.output_key || '.%'), 0)::BIGINT AS shorter,
+    coalesce((SELECT sum(o.n) FROM k o WHERE o.template_id = s.template_id AND o.output_key LIKE s.output_key || '.%'), 0)::BIGINT AS longer FROM k s) SELECT * FROM c WHERE equal + shorter + longer > 0""")
+def w15_classes(spark, sf_dir):
+    return T.key_classes(_sql(spark, sf_dir, (), _ALL_KEYS))
+
+
 _NUMBERS = "SELECT o_orderkey AS doc_id, CONCAT('f', CAST(k.k AS STRING)) AS field_id, CAST((o_custkey * (k.k + 3)) % 17 AS DOUBLE) AS number FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"
 
 
