@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: The word pattern of the contracts: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one numpy step handles; bounds the working memory of a task.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 1_000_000  # below Powers.KEPT
 
 _M64 = (1 << 64) - 1
 
@@ -73,22 +73,28 @@ _BYTE_CODES = mix(np.arange(256, dtype=np.uint64), 11)
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+    """Powers of an odd base and of its inverse modulo 2**64; up to ``KEPT`` of them are kept."""
+
+    KEPT = 1 << 20
 
     def __init__(self, base: int):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
+        if len(self.up) >= n:
+            return self.up[:n], self.down[:n]
+        size = n if n > self.KEPT else 1 << (n - 1).bit_length()
+
+        def grow(b: int) -> np.ndarray:
+            out = np.full(size, b, np.uint64)
+            out[0] = 1
+            return np.multiply.accumulate(out)
 
-            def grow(b: int) -> np.ndarray:
-                out = np.full(size, b, np.uint64)
-                out[0] = 1
-                return np.multiply.accumulate(out)
-            self.up, self.down = grow(self.base), grow(self.inverse)
-        return self.up[:n], self.down[:n]
+        up, down = grow(self.base), grow(self.inverse)
+        if size <= self.KEPT:
+            self.up, self.down = up, down
+        return up[:n], down[:n]
 
 
 _POWERS = Powers(_BASE)
@@ -133,13 +139,32 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit polynomial hash of each word's bytes, scrambled with its length."""
-        n = len(self.data)
-        up, down = _POWERS.get(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODES[self.data] * up[:n], out=total[1:])
-        raw = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(raw ^ (self.end - self.start).astype(np.uint64), 3)
+        return words_hash(self.data, self.start, self.end)
+
+
+def words_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of the bytes of each run ``data[start:end]``, scrambled with its
+    length. Runs are ascending; they are hashed in blocks of ``SLICE_BYTES``, so that working memory
+    depends on the longest run only."""
+    out = np.zeros(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        low = int(start[a])
+        b = max(a + 1, int(np.searchsorted(end, low + SLICE_BYTES, side="right")))
+        high = int(end[b - 1])
+        up, down = _POWERS.get(high - low + 1)
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[data[low:high]] * up[: high - low], out=total[1:])
+        raw = (total[end[a:b] - low] - total[start[a:b] - low]) * down[start[a:b] - low]
+        out[a:b] = mix(raw ^ (end[a:b] - start[a:b]).astype(np.uint64), 3)
+        a = b
+    return out
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs one after another: start[0], start[0] + 1, ... of each run."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -27,10 +27,22 @@ from docvigil.llm.tokenizing import encoder
 PIECES = "doc_id long, start long, length long, doc_tokens long, bucket int, ids binary"
 
 
-def piece_lengths(n: int, context: int) -> list[int]:
-    """Powers of two, falling, that add up to ``n``; none above ``context``, itself a power of two."""
-    rest = n % context
-    return [context] * (n // context) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def pieces(sizes: np.ndarray, context: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of documents of ``sizes`` ids, in order: each one's document and its place there.
+    Lengths are powers of two, falling, that add up to the size; none is above ``context``, itself a
+    power of two."""
+    whole, rest = sizes // context, sizes % context
+    bits = np.arange(context.bit_length() - 2, -1, -1)
+    digits = (rest[:, None] >> bits[None, :]) & 1
+    per = whole + digits.sum(1)
+    owner = np.repeat(np.arange(len(sizes)), per)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+    at = np.minimum(nth, whole[owner]) * context
+    doc, column = np.nonzero(digits)
+    tail = nth >= whole[owner]
+    above = digits * (1 << bits)[None, :]
+    at[tail] += (np.cumsum(above, axis=1) - above)[doc, column]  # np.nonzero is in the pieces' order
+    return owner, at
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, context: int = 2048) -> DataFrame:
@@ -42,28 +54,20 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, context: int = 2048) -> D
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("doc_id")
-            for low, high, data, offsets in text_slices(batch.column("text")):
-                texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
-                owner, start, length, total, ids = [], [], [], [], []
-                for row, found in enumerate(encoder(tokenizer).encode(texts), low):
-                    found = np.append(found, np.uint32(end_id)).astype("<u4")
-                    lengths = piece_lengths(len(found), context)
-                    at = 0
-                    for n in lengths:
-                        start.append(at)
-                        ids.append(found[at : at + n].tobytes())
-                        at += n
-                    length += lengths
-                    owner += [row] * len(lengths)
-                    total += [len(found)] * len(lengths)
+            for low, _, data, offsets in text_slices(batch.column("text")):
+                ids, first = encoder(tokenizer).encode_ended(data, offsets, end_id)
+                owner, at = pieces(np.diff(first), context)
+                where = np.append(first[owner] + at, len(ids))
+                length = np.diff(where)
+                if where[-1] >= 1 << 29:
+                    raise ValueError("a text has over 2**29 ids")
+                cut_ids = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer((4 * where).astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])
                 yield pa.RecordBatch.from_arrays([
-                    keys.take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()),
-                    pa.array([n.bit_length() - 1 for n in length], pa.int32()), pa.array(ids, pa.binary()),
+                    keys.take(pa.array(low + owner)), pa.array(at), pa.array(length), pa.array(np.diff(first)[owner]), pa.array(np.log2(length).astype(np.int32)), cut_ids,
                 ], names=["doc_id", "start", "length", "doc_tokens", "bucket", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = rows.mapInArrow(cut, PIECES)
-    return pieces.select("doc_id", "start", "length", "doc_tokens", "bucket", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
+    return rows.mapInArrow(cut, PIECES).select("doc_id", "start", "length", "doc_tokens", "bucket", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

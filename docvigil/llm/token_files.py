@@ -2,9 +2,9 @@
 
 A shard is three flat little-endian files that readers map into memory:
 
-``NNNNN.ids``      ids of its documents, one after another (16 bits if the vocabulary fits, else 32)
-``NNNNN.offsets``  64-bit: where each document starts in the shard, and the shard's total at last
-``NNNNN.docs``     64-bit: doc_id of each document
+``NNNNNN.ids``      ids of its documents, one after another (16 bits if the vocabulary fits, else 32)
+``NNNNNN.offsets``  64-bit: where each document starts in the shard, and the shard's total at last
+``NNNNNN.docs``     64-bit: doc_id of each document
 
 Shards are ranges of ascending doc_id, so shard and position give the corpus order. Each task writes
 its own shard on the shared folder under a name of its attempt and renames it when it is whole; a
@@ -12,15 +12,15 @@ repeated task replaces the same bytes. The manifest has one row a shard; the fir
 the corpus is the prefix sum of the shards before it.
 
 Edge cases: null text counts as empty and holds only the end id; null doc_ids come first and are
-marked by the smallest 64-bit integer; rows with equal doc_id are each kept, in order of their text; an empty table gives
-an empty manifest; further columns are ignored.
+marked by the smallest 64-bit integer; rows with equal doc_id are each kept, in order of a hash of their text,
+and may lie in several shards; an empty table gives an empty manifest; further columns are ignored.
+A very long text costs about 60 times its bytes in its task, the tokenizer's library included.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,9 +51,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     width = 2 if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else 4
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    # rows of one doc_id are spread by their text, equal rows by their place in the input
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("of_text"), F.monotonically_increasing_id().alias("nth"))
     shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(shards, "doc_id", "of_text", "nth").sortWithinPartitions("doc_id", "of_text", "nth").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, mark = TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -68,16 +69,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
                     store.create_dir(root, recursive=True)
                     files = {x: store.open_output_stream(f"{name}.{x}-{mark}") for x in ("ids", "offsets", "docs")}
                     files["offsets"].write(np.zeros(1, "<i8").tobytes())
-                texts = [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:])]
-                found = encoder(tokenizer).encode(texts)
-                sizes = np.array([len(x) + 1 for x in found], np.int64)
-                out = np.full(int(sizes.sum()), end_id, kind)
-                at = 0
-                for x in found:
-                    out[at : at + len(x)] = x
-                    at += len(x) + 1
+                out, first = encoder(tokenizer).encode_ended(data, offsets, end_id)
+                out = out.astype(kind)
                 files["ids"].write(out.tobytes())
-                files["offsets"].write((total + np.cumsum(sizes)).astype("<i8").tobytes())
+                files["offsets"].write((total + first[1:]).astype("<i8").tobytes())
                 ids = batch.column("doc_id").slice(low, high - low).fill_null(NO_ID)
                 files["docs"].write(ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 total, n_docs = total + len(out), n_docs + high - low
@@ -94,13 +89,24 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def _mapped(path: str, kind: str) -> np.ndarray:
-    """A flat file as an array: mapped into memory where the folder is mounted, else read."""
-    store, name = _filesystem(path)
-    if store.type_name == "local":
-        return np.memmap(name, kind, "r") if os.path.getsize(name) else np.zeros(0, kind)
-    with store.open_input_file(name) as f:
-        return np.frombuffer(f.read(), kind)
+class _Flat:
+    """A flat file: mapped into memory where the folder is mounted, else read by ranges."""
+
+    def __init__(self, path: str, kind: str):
+        store, name = _filesystem(path)
+        self.kind = np.dtype(kind)
+        self.mapped = self.file = None
+        if store.type_name == "local":
+            self.mapped = np.memmap(name, kind, "r") if os.path.getsize(name) else np.zeros(0, kind)
+        else:
+            self.file = store.open_input_file(name)
+        self.size = len(self.mapped) if self.file is None else self.file.size() // self.kind.itemsize
+
+    def part(self, low: int, high: int) -> np.ndarray:
+        if self.file is None:
+            return self.mapped[low:high]
+        width = self.kind.itemsize
+        return np.frombuffer(self.file.read_at(width * (high - low), width * low), self.kind)
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -110,21 +116,20 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = _mapped(row["path"] + ".ids", f"<u{row['width']}")
-                offsets = _mapped(row["path"] + ".offsets", "<i8")
-                docs = _mapped(row["path"] + ".docs", "<i8")
-                for low in range(0, len(docs), 500):
-                    high = min(low + 500, len(docs))
-                    yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array([None if x == NO_ID else x for x in docs[low:high].tolist()], pa.int64()),
-                        "start": pa.array(row["base"] + offsets[low:high], pa.int64()),
-                        "n_tokens": pa.array(np.diff(offsets[low : high + 1]), pa.int64()),
-                        "ids": pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets[low:high], offsets[low + 1 : high + 1])], pa.binary()),
-                    })
-
-    spread = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
-    return spread.mapInArrow(read, DOCUMENTS)
-
-
-def ids_crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
+                ids = _Flat(row["path"] + ".ids", f"<u{row['width']}")
+                starts = _Flat(row["path"] + ".offsets", "<i8")
+                docs = _Flat(row["path"] + ".docs", "<i8")
+                for low in range(0, docs.size, 500):
+                    high = min(low + 500, docs.size)
+                    at, keys = starts.part(low, high + 1), docs.part(low, high)
+                    found = ids.part(int(at[0]), int(at[-1])).astype("<u4")
+                    if len(found) >= 1 << 29:
+                        raise ValueError("500 documents have over 2**29 ids")
+                    places = pa.py_buffer((4 * (at - at[0])).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(keys, mask=keys == NO_ID), pa.array(row["base"] + at[:-1]), pa.array(np.diff(at)),
+                        pa.BinaryArray.from_buffers(pa.binary(), high - low, [None, places, pa.py_buffer(found)]),
+                    ], names=["doc_id", "start", "n_tokens", "ids"])
+
+    dealt = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
+    return dealt.mapInArrow(read, DOCUMENTS)

@@ -20,7 +20,7 @@ from docvigil.llm.exact_dedup import drop_copies, exact_groups
 from docvigil.llm.importance import importance_sample
 from docvigil.llm.language_id import fit_language, language_sample, predict_language
 from docvigil.llm.mixing import mix_sources, mixed
-from docvigil.llm.packing import pack, piece_lengths
+from docvigil.llm.packing import pack, pieces
 from docvigil.llm.simhash import BUCKET, fingerprints, keep_one, near_duplicates, near_pairs
 from docvigil.llm.substring_dedup import cut_text, substring_dedup
 from docvigil.llm.tiff_media import decode_pages, encode_page, file_pages, lzw_decode, lzw_encode, packbits_decode, packbits_encode, payload_of, texts_as_files, with_features
@@ -59,11 +59,34 @@ def test_token_files(spark):
     assert found.doc_id.dropna().is_monotonic_increasing
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("bound", [40_000_000, 20_000])
+def test_chunks_have_the_ids_of_the_library(name, bound, monkeypatch):
+    """Random texts of characters that normalizers and patterns treat in their own ways."""
+    from tokenizers import Tokenizer
+
+    from docvigil.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "CACHE_BYTES", bound)
+    rng = random.Random(1)
+    signs = [" ", "  ", "\n", "\r\n", ".", ",", "a", "B", "İ", "é", "É", "ß", "×", "÷", "1", "'s", "'", "\t", "ǆ", "-", "Σ", "\u0301", "\u0323", "x", "<", "|", "\xa0", "\u2009", "日", "\x1c", "LL", "n't", "²"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 12))) for _ in range(6000)] + ["İ. x", "İ,", "K, Kelvin", "z" * 9000, "<|endoftext|>"]
+    encoder, library = tokenizing.Encoder(vocabulary(name)), Tokenizer.from_file(vocabulary(name))
+    found = []
+    for _, _, data, offsets in common.text_slices(pa.array(texts), 3000):
+        ids, first = encoder.encode(data, offsets)
+        found += [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+    assert found == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files_of_nothing_and_of_repeated_rows(spark):
     none = frame(spark, awkward()).limit(0)
     assert read_token_files(write_token_files(none, vocabulary("word_bpe_49k.json"), 1)).count() == 0
     twice = frame(spark, [(1, "a b", None, None), (1, "a b", None, None), (1, None, None, None)])
     assert sorted(r.n_tokens for r in read_token_files(write_token_files(twice, vocabulary("word_bpe_49k.json"), 1)).collect()) == [1, 3, 3]
+    hot = spark.range(4000).selectExpr("7L AS doc_id", "concat('lot ', id % 50) AS text").repartition(4)
+    manifest = write_token_files(hot, vocabulary("word_bpe_49k.json"), 1, shards=8)
+    assert manifest.count() > 4 and manifest.agg(F.max("n_docs"), F.sum("n_docs")).first()[1] == 4000
 
 
 def test_packing(spark):
@@ -76,7 +99,8 @@ def test_packing(spark):
         ids = np.concatenate([np.frombuffer(b, "<u4") for b in g.ids]).tolist()
         assert ids == library_ids("byte_bpe_50k.json", rows[int(i)][1], 1)
         assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1].tolist()] and set(g.doc_tokens) == {len(ids)}
-    assert piece_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1] and piece_lengths(0, 4) == []
+    owner, at = pieces(np.array([2048 * 2 + 5, 1, 4]), 2048)
+    assert owner.tolist() == [0, 0, 0, 0, 1, 2] and at.tolist() == [0, 2048, 4096, 4100, 0, 0]
     assert pack(frame(spark, rows).limit(0), vocabulary("byte_bpe_50k.json"), 1).count() == 0
     with pytest.raises(ValueError):
         pack(frame(spark, rows), vocabulary("byte_bpe_50k.json"), 1, context=1000)
