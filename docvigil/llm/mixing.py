@@ -1,13 +1,16 @@
-"""Mixing sources to target weights by flat rates, in DataFrame operations only.
+"""Mixing sources to target weights by entropy balancing, in DataFrame operations only.
 
 Targets: sources in code-point order (null last) weigh 1, 2, 3, 1, ... and share all tokens; no
 target passes ``most`` times its source's tokens, and what is above goes to the others by weight.
-
-Rates: of all document rates r with the source's target in tokens and its mean document length
-unchanged, entropy balancing takes those closest to 1 in entropy, which have the form
-r = exp(a + b x) with x the document's size over the source's mean. The flat rate target over tokens
-meets both constraints, so it is the solution and b is 0 up to rounding: nothing is tilted by size. The convex dual in (a, b) is
-solved for all sources at once by Newton steps. Documents enter only by (source, size), so the
+Places are numbered by ranges of sources, and the common level of the uncapped ones is the root of a
+concave function of one number, found by Newton steps of exact whole sums.
+
+Rates: of all document rates 0 <= r <= ``most`` that meet the source's target in tokens, entropy
+balancing takes those closest to 1 in entropy, sum r log r - r + 1. By the convex dual they are
+r = min(most, exp(b x)), x being the document's size over the source's mean: one multiplier b a
+source, with the box inside the dual. Where a source must shrink, its long documents go first; where
+it must grow, they are repeated first. Newton steps on the logarithm of the tokens, kept inside a
+bracket, solve all sources at once, and raise an error if they do not converge. Documents enter only by (source, size), so the
 table that each step aggregates is a pre-aggregated histogram, and a step's result has one row a
 source; no rate, document or sum of documents passes through the driver.
 
@@ -38,49 +41,69 @@ from docvigil.llm.common import materialize, n_words
 BINS = 2048
 #: Bins of a round's hashes for each power of two.
 FINE = 64
-#: Newton steps end when every source is this near its constraints, relatively.
-TOLERANCE = 1e-7
+#: Newton steps end when every source is this near its target, relatively.
+TOLERANCE = 1e-10
+#: Steps after which the solver gives up with an error (halving a bracket alone takes about 60).
+STEPS = 200
 
 
 def source_targets(sizes: DataFrame, most: float, weights: tuple[int, ...]) -> DataFrame:
     """``sizes(source, size, n)`` to one row a source: its tokens, documents, mean and target."""
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    per = per.withColumn("place", place).withColumn("w", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.orderBy(F.col("cap") / F.col("w"), "place")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = F.sum("source_size").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    per = per.withColumn("level", (total - before) / rest)
-    level = F.max("level").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    per = per.withColumn("target", F.least(F.col("cap"), level * F.col("w")))
-    return per.select("source", "source_size", "n_docs", "target", (F.col("source_size") / F.col("n_docs")).alias("mean"))
-
-
-def entropy_rates(sizes: DataFrame, targets: DataFrame, steps: int = 30) -> DataFrame:
-    """``targets`` with ``a`` and ``b`` of each source's rates exp(a + b size / mean)."""
-    x = F.col("size") / F.col("mean")
-    ratio = F.col("target") / F.col("source_size")
-    live = targets.filter("source_size > 0 AND target > 0")
-    state = materialize(live.select("source", "mean", (F.col("n_docs") * ratio).alias("goal"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), "dual")
-    for _ in range(steps):
-        rate = F.col("n") * F.exp(F.col("a") + F.col("b") * x)
-        sums = sizes.join(state, sizes["source"].eqNullSafe(state["source"])).groupBy(state["source"], "mean", "goal", "a", "b").agg(
-            F.sum(rate).alias("m0"), F.sum(rate * x).alias("m1"), F.sum(rate * x * x).alias("m2"))
-        g0, g1 = F.col("goal") - F.col("m0"), F.col("goal") - F.col("m1")
-        det = F.col("m0") * F.col("m2") - F.col("m1") * F.col("m1")
-        flat = det <= F.lit(1e-9) * F.col("m0") * F.col("m2")
-        da = F.when(flat, g0 / F.col("m0")).otherwise((F.col("m2") * g0 - F.col("m1") * g1) / det)
-        db = F.when(flat, F.lit(0.0)).otherwise((F.col("m0") * g1 - F.col("m1") * g0) / det)
-        limit = F.greatest(F.lit(1.0), F.abs(da), F.abs(db))  # a damped step: at most 1 in each direction
-        off = F.greatest(F.abs(g0), F.abs(g1)) / F.col("goal")
-        state = materialize(sums.select("source", "mean", "goal", (F.col("a") + da / limit).alias("a"), (F.col("b") + db / limit).alias("b"), off.alias("off")), "dual")
-        worst = state.agg(F.max("off")).first()[0]
-        if worst is None or worst < TOLERANCE:
+    order = [F.col("source").asc_nulls_last()]
+    part = F.spark_partition_id()
+    dealt = materialize(materialize(per, "sources").repartitionByRange(*order).withColumn("part", part), "ranges")
+    # the number of sources in the ranges before each: a row a range
+    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    dealt = dealt.withColumn("place", place).join(before, "part").withColumn("place", F.col("place") + F.col("before"))
+    weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    per = materialize(dealt.select("source", "source_size", "n_docs", weight.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap")), "sources")
+    total, rest = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    level, held = (total / rest if rest else 0.0), None
+    while True:  # the level only rises, and each step caps a further source or is the last
+        capped = F.col("cap") <= F.lit(level) * F.col("w")
+        now, n, rest = per.agg(F.coalesce(F.sum(F.when(capped, F.col("cap"))), F.lit(0)), F.count_if(capped), F.coalesce(F.sum(F.when(~capped, F.col("w"))), F.lit(0))).first()
+        if n == held or not rest:
+            break
+        level, held = max(level, float((total - now) / rest)), n
+    target = F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("w"))
+    return per.select("source", "source_size", "n_docs", target.alias("target"), (F.col("source_size") / F.col("n_docs")).alias("mean"))
+
+
+def entropy_rates(sizes: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+    """``targets`` with ``tilt``: b of each source's rates min(most, exp(b size / mean)); null where the
+    source takes nothing, infinite where it takes all ``most`` times."""
+    x, limit = F.col("size") / F.col("mean"), F.log(F.lit(float(most)))
+    full = F.col("target") >= F.col("source_size") * F.lit(most * (1 - TOLERANCE))
+    live = targets.filter("source_size > 0 AND target > 0").withColumn("full", full)
+    spread = sizes.join(live.filter("NOT full"), sizes["source"].eqNullSafe(live["source"])).groupBy(live["source"], "mean", "target", "source_size").agg(F.sum(F.col("n") * F.col("size") * x).alias("second"))
+    # a first step: as if all tokens lay in documents of their mean length by tokens
+    first = F.log(F.col("target") / F.col("source_size")) * F.col("source_size") / F.col("second")
+    none = F.lit(None).cast("double")
+    state = materialize(spread.select("source", "mean", "target", first.alias("b"), none.alias("low"), none.alias("high"), F.lit(False).alias("done")), "dual")
+    for _ in range(STEPS):
+        power = F.col("b") * x
+        tokens = F.col("n") * F.col("size") * F.exp(F.least(power, limit))
+        slope = F.when(power < limit, tokens * x).otherwise(0.0)
+        open_ = state.filter("NOT done")
+        sums = sizes.join(open_, sizes["source"].eqNullSafe(open_["source"])).groupBy(open_["source"], "mean", "target", "b", "low", "high").agg(F.sum(tokens).alias("m"), F.sum(slope).alias("d"))
+        off = F.log(F.col("m") / F.col("target"))
+        sums = sums.withColumn("low", F.when(off < 0, F.col("b")).otherwise(F.col("low"))).withColumn("high", F.when(off >= 0, F.col("b")).otherwise(F.col("high")))
+        newton = F.col("b") - off * F.col("m") / F.col("d")
+        wider = F.when(off < 0, F.greatest(2 * F.abs("b"), F.lit(1.0))).otherwise(-F.greatest(2 * F.abs("b"), F.lit(1.0)))
+        fair = F.coalesce((F.col("d") > 0) & F.coalesce(newton > F.col("low"), F.lit(True)) & F.coalesce(newton < F.col("high"), F.lit(True)), F.lit(False))
+        step = F.when(fair, newton).otherwise(F.coalesce((F.col("low") + F.col("high")) / 2, wider))
+        done = (F.abs(off) < TOLERANCE) | F.coalesce(F.col("high") - F.col("low") <= F.abs("high") * F.lit(1e-14), F.lit(False))
+        moved = sums.withColumn("done", done).select("source", "mean", "target", F.when(F.col("done"), F.col("b")).otherwise(step).alias("b"), "low", "high", "done")
+        state = materialize(moved.unionByName(state.filter("done")), "dual")
+        if not state.filter("NOT done").limit(1).count():
             break
-    state = state.select(F.col("source").alias("s"), "a", "b")
-    return targets.join(state, targets["source"].eqNullSafe(state["s"]), "left").drop("s")
+    else:
+        raise ArithmeticError(f"the rates of some source did not converge in {STEPS} steps")
+    # rounded, so that the order in which Spark adds cannot show
+    found = state.select(F.col("source").alias("s"), F.round("b", 11).alias("b")).unionByName(live.filter("full").select(F.col("source").alias("s"), F.lit(float("inf")).alias("b")))
+    return targets.join(found, targets["source"].eqNullSafe(found["s"]), "left").drop("s").withColumnRenamed("b", "tilt")
 
 
 def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), carry: list[str] | None = None) -> DataFrame:
@@ -94,9 +117,10 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
     sized = materialize(rows if light else rows.drop("row"), "sizes")
     sizes = materialize(sized.groupBy("source", "size").agg(F.count("key").alias("n")), "histogram")
     targets = materialize(source_targets(sizes, most, weights), "targets")
-    plan = materialize(entropy_rates(sizes, targets), "rates")
+    plan = materialize(entropy_rates(sizes, targets, most), "rates")
 
-    rate = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(float(most)), F.exp(F.col("a") + F.col("b") * F.col("size") / F.col("mean"))))
+    tilted = F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.log(F.lit(float(most)))))
+    rate = F.when(F.col("tilt").isNull(), 0.0).when(F.col("tilt") == float("inf"), float(most)).otherwise(tilted)
     whole = F.floor(F.col("rate") + F.lit(1e-6)).cast("long")
     part = F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))
     #: A document's turn: its hash in (0, 1] over its broken part of a copy.
