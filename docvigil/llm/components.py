@@ -12,16 +12,17 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` of long ids to (node, component): the smallest id that a node reaches.
 
     Nodes without an edge (or with an edge to themselves only) have no row. Each round is two joins
-    and is written to the shared folder; the number of rounds is logarithmic in a component's width.
+    and is written to the shared folder; rounds end when no edge changes, after a number that is
+    logarithmic in a component's width.
     Duplicate and reversed edges are harmless.
     """
     edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         # large star: each larger neighbour of u goes to the least of u and its neighbours
         near = _both(edges)
         low = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
