@@ -18,7 +18,8 @@ it. What a text collects is bounded by its own length.
 
 Edge cases: null text counts as empty; texts with fewer words than a window keep all; windows that
 repeat only inside one text stay; of rows with equal doc_id none is smaller, so they do not remove
-each other; null doc_ids neither remove nor lose words; an empty table gives an empty result.
+each other, and each of their texts is judged by itself; null doc_ids neither remove nor lose words; an empty table gives an empty result.
+A very long text costs about 30 times its bytes in its task.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 
 from docvigil.llm.common import SPACE, Powers, Words, materialize, mix, text_slices
 
+#: Windows that are hashed at once.
+BLOCK = 400_000
+
 _FIRST, _SECOND = Powers(0x9E6C63D0876A9A47), Powers(0xB5297A4D3F84D5B5)
 
 
@@ -58,34 +62,41 @@ def _sliding_min(values: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """Anchors and hashes of the windows of the texts of a slice."""
+    """Anchors and hashes of the windows that start at words ``a`` to ``b`` of a slice of texts."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, window: int):
-        self.words = Words(data, offsets, SPACE)
-        codes = self.words.hashes()
+    def __init__(self, words: Words, codes: np.ndarray, doc: np.ndarray, a: int, b: int, window: int):
+        b = min(b, len(codes) - window + 1)
+        codes, ahead = codes[a : b + window - 1], doc[a + window - 1 : b + window - 1]
         short = max(1, window // 2)
         runs = mix(_rolling(codes, short, _FIRST), 5)
         self.anchor = _sliding_min(runs, window - short + 1)
         self.high = mix(_rolling(codes, window, _FIRST), 6)
         self.low = mix(_rolling(mix(codes, 7), window, _SECOND), 8)
-        # a window's doc, and whether it ends in the same one
-        doc = self.words.doc
-        n = max(0, len(doc) - window + 1)
-        self.doc = doc[:n]
-        self.valid = doc[:n] == doc[len(doc) - n :] if n else np.zeros(0, bool)
-        self.pos = np.arange(n) - self.words.first[self.doc] if n else np.zeros(0, np.int64)
+        self.doc = doc[a:b]
+        self.valid = self.doc == ahead  # a window ends in the text in which it starts
+        self.pos = np.arange(a, b) - words.first[self.doc]
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[Windows]:
+    """The windows of the texts of a slice, in blocks, so that a long text does not need its hashes all
+    at once."""
+    words = Words(data, offsets, SPACE)
+    codes, doc = words.hashes(), words.doc.astype(np.int32)
+    for a in range(0, len(codes) - window + 1, BLOCK):
+        yield Windows(words, codes, doc, a, a + BLOCK, window)
 
 
 def _anchors(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, subs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "sub"))
             for low, _, data, offsets in text_slices(batch.column("text")):
-                w = Windows(data, offsets, window)
-                doc, anchor = w.doc[w.valid], w.anchor[w.valid]
-                fresh = np.ones(len(doc), bool)  # neighbouring windows mostly share their anchor
-                fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[low + doc[fresh]], pa.int64()), pa.array(anchor[fresh].view(np.int64))], names=["id", "anchor"])
+                for w in windows(data, offsets, window):
+                    doc, anchor = w.doc[w.valid], w.anchor[w.valid]
+                    fresh = np.ones(len(doc), bool)  # neighbouring windows mostly share their anchor
+                    fresh[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+                    row = low + doc[fresh]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(subs[row], pa.int64()), pa.array(anchor[fresh].view(np.int64))], names=["id", "sub", "anchor"])
 
     return emit
 
@@ -93,25 +104,19 @@ def _anchors(window: int):
 def _candidates(window: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            subs = batch.column("sub").to_numpy(zero_copy_only=False)
+            ids, subs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "sub"))
             shared = batch.column("shared")
             for low, high, data, offsets in text_slices(batch.column("text")):
-                w = Windows(data, offsets, window)
-                part = shared.slice(low, high - low)
-                known = np.unique(part.flatten().to_numpy())
-                rows = np.flatnonzero(w.valid)
-                if len(known):
-                    anchor = w.anchor[rows].view(np.int64)
+                known = np.unique(shared.slice(low, high - low).flatten().to_numpy())
+                for w in windows(data, offsets, window) if len(known) else ():
+                    r = np.flatnonzero(w.valid)
+                    anchor = w.anchor[r].view(np.int64)
                     spot = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-                    rows = rows[known[spot] == anchor]
-                else:
-                    rows = rows[:0]
-                for a in range(0, len(rows), 200_000):
-                    r = rows[a : a + 200_000]
+                    r = r[known[spot] == anchor]
+                    row = low + w.doc[r]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(w.high[r].view(np.int64)), pa.array((w.low[r] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(ids[low + w.doc[r]], pa.int64()), pa.array(subs[low + w.doc[r]], pa.int32()), pa.array(w.pos[r].astype(np.int32)),
+                        pa.array(ids[row], pa.int64()), pa.array(subs[row], pa.int64()), pa.array(w.pos[r].astype(np.int32)),
                     ], names=["h1", "h2", "id", "sub", "pos"])
 
     return emit
@@ -139,8 +144,11 @@ def _cut(window: int):
                     edges = np.flatnonzero(np.diff(np.concatenate([[True], kept, [True]])))
                     n_words.append(b - a)
                     n_removed.append(int((~kept).sum()))
-                    digest = b" ".join([joined[s:e] for s, e in zip(words.start[a:b][kept].tolist(), words.end[a:b][kept].tolist())])
-                    digests.append(hashlib.sha256(digest).hexdigest())
+                    digest, left = hashlib.sha256(), a + np.flatnonzero(kept)
+                    for c in range(0, len(left), 50_000):
+                        part = left[c : c + 50_000]
+                        digest.update(b" " * (c > 0) + b" ".join([joined[s:e] for s, e in zip(words.start[part].tolist(), words.end[part].tolist())]))
+                    digests.append(digest.hexdigest())
                     spans.append([{"first": int(s), "last": int(e)} for s, e in zip(edges[::2], edges[1::2])])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").slice(low, high - low), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests),
@@ -153,12 +161,12 @@ def _cut(window: int):
 def repeated_windows(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     """(id, sub, places): the first words of the windows of ``docs(id, sub, text)`` that start in an
     earlier text; ``copies(id, sub)`` are left out."""
-    anchors = materialize(docs.select("id", "text").mapInArrow(_anchors(window), "id long, anchor long"), "anchors")
-    own = anchors.join(copies.select("id"), "id", "left_anti")
+    anchors = materialize(docs.select("id", "sub", "text").mapInArrow(_anchors(window), "id long, sub long, anchor long"), "anchors")
+    own = anchors.join(copies, ["id", "sub"], "left_anti")
     common = materialize(own.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("anchor"), "shared")
-    by_doc = materialize(own.join(common, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared")), "by_doc")
-    some = docs.join(by_doc, "id").select("id", "sub", "text", "shared")
-    found = materialize(some.mapInArrow(_candidates(window), "h1 long, h2 int, id long, sub int, pos int"), "windows")
+    by_doc = materialize(own.join(common, "anchor").groupBy("id", "sub").agg(F.collect_set("anchor").alias("shared")), "by_doc")
+    some = docs.join(by_doc, ["id", "sub"]).select("id", "sub", "text", "shared")
+    found = materialize(some.mapInArrow(_candidates(window), "h1 long, h2 int, id long, sub long, pos int"), "windows")
     first = materialize(found.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").drop("hi"), "first")
     again = found.join(first, ["h1", "h2"]).filter("id > lo")
     return materialize(again.groupBy("id", "sub").agg(F.collect_set("pos").alias("places")), "places")
@@ -169,7 +177,7 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     words joined by single spaces, and ``removed``, the maximal intervals [first, last) of words."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     #: rows with equal doc_id are told apart by a hash of their texts
-    keyed = rows.select(F.col("doc_id").alias("id"), F.hash("text").alias("sub"), "text")
+    keyed = rows.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("sub"), "text")
     hashed = keyed.select("id", "sub", F.sha2("text", 256).alias("sha"))
     least = materialize(hashed.groupBy("sha").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "equal")
     copies = materialize(hashed.join(least, "sha").filter("id > lo").select("id", "sub").distinct(), "copies")
