@@ -9,8 +9,10 @@ k(x, landmarks) K^(-1/2); in it, one ridge regression for each language against
 in closed form. Scoring multiplies a batch's bit matrix by the landmarks' and the result by the
 weights: two batched matrix products.
 
-Bounds: ``per_language`` training texts of a language at most, the first in a hash order of doc_id;
-of these, ``landmarks`` divided by the number of languages are landmarks.
+Bounds: ``per_language`` training texts of a language at most, the first in a hash order of doc_id and
+text, each of ``longest`` bytes at most, and ``rows`` training texts of all languages together (with
+very many languages each has fewer; with more languages than that the fit raises an error, no language
+is left out). Of these, ``landmarks`` divided by the number of languages are landmarks.
 
 Edge cases: ``und`` with score 0 for null texts, texts without a letter, and where nothing could be
 learned; rows with null lang or doc_id do not train; ties go to the language first in code-point
@@ -19,6 +21,7 @@ order.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docvigil.llm.common import hash_order, text_slices
+from docvigil.llm.common import SLICE_BYTES, hash_order, text_slices
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -58,36 +61,46 @@ class LanguageModel:
 
 def presence(data: np.ndarray, offsets: np.ndarray, n: int, buckets: int) -> np.ndarray:
     """The bit matrix of texts: which hashed n-grams of 1 to ``n`` bytes each has."""
-    base = int(offsets[0])
-    text = _LOWER[data[base : int(offsets[-1])]].astype(np.uint32)
-    ends = offsets[1:] - base
     count = len(offsets) - 1
-    row = np.repeat(np.arange(count, dtype=np.int64) * buckets, np.diff(offsets))
     bits = np.zeros(count * buckets, np.float32)
     shift = np.uint32(32 - (buckets.bit_length() - 1))
-    code = text.copy()
-    last = np.repeat(ends, np.diff(offsets))
-    place = np.arange(len(text))
-    for k in range(1, n + 1):
-        if k > 1:
-            code = code[:-1] * np.uint32(257) + text[k - 1 :] if len(text) >= k else code[:0]
-        m = len(code)
-        spot = ((code + np.uint32(k * 0x9E3779)) * np.uint32(2654435761)) >> shift
-        inside = place[:m] + k <= last[:m]
-        bits[row[:m][inside] + spot[inside]] = 1
+    for low in range(int(offsets[0]), int(offsets[-1]), SLICE_BYTES):  # a block sees the n - 1 bytes after it
+        high = min(low + SLICE_BYTES, int(offsets[-1]))
+        text = _LOWER[data[low : min(high + n - 1, int(offsets[-1]))]].astype(np.uint32)
+        place = np.arange(low, high)
+        owner = np.repeat(np.arange(count), np.diff(np.clip(offsets, low, high)))
+        row, last = owner * buckets, offsets[owner + 1]
+        code = text.copy()
+        for k in range(1, n + 1):
+            if k > 1:
+                code = code[:-1] * np.uint32(257) + text[k - 1 :] if len(text) >= k else code[:0]
+            m = min(len(code), high - low)
+            spot = ((code[:m] + np.uint32(k * 0x9E3779)) * np.uint32(2654435761)) >> shift
+            inside = place[:m] + k <= last[:m]
+            bits[row[:m][inside] + spot[inside]] = 1
     return bits.reshape(count, buckets)
 
 
-def language_sample(docs: DataFrame, train: Column, per_language: int) -> pa.Table:
-    """(doc_id, text, lang) of at most ``per_language`` rows of each language."""
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(train).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
-    counts = rows.groupBy("l").agg(F.count("id").alias("n"))
-    turn = F.pmod(hash_order(F.col("id")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    # thin by hash first, so that a language's window holds a few times per_language rows, not all
-    thin = rows.join(F.broadcast(counts.orderBy(F.desc("n"), "l").limit(1000)), "l").filter(turn * F.col("n") < 3 * per_language + 30)
-    ids = thin.withColumn("turn", turn).withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("turn", "id"))).filter(F.col("r") <= per_language).select("id", "l")
-    picked = docs.join(F.broadcast(ids), (docs["doc_id"] == ids["id"]) & (docs["lang"] == ids["l"]))
-    return picked.select("doc_id", "text", "lang").toArrow()
+def language_sample(docs: DataFrame, train: Column, per_language: int, rows: int = 200_000, longest: int = 32_768) -> pa.Table:
+    """(doc_id, text, lang) of at most ``per_language`` rows of each language and ``rows`` in all, of texts
+    of ``longest`` bytes at most."""
+    some = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(F.octet_length("text") <= longest).filter(train)
+    keys = some.select(F.col("doc_id").alias("id"), F.col("lang").alias("l"), hash_order(F.col("doc_id"), F.col("text")).alias("turn"))
+    counts = keys.groupBy("l").agg(F.approx_count_distinct("turn").alias("n"))
+    n_languages = counts.count()
+    if n_languages > rows:
+        raise ValueError(f"{n_languages} languages, more than the {rows} rows of the sample")
+    most = min(per_language, rows // max(1, n_languages))
+    share = F.pmod(F.col("turn"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # thin by hash first, so that a language's window holds a few times its rows, not all
+    thin = keys.join(F.broadcast(counts), "l")  # `rows` rows at most
+    thin = thin.filter(share * F.col("n") < 3 * most + 30).select("id", "l", "turn").distinct()
+    nth = F.row_number().over(Window.partitionBy("l").orderBy(share, "id", "turn"))
+    picked = thin.withColumn("nth", nth).filter(F.col("nth") <= most).select("id", "l", "turn")
+    texts = some.select(F.col("doc_id").alias("of"), F.col("text").alias("words"), F.col("lang").alias("tongue"), hash_order(F.col("doc_id"), F.col("text")).alias("of_turn"))
+    found = texts.join(F.broadcast(picked), (F.col("of") == F.col("id")) & (F.col("tongue") == F.col("l")) & (F.col("of_turn") == F.col("turn")))
+    # rows equal in all count once
+    return found.groupBy("of", "tongue", "of_turn").agg(F.first("words").alias("text")).select(F.col("of").alias("doc_id"), "text", F.col("tongue").alias("lang")).toArrow()
 
 
 def fit_language(sample: pa.Table, n: int = 3, buckets: int = 1 << 15, landmarks: int = 96, ridge: float = 0.05) -> LanguageModel:
@@ -96,7 +109,8 @@ def fit_language(sample: pa.Table, n: int = 3, buckets: int = 1 << 15, landmarks
     names = sorted(set(lang.tolist()))
     if not names:
         return LanguageModel([], n, buckets, np.zeros((0, buckets), np.float32), np.zeros((0, 0), np.float32))
-    order = np.lexsort((ids, lang.astype(str)))
+    spot = np.array([zlib.crc32(t.encode()) for t in sample.column("text").to_pylist()])
+    order = np.lexsort((spot, ids, lang.astype(str)))
     texts = sample.column("text").take(pa.array(order))
     lang = lang[order]
     per = max(2, landmarks // len(names))
@@ -125,7 +139,7 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             for low, high, data, offsets in text_slices(batch.column("text")):
                 found = model.scores(data, offsets) if model.languages else None
-                seen = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])
+                seen = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data], dtype=np.int32)])
                 letters = seen[offsets[1:]] > seen[offsets[:-1]]
                 for i in np.flatnonzero(~letters).tolist():
                     letters[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode())
