@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Extra columns whose names the operators use inside.
-CLASHES = ["row", "uid", "key", "size", "kept", "name", "id", "data", "head", "fp", "rep", "copy", "start", "ids", "batch", "rate", "copies", "u"]
+CLASHES = ["row", "uid", "key", "size", "kept", "name", "id", "data", "head", "fp", "rep", "copy", "start", "ids", "batch", "rate", "copies", "u", "toxic", "quality", "l", "words", "gone_id", "text_hash", "of", "turn", "is_toxic", "part", "place", "sub", "nth", "of_text", "s", "tilt", "bin"]
 
 
 def vocabulary(name: str) -> str:

@@ -128,6 +128,60 @@ def test_language(spark):
     assert predict_language(docs.limit(0), model).count() == 0
 
 
+def plain_grams(text: str, n: int, buckets: int) -> set[int]:
+    """The hashed n-grams of a text, by loops over its bytes."""
+    data, out, bits = text.translate(LOWER).encode(), set(), buckets.bit_length() - 1
+    for k in range(1, n + 1):
+        for i in range(len(data) - k + 1):
+            code = data[i]
+            for c in data[i + 1 : i + k]:
+                code = (code * 257 + c) & 0xFFFFFFFF
+            out.add(((code + k * 0x9E3779) * 2654435761 & 0xFFFFFFFF) >> (32 - bits))
+    return out
+
+
+def test_language_equals_a_dense_kernel_and_ridge(spark, monkeypatch):
+    from docvigil.llm import language_id
+
+    monkeypatch.setattr(language_id, "SLICE_BYTES", 100)  # texts are read in several blocks
+    rows = language_rows(60)
+    sample = language_sample(frame(spark, rows), F.lit(True), 15)
+    model = fit_language(sample, n=3, buckets=1 << 12, landmarks=9, ridge=0.05)
+    train = sorted(((r["lang"], r["doc_id"], r["text"]) for r in sample.to_pylist()))
+    names = sorted({t[0] for t in train})
+    assert len(train) == 45
+    grams = [plain_grams(t[2], 3, 1 << 12) for t in train]
+    marks = [g for x in names for g in [g for t, g in zip(train, grams) if t[0] == x][:3]]
+    kernel = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    km = np.array([[kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(km)
+    vector, value = vector[:, value > 1e-6 * value.max()], value[value > 1e-6 * value.max()]  # texts with the same n-grams
+    phi = np.array([[kernel(g, m) for m in marks] for g in grams]) @ vector / np.sqrt(value)
+    w = np.diag([1 / sum(t[0] == u[0] for u in train) for t in train])
+    solution = {}
+    for x in names:  # one ridge regression for each language against the rest
+        y = np.array([1.0 if t[0] == x else -1.0 for t in train])
+        solution[x] = np.linalg.solve(phi.T @ w @ phi + 0.05 * len(names) / 100 * np.eye(phi.shape[1]), phi.T @ w @ y)
+    found = {r.doc_id: r for r in predict_language(frame(spark, rows), model).collect()}
+    for i, text, _, _ in rows:
+        f = np.array([kernel(plain_grams(text, 3, 1 << 12), m) for m in marks]) @ vector / np.sqrt(value)
+        scores = {x: float(f @ solution[x]) for x in names}
+        best = max(names, key=lambda x: scores[x])
+        assert found[i].lang_pred == best and math.isclose(found[i].score, min(1, max(0, (scores[best] + 1) / 2)), abs_tol=1e-4)
+
+
+def test_samples_are_bounded_however_often_an_id_repeats(spark):
+    rows = [(7, sentence(random.Random(i % 90), 20), "en", None) for i in range(400)] + [(i, "kurz " * 20_000, "de", None) for i in range(5)] + [(100 + i, "wort", "de", None) for i in range(3)]
+    docs = frame(spark, rows)
+    sample = language_sample(docs, F.lit(True), 30).to_pylist()
+    assert Counter(r["lang"] for r in sample) == {"en": 30, "de": 3} and len({r["text"] for r in sample if r["lang"] == "en"}) == 30
+    with pytest.raises(ValueError):
+        language_sample(docs, F.lit(True), 30, rows=1)
+    assert Counter(r["lang"] for r in language_sample(docs, F.lit(True), 30, rows=4).to_pylist()) == {"en": 2, "de": 2}
+    labels = spark.createDataFrame([(7, 1, 1), *[(i, 1, 0) for i in (*range(5), 100, 101)]], "doc_id long, quality int, toxic int")
+    assert Counter(r["toxic"] for r in labelled_sample(docs, labels, F.lit(True), 20, 10).to_pylist()) == {1: 20, 0: 2}
+
+
 def test_language_without_training_rows(spark):
     docs = frame(spark, [(1, "abc", None, None)])
     model = fit_language(language_sample(docs, F.lit(True), 10))
@@ -175,6 +229,24 @@ def test_simhash(spark):
     assert near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_keep_one_loses_no_text_of_a_repeated_id(spark):
+    rng = random.Random(4)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(3, a, None, None), (5, a, None, None), (5, b, None, None), (9, c, None, None), (9, c, None, None), (None, a, None, None), (7, None, None, None), (7, "", None, None), (8, " ", None, None)]
+    kept = sorted(((r.doc_id, r.text) for r in keep_one(frame(spark, rows)).collect()), key=repr)
+    null_or_empty = [k for k in kept if k[0] == 7]
+    assert len(null_or_empty) == 1 and [k for k in kept if k[0] != 7] == sorted([(3, a), (5, b), (9, c), (9, c), (None, a)], key=repr)
+
+
+def test_fingerprint_of_a_long_text_in_steps(spark, monkeypatch):
+    from docvigil.llm import simhash
+
+    monkeypatch.setattr(simhash, "STEP", 7)
+    text = sentence(random.Random(3), 200)
+    batch = frame(spark, [(1, text, None, None)])
+    assert int(near_duplicates(batch).first().fingerprint, 16) == fingerprint(text)
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -240,6 +312,28 @@ def test_substring_dedup_of_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in found) == [(1, 0), (1, 0), (1, 0), (2, 80)]
 
 
+def test_substring_dedup_of_several_texts_of_an_id(spark):
+    rng = random.Random(12)
+    a, b, c = (sentence(rng, 90) for _ in range(3))
+    part = " ".join(b.split()[10:70])
+    rows = [(3, a), (5, a), (5, b), (7, f"{sentence(rng, 20)} {part} {c}"), (None, part), (9, part)]
+    found = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup(frame(spark, [(*r, None, None) for r in rows])).collect() if r.doc_id)
+    assert found == [(3, 90, 0), (5, 90, 0), (5, 90, 90), (7, 170, 60), (9, 60, 60)]
+
+
+def test_windows_in_blocks(monkeypatch):
+    from docvigil.llm import substring_dedup as module
+
+    texts = [sentence(random.Random(i), n) for i, n in enumerate((0, 3, 50, 400, 49, 120))]
+    (_, _, data, offsets), = common.text_slices(pa.array(texts))
+    whole = list(module.windows(data, offsets, 50))
+    monkeypatch.setattr(module, "BLOCK", 13)
+    parts = list(module.windows(data, offsets, 50))
+    for name in ("anchor", "high", "low", "doc", "valid", "pos"):
+        assert np.array_equal(np.concatenate([getattr(w, name) for w in parts]), getattr(whole[0], name))
+    assert len(whole) == 1 and len(parts) > 20
+
+
 # ---------------------------------------------------------------- 5
 
 
@@ -279,6 +373,52 @@ def test_mixing(spark):
     assert repeated.columns == frame(spark, rows).columns and repeated.count() == sum(r.copies for r in found)
 
 
+def dense_rates(sizes: np.ndarray, target: float, most: float) -> np.ndarray:
+    """Rates in [0, most] with the target in tokens that are nearest to 1 in entropy, by bisection of the dual."""
+    x = sizes / sizes.mean()
+    low, high = -1e6, 1e6
+    for _ in range(300):
+        mid = (low + high) / 2
+        rates = np.minimum(most, np.exp(np.minimum(mid * x, 50)))
+        low, high = (mid, high) if (rates * sizes).sum() < target else (low, mid)
+    return rates
+
+
+def test_rates_equal_a_dense_solver(spark):
+    rng = random.Random(18)
+    rows = [(i, sentence(rng, int(rng.lognormvariate(3, 1)) + 1), None, rng.choice(["a", "b", "b", "b", "c", "d", "d", "e"])) for i in range(900)] + [(1000, "one", None, "f")]
+    found = defaultdict(list)
+    for r in mix_sources(frame(spark, rows)).select("row.source", "size", "target", "rate").collect():
+        found[r.source].append(r)
+    varied = 0
+    for of in found.values():
+        size, rate = np.array([r["size"] for r in of], float), np.array([r.rate for r in of])
+        assert np.allclose(rate, dense_rates(size, of[0].target, 3), rtol=1e-6) and math.isclose((rate * size).sum(), of[0].target, rel_tol=1e-7)
+        varied += len(set(np.round(rate, 6))) > 5
+    assert varied >= 4
+
+
+def test_mixing_counts_every_repeated_row(spark):
+    rng = random.Random(2)
+    rows = [(7, "one two three four", None, "a")] * 200 + [(i, sentence(rng, 9), None, "a") for i in range(100, 140)] + [(900 + i, sentence(rng, 30), None, "b") for i in range(40)]
+    taken, wanted = Counter(), {}
+    for r in mix_sources(frame(spark, rows)).select("row.source", "target", "taken").collect():
+        taken[r.source] += r.taken
+        wanted[r.source] = r.target
+    for k, t in wanted.items():
+        assert taken[k] <= t + 1e-6 and t - taken[k] < (9 if k == "a" else 30), (k, taken, wanted)
+
+
+def test_many_sources(spark):
+    rows = [(i, sentence(random.Random(i), 1 + i % 17), None, f"s{i % 131}") for i in range(800)] + [(900, None, None, "t"), (901, "x", None, None)]
+    found = {r.source: r for r in mix_sources(frame(spark, rows)).select("row.source", "target", "source_size").collect()}
+    sizes: dict = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    wanted = targets(dict(sizes))
+    assert all(math.isclose(found[k].target, wanted[k], rel_tol=1e-9) and found[k].source_size == sizes[k] for k in wanted)
+
+
 def test_mixing_of_awkward_rows(spark):
     rows = awkward()
     assert mix_sources(frame(spark, rows)).count() == len(rows)
@@ -343,6 +483,35 @@ def test_several_pages_and_broken_files(spark):
     assert decode_pages(files.limit(0)).count() == 0
 
 
+def test_fuzzed_files_give_rows_with_an_error(spark):
+    rng = np.random.RandomState(4)
+    page = rng.randint(0, 4, (40, 48)).astype(np.uint8)
+    rows = []
+    for scheme in (1, 5, 8, 32773):
+        for tile in (0, 16):
+            whole = encode_page(page, scheme, 2, 9, tile)
+            for _ in range(60):
+                data = bytearray(whole)
+                for at in rng.randint(0 if rng.rand() < 0.2 else len(data) - 250, len(data), 3):
+                    data[max(0, at)] = rng.randint(0, 256)
+                rows.append(bytes(data[: len(data) - rng.randint(0, 9) * int(rng.rand() < 0.2)]))
+    entry = lambda tag, kind, value: tag.to_bytes(2, "little") + kind.to_bytes(2, "little") + (1).to_bytes(4, "little") + value.to_bytes(4, "little")
+
+    def made(*entries: bytes) -> bytes:
+        return b"II*\0" + (8).to_bytes(4, "little") + len(entries).to_bytes(2, "little") + b"".join(entries) + bytes(4)
+
+    size, eight = (entry(256, 4, 1 << 30), entry(257, 4, 1 << 30)), entry(258, 3, 8)
+    small = (entry(256, 4, 8), entry(257, 4, 8))
+    rows += [made(*size, eight, entry(273, 4, 8), entry(279, 4, 4)), made(*small, eight, entry(324, 4, 8), entry(325, 4, 4)), made(*small, eight, entry(322, 4, 0), entry(323, 4, 0), entry(324, 4, 8), entry(325, 4, 4)), made(*small, eight, entry(273, 4, 8), entry(279, 4, 4), entry(277, 3, 0))]
+    found = decode_pages(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k int, media binary")).toPandas()
+    assert set(found.k) == set(range(len(rows))) and found[found.k >= len(rows) - 4].error.notna().all()
+    assert (found.error.notna() == found.pixels.isna()).all() and found.error.notna().sum() > 50
+    with pytest.raises(ValueError):
+        from docvigil.llm.tiff_media import directories, page_samples
+
+        page_samples(whole, next(directories(whole)), most_bytes=100)
+
+
 def test_texts_as_pages(spark):
     rows = awkward()
     pages = with_features(decode_pages(texts_as_files(frame(spark, rows)))).toPandas()
@@ -411,6 +580,47 @@ def test_toxicity(spark):
     assert drop_toxic(docs.limit(0), model).count() == 0
 
 
+def test_one_forward_pass_by_loops(spark, monkeypatch):
+    """Scores, the common cut and a language's threshold against loops over words and filters."""
+    from docvigil.llm import toxicity
+
+    rows, labels = toxic_rows(300)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = fit_toxicity(labelled_sample(frame(spark, rows), table, F.lit(True), 150, 150), epochs=1, steps=20)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)  # texts are scored in overlapping blocks
+    texts = [rows[0][1], rows[1][1], "", None, "vermin", "VERMIN! 9 swine", rows[2][1] + " " + rows[3][1]]
+    found = {r.doc_id: r for r in score_toxicity(frame(spark, [(i, t, "en", None) for i, t in enumerate(texts)]), model).collect()}
+    import re
+
+    known = {int(h): i + 1 for i, h in enumerate(model.vocabulary.tolist())}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[a-z\x80-\U0010ffff]+", (t or "").translate(LOWER))
+        ids = []
+        for w in words:
+            data = np.frombuffer(w.encode(), np.uint8)
+            ids.append(known.get(int(common.words_hash(data, np.array([0]), np.array([len(data)]))[0]), 0))
+        hidden = []
+        for k, w in enumerate(model.filters):
+            for f in range(w.shape[2]):
+                answers = [sum(float(model.embedding[ids[p + j]] @ w[j, :, f]) for j in range(len(w)) if p + j < len(ids)) for p in range(len(ids))]
+                hidden.append(max(0.0, (max(answers) if answers else 0.0) + float(model.bias[k * w.shape[2] + f])))
+        logit = sum(h * float(x) for h, x in zip(hidden, model.weights[:-1])) + float(model.weights[-1]) + model.shift
+        assert math.isclose(found[i].score, 1 / (1 + math.exp(-logit)), abs_tol=1e-4)
+        assert found[i].threshold == model.thresholds.get("en", 0.5) and found[i].rejected == (found[i].score >= found[i].threshold)
+
+
+def test_a_cut_has_the_best_f1():
+    from docvigil.llm.toxicity import _cut
+
+    rng = np.random.RandomState(2)
+    for _ in range(40):
+        n = rng.randint(2, 30)
+        z, y = rng.randint(0, 8, n).astype(float), rng.randint(0, 2, n).astype(float)
+        y[0] = 1
+        f1 = lambda c: 2 * ((z >= c) & (y == 1)).sum() / ((z >= c).sum() + y.sum())
+        assert math.isclose(f1(_cut(z, y)), max(f1(c) for c in z))
+
+
 def test_toxicity_without_labels(spark):
     rows, _ = toxic_rows(20)
     docs = frame(spark, rows)
@@ -436,6 +646,46 @@ def test_importance(spark):
     assert len(out) == len(odd) and out[out.doc_id.isin([0, 1, 2])].log_weight.eq(0).all()
 
 
+def test_importance_equals_plain_counts_and_gumbel_keys(spark):
+    rng = random.Random(16)
+    rows = [(i, sentence(rng, rng.randint(0, 30)) if i % 3 else " ".join(f"{rng.randint(0, 9)}# W{rng.randint(0, 3)}" for _ in range(15)), None, None) for i in range(120)]
+    labels = [(i, int(i % 3 != 0), 0) for i in range(0, 120, 2)]
+    buckets = 1 << 10
+    spread = {r.doc_id: r for r in frame(spark, rows).select("doc_id", "text", ((F.pmod(F.xxhash64("doc_id", "text", F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))).alias("drawn")).collect()}
+    M = (1 << 64) - 1
+
+    def mixed64(x: int, seed: int) -> int:
+        x = (x + 0x9E3779B97F4A7C15 * (seed + 1)) & M
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M
+        return x ^ (x >> 31)
+
+    def grams(text: str) -> list[int]:
+        h = []
+        for w in WORD.findall(text.translate(LOWER)):
+            total = 0
+            for i, b in enumerate(w.encode()):
+                total = (total + mixed64(b, 11) * pow(0xD1342543DE82EF95, i, 1 << 64)) & M
+            h.append(mixed64(total ^ len(w.encode()), 3))
+        return [x % buckets for x in h] + [mixed64((a * 3 + b) & M, 9) % buckets for a, b in zip(h[:-1], h[1:])]
+
+    good = {i for i, q, _ in labels if q}
+    raw, target = Counter(), Counter()
+    for i, t, _, _ in rows:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    n_raw, n_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    weight = lambda b: math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw)
+    wanted = {i: sum(weight(b) for b in grams(t)) for i, t, _, _ in rows}
+    key = {i: w - math.log(-math.log(spread[i].drawn)) for i, w in wanted.items()}
+    k = round(len(good) / len(labels) * len(rows))
+    kept = set(sorted(key, key=lambda i: -key[i])[:k])
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for r in importance_sample(frame(spark, rows), table, buckets=buckets).collect():
+        assert math.isclose(r.log_weight, wanted[r.doc_id], abs_tol=1e-8) and math.isclose(r.gumbel_key, key[r.doc_id], abs_tol=1e-8) and r.kept == (r.doc_id in kept)
+
+
 def test_kth_largest_is_exact(spark):
     rng = random.Random(3)
     values = [rng.choice([rng.gauss(0, 1e6), 3.0, -1e-9]) for _ in range(500)]
