@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docvigil.functions.text import norm
 from docvigil.operators.cells import rules
+from docvigil.operators.fixpoint import written
 
 EVENT_FILTERS = ("document_id", "block_id", "conversion_id", "job_id", "action", "status")
 
@@ -85,25 +86,52 @@ def approval_check(events: DataFrame, by: list[str]) -> DataFrame:
     the earlier edits and needs-fix marks of its target, as far as their source, where both name one, is
     its own. Marks of another conversion do not count; edits of another conversion count only where none
     of the approval's own exists, and only with the approved text. Edits without an actor do not count.
+
+    An approval never meets its key's events one by one. The last edit and mark are running maxima in one
+    ordered window: an event stands under its source and conversion and under any, an approval looks where
+    its own agree, four rows each at most. Whether there was an edit by an actor or with a text is decided
+    by the first such event of each source and conversion.
     """
-    cols = ("actor", "text", "conversion", "source")
-    appr = events.filter("action = 'approve'").select(*by, "seq", "original", *cols)
-    past = events.filter("action IN ('edit', 'needs_fix')").select(*by, F.col("seq").alias("p_seq"), "action", *[F.col(c).alias(f"p_{c}") for c in cols])
-    no = F.lit(False)
+    no, any_of = F.lit(False), F.lit("*")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    e = events.filter("action IN ('approve', 'edit', 'needs_fix')").withColumns({"is_appr": F.col("action") == "approve", "edited": (F.col("action") == "edit") & F.col("actor").isNotNull()})
+
+    def seen(c: str) -> Column:
+        asks = F.when(F.col(c).isNull(), F.array(any_of)).otherwise(F.array(named(c), F.lit("-")))
+        return F.when(F.col("is_appr"), asks).otherwise(F.array(named(c), any_of))
+
+    spots = e.withColumn("at_source", F.explode(seen("source"))).withColumn("at_conversion", F.explode(seen("conversion")))
+    before = Window.partitionBy(*by, "at_source", "at_conversion").orderBy("seq", F.col("is_appr").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("edited"), F.struct("seq", "text"))).over(before)
+    fix = F.max(F.when(F.col("action") == "needs_fix", F.col("seq"))).over(before)
+    ran = spots.withColumns({"last": last, "fix": fix}).filter("is_appr").groupBy(*by, "seq").agg(F.max("last").alias("last"), F.max("fix").alias("fix"))
+    appr = e.filter("is_appr").select(*by, "seq", "actor", "text", "original", "conversion", "source")
+
+    edits = e.filter("edited")
+    earlier = F.col("p_seq") < F.col("seq")
     differ = lambda c: F.coalesce(F.col(c) != F.col(f"p_{c}"), no)
-    j = appr.join(past, by, "left").withColumns({"before": F.coalesce(F.col("p_seq") < F.col("seq"), no) & ~differ("source"), "other": differ("conversion")})
-    edit = F.col("before") & (F.col("action") == "edit") & F.col("p_actor").isNotNull()
-    own, far = edit & ~F.col("other"), edit & F.col("other") & F.coalesce(F.col("text") == F.col("p_text"), no)
-    mark = F.col("before") & (F.col("action") == "needs_fix") & ~F.col("other")
-    any_ = lambda c: F.coalesce(F.bool_or(c), no)
-    mine = F.col("actor") == F.col("p_actor")
-    g = j.groupBy(*by, "seq").agg(
-        F.first("text").alias("text"), F.first("original").alias("original"), F.max(F.when(own, F.col("p_seq"))).alias("last"), F.max_by("p_text", F.when(own, F.col("p_seq"))).alias("latest"), F.max(F.when(mark, F.col("p_seq"))).alias("fix"),
-        any_(own & mine).alias("same"), any_(own & (F.col("conversion") == F.col("p_conversion"))).alias("matched"), any_(far).alias("far"), any_(far & mine).alias("far_same"))
+
+    def first(keys: list[str]) -> DataFrame:
+        """The first edit of each source and conversion for the given columns."""
+        other = [c for c in ("conversion", "source") if c not in keys]
+        return edits.groupBy(*by, *keys, *other).agg(F.min("seq").alias("p_seq")).select(*by, *keys, "p_seq", *[F.col(c).alias(f"p_{c}") for c in other])
+
+    def found(keys: list[str], holds: Column, name: str) -> DataFrame:
+        j = appr.join(first(keys), [*by, *keys]).filter(earlier & ~differ("source") & holds)
+        return j.select(*by, "seq").distinct().withColumn(name, F.lit(True))
+
+    g = appr.join(ran, [*by, "seq"], "left")
+    for keys, holds, name in (
+        (["actor"], ~differ("conversion"), "same"), (["conversion"], F.lit(True), "matched"),
+        (["text"], differ("conversion"), "far"), (["text", "actor"], differ("conversion"), "far_same"),
+    ):
+        g = g.join(found(keys, holds, name), [*by, "seq"], "left")
+    g = g.fillna(False, ["same", "matched", "far", "far_same"])
     far_counts = ~F.col("matched") & F.col("far")
-    wanted = F.when(F.col("last").isNotNull(), F.col("latest")).otherwise(F.col("original"))
+    at = F.col("last.seq")
+    wanted = F.when(at.isNotNull(), F.col("last.text")).otherwise(F.col("original"))
     bad = rules(
-        ("needs fix", F.coalesce(F.col("fix") > F.coalesce("last", F.lit(0)), no)), ("same actor", F.col("same") | (far_counts & F.col("far_same"))), ("no edit", F.col("last").isNull() & ~far_counts),
+        ("needs fix", F.coalesce(F.col("fix") > F.coalesce(at, F.lit(0)), no)), ("same actor", F.col("same") | (far_counts & F.col("far_same"))), ("no edit", at.isNull() & ~far_counts),
         ("stale text", ~F.col("text").eqNullSafe(wanted) | (far_counts & ~F.col("text").eqNullSafe(F.col("original")))))
     return g.select(*by, "seq", F.concat_ws("; ", bad).alias("against"))
 
@@ -176,10 +204,17 @@ def check_entities(df: DataFrame, key: str, texts: list[str], hashes: list[str],
 
 
 def backlog(jobs: DataFrame) -> DataFrame:
-    """Queued jobs with their rank in their mode, and whether a heavy one waits for a running one."""
+    """Queued jobs with their rank in their mode, and whether a heavy one waits for a running one. Jobs are
+    dealt out by ranges of (mode, seq, job_id), numbered inside them, and get the numbers of the ranges
+    before: a mode with most of the queue is many tasks."""
     running = jobs.filter("status = 'running' AND mode = 'heavy'").select("mode").distinct().withColumn("busy", F.lit(True))
-    q = jobs.filter("status = 'queued'").withColumn("place", F.row_number().over(Window.partitionBy("mode").orderBy("seq", "job_id")))
-    return q.join(F.broadcast(running), "mode", "left").select("job_id", "mode", "place", F.coalesce("busy", F.lit(False)).alias("blocked"))
+    q = jobs.filter("status = 'queued'").select("mode", "seq", "job_id").repartitionByRange("mode", "seq", "job_id").withColumn("part", F.spark_partition_id())
+    q = written(q)
+    counts = q.groupBy("mode", "part").agg(F.count("job_id").alias("n"))  # a row a range
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("mode").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("mode", "part").orderBy("seq", "job_id"))
+    q = q.withColumn("nth", place).join(counts.select("mode", "part", before.alias("before")), ["mode", "part"])
+    return q.join(running, "mode", "left").select("job_id", "mode", (F.col("nth") + F.col("before")).alias("place"), F.coalesce("busy", F.lit(False)).alias("blocked"))
 
 
 def job_view(jobs: DataFrame) -> DataFrame:
@@ -193,11 +228,6 @@ def event_view(events: DataFrame) -> DataFrame:
     return events.select("event_id", "job_id", "action", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_trunc("second", "ts").alias("at"))
 
 
-def audit_record(df: DataFrame, key: str, source: str, output: str) -> DataFrame:
-    """Rows with their contents replaced by digests and lengths."""
-    return df.select(key, F.sha2(source, 256).alias("source_sha256"), F.sha2(output, 256).alias("output_sha256"), F.length(source).alias("source_chars"), F.length(output).alias("output_chars"))
-
-
 def check_review_events(e: DataFrame) -> DataFrame:
     """Review events with malformed fields, and the revised text that each stands for."""
     bad = rules(
@@ -209,7 +239,7 @@ def check_review_events(e: DataFrame) -> DataFrame:
 
 def check_decisions(decisions: DataFrame, items: DataFrame, roles: DataFrame) -> DataFrame:
     """Decisions by roles that may not decide, on items that are not open, or too low for high risk."""
-    j = decisions.join(items, "item_id", "left").join(F.broadcast(roles), "role", "left")
+    j = decisions.join(items, "item_id", "left").join(roles, "role", "left")
     high = F.col("risk").isin("high", "critical")
     bad = rules(("role", ~F.coalesce("may_decide", F.lit(False))), ("item", F.coalesce(F.col("state") != "open", F.lit(True))), ("high risk needs approval", F.coalesce(high, F.lit(False)) & ~((F.col("decision") == "approve") & F.coalesce("may_approve_high", F.lit(False)))))
     return j.select("decision_id", F.concat_ws("; ", bad).alias("violations")).filter("violations <> ''")

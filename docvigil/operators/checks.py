@@ -111,11 +111,25 @@ def scenario_failures(results: DataFrame) -> DataFrame:
 
 
 def sheet_grid(cells: DataFrame, most_rows: int = 1024, most_columns: int = 256) -> DataFrame:
-    """Sheets' cells as dense rows: blank rows and columns stay up to a size, beyond it they close up."""
-    w = Window.partitionBy("sheet")
-    c = cells.withColumns({"h": F.max("row").over(w), "v": F.max("col").over(w)})
-    dense = (F.col("h") <= most_rows) & (F.col("v") <= most_columns)
-    c = c.withColumns({"r": F.when(dense, F.col("row")).otherwise(F.dense_rank().over(w.orderBy("row"))), "c": F.when(dense, F.col("col")).otherwise(F.dense_rank().over(w.orderBy("col")))})
-    c = c.withColumn("last", F.max("c").over(w))
-    rows = c.groupBy("sheet", "r", "last").agg(F.map_from_entries(F.collect_list(F.struct("c", "value"))).alias("m"))
-    return rows.select("sheet", F.col("r").alias("row"), F.transform(F.sequence(F.lit(1), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))).alias("cells"))
+    """Sheets' filled cells as rows: (sheet, place from 1, cells).
+
+    ``cells(sheet, nth, row, col, value)``; of cells at one place the last counts. Up to ``most_columns``
+    wide, columns keep their places, and up to ``most_rows`` high, blank rows stay as well; beyond, rows
+    without a cell go. In wider sheets each row closes up by itself. Cells without a place follow at the
+    end, one a row, in their order.
+    """
+    c = cells.filter(F.coalesce(F.col("value"), F.lit("")) != "")
+    placed = c.filter("row IS NOT NULL AND col IS NOT NULL").groupBy("sheet", "row", "col").agg(F.max_by("value", "nth").alias("value"))
+    rows = placed.groupBy("sheet", "row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("filled"), F.max("col").alias("last"))
+    span = rows.groupBy("sheet").agg(F.max("row").alias("high"), F.max("last").alias("wide"), F.count("row").alias("n"))
+    span = span.withColumns({"gaps": (F.col("wide") <= most_columns) & (F.col("high") <= most_rows), "aligned": F.col("wide") <= most_columns})
+    blanks = span.filter("gaps").select("sheet", F.explode(F.sequence(F.lit(1), F.col("high"))).alias("row")).join(rows.select("sheet", "row"), ["sheet", "row"], "left_anti").withColumn("filled", F.array().cast(rows.schema["filled"].dataType))
+    j = rows.select("sheet", "row", "filled").unionByName(blanks).join(span, "sheet")
+    at = F.map_from_entries("filled")
+    wide = F.transform(F.sequence(F.lit(1), F.col("wide")), lambda i: F.coalesce(F.try_element_at(at, i), F.lit("")))
+    values = F.when(F.col("aligned"), wide).otherwise(F.transform("filled", lambda x: x["value"]))
+    nth = F.when(F.col("gaps"), F.col("row")).otherwise(F.row_number().over(Window.partitionBy("sheet").orderBy("row")))
+    grid = j.select("sheet", nth.cast("long").alias("place"), values.alias("cells"))
+    loose = c.filter("row IS NULL OR col IS NULL").join(span.select("sheet", F.when(F.col("gaps"), F.col("high")).otherwise(F.col("n")).alias("above")), "sheet", "left")
+    after = F.coalesce("above", F.lit(0)) + F.row_number().over(Window.partitionBy("sheet").orderBy("nth"))
+    return grid.unionByName(loose.select("sheet", after.cast("long").alias("place"), F.array("value").alias("cells")))

@@ -8,13 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder that does not exist yet on the storage that the cluster shares."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as ``spark.checkpoint.dir`` names it. Only on a local master a
+    folder of this machine stands in for it; executors elsewhere would each write to their own disk."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/docvigil-{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder that does not exist yet on the storage that the cluster shares."""
+    return f"{shared_folder(spark)}/docvigil-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from json import dumps
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,24 +42,36 @@ def latest_templates(versions: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- anchors and scores
 
 
+#: Characters of the piece by which texts that contain others are found.
+PIECE = 4
+
+
 def match_anchors(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     """(doc_id, template_id, anchor_id, block_id, page, y, x) of blocks that an anchor's page, type and text allow.
 
     ``exact`` texts are the same as written, ``contains`` and all others compare folded texts; blank is
-    nothing. A table header is looked for in the cells of table blocks only. Texts are folded and cut into
-    cells before the join, once for all anchors. Anchors are a dimension table; Spark broadcasts it while
-    it is small.
+    nothing. A table header is looked for in the cells of table blocks only. Blocks and anchors meet on
+    equal keys, a shuffle or a broadcast as Spark sees fit: the text as written, the folded text, and for
+    ``contains`` the first ``PIECE`` characters of the anchor among all pieces of the text.
     """
+    exact, inside = F.col("mode") == "exact", F.col("mode") == "contains"
     a = anchors.select("template_id", "anchor_id", "mode", F.col("kind").alias("anchor_kind"), F.col("text").alias("anchor_text"), fold(F.col("text")).alias("name"), F.col("page").alias("anchor_page"), "block_types")
-    cells = F.when(F.col("type") == "table", F.flatten(split_table(F.col("text"))))
-    b = blocks.select("doc_id", "block_id", "page", "type", "y", "x", "text", fold(F.col("text")).alias("plain"), cells.alias("cells"))
-    b = b.withColumn("names", F.transform("cells", fold))
+    a = a.withColumn("in_cells", F.col("anchor_kind") == "table_header").filter(F.when(exact, F.col("anchor_text") != "").otherwise(F.col("name") != ""))
+    a = a.withColumn("key", F.when(exact, F.concat(F.lit("="), "anchor_text")).when(inside, F.concat(F.lit("<"), F.substring("name", 1, PIECE))).otherwise(F.concat(F.lit("~"), "name")))
+    sizes = [r[0] for r in a.filter(inside).select(F.least(F.length("name"), F.lit(PIECE)).alias("n")).distinct().collect()]  # PIECE numbers at most
+    b = blocks.select("doc_id", "block_id", "page", "type", "y", "x", F.explode(F.concat(
+        F.array(F.struct(F.lit(False).alias("of_cell"), F.col("text").alias("written"))),
+        F.when(F.col("type") == "table", F.transform(F.flatten(split_table(F.col("text"))), lambda c: F.struct(F.lit(True).alias("of_cell"), c.alias("written")))).otherwise(F.array().cast("array<struct<of_cell:boolean,written:string>>")),
+    )).alias("t")).select("doc_id", "block_id", "page", "type", "y", "x", "t.*").withColumn("plain", fold(F.col("written")))
+
+    def pieces(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length("plain") - n + 1), lambda i: F.concat(F.lit("<"), F.substring(F.col("plain"), i, F.lit(n))))
+        return F.when(F.length("plain") >= n, cut).otherwise(F.array().cast("array<string>"))
+
+    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), "written"), F.concat(F.lit("~"), "plain")), *[pieces(n) for n in sizes]))
     scope = (F.col("anchor_page").isNull() | (F.col("page") == F.col("anchor_page"))) & (F.col("block_types").isNull() | F.array_contains("block_types", F.col("type")))
-    exact, inside, named = F.col("mode") == "exact", F.col("mode") == "contains", F.col("name") != ""
-    in_text = F.when(exact, (F.col("text") == F.col("anchor_text")) & (F.col("text") != "")).when(inside, named & F.contains("plain", "name")).otherwise(named & (F.col("plain") == F.col("name")))
-    in_cell = F.when(exact, F.array_contains("cells", F.col("anchor_text")) & (F.col("anchor_text") != "")).when(inside, named & F.exists("names", lambda c: F.contains(c, F.col("name")))).otherwise(named & F.array_contains("names", F.col("name")))
-    hit = F.when(F.col("anchor_kind") == "table_header", in_cell).otherwise(in_text)
-    return b.join(a, scope & hit).select("doc_id", "template_id", "anchor_id", "block_id", "page", "y", "x")
+    hits = b.withColumn("key", F.explode(keys)).join(a, "key").filter((F.col("of_cell") == F.col("in_cells")) & scope & (~inside | F.contains("plain", "name")))
+    return hits.select("doc_id", "template_id", "anchor_id", "block_id", "page", "y", "x").distinct()
 
 
 def anchor_roles(anchors: DataFrame, fields: DataFrame, tables: DataFrame) -> DataFrame:
@@ -70,7 +85,7 @@ def anchor_roles(anchors: DataFrame, fields: DataFrame, tables: DataFrame) -> Da
     return j.select(*key, F.coalesce("need", ~F.col("may"), by_kind).alias("required"), "scope_page")
 
 
-def score_templates(docs: DataFrame, roles: DataFrame, matches: DataFrame, pages: DataFrame, tables: DataFrame) -> DataFrame:
+def score_templates(docs: DataFrame, roles: DataFrame, matches: DataFrame, pages: DataFrame, tables: DataFrame, every: bool = True) -> DataFrame:
     """One row a document and template: 0.6 x anchors + 0.2 x pages + 0.2 x tables, and the class.
 
     Anchors: the share found of those that are required or found. Pages: the share of the required
@@ -78,16 +93,22 @@ def score_templates(docs: DataFrame, roles: DataFrame, matches: DataFrame, pages
     (``tables(doc_id, template_id, table_id, share)``, null where the table was not found); without
     tables, 1. A document without pages, a missing required anchor or page caps the score at 0.79, an
     incomplete table at 0.94; known from 0.95, candidate from 0.80.
+
+    With ``every``, documents times templates is the size of the result. Without, only pairs with a found
+    anchor or table have a row; all others are unknown, and the work grows with what was found.
     """
     key = ["doc_id", "template_id"]
     per = roles.groupBy("template_id").agg(F.count_if("required").alias("needed"), F.collect_set(F.when(F.col("required"), F.col("scope_page"))).alias("scoped"))
     found = matches.select(*key, "anchor_id").distinct().join(roles, ["template_id", "anchor_id"])
     found = found.groupBy(*key).agg(F.count("anchor_id").alias("matched"), F.count_if("required").alias("met"))
-    # documents times templates is the size of the result; anchors meet it as counts
-    s = docs.select("doc_id").join(per, F.lit(True)).join(found, key, "left").fillna(0, ["matched", "met"])
+    t = tables.groupBy(*key).agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("columns"), F.bool_or(F.coalesce(F.col("share") < 1, F.lit(False))).alias("partial"), F.bool_or(F.col("share").isNotNull()).alias("any_table"))
+    if every:  # anchors meet the pairs as counts
+        pairs = docs.select("doc_id").join(per, F.lit(True))
+    else:
+        pairs = found.select(*key).unionByName(t.filter("any_table").select(*key)).distinct().join(docs.select("doc_id").distinct(), "doc_id", "left_semi").join(per, "template_id")
+    s = pairs.join(found, key, "left").fillna(0, ["matched", "met"])
     s = s.withColumns({"anchors": F.coalesce(F.try_divide(F.col("matched"), F.col("needed") + F.col("matched") - F.col("met")), F.lit(0.0)), "lacks": F.col("met") < F.col("needed")})
     seen = pages.groupBy("doc_id").agg(F.collect_set("page").alias("seen"))
-    t = tables.groupBy(*key).agg(F.avg(F.coalesce("share", F.lit(0.0))).alias("columns"), F.bool_or(F.coalesce(F.col("share") < 1, F.lit(False))).alias("partial"))
     s = s.join(seen, "doc_id", "left").join(t, key, "left")
     have = F.size(F.array_intersect("scoped", F.coalesce("seen", F.array().cast("array<int>"))))
     page_share = F.when(F.size("scoped") == 0, 1.0).otherwise(have / F.size("scoped"))
@@ -144,7 +165,18 @@ def label_values(blocks: DataFrame, fields: DataFrame) -> DataFrame:
     value ends where another label of the template begins."""
     others = F.collect_set("label").over(Window.partitionBy("template_id"))
     f = fields.select("template_id", "field_id", "label").withColumn("stops", F.array_except(others, F.array("label")))
-    j = blocks.select("doc_id", "block_id", "text").join(f, F.contains(F.lower("text"), F.lower(F.trim("label"))))
+    # a label ends right before a colon: both sides meet on its last letters there
+    tail = F.regexp_extract(F.lower(F.trim("label")), "[^:：]*$", 0)
+    f = f.withColumn("key", F.right(tail, F.least(F.length(tail), F.lit(PIECE))))
+    sizes = [r[0] for r in f.select(F.length("key")).distinct().collect()]  # PIECE + 1 numbers at most
+    parts = F.split(F.lower("text"), "[:：]", -1)
+    ends = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.regexp_replace(p, r"\s+$", ""))
+
+    def last(n: int) -> Column:
+        return F.transform(F.filter(ends, lambda p: F.length(p) >= n), lambda p: F.right(p, F.lit(n)))
+
+    keys = F.array_distinct(F.concat(F.array().cast("array<string>"), *[last(n) for n in sizes]))
+    j = blocks.select("doc_id", "block_id", "text", F.explode(keys).alias("key")).join(f, "key")
     return j.withColumn("value", value_after(F.col("text"), F.col("label"), F.col("stops"))).filter("value IS NOT NULL").select("doc_id", "block_id", "template_id", "field_id", "value")
 
 
@@ -192,16 +224,19 @@ def risk_policy(fields: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def key_conflicts(keys: DataFrame) -> DataFrame:
-    """Pairs of output keys of a template that are equal or one is a dotted prefix of the other.
+    """Conflicts of output keys of a template: (template_id, a, b, a_key, b_key).
 
-    A key is joined with its own prefixes, of which it has as many as dots, not with all others.
+    Of fields with one key the least stands for all: each other one is paired with it, and only
+    these representatives are paired where one key is a dotted prefix of the other. A key is joined
+    with its own prefixes, of which it has as many as dots, not with all others.
     """
-    k = keys.withColumn("parts", F.split("output_key", r"\."))
-    prefixes = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", 1, i), "."))
-    long = k.select("template_id", F.col("field_id").alias("b"), F.col("output_key").alias("b_key"), F.explode(prefixes).alias("a_key"))
-    short = keys.select("template_id", F.col("field_id").alias("a"), F.col("output_key").alias("a_key"))
-    j = short.join(long, ["template_id", "a_key"]).filter((F.col("a") != F.col("b")) & ((F.col("a_key") != F.col("b_key")) | (F.col("a") < F.col("b"))))
-    return j.select("template_id", "a", "b", "a_key", "b_key")
+    k = keys.groupBy("template_id", "output_key").agg(F.min("field_id").alias("first"))
+    equal = keys.join(k, ["template_id", "output_key"]).filter(F.col("field_id") != F.col("first")).select("template_id", F.col("first").alias("a"), F.col("field_id").alias("b"), F.col("output_key").alias("a_key"), F.col("output_key").alias("b_key"))
+    parts = F.split("output_key", r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    long = k.filter(F.size(parts) > 1).select("template_id", F.col("first").alias("b"), F.col("output_key").alias("b_key"), F.explode(prefixes).alias("a_key"))
+    short = k.select("template_id", F.col("first").alias("a"), F.col("output_key").alias("a_key"))
+    return short.join(long, ["template_id", "a_key"]).select("template_id", "a", "b", "a_key", "b_key").unionByName(equal)
 
 
 def key_classes(keys: DataFrame) -> DataFrame:
@@ -218,17 +253,18 @@ def key_classes(keys: DataFrame) -> DataFrame:
     return up.unionByName(down).groupBy("template_id", "output_key").agg(*[F.sum(c).alias(c) for c in ("equal", "shorter", "longer")]).filter("equal + shorter + longer > 0")
 
 
-def cross_field(values: DataFrame, pairs: DataFrame, most: int = 20) -> DataFrame:
+def cross_field(values: DataFrame, pairs: DataFrame) -> DataFrame:
     """Fields that stay reviewed when every field whose rule needs an unreviewed or larger one has gone.
 
     ``values(doc_id, field_id, number)``, ``pairs(field_id, related)``: number <= related's number, and
-    the related field must itself stay. Rounds end when nothing goes, after as many as fields at most.
+    the related field must itself stay. Rounds end when nothing goes, at the latest when no field is left:
+    each round but the last takes a field of some document.
     """
     from docvigil.operators.fixpoint import written
 
     live = written(values)
     n = live.count()
-    for _ in range(most):
+    while True:
         other = live.select("doc_id", F.col("field_id").alias("related"), F.col("number").alias("limit"))
         j = live.join(pairs, "field_id").join(other, ["doc_id", "related"], "left")
         gone = j.filter(F.coalesce(F.col("number") > F.col("limit"), F.lit(True))).select("doc_id", "field_id").distinct()
@@ -247,19 +283,69 @@ def map_fields(fields: DataFrame) -> DataFrame:
     return fields.groupBy("doc_id").agg(F.to_json(F.map_from_entries(entries)).alias("output"), F.count_if(ok).alias("confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(~ok, F.concat_ws(": ", "field_id", "warning")))), "; ").alias("review"))
 
 
-def check_templates(templates: DataFrame, fields: DataFrame, levels: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(template_id, problem, n): repeated field ids, undeclared risk levels, unmapped fields, mappings to nothing."""
-    repeated = fields.groupBy("template_id", "field_id").count().filter("count > 1").select("template_id", F.lit("repeated field").alias("problem"))
-    risk = fields.join(levels, [fields["template_id"] == levels["template_id"], fields["risk_level"] == levels["level"]], "left_anti").select("template_id", F.lit("undeclared risk level").alias("problem"))
-    unmapped = fields.join(mapping, ["template_id", "field_id"], "left_anti").select("template_id", F.lit("unmapped field").alias("problem"))
-    stray = mapping.join(fields, ["template_id", "field_id"], "left_anti").select("template_id", F.lit("mapping to nothing").alias("problem"))
-    every = repeated.unionByName(risk).unionByName(unmapped).unionByName(stray).groupBy("template_id", "problem").agg(F.count(F.lit(1)).alias("n"))
+def check_templates(templates: DataFrame, fields: DataFrame, levels: DataFrame, mapping: DataFrame, anchors: DataFrame | None = None, tables: DataFrame | None = None, rule_table: DataFrame | None = None) -> DataFrame:
+    """(template_id, problem, n): what makes a template's definition inconsistent.
+
+    Always: repeated field ids, undeclared risk levels, unmapped fields, mappings to nothing. With
+    ``anchors(template_id, anchor_id, kind, block_types)``, sources of fields and of ``tables(template_id,
+    table_id, anchor_id, output_key)`` are checked as well; fields then have ``anchor_id``, ``direction``,
+    ``output_key``. With ``rule_table(template_id, rule_id, target, rule_type, expected_type, minimum,
+    maximum, allowed, related, operator)``, targets and operands are; fields then have ``value_type``,
+    ``required`` and ``rule_ids``.
+    """
+    key = ["template_id", "field_id"]
+
+    def problem(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("template_id", F.lit(name).alias("problem"))
+
+    found = [
+        problem(fields.groupBy(*key).count().filter("count > 1"), "repeated field"),
+        problem(fields.join(levels, [fields["template_id"] == levels["template_id"], fields["risk_level"] == levels["level"]], "left_anti"), "undeclared risk level"),
+        problem(fields.join(mapping, key, "left_anti"), "unmapped field"), problem(mapping.join(fields, key, "left_anti"), "mapping to nothing"),
+    ]
+    if anchors is not None:
+        a = anchors.select("template_id", "anchor_id", ((F.col("kind") == "table_header") & F.coalesce(F.array_contains("block_types", "table"), F.lit(False))).alias("of_table"))
+        found.append(problem(anchors.groupBy("template_id", "anchor_id").count().filter("count > 1"), "repeated anchor"))
+        uses = fields.select("template_id", "anchor_id", (F.col("direction") == "table_cell").alias("needs_table"), "output_key")
+        if tables is not None:
+            found.append(problem(tables.groupBy("template_id", "table_id").count().filter("count > 1"), "repeated table"))
+            uses = uses.unionByName(tables.select("template_id", "anchor_id", F.lit(True).alias("needs_table"), "output_key"))
+        j = uses.join(a.groupBy("template_id", "anchor_id").agg(F.bool_or("of_table").alias("of_table")), ["template_id", "anchor_id"], "left")
+        found += [problem(j.filter("of_table IS NULL"), "undeclared anchor"), problem(j.filter("needs_table AND NOT of_table"), "anchor of no table")]
+        found.append(problem(uses.groupBy("template_id", "output_key").count().filter("count > 1"), "repeated output key"))
+    if rule_table is not None:
+        found.append(problem(rule_table.groupBy("template_id", "rule_id").count().filter("count > 1"), "repeated rule"))
+        named = fields.select(*key, F.explode("rule_ids").alias("rule_id"))
+        found.append(problem(named.join(rule_table, ["template_id", "rule_id"], "left_anti"), "undeclared rule"))
+        of = rule_table.select("template_id", "rule_id", F.col("target").alias("field_id"))
+        found.append(problem(named.join(of, ["template_id", "rule_id"]).filter(named["field_id"] != of["field_id"]), "rule of another field"))
+        found.append(problem(of.join(fields.select(*key), key, "left_semi").join(named, [*key, "rule_id"], "left_anti"), "rule that its field does not name"))
+        f = fields.groupBy(*key).agg(F.first("value_type").alias("value_type"), F.bool_or("required").alias("is_required"))
+        r = rule_table.join(f.withColumnRenamed("field_id", "target"), ["template_id", "target"], "left")
+        r = r.join(f.select("template_id", F.col("field_id").alias("related"), F.col("value_type").alias("related_type")), ["template_id", "related"], "left")
+        kind, no = F.col("rule_type"), F.lit(False)
+        dates, numbers = ("before", "before_or_equal", "after", "after_or_equal"), ("less_than", "less_than_or_equal", "greater_than", "greater_than_or_equal")
+        number = lambda v: v.try_cast("double").isNotNull()
+        fits = F.forall("allowed", lambda v: F.when(F.col("value_type") == "number", number(v)).when(F.col("value_type") == "boolean", v.isin("true", "false")).otherwise(v.isNotNull()))
+        pair = F.when(F.col("operator").isin(*dates), (F.col("value_type") == "date") & (F.col("related_type") == "date")).when(F.col("operator").isin(*numbers), (F.col("value_type") == "number") & (F.col("related_type") == "number")).otherwise(F.col("value_type") == F.col("related_type"))
+        bad = [
+            ("rule of no field", F.col("value_type").isNull()), ("required rule of an optional field", (kind == "required") & ~F.col("is_required")),
+            ("rule of another type", (kind == "type") & ~F.coalesce(F.col("expected_type") == F.col("value_type"), no)),
+            ("range of no numbers", (kind == "range") & (F.col("value_type") != "number")), ("range without limits", (kind == "range") & F.col("minimum").isNull() & F.col("maximum").isNull()),
+            ("empty range", (kind == "range") & F.coalesce(F.col("minimum") > F.col("maximum"), no)), ("values of another type", (kind == "allowed") & ~F.coalesce(fits, no)),
+            ("related to no other field", (kind == "cross_field") & (F.col("related_type").isNull() | (F.col("related") == F.col("target")))), ("no operator", (kind == "cross_field") & F.col("operator").isNull()),
+            ("operator of other types", (kind == "cross_field") & F.col("related_type").isNotNull() & ~F.coalesce(pair, no)),
+            ("unknown rule type", ~kind.isin("required", "type", "range", "allowed", "cross_field")),
+        ]
+        found.append(r.select("template_id", F.explode(rules(*[(n, F.coalesce(c, no)) for n, c in bad])).alias("problem")))
+    every = reduce(DataFrame.unionByName, found).groupBy("template_id", "problem").agg(F.count(F.lit(1)).alias("n"))
     return templates.select("template_id").distinct().join(every, "template_id")
 
 
 def check_schema(df: DataFrame, key: str, json: str, rule_table: list[tuple[str, str, object]]) -> DataFrame:
-    """Rows whose JSON object breaks a rule (field, kind, operand): required, enum, pattern, minimum,
-    min_items, and keys that no rule names."""
+    """Rows whose JSON object breaks a rule (field, kind, operand): required, const, enum, pattern, type,
+    minimum, above (exclusive), maximum, min_items, and keys that no rule names. A text that is no object
+    breaks every rule of what must be there; a rule of another kind is an error."""
     value = lambda f: F.get_json_object(json, f"$.{f}")
     named = sorted({f for f, _, _ in rule_table})
     bad: list[tuple[str, Column]] = []
@@ -269,12 +355,24 @@ def check_schema(df: DataFrame, key: str, json: str, rule_table: list[tuple[str,
             bad.append((f"{f} is required", v.isNull()))
         elif kind == "enum":
             bad.append((f"{f} is not allowed", v.isNotNull() & ~v.isin(*x)))
+        elif kind == "const":
+            bad.append((f"{f} is another constant", v.isNotNull() & (v != F.lit(x if isinstance(x, str) else dumps(x)))))
+        elif kind == "type":
+            of = F.lower(F.expr(f"schema_of_variant(variant_get(try_parse_json({json}), '$.{f}'))"))
+            names = {"string": "string", "number": "bigint|double|decimal.*|float", "integer": "bigint", "boolean": "boolean", "array": "array.*", "object": "object.*", "null": "void"}
+            bad.append((f"{f} has another type", F.coalesce(~of.rlike(f"^({names[x]})$"), F.lit(False))))
+        elif kind == "maximum":
+            bad.append((f"{f} is too large", v.isNotNull() & F.coalesce(v.try_cast("double") > x, F.lit(True))))
+        elif kind == "above":
+            bad.append((f"{f} is not above its limit", v.isNotNull() & F.coalesce(v.try_cast("double") <= x, F.lit(True))))
         elif kind == "pattern":
             bad.append((f"{f} has another form", v.isNotNull() & ~v.rlike(x)))
         elif kind == "minimum":
             bad.append((f"{f} is too small", v.isNotNull() & F.coalesce(v.try_cast("double") < x, F.lit(True))))
         elif kind == "min_items":
             bad.append((f"{f} has too few items", v.isNotNull() & F.coalesce(F.json_array_length(v) < x, F.lit(True))))
+        else:
+            raise ValueError(f"unknown kind of rule: {kind}")
     extra = F.size(F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*[F.lit(x) for x in named]))) > 0
     bad.append(("unknown key", extra))
     return df.select(key, F.concat_ws("; ", rules(*bad)).alias("violations")).filter("violations <> ''")

@@ -24,32 +24,48 @@ def w7(spark, sf_dir):
     return A.sequence_gaps(view(spark, sf_dir, "log"), ["job_id"])
 
 
+#: An event's canonical JSON in SQL, as its digest has it.
+_CANONICAL = """'{{"action":"' || action || '","actor":' || {actor} || ',"job_id":' || job_id || ',"previous_hash":"' || {previous} || '","seq":' || seq || '}}'"""
 
 
 def _sealed(spark, sf_dir):
-    log = view(spark, sf_dir, "log").filter("event_id % 1511 <> 5")
-    mark = lambda n: F.sha2(F.concat(F.col("job_id").cast("string"), F.lit("-"), n.cast("string")), 256)
-    e = log.select("job_id", "event_id", F.col("true_seq").alias("seq"), "action", "actor", F.when(F.col("true_seq") == 1, "").otherwise(mark(F.col("true_seq") - 1)).alias("previous_hash"))
-    # the digest of an event stands for its place here, so that the links can be stated in SQL
-    return e.withColumn("event_hash", F.when(F.col("event_id") % 733 == 1, F.lit("altered")).otherwise(mark(F.col("seq"))))
+    """The log as chains of digests, each job's events in order."""
+    log = view(spark, sf_dir, "log").select("job_id", "event_id", F.col("true_seq").alias("seq"), "action", "actor")
+    chain = "array<struct<seq:bigint,event_id:bigint,action:string,actor:bigint,previous_hash:string,event_hash:string>>"
+    e = F.struct(*[F.col(c).cast("string" if c == "action" else "long").alias(c) for c in ("seq", "event_id", "action", "actor")])
 
+    def link(done, x):
+        previous = F.coalesce(F.try_element_at(done, F.lit(-1))["event_hash"], F.lit(""))
+        canonical = F.concat(F.lit('{"action":"'), x["action"], F.lit('","actor":'), x["actor"].cast("string"), F.lit(',"job_id":'), F.col("job_id").cast("string"), F.lit(',"previous_hash":"'), previous, F.lit('","seq":'), x["seq"].cast("string"), F.lit("}"))
+        return F.concat(done, F.array(F.struct(x["seq"].alias("seq"), x["event_id"].alias("event_id"), x["action"].alias("action"), x["actor"].alias("actor"), previous.alias("previous_hash"), F.sha2(canonical, 256).alias("event_hash"))))
 
-@query("w8_verify_chain", duck("log") + """, e AS (SELECT job_id, event_id, true_seq AS seq, CASE WHEN true_seq = 1 THEN '' ELSE sha256(job_id || '-' || (true_seq - 1)) END AS prev, CASE WHEN event_id % 733 = 1 THEN 'altered' ELSE sha256(job_id || '-' || true_seq) END AS h FROM log WHERE event_id % 1511 <> 5),
-    j AS (SELECT e.*, b.h AS before FROM e LEFT JOIN e b ON b.job_id = e.job_id AND b.seq = e.seq - 1), v AS (SELECT job_id, seq, concat_ws('; ', CASE WHEN seq > 1 AND before IS NULL THEN 'sequence gap' END, CASE WHEN seq > 1 AND before <> prev THEN 'broken link' END) AS violations FROM j) SELECT * FROM v WHERE violations <> ''""")
+    jobs = log.groupBy("job_id").agg(F.array_sort(F.collect_list(e)).alias("events"))
+    return jobs.select("job_id", F.explode(F.aggregate("events", F.array().cast(chain), link)).alias("e")).select("job_id", "e.*")
+
+
+def _tampered(spark, sf_dir):
+    """Chains in which events were lost, rewritten and linked elsewhere after they were sealed."""
+    n = F.col("event_id")
+    return _sealed(spark, sf_dir).filter(n % 151 != 5).withColumns({"actor": F.when(n % 73 == 1, F.col("actor") + 100).otherwise(F.col("actor")), "previous_hash": F.when(n % 109 == 7, F.lit("elsewhere")).otherwise(F.col("previous_hash"))})
+
+
+_CHAIN = duck("log").replace("WITH ", "WITH RECURSIVE ", 1) + f""", o AS (SELECT job_id, event_id, true_seq AS seq, action, actor FROM log),
+    c AS (SELECT job_id, event_id, seq, action, actor, '' AS previous_hash, sha256({_CANONICAL.format(actor="actor", previous="''")}) AS event_hash FROM o WHERE seq = 1
+    UNION ALL SELECT o.job_id, o.event_id, o.seq, o.action, o.actor, c.event_hash, sha256({_CANONICAL.format(actor="o.actor", previous="c.event_hash").replace("action ||", "o.action ||").replace("|| job_id", "|| o.job_id").replace("|| seq", "|| o.seq")}) FROM c JOIN o ON o.job_id = c.job_id AND o.seq = c.seq + 1),
+    t AS (SELECT job_id, event_id, seq, action, CASE WHEN event_id % 73 = 1 THEN actor + 100 ELSE actor END AS actor, CASE WHEN event_id % 109 = 7 THEN 'elsewhere' ELSE previous_hash END AS previous_hash, event_hash FROM c WHERE event_id % 151 <> 5)"""
+
+
+@query("w8_verify_chain", _CHAIN + f""", j AS (SELECT t.*, b.event_hash AS before FROM t LEFT JOIN t b ON b.job_id = t.job_id AND b.seq = t.seq - 1),
+    v AS (SELECT job_id, seq, concat_ws('; ', CASE WHEN seq > 1 AND before IS NULL THEN 'sequence gap' END, CASE WHEN CASE WHEN seq = 1 THEN previous_hash <> '' ELSE before <> previous_hash END THEN 'broken link' END, CASE WHEN event_hash <> sha256({_CANONICAL.format(actor="actor", previous="previous_hash")}) THEN 'content changed' END) AS violations FROM j) SELECT * FROM v WHERE violations <> ''""")
 def w8(spark, sf_dir):
-    v = A.verify_chain(_sealed(spark, sf_dir), ["job_id"], ["job_id", "seq", "action", "actor"])
-    links = F.array_join(F.array_except(F.split("violations", "; "), F.array(F.lit("content changed"))), "; ")
-    return v.withColumn("violations", links).filter("violations <> ''")
+    return A.verify_chain(_tampered(spark, sf_dir), ["job_id"], ["job_id", "seq", "action", "actor"])
 
 
-@query("w8_content_changed", "WITH n AS (SELECT count(*) AS n FROM events WHERE event_id % 50 = 0) SELECT n AS altered, n AS found FROM n")
+@query("w8_content_changed", _CHAIN + f""" SELECT count(CASE WHEN event_id % 73 = 1 OR event_id % 109 = 7 THEN 1 END) AS altered, count(CASE WHEN event_hash <> sha256({_CANONICAL.format(actor="actor", previous="previous_hash")}) THEN 1 END) AS found FROM t""")
 def w8b(spark, sf_dir):
-    e = view(spark, sf_dir, "log").select("job_id", F.col("true_seq").alias("seq"), "action", "actor", "event_id", F.lit("").alias("previous_hash"))
-    sealed = e.withColumn("event_hash", A.event_digest(F.col("previous_hash"), "job_id", "seq", "action", "actor"))
-    altered = F.col("event_id") % 50 == 0
-    forged = sealed.withColumn("actor", F.when(altered, F.col("actor") + 100).otherwise(F.col("actor")))
-    found = A.verify_chain(forged, ["job_id"], ["job_id", "seq", "action", "actor"]).filter("contains(violations, 'content changed')")
-    return forged.agg(F.count_if(altered).alias("altered")).crossJoin(found.agg(F.count("seq").alias("found")))
+    t = _tampered(spark, sf_dir)
+    found = A.verify_chain(t, ["job_id"], ["job_id", "seq", "action", "actor"]).filter("contains(violations, 'content changed')")
+    return t.agg(F.count_if(F.expr("event_id % 73 = 1 OR event_id % 109 = 7")).alias("altered")).crossJoin(found.agg(F.count("seq").alias("found")))
 
 
 @query("w8_chain_heads", duck("log") + ", h AS (SELECT job_id, arg_max(event_id, true_seq) AS e, max(true_seq) AS n FROM log GROUP BY job_id) SELECT job_id, CASE WHEN job_id % 9 = 0 THEN n + 1 ELSE n END AS length, n AS found_length FROM h WHERE job_id % 9 = 0 OR job_id % 10 = 0")
@@ -93,7 +109,7 @@ def j21(spark, sf_dir):
 
 #: Review threads: events of users as edits, requests and approvals of blocks.
 _THREADS = """SELECT user_id, event_id % 3 AS block, event_id AS seq, CASE WHEN event_id % 23 <> 0 THEN CAST(event_id % 4 AS STRING) END AS actor, CASE event_id % 5 WHEN 0 THEN 'edit' WHEN 1 THEN 'needs_fix' WHEN 2 THEN 'approve' WHEN 3 THEN 'approve' ELSE 'edit' END AS action,
-    CAST(event_id % 7 % 2 AS STRING) AS text, CAST(event_id % 2 AS STRING) AS original, CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'k2' WHEN 2 THEN 'k3' ELSE 'k1' END AS conversion, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 13 = 1 THEN 's2' ELSE 's1' END AS source FROM events WHERE event_id % 10 < 6 AND event_id % 150 < 25"""
+    CAST(event_id % 7 % 2 AS STRING) AS text, CAST(event_id % 2 AS STRING) AS original, CASE event_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'k2' WHEN 2 THEN 'k3' ELSE 'k1' END AS conversion, CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 13 = 1 THEN 's2' ELSE 's1' END AS source FROM events"""
 
 
 @query("j22_approval_check", f"""WITH e AS ({_THREADS}), j AS (SELECT a.user_id, a.block, a.seq, a.text, a.original, p.seq AS ps, p.action = 'edit' AND p.actor IS NOT NULL AS ed, p.action = 'needs_fix' AS nf, coalesce(a.conversion <> p.conversion, false) AS oth, coalesce(a.conversion = p.conversion, false) AS con, coalesce(a.actor = p.actor, false) AS mine, p.text AS pt
@@ -193,12 +209,6 @@ def p19(spark, sf_dir):
     return A.event_view(view(spark, sf_dir, "log"))
 
 
-@query("p22_audit_record", "SELECT doc_id, sha256(text) AS source_sha256, sha256(upper(source)) AS output_sha256, CAST(length(text) AS INT) AS source_chars, CAST(length(source) AS INT) AS output_chars FROM documents")
-def p22(spark, sf_dir):
-    d = _sql(spark, sf_dir, (), "SELECT doc_id, text, upper(source) AS out FROM documents")
-    return A.audit_record(d, "doc_id", "text", "out")
-
-
 _REVIEWS = "SELECT conv_id * 100 + turn AS event_id, CASE WHEN turn = 5 THEN 'shout' WHEN turn % 2 = 0 THEN 'edit' ELSE 'approve' END AS action, CASE WHEN conv_id % 9 = 0 THEN ' ' ELSE CAST(conv_id AS STRING) END AS block_id, CASE WHEN conv_id % 8 = 0 THEN 'x' ELSE '{0}' END AS hash, CAST(turn % 4 AS INT) AS page, CASE WHEN turn = 2 THEN NULL WHEN turn = 3 THEN NULL ELSE substr(text, 1, 5) END AS revised, text AS original FROM conversations".format("a" * 64)
 
 

@@ -165,13 +165,13 @@ def w4(spark, sf_dir):
     return B.table_groups(_lines(spark, sf_dir)).select("doc_id", "page", "idx", "table_no")
 
 
-@query("w5_headings", duck("blocks") + """, q AS (SELECT doc_id, page, idx, y, h, type = 'table' AS tabular, CAST(12 + CASE WHEN length(text) % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN idx = 0 THEN 4 ELSE 0 END AS DOUBLE) AS size FROM blocks WHERE idx % 50 < 40 OR idx % 50 > 44),
+@query("w5_headings", duck("blocks") + """, q AS (SELECT doc_id, page, idx, y + CASE WHEN idx % 50 >= 40 THEN 60 ELSE 0 END AS y, h, type = 'table' AS tabular, CAST(12 + CASE WHEN length(text) % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN idx = 0 THEN 4 ELSE 0 END AS DOUBLE) AS size FROM blocks),
     r AS (SELECT *, sum(CASE WHEN y - pb <= 36 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY y) AS run FROM (SELECT *, lag(y + h) OVER (PARTITION BY doc_id, page ORDER BY y) AS pb FROM q)),
     t AS (SELECT *, row_number() OVER w - 1 AS before, max(size) OVER (PARTITION BY doc_id, page ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS largest FROM r WHERE NOT tabular WINDOW w AS (PARTITION BY doc_id, page ORDER BY y)),
     m AS (SELECT a.doc_id, a.page, a.idx, list(b.size ORDER BY b.size) AS s FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.page = b.page AND a.run = b.run AND b.y > a.y WHERE a.before <= 2 GROUP BY ALL)
     SELECT t.doc_id, t.page, t.idx, coalesce(t.size >= 1.2 * m.s[len(m.s) // 2 + 1] AND (t.largest IS NULL OR t.largest <= m.s[len(m.s) // 2 + 1]), false) AS heading FROM t LEFT JOIN m USING (doc_id, page, idx)""")
 def w5(spark, sf_dir):
-    return B.headings(_lines(spark, sf_dir).filter("idx % 50 < 40 OR idx % 50 > 44"))
+    return B.headings(_lines(spark, sf_dir).withColumn("y", F.col("y") + F.when(F.col("idx") % 50 >= 40, 60).otherwise(0)))
 
 
 _PAGES = """, pages_ AS (SELECT doc_id, p AS page, CAST(612 AS DOUBLE) AS width, CAST(700 AS DOUBLE) AS height, CASE WHEN doc_id % 8 = 0 THEN 'px' ELSE 'pt' END AS unit FROM (SELECT doc_id, max(page) AS m FROM blocks GROUP BY doc_id) CROSS JOIN (SELECT 1 AS p UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE p <= m + 1 AND doc_id % 13 <> 0)"""
@@ -249,13 +249,13 @@ def j8(spark, sf_dir):
     return B.below(p, a.withColumn("kind", F.when(F.col("y") % 3 == 0, "label").otherwise("text")))
 
 
-_LABELS = """, lab AS (SELECT doc_id, page, block_id AS label_id, substr(text, 1, 6) AS text, x - 1 AS x, y - 15 AS y, w + 300 AS w, h + 30 AS h FROM blocks WHERE idx % 5 = 0)"""
+_LABELS = """, lab AS (SELECT doc_id, page, block_id AS label_id, text, x - 1 AS x, y - 15 AS y, w + 300 AS w, h + 30 AS h FROM blocks WHERE idx % 5 = 0)"""
 
 
 @query("j11_label_cells", duck("blocks") + _LABELS + f" SELECT l.doc_id, l.page, l.label_id, b.block_id FROM lab l JOIN blocks b ON l.doc_id = b.doc_id AND l.page = b.page AND b.x >= l.x AND b.y >= l.y AND b.x + b.w <= l.x + l.w AND b.y + b.h <= l.y + l.h WHERE {n('l.text')} <> '' AND contains({n('b.text')}, {n('l.text')})")
 def j11(spark, sf_dir):
     b = _blocks(spark, sf_dir)
-    labels = b.filter("idx % 5 = 0").select("doc_id", "page", F.col("block_id").alias("label_id"), F.substring("text", 1, 6).alias("text"), (F.col("x") - 1).alias("x"), (F.col("y") - 15).alias("y"), (F.col("w") + 300).alias("w"), (F.col("h") + 30).alias("h"))
+    labels = b.filter("idx % 5 = 0").select("doc_id", "page", F.col("block_id").alias("label_id"), "text", (F.col("x") - 1).alias("x"), (F.col("y") - 15).alias("y"), (F.col("w") + 300).alias("w"), (F.col("h") + 30).alias("h"))
     return B.label_cells(labels, b)
 
 

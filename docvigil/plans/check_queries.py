@@ -44,26 +44,80 @@ def p21(spark, sf_dir):
     return _sql(spark, sf_dir, (), "SELECT p_partkey, p_size FROM part").select("p_partkey", K.is_high_risk(F.col("p_partkey") % 7 == 0, level, warnings).alias("high"))
 
 
-@query("p15_classify_warnings", duck("blocks") + """, w AS (SELECT block_id, idx, CASE idx % 4 WHEN 0 THEN 'low confidence' WHEN 1 THEN 'text empty' WHEN 2 THEN 'strange' ELSE 'bbox missing; block marked requires_review' END AS e FROM blocks)
-    SELECT block_id, 0 AS place, 'blocks[' || idx || '].' || e AS message, CASE idx % 4 WHEN 0 THEN 'DOCUMENT_LOW_CONFIDENCE' WHEN 1 THEN 'DOCUMENT_TEXT_EMPTY' WHEN 2 THEN 'UNCLASSIFIED_WARNING' ELSE 'DOCUMENT_BBOX_MISSING' END AS code, CASE WHEN idx % 4 = 1 THEN 'error' ELSE 'warning' END AS severity FROM w""")
+#: Warnings by place, each with the code, severity and remedy that it has.
+_WARNINGS = [
+    ("blocks[7].low confidence", "DOCUMENT_LOW_CONFIDENCE", "warning", "Compare the extracted value with the source document before approval."),
+    ("page 3: blocks[12].text empty; block marked requires_review", "DOCUMENT_TEXT_EMPTY", "error", "Compare with the source and supply the missing text before approval."),
+    ("blocks[1].strange", "UNCLASSIFIED_WARNING", "warning", "Review the warning and source evidence before approval."),
+    ("LLM conversion plan fallback: llm_fallback_missing_model", "LLM_FALLBACK_MISSING_MODEL", "warning", "Configure the required local LLM model or review the deterministic result."),
+    ("LLM conversion plan fallback: unknown", "UNCLASSIFIED_WARNING", "warning", "Review the warning and source evidence before approval."),
+    ("LLM conversion blocked: configured API key is not trusted", "LLM_CONFIGURATION_CREDENTIAL_REJECTED", "error", "Replace the placeholder API key with a trusted credential before retrying."),
+    ("OCR conversion setting is not implemented in the local PoC API", "CONVERSION_SETTING_UNSUPPORTED", "warning", "Disable the unsupported setting or use a supported conversion path."),
+    ("llm_fallback_missing_model", "UNCLASSIFIED_WARNING", "warning", "Review the warning and source evidence before approval."),
+]
+
+
+def _sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _lit_array(values: list[str]):
+    return F.array(*[F.lit(v) for v in values])
+
+
+@query("p15_classify_warnings", duck("blocks") + f""", w AS (SELECT block_id, unnest([0, 1]) AS place, unnest([idx % 8, (idx * 3 + 1) % 8]) AS k FROM blocks)
+    SELECT block_id, place, {_sql_list([w[0] for w in _WARNINGS])}[k + 1] AS message, {_sql_list([w[1] for w in _WARNINGS])}[k + 1] AS code, {_sql_list([w[2] for w in _WARNINGS])}[k + 1] AS severity, {_sql_list([w[3] for w in _WARNINGS])}[k + 1] AS remediation FROM w""")
 def p15(spark, sf_dir):
-    e = F.expr("CASE idx % 4 WHEN 0 THEN 'low confidence' WHEN 1 THEN 'text empty' WHEN 2 THEN 'strange' ELSE 'bbox missing; block marked requires_review' END")
-    b = view(spark, sf_dir, "blocks").withColumn("warnings", F.array(F.concat(F.lit("blocks["), F.col("idx").cast("string"), F.lit("]."), e)))
+    said = _lit_array([w[0] for w in _WARNINGS])
+    b = view(spark, sf_dir, "blocks").withColumn("warnings", F.array(F.get(said, F.col("idx") % 8), F.get(said, (F.col("idx") * 3 + 1) % 8)))
     return P.classify_warnings(b, "block_id", "warnings")
 
 
-_PARAMS = """SELECT event_id, CASE event_id % 7 WHEN 0 THEN CONCAT('{"apiKey":"', event_type, '","k":"1"}') WHEN 1 THEN CONCAT('{"user":"', event_type, '","my_auth_header":"x"}') WHEN 2 THEN CONCAT('{"url":"https://me:pw@host/', event_type, '"}') WHEN 3 THEN '{"note":"token=abc123 and more","max_tokens":"5"}'
-    WHEN 4 THEN '{"prompt":"words","content_type":"t"}' WHEN 5 THEN 'password: hunter2, rest' ELSE props END AS p FROM events"""
+#: Parameters with ~ for an event's type, what is left of them without secrets, and what carries content,
+#: as ``path: reason``. Worked out by hand.
+_PARAMS = [
+    ('{"apiKey":"~","k":1}', '{"apiKey":"[REDACTED]","k":1}', ""),
+    ('{"outer":{"password":"open ~ now","deep":{"clientSecret":{"v":"~"}}},"n":1.5}', '{"outer":{"password":"[REDACTED]","deep":{"clientSecret":"[REDACTED]"}},"n":1.5}', ""),
+    ('{"outer":{"token":["~","bb"]},"list":[{"note":"~"},{"session":7}]}', '{"outer":{"token":"[REDACTED]"},"list":[{"note":"~"},{"session":"[REDACTED]"}]}', ""),
+    ('{"url":"https://me:pw@~.org/x","plain":"https://~.org/x?a=1"}', '{"url":"[REDACTED]","plain":"https://~.org/x?a=1"}', ""),
+    ('{"note":"token=abc 123&mode=~","max_tokens":5}', '{"note":"token=[REDACTED]&mode=~","max_tokens":5}', ""),
+    ('{"prompt":"words ~","content_type":"t"}', '{"prompt":"words ~","content_type":"t"}', "prompt: content-bearing name"),
+    ('password: hunter2 ~, rest', 'password: [REDACTED]', ": no JSON object"),
+    ('{"headers":[["Authorization","Digest ~"],["Accept","~"]],"options":[{"name":"api-key","value":"~"},{"name":"mode","value":"~"}]}', '{"headers":[["Authorization","[REDACTED]"],["Accept","~"]],"options":[{"name":"api-key","value":"[REDACTED]"},{"name":"mode","value":"~"}]}', ""),
+    ('{"metadata_json":"{\\"auth\\":{\\"u\\":1},\\"kind\\":\\"~\\"}"}', '{"metadata_json":"{\\"auth\\":\\"[REDACTED]\\",\\"kind\\":\\"~\\"}"}', ""),
+    ('{"json_schema":{"schema":{"properties":{"password":{"type":"string"},"body":{"enum":["open","~ x"]}}}}}', '{"json_schema":{"schema":{"properties":{"password":{"type":"string"},"body":{"enum":["open","~ x"]}}}}}', "json_schema.schema.properties.body.enum: schema literal"),
+    ('[{"secret":"~"},"plain"]', '[{"secret":"[REDACTED]"},"plain"]', ": no JSON object"),
+    ('{"a":{"request":{"messages":[{"role":"u"}]},"message_count":2,"raw_output":"~"},"q":"mode=~&text=hello"}', '{"a":{"request":{"messages":[{"role":"u"}]},"message_count":2,"raw_output":"~"},"q":"mode=~&text=hello"}', "a.request.messages: content-bearing name|a.raw_output: content-bearing name|q: content in a query"),
+    ('{"a":"{broken, secret ~"}', '{"a":"[REDACTED]"}', ""),
+    ('{"a":"sk-~1234","b":"Bearer ~","c":"%70assword%3D~"}', '{"a":"[REDACTED]","b":"Bearer [REDACTED]","c":"[REDACTED]"}', ""),
+]
+
+
+def _params(spark, sf_dir):
+    e = _sql(spark, sf_dir, (), "SELECT event_id, event_type FROM events")
+    return e.select("event_id", F.replace(F.get(_lit_array([p[0] for p in _PARAMS]), (F.col("event_id") % len(_PARAMS)).cast("int")), F.lit("~"), F.col("event_type")).alias("p"))
+
+
+@query("p17_redact_params", f"SELECT event_id, replace({_sql_list([p[1] for p in _PARAMS])}[event_id % {len(_PARAMS)} + 1], '~', event_type) AS parameters FROM events")
+def p17(spark, sf_dir):
+    return P.redact_params(_params(spark, sf_dir), "event_id", "p")
 
 
-@query("p17_redact_params", f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN '{{"apiKey":"[REDACTED]","k":"1"}}' WHEN 1 THEN replace(p, '"x"', '"[REDACTED]"') WHEN 2 THEN replace(p, 'me:pw', '[REDACTED]') WHEN 3 THEN replace(p, 'abc123', '[REDACTED]') WHEN 4 THEN p WHEN 5 THEN 'password: [REDACTED], rest' ELSE regexp_replace(p, '"k": (\\d+)', '"k":"\\1"') END AS parameters FROM ({_PARAMS})""")
-def p17(spark, sf_dir):
-    return P.redact_params(_sql(spark, sf_dir, (), _PARAMS), "event_id", "p")
+_CONTENT_SQL = f"SELECT event_id, unnest(string_split({_sql_list([p[2] for p in _PARAMS])}[event_id % {len(_PARAMS)} + 1], '|')) AS f FROM events"
 
 
-@query("p18_reject_content", f"SELECT event_id, 'prompt' AS name, 'content-bearing name' AS reason FROM ({_PARAMS}) WHERE event_id % 7 = 4")
+@query("p18_reject_content", f"WITH c AS ({_CONTENT_SQL}) SELECT event_id, string_split(f, ': ')[1] AS name, string_split(f, ': ')[2] AS reason FROM c WHERE f <> ''")
 def p18(spark, sf_dir):
-    return P.reject_content(_sql(spark, sf_dir, (), _PARAMS), "event_id", "p")
+    return P.reject_content(_params(spark, sf_dir), "event_id", "p")
+
+
+_LINEAGE = "SELECT doc_id, text, upper(source) AS out, CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE 'm1' END AS model, 'p' AS prompt_id, CASE WHEN doc_id % 13 <> 0 THEN 'v2' END AS prompt_version, 'ir1' AS ir_version, CASE WHEN doc_id % 7 = 0 THEN '{{\"text\":\"x\"}}' WHEN doc_id % 5 = 0 THEN NULL ELSE '{{\"a\":{{\"token\":\"x\"}}}}' END AS p FROM documents".replace("{{", "{").replace("}}", "}")
+
+
+@query("p22_audit_record", f"""WITH d AS ({_LINEAGE}), v AS (SELECT *, concat_ws('; ', CASE WHEN trim(model) = '' THEN 'model is required' END, CASE WHEN prompt_version IS NULL THEN 'prompt_version is required' END, CASE WHEN doc_id % 7 = 0 THEN 'parameters carry content' END) AS problem FROM d)
+    SELECT doc_id, sha256(text) AS source_sha256, sha256(out) AS output_sha256, CAST(length(text) AS INT) AS source_chars, CAST(length(out) AS INT) AS output_chars, model, prompt_id, prompt_version, ir_version, CASE WHEN problem = '' THEN CASE WHEN doc_id % 5 = 0 THEN '{{}}' ELSE '{{"a":{{"token":"[REDACTED]"}}}}' END END AS parameters, problem FROM v""")
+def p22(spark, sf_dir):
+    return P.audit_record(_sql(spark, sf_dir, (), _LINEAGE), "doc_id", "text", "out", "p")
 
 
 _SAMPLES = "SELECT o_orderkey AS sample_id, CONCAT('m', CAST(o_custkey % 40 AS STRING)) AS mode, o_custkey AS fixture_id, o_orderkey % 7 = 0 AS placeholder FROM orders WHERE o_custkey % 40 <> 5 AND (o_custkey % 40 <> 6 OR o_orderkey % 7 = 0)"
@@ -166,11 +220,15 @@ def d19(spark, sf_dir):
     return H.scenario_failures(_sql(spark, sf_dir, (), "SELECT event_id AS case_id, CASE WHEN event_id % 42 = 0 THEN NULL ELSE event_id % 21 <> 0 END AS schema_ok, event_type AS status, CASE WHEN event_type = 'error' THEN 'view' ELSE event_type END AS expected FROM events"))
 
 
-_SHEETS = "SELECT l_orderkey AS sheet, CASE WHEN l_orderkey % 50 = 0 THEN 2000 ELSE 1 END * CAST(l_linenumber AS INT) AS row, CAST(l_suppkey % 6 AS INT) + 1 AS col, max(CAST(l_partkey AS STRING)) AS value FROM lineitem GROUP BY l_orderkey, l_linenumber, l_suppkey % 6"
+#: Sheets of orders: some high, some wide, cells in disorder, blank or without a place.
+_SHEETS = """SELECT l_orderkey AS sheet, CAST(l_partkey AS BIGINT) * 10000 + l_suppkey AS nth, CAST(CASE WHEN l_orderkey % 50 = 0 THEN 2000 ELSE 1 END * CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE l_linenumber + 1 END AS INT) AS row, CAST((l_suppkey % 6 + 1) * CASE WHEN l_orderkey % 70 = 0 THEN 100 ELSE 1 END AS INT) AS col,
+    CASE WHEN l_partkey % 17 = 0 THEN '' ELSE CAST(l_partkey * 1000 + l_linenumber AS STRING) END AS value FROM (SELECT l_orderkey, l_linenumber, l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey) l"""
 
 
-@query("a29_sheet_grid", f"""WITH c AS ({_SHEETS}), d AS (SELECT *, CASE WHEN max(row) OVER w <= 1024 THEN row ELSE dense_rank() OVER (PARTITION BY sheet ORDER BY row) END AS r, CASE WHEN max(row) OVER w <= 1024 THEN col ELSE dense_rank() OVER (PARTITION BY sheet ORDER BY col) END AS k FROM c WINDOW w AS (PARTITION BY sheet)),
-    m AS (SELECT sheet, max(k) AS last FROM d GROUP BY sheet), g AS (SELECT d.sheet, d.r, unnest(range(1, last + 1)) AS k FROM (SELECT DISTINCT sheet, r FROM d) d JOIN m USING (sheet))
-    SELECT g.sheet, CAST(g.r AS BIGINT) AS row, string_agg(coalesce(d.value, ''), '|' ORDER BY g.k) AS cells FROM g LEFT JOIN d ON d.sheet = g.sheet AND d.r = g.r AND d.k = g.k GROUP BY ALL""")
+@query("a29_sheet_grid", f"""WITH c AS (SELECT * FROM ({_SHEETS}) WHERE value <> ''), p AS (SELECT sheet, row, col, arg_max(value, nth) AS value FROM c WHERE row IS NOT NULL GROUP BY ALL), s AS (SELECT sheet, max(row) AS h, max(col) AS w, count(DISTINCT row) AS n FROM p GROUP BY sheet),
+    g AS (SELECT sheet, r AS row FROM (SELECT sheet, unnest(range(1, h + 1)) AS r FROM s WHERE h <= 1024 AND w <= 256) UNION ALL SELECT DISTINCT p.sheet, p.row FROM p JOIN s USING (sheet) WHERE NOT (h <= 1024 AND w <= 256)),
+    m AS (SELECT g.sheet, g.row, k AS col FROM g JOIN (SELECT sheet, unnest(range(1, w + 1)) AS k FROM s WHERE w <= 256) USING (sheet) UNION ALL SELECT p.sheet, p.row, p.col FROM p JOIN s USING (sheet) WHERE w > 256),
+    o AS (SELECT m.sheet, m.row, string_agg(coalesce(p.value, ''), '|' ORDER BY m.col) AS cells FROM m LEFT JOIN p ON p.sheet = m.sheet AND p.row = m.row AND p.col = m.col GROUP BY ALL)
+    SELECT sheet, row_number() OVER (PARTITION BY sheet ORDER BY row) AS place, cells FROM o UNION ALL SELECT c.sheet, coalesce(CASE WHEN h <= 1024 AND w <= 256 THEN h ELSE n END, 0) + row_number() OVER (PARTITION BY c.sheet ORDER BY nth), value FROM c LEFT JOIN s ON s.sheet = c.sheet WHERE c.row IS NULL""")
 def a29(spark, sf_dir):
-    return H.sheet_grid(_sql(spark, sf_dir, (), _SHEETS)).select("sheet", F.col("row").cast("long").alias("row"), F.array_join("cells", "|").alias("cells"))
+    return H.sheet_grid(_sql(spark, sf_dir, (), _SHEETS)).select("sheet", "place", F.array_join("cells", "|").alias("cells"))

@@ -112,11 +112,16 @@ def a11(spark, sf_dir):
     return R.completeness(cases, required)
 
 
-@query("a12_acceptance", f"SELECT user_id, count(*) AS cases, count_if(status = 'pass') AS accepted, coalesce(string_agg(CAST(case_id AS VARCHAR), ',' ORDER BY CAST(case_id AS VARCHAR)) FILTER (WHERE status <> 'pass'), '') AS failing FROM ({_STATUS}) GROUP BY user_id")
+@query("a12_acceptance", f"SELECT user_id, count(*) AS cases, count_if(status = 'pass') AS accepted, count_if(status <> 'pass') AS failing FROM ({_STATUS}) GROUP BY user_id")
 def a12(spark, sf_dir):
     return R.acceptance(_sql(spark, sf_dir, (), _STATUS), ["user_id"])
 
 
+@query("a12_failing_cases", f"SELECT user_id, case_id FROM ({_STATUS}) WHERE status <> 'pass'")
+def a12_failing(spark, sf_dir):
+    return R.failing_cases(_sql(spark, sf_dir, (), _STATUS), ["user_id"])
+
+
 @query("a13_by_mode", "SELECT event_type AS mode, count(*) AS results, string_agg(DISTINCT 's' || (user_id % 7), ',' ORDER BY 's' || (user_id % 7)) AS scenarios, count(DISTINCT user_id) AS samples FROM events GROUP BY event_type")
 def a13(spark, sf_dir):
     return R.by_mode(_sql(spark, sf_dir, (), "SELECT event_type AS mode, event_id AS case_id, CONCAT('s', CAST(user_id % 7 AS STRING)) AS scenario, user_id AS sample FROM events"))
@@ -201,14 +206,8 @@ def a16(spark, sf_dir):
     return R.paired_median(R.pair_arms(view(spark, sf_dir, "study"), ("manual", "assisted")))
 
 
-@query("j26_missing_runs", duck("study") + ", g AS (SELECT * FROM (SELECT DISTINCT participant FROM study WHERE participant % 10 = 1) CROSS JOIN (SELECT DISTINCT case_id FROM study) CROSS JOIN (SELECT DISTINCT arm FROM study)) SELECT participant, case_id, arm FROM g EXCEPT SELECT participant, case_id, arm FROM study")
+@query("j26_missing_runs", duck("study") + ", g AS (SELECT * FROM (SELECT DISTINCT participant FROM study) CROSS JOIN (SELECT DISTINCT case_id FROM study) CROSS JOIN (SELECT DISTINCT arm FROM study)) SELECT participant, case_id, arm FROM g EXCEPT SELECT participant, case_id, arm FROM study")
 def j26(spark, sf_dir):
-    s = view(spark, sf_dir, "study")
-    return R.missing_runs(s.filter("participant % 10 = 1").select("participant").distinct(), s.select("case_id").distinct(), s.select("arm").distinct(), s)
-
-
-@query("j26_missing_runs_all", duck("study") + ", g AS (SELECT * FROM (SELECT DISTINCT participant FROM study) CROSS JOIN (SELECT DISTINCT case_id FROM study) CROSS JOIN (SELECT DISTINCT arm FROM study)) SELECT participant, case_id, arm FROM g EXCEPT SELECT participant, case_id, arm FROM study")
-def j26_all(spark, sf_dir):
     s = view(spark, sf_dir, "study")
     return R.missing_runs(s.select("participant").distinct(), s.select("case_id").distinct(), s.select("arm").distinct(), s)
 
@@ -260,12 +259,11 @@ def d20(spark, sf_dir):
     return R.check_participants(_sql(spark, sf_dir, (), _PEOPLE), _timed(spark, sf_dir))
 
 
-_SEQ = "SELECT conv_id, CAST(turn AS INT) AS pos, CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN 'changed' ELSE substr(text, 1, 12) END AS item FROM conversations"
+_SEQ = "SELECT conv_id, CAST(turn AS INT) AS pos, CASE WHEN conv_id % 3 = 0 AND turn = 1 THEN 'changed' ELSE text END AS item FROM conversations"
+_WANTED = "SELECT conv_id, CAST(turn AS INT) AS pos, text AS item FROM conversations"
 
 
-@query("w14_positional_match", f"""WITH a AS ({_SEQ}), e AS (SELECT conv_id, CAST(turn AS INT) AS pos, substr(text, 1, 12) AS item FROM conversations WHERE turn < 3)
+@query("w14_positional_match", f"""WITH a AS ({_SEQ}), e AS ({_WANTED})
     SELECT conv_id, avg(CASE WHEN a.item = e.item THEN 1.0 ELSE 0.0 END) AS rate, bool_and(coalesce(a.item = e.item, false)) AS in_order FROM e LEFT JOIN a USING (conv_id, pos) GROUP BY conv_id""")
 def w14(spark, sf_dir):
-    a = _sql(spark, sf_dir, (), _SEQ)
-    e = _sql(spark, sf_dir, (), "SELECT conv_id, CAST(turn AS INT) AS pos, substr(text, 1, 12) AS item FROM conversations WHERE turn < 3")
-    return R.positional_match(e, a, ["conv_id"])
+    return R.positional_match(_sql(spark, sf_dir, (), _WANTED), _sql(spark, sf_dir, (), _SEQ), ["conv_id"])

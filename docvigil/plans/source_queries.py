@@ -70,16 +70,16 @@ def s5(spark, sf_dir):
     p = select(spark, sf_dir, "SELECT p_partkey AS k FROM part")
     k = F.col("k")
     row = F.struct((k % 1990).cast("string").alias("id"), F.when(k % 8 == 0, "data/../x").when(k % 9 == 0, "tmp/x").otherwise(F.concat(F.lit("data/"), k.cast("string"))).alias("path"), (k % 5 != 0).alias("public"), F.when(k % 6 != 0, True).alias("safe"), (k % 7 != 0).alias("anonymised"))
-    p.groupBy((k % 10).alias("g")).agg(F.collect_list(row).alias("fixtures")).select("fixtures").write.json(path)
+    p.groupBy(F.floor(k / 500).alias("g")).agg(F.collect_list(row).alias("fixtures")).select("fixtures").write.json(path)
     return S.read_manifest(spark, path, "data/")[1]
 
 
-@query("s6_read_ocr_tsv", duck("blocks") + " SELECT CAST(doc_id AS VARCHAR) AS doc, page, x, y, w, h, CASE WHEN idx % 4 <> 0 THEN CAST(floor(confidence * 100) AS DOUBLE) / 100 END AS confidence, substr(text, 1, 20) AS text FROM blocks WHERE trim(substr(text, 1, 20)) <> '' AND idx % 6 <> 5 AND NOT contains(substr(text, 1, 20), chr(34))".replace("substr(text, 1, 20) AS text", "trim(substr(text, 1, 20)) AS text"))
+@query("s6_read_ocr_tsv", duck("blocks") + " SELECT CAST(doc_id AS VARCHAR) AS doc, page, x, y, w, h, CASE WHEN idx % 4 <> 0 THEN CAST(floor(confidence * 100) AS DOUBLE) / 100 END AS confidence, trim(text) AS text FROM blocks WHERE trim(text) <> '' AND idx % 6 <> 5")
 def s6(spark, sf_dir):
     path = new_folder(spark, "tsv")
-    b = view(spark, sf_dir, "blocks").filter("NOT contains(substr(text, 1, 20), '\"')")
-    rows = b.select("doc_id", "page", F.when(F.col("idx") % 6 != 5, F.col("x").cast("string")).otherwise("wide").alias("left"), F.col("y").alias("top"), F.col("w").alias("width"), F.col("h").alias("height"), F.when(F.col("idx") % 4 == 0, -1).otherwise(F.floor(F.col("confidence") * 100)).alias("conf"), F.trim(F.substring("text", 1, 20)).alias("text"))
-    rows.write.csv(path, sep="\t", header=True)
+    b = view(spark, sf_dir, "blocks")
+    rows = b.select("doc_id", "page", F.when(F.col("idx") % 6 != 5, F.col("x").cast("string")).otherwise("wide").alias("left"), F.col("y").alias("top"), F.col("w").alias("width"), F.col("h").alias("height"), F.when(F.col("idx") % 4 == 0, -1).otherwise(F.floor(F.col("confidence") * 100)).alias("conf"), F.trim("text").alias("text"))
+    rows.write.csv(path, sep="\t", header=True, escape='"')
     return S.read_ocr_tsv(spark, path)
 
 

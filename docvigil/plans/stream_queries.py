@@ -18,6 +18,11 @@ def x1(spark, sf_dir):
     return L.drain(L.stream_once(_events(spark, sf_dir).select("user_id", "event_type", "ts"), ["user_id", "event_type"]).select("user_id", "event_type"), "once")
 
 
+@query("x1_record_once", "SELECT user_id, event_type, event_id, event_id <> first_value(event_id) OVER w AS repeated, first_value(event_id) OVER w AS first_event_id, first_value(value) OVER w AS first_value, first_value(props) OVER w AS first_props FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)")
+def x1_record(spark, sf_dir):
+    return L.drain(L.stream_record_once(_events(spark, sf_dir), ["user_id", "event_type"], ["value", "props"]), "recorded")
+
+
 @query("x2_stream_conflicts", "SELECT user_id, event_id FROM (SELECT *, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events) WHERE event_type <> f")
 def x2(spark, sf_dir):
     return L.drain(L.stream_conflicts(_events(spark, sf_dir), "user_id", "event_type"), "conflicts")

@@ -79,18 +79,30 @@ def a24(spark, sf_dir):
     return T.anchor_roles(*[_sql(spark, sf_dir, (), q) for q in (_PART_ANCHORS, _PART_FIELDS, _PART_TABLES)])
 
 
-@query("a23_score_templates", duck("blocks") + _HITS + f""", {_ROLES}, d AS (SELECT doc_id, max(page) AS pages FROM blocks GROUP BY doc_id), j AS (SELECT d.doc_id, d.pages, r.*, EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id AND h.template_id = r.template_id AND h.anchor_id = r.anchor_id) AS hit FROM d CROSS JOIN r),
+_SCORES = (duck("blocks") + _HITS + f""", {_ROLES}, d AS (SELECT doc_id, max(page) AS pages FROM blocks GROUP BY doc_id), j AS (SELECT d.doc_id, d.pages, r.*, EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id AND h.template_id = r.template_id AND h.anchor_id = r.anchor_id) AS hit FROM d CROSS JOIN r),
     g AS (SELECT doc_id, template_id, coalesce(avg(CASE WHEN required OR hit THEN CASE WHEN hit THEN 1.0 ELSE 0.0 END END), 0) AS anchors, bool_or(required AND NOT hit) AS lacks, count_if(hit) AS matched, max(pages) AS pages FROM j GROUP BY doc_id, template_id),
     s AS (SELECT *, CASE WHEN template_id = 't1' AND pages < 2 THEN 0.5 ELSE 1 END AS ps, doc_id % 17 = 0 AS bare, CASE WHEN template_id = 't1' THEN 1 WHEN doc_id % 3 = 0 THEN 0.25 ELSE 1 END AS tables FROM g),
     x AS (SELECT *, 0.6 * anchors + 0.2 * CASE WHEN bare THEN 0 ELSE ps END + 0.2 * tables AS raw, lacks OR bare OR ps < 1 AS closed FROM s), y AS (SELECT *, round(CASE WHEN closed THEN least(raw, 0.79) WHEN template_id = 't2' AND doc_id % 3 = 0 THEN least(raw, 0.94) ELSE raw END, 6)::DOUBLE AS score FROM x)
     SELECT doc_id, template_id, score, CASE WHEN score >= 0.95 THEN 'known' WHEN score >= 0.8 THEN 'candidate' ELSE 'unknown' END AS class, matched FROM y""")
+
+
+@query("a23_score_templates", _SCORES)
 def a23(spark, sf_dir):
+    return _scored(spark, sf_dir, True)
+
+
+def _scored(spark, sf_dir, every):
     b = view(spark, sf_dir, "blocks")
     docs = b.select("doc_id").distinct()
     third = F.col("doc_id") % 3 == 0
-    tables = docs.select("doc_id", F.lit("t2").alias("template_id"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("table_id"))
+    tables = docs.filter("doc_id % 5 <> 0" if not every else "true").select("doc_id", F.lit("t2").alias("template_id"), F.explode(F.array(F.lit("x"), F.lit("y"))).alias("table_id"))
     tables = tables.withColumn("share", F.when(~third, 1.0).when(F.col("table_id") == "x", 0.5))
-    return T.score_templates(docs, _roles(spark), _hits(spark, sf_dir), b.filter("doc_id % 17 <> 0").select("doc_id", "page").distinct(), tables)
+    return T.score_templates(docs, _roles(spark), _hits(spark, sf_dir), b.filter("doc_id % 17 <> 0").select("doc_id", "page").distinct(), tables, every)
+
+
+@query("a23_matched_templates", _SCORES.replace("WHEN doc_id % 3 = 0 THEN 0.25 ELSE 1 END AS tables", "WHEN doc_id % 5 = 0 THEN 1 WHEN doc_id % 3 = 0 THEN 0.25 ELSE 1 END AS tables").replace("template_id = 't2' AND doc_id % 3 = 0 THEN least", "template_id = 't2' AND doc_id % 3 = 0 AND doc_id % 5 <> 0 THEN least") + " WHERE matched > 0 OR (template_id = 't2' AND doc_id % 5 <> 0)")
+def a23_matched(spark, sf_dir):
+    return _scored(spark, sf_dir, False)
 
 
 #: Cells of tables: an order's lines, with a header row of column names.
@@ -168,28 +180,48 @@ def d3(spark, sf_dir):
 _BODIES = """SELECT event_id, CONCAT('{"kind":"', event_type, '"', CASE WHEN event_id % 17 = 0 THEN '' ELSE CONCAT(',"size":', CAST(event_id % 100 AS STRING)) END, CASE WHEN event_id % 13 = 0 THEN ',"tags":[]' ELSE ',"tags":["a"]' END, CASE WHEN event_id % 29 = 0 THEN ',"odd":1' ELSE '' END, ',"ref":"', CASE WHEN event_id % 37 = 0 THEN 'R' ELSE 'r' END, CAST(user_id AS STRING), '"}') AS body FROM events"""
 
 
-@query("d4_check_schema", f"""WITH b AS (SELECT e.event_id, e.event_type FROM events e), v AS (SELECT event_id, concat_ws('; ', CASE WHEN event_id % 17 = 0 THEN 'size is required' END, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'kind is not allowed' END, CASE WHEN event_id % 37 = 0 THEN 'ref has another form' END, CASE WHEN event_id % 17 <> 0 AND event_id % 100 < 5 THEN 'size is too small' END, CASE WHEN event_id % 13 = 0 THEN 'tags has too few items' END, CASE WHEN event_id % 29 = 0 THEN 'unknown key' END) AS violations FROM b) SELECT * FROM v WHERE violations <> ''""")
+@query("d4_check_schema", f"""WITH b AS (SELECT e.event_id, e.event_type, e.user_id FROM events e), v AS (SELECT event_id, concat_ws('; ', CASE WHEN event_id % 17 = 0 THEN 'size is required' END, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'kind is not allowed' END, CASE WHEN event_id % 37 = 0 THEN 'ref has another form' END, CASE WHEN event_id % 17 <> 0 AND event_id % 100 < 5 THEN 'size is too small' END, CASE WHEN event_id % 17 <> 0 AND event_id % 100 > 95 THEN 'size is too large' END,
+    CASE WHEN event_id % 17 <> 0 AND event_id % 100 <= 7 THEN 'size is not above its limit' END, CASE WHEN event_id % 13 = 0 THEN 'tags has too few items' END, CASE WHEN event_id % 29 = 0 THEN 'odd is another constant' END, CASE WHEN event_id % 29 = 0 THEN 'odd has another type' END, CASE WHEN event_type <> 'view' THEN 'kind is another constant' END) AS violations FROM b) SELECT * FROM v WHERE violations <> ''""")
 def d4(spark, sf_dir):
-    table = [("size", "required", None), ("kind", "enum", ["click", "view", "purchase"]), ("ref", "pattern", r"^r\d+$"), ("size", "minimum", 5), ("tags", "min_items", 1)]
+    table = [("size", "required", None), ("kind", "enum", ["click", "view", "purchase"]), ("ref", "pattern", r"^r\d+$"), ("size", "minimum", 5), ("size", "maximum", 95), ("size", "above", 7), ("tags", "min_items", 1), ("odd", "const", 2), ("odd", "type", "string"), ("tags", "type", "array"), ("size", "type", "integer"), ("kind", "const", "view")]
     return T.check_schema(_sql(spark, sf_dir, (), _BODIES), "event_id", "body", table)
 
 
-_KEYS = "SELECT p_brand AS template_id, p_partkey AS field_id, CONCAT(CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE CONCAT('a.', CAST(p_partkey % 5 AS STRING)) END, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE CONCAT('.', CAST(p_size AS STRING)) END) AS output_key FROM part WHERE p_partkey % 10 < 4"
+#: Whole definitions: a part is a field of its brand's template, with rules, sources and keys of its own.
+_DEFINED = "SELECT p_brand AS template_id, CAST(p_partkey AS STRING) AS field_id, 'low' AS risk_level, CASE WHEN p_partkey % 3 = 0 THEN 'number' WHEN p_partkey % 3 = 1 THEN 'date' ELSE 'string' END AS value_type, p_partkey % 2 = 0 AS required, CONCAT('r', CAST(p_partkey + CASE WHEN p_partkey % 43 = 0 THEN 1 ELSE 0 END AS STRING)) AS rule_id, CASE WHEN p_partkey % 19 = 0 THEN 'a9' WHEN p_partkey % 2 = 0 THEN 'a1' ELSE 'a2' END AS anchor_id, CASE WHEN p_partkey % 4 = 0 THEN 'right' ELSE 'table_cell' END AS direction, CONCAT('k', CAST(p_partkey % 397 AS STRING)) AS output_key, p_partkey FROM part"
+_RULES = "SELECT p_brand AS template_id, CONCAT('r', CAST(p_partkey AS STRING)) AS rule_id, CASE WHEN p_partkey % 31 = 0 THEN 'none' ELSE CAST(p_partkey AS STRING) END AS target, CASE p_partkey % 7 WHEN 0 THEN 'required' WHEN 1 THEN 'type' WHEN 2 THEN 'range' WHEN 3 THEN 'allowed' WHEN 4 THEN 'cross_field' WHEN 5 THEN 'shape' ELSE 'required' END AS rule_type, CASE WHEN p_partkey % 5 = 0 THEN 'string' ELSE 'date' END AS expected_type, CAST(CASE WHEN p_partkey % 11 = 0 THEN 9 END AS DOUBLE) AS minimum, CAST(CASE WHEN p_partkey % 13 <> 0 THEN 5 END AS DOUBLE) AS maximum, CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE '1' END AS value, CAST(p_partkey AS STRING) AS related, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE 'after' END AS operator, p_partkey FROM part"
 
 
-@query("w15_key_conflicts", f"WITH k AS ({_KEYS}) SELECT s.template_id, s.field_id AS a, l.field_id AS b, s.output_key AS a_key, l.output_key AS b_key FROM k s JOIN k l ON s.template_id = l.template_id AND s.field_id <> l.field_id AND (l.output_key LIKE s.output_key || '.%' OR (s.output_key = l.output_key AND s.field_id < l.field_id))")
-def w15(spark, sf_dir):
-    return T.key_conflicts(_sql(spark, sf_dir, (), _KEYS))
+@query("d3_check_definitions", f"""WITH f AS ({_DEFINED}), r AS ({_RULES}), j AS (SELECT r.*, f.value_type, f.required FROM r LEFT JOIN f ON r.template_id = f.template_id AND r.target = f.field_id), e AS (
+    SELECT template_id, 'undeclared anchor' AS problem FROM f WHERE anchor_id = 'a9' UNION ALL SELECT template_id, 'anchor of no table' FROM f WHERE anchor_id = 'a2' AND direction = 'table_cell' UNION ALL SELECT template_id, 'repeated output key' FROM f GROUP BY template_id, output_key HAVING count(*) > 1
+    UNION ALL SELECT template_id, 'undeclared rule' FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.template_id = f.template_id AND r.rule_id = f.rule_id) UNION ALL SELECT f.template_id, 'rule of another field' FROM f JOIN r ON r.template_id = f.template_id AND r.rule_id = f.rule_id WHERE r.target <> f.field_id
+    UNION ALL SELECT template_id, 'rule that its field does not name' FROM r WHERE p_partkey % 31 <> 0 AND p_partkey % 43 = 0 UNION ALL SELECT template_id, 'rule of no field' FROM r WHERE p_partkey % 31 = 0
+    UNION ALL SELECT template_id, 'required rule of an optional field' FROM j WHERE rule_type = 'required' AND NOT required UNION ALL SELECT template_id, 'rule of another type' FROM j WHERE rule_type = 'type' AND coalesce(expected_type <> value_type, true) UNION ALL SELECT template_id, 'range of no numbers' FROM j WHERE rule_type = 'range' AND value_type <> 'number'
+    UNION ALL SELECT template_id, 'range without limits' FROM j WHERE rule_type = 'range' AND minimum IS NULL AND maximum IS NULL UNION ALL SELECT template_id, 'empty range' FROM j WHERE rule_type = 'range' AND minimum > maximum UNION ALL SELECT template_id, 'values of another type' FROM j WHERE rule_type = 'allowed' AND value_type = 'number' AND value = 'x'
+    UNION ALL SELECT template_id, 'related to no other field' FROM r WHERE rule_type = 'cross_field' AND p_partkey % 31 <> 0 UNION ALL SELECT template_id, 'no operator' FROM r WHERE rule_type = 'cross_field' AND operator IS NULL UNION ALL SELECT r.template_id, 'operator of other types' FROM r JOIN f ON r.template_id = f.template_id AND r.related = f.field_id WHERE rule_type = 'cross_field' AND coalesce(CASE WHEN operator IS NOT NULL THEN NOT (f.value_type = 'date') OR r.p_partkey % 31 = 0 ELSE r.p_partkey % 31 = 0 END, false)
+    UNION ALL SELECT template_id, 'unknown rule type' FROM r WHERE rule_type = 'shape') SELECT template_id, problem, count(*) AS n FROM e GROUP BY ALL""")
+def d3_definitions(spark, sf_dir):
+    f = _sql(spark, sf_dir, (), _DEFINED).withColumn("rule_ids", F.array("rule_id"))
+    r = _sql(spark, sf_dir, (), _RULES).withColumn("allowed", F.array("value"))
+    names = f.select("template_id").distinct()
+    anchors = names.crossJoin(spark.createDataFrame([("a1", "table_header", ["table"]), ("a2", "heading", None)], "anchor_id string, kind string, block_types array<string>"))  # two rows a template
+    levels = names.withColumn("level", F.lit("low"))
+    return T.check_templates(f, f, levels, f.select("template_id", "field_id").distinct(), anchors, None, r)
+
 
+_KEYS = "SELECT p_brand AS template_id, p_partkey AS field_id, CONCAT(CASE WHEN p_partkey % 3 = 0 THEN 'a' ELSE CONCAT('a.', CAST(p_partkey % 5 AS STRING)) END, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE CONCAT('.', CAST(p_size AS STRING)) END) AS output_key FROM part"
 
-#: The keys of all parts.
-_ALL_KEYS = _KEYS.removesuffix(" WHERE p_partkey % 10 < 4")
+
+@query("w15_key_conflicts", f"""WITH f AS ({_KEYS}), k AS (SELECT template_id, output_key, min(field_id) AS m FROM f GROUP BY ALL) SELECT s.template_id, s.m AS a, l.m AS b, s.output_key AS a_key, l.output_key AS b_key FROM k s JOIN k l ON s.template_id = l.template_id AND l.output_key LIKE s.output_key || '.%'
+    UNION ALL SELECT template_id, m, field_id, output_key, output_key FROM f JOIN k USING (template_id, output_key) WHERE field_id <> m""")
+def w15(spark, sf_dir):
+    return T.key_conflicts(_sql(spark, sf_dir, (), _KEYS))
 
 
-@query("w15_key_classes", f"""WITH f AS ({_ALL_KEYS}), k AS (SELECT template_id, output_key, count(*) AS n FROM f GROUP BY ALL), c AS (SELECT s.template_id, s.output_key, s.n - 1 AS equal, coalesce((SELECT sum(o.n) FROM k o WHERE o.template_id = s.template_id AND s.output_key LIKE o.output_key || '.%'), 0)::BIGINT AS shorter,
+@query("w15_key_classes", f"""WITH f AS ({_KEYS}), k AS (SELECT template_id, output_key, count(*) AS n FROM f GROUP BY ALL), c AS (SELECT s.template_id, s.output_key, s.n - 1 AS equal, coalesce((SELECT sum(o.n) FROM k o WHERE o.template_id = s.template_id AND s.output_key LIKE o.output_key || '.%'), 0)::BIGINT AS shorter,
     coalesce((SELECT sum(o.n) FROM k o WHERE o.template_id = s.template_id AND o.output_key LIKE s.output_key || '.%'), 0)::BIGINT AS longer FROM k s) SELECT * FROM c WHERE equal + shorter + longer > 0""")
 def w15_classes(spark, sf_dir):
-    return T.key_classes(_sql(spark, sf_dir, (), _ALL_KEYS))
+    return T.key_classes(_sql(spark, sf_dir, (), _KEYS))
 
 
 _NUMBERS = "SELECT o_orderkey AS doc_id, CONCAT('f', CAST(k.k AS STRING)) AS field_id, CAST((o_custkey * (k.k + 3)) % 17 AS DOUBLE) AS number FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"

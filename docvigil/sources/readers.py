@@ -84,7 +84,7 @@ def read_manifest(spark: SparkSession, path: str, root: str) -> tuple[DataFrame,
 def read_ocr_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Regions of tab-separated recognition output: blank text and unreadable geometry are skipped, a
     negative confidence is none."""
-    raw = spark.read.schema("doc string, page string, left string, top string, width string, height string, conf string, text string").csv(path, sep="\t", header=True, quote='"')
+    raw = spark.read.schema("doc string, page string, left string, top string, width string, height string, conf string, text string").csv(path, sep="\t", header=True, quote='"', escape='"')
     n = {c: F.col(c).try_cast("double") for c in ("left", "top", "width", "height")}
     conf = F.col("conf").try_cast("double")
     rows = raw.select("doc", F.col("page").try_cast("int").alias("page"), n["left"].alias("x"), n["top"].alias("y"), n["width"].alias("w"), n["height"].alias("h"), F.when(conf >= 0, conf / 100).alias("confidence"), "text")

@@ -1,8 +1,10 @@
 """Streams of events: idempotent ingest, conflicts, job states, hash chains, review rules, queues.
 
 Keyed state is held by ``applyInPandasWithState``, one group a key. The rows of a key inside one
-micro-batch are handled in (ts, event_id) order; across batches, in order of arrival. State has no
-time-out unless ``horizon`` is given: exactness is the default, and a horizon bounds the state.
+micro-batch are handled in (ts, event_id) order; across batches, in order of arrival. A micro-batch's
+rows of a key are held at once; the source's limits on a batch bound them. State has no time-out
+unless ``horizon`` is given: exactness is the default, and with a horizon a key is forgotten in the first
+batch without it after the watermark has passed its last event, which bounds the state.
 """
 
 from __future__ import annotations
@@ -35,25 +37,51 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 
 
 def stream_once(events: DataFrame, keys: list[str], horizon: str | None = None) -> DataFrame:
-    """The first event of each key. With a horizon, repeats that come later than it pass again."""
+    """One event of each key, of a batch any. With a horizon, repeats that come later than it pass again."""
     if horizon is None:
         return events.dropDuplicates(keys)
     return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def _keyed(events: DataFrame, key: str, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], output: str, state: str, start: tuple) -> DataFrame:
+def _keyed(events: DataFrame, key: str | list[str], step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], output: str, state: str, start: tuple, horizon: str | None = None) -> DataFrame:
     """Events by key through ``step(state, rows) -> (state, output rows)``."""
 
     def handle(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
         after, out = step(held.get if held.exists else start, rows)
         held.update(after)
+        if horizon is not None:
+            held.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000), held.getCurrentWatermarkMs()) + 1)
         yield out
 
-    return events.groupBy(key).applyInPandasWithState(handle, output, state, "append", GroupStateTimeout.NoTimeout)
+    if horizon is None:
+        return events.groupBy(key).applyInPandasWithState(handle, output, state, "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", horizon).groupBy(key).applyInPandasWithState(handle, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_record_once(events: DataFrame, keys: list[str], payload: list[str], horizon: str | None = None) -> DataFrame:
+    """Every request with the event that was recorded for its keys: the first one, with its own
+    ``payload`` columns; ``repeated`` says that the request itself was not recorded."""
+    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    kept = ["event_id", *payload]
+
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
+        first = state if state[0] is not None else tuple(plain(rows[c].iloc[0]) for c in kept)
+        out = rows[[*keys, "event_id"]].copy()
+        out["repeated"] = out["event_id"] != first[0]
+        for c, v in zip(kept, first):
+            out[f"first_{c}"] = pd.Series([v] * len(out), index=out.index, dtype=rows[c].dtype)
+        return first, out
+
+    output = ", ".join([*[f"{c} {fields[c]}" for c in keys], "event_id long", "repeated boolean", *[f"first_{c} {fields[c]}" for c in kept]])
+    return _keyed(events, keys, step, output, ", ".join(f"{c} {fields[c]}" for c in kept), (None,) * len(kept), horizon)
 
 
-def stream_conflicts(requests: DataFrame, key: str, parameter: str) -> DataFrame:
+def stream_conflicts(requests: DataFrame, key: str, parameter: str, horizon: str | None = None) -> DataFrame:
     """Requests that use a key again with other parameters than its first."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -61,7 +89,7 @@ def stream_conflicts(requests: DataFrame, key: str, parameter: str) -> DataFrame
         first = state[0] or digests.iloc[0]
         return (first,), rows.loc[digests != first, [key, "event_id"]]
 
-    return _keyed(requests, key, step, f"{key} long, event_id long", "first string", ("",))
+    return _keyed(requests, key, step, f"{key} long, event_id long", "first string", ("",), horizon)
 
 
 # The state after an event, by state and action; a failed attempt queues again while attempts remain.
@@ -80,7 +108,7 @@ def job_step(status: str, attempts: int, action: str, most: int) -> tuple[str, i
     return after, attempts + (after == "running"), True
 
 
-def stream_jobs(events: DataFrame, most: int = 3) -> DataFrame:
+def stream_jobs(events: DataFrame, most: int = 3, horizon: str | None = None) -> DataFrame:
     """Each lifecycle event (job_id, action) with the job's status after it; illegal ones change nothing."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -93,10 +121,10 @@ def stream_jobs(events: DataFrame, most: int = 3) -> DataFrame:
         done[["status", "attempts", "legal"]] = out
         return (status, attempts), done
 
-    return _keyed(events, "job_id", step, "job_id long, event_id long, action string, status string, attempts int, legal boolean", "status string, attempts int", ("new", 0))
+    return _keyed(events, "job_id", step, "job_id long, event_id long, action string, status string, attempts int, legal boolean", "status string, attempts int", ("new", 0), horizon)
 
 
-def stream_chain(events: DataFrame, key: str) -> DataFrame:
+def stream_chain(events: DataFrame, key: str, horizon: str | None = None) -> DataFrame:
     """Events with their number and digest in their key's chain."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -110,10 +138,10 @@ def stream_chain(events: DataFrame, key: str) -> DataFrame:
         done[["seq", "previous_hash", "event_hash"]] = out
         return (seq, head), done
 
-    return _keyed(events, key, step, f"{key} long, event_id long, seq long, previous_hash string, event_hash string", "seq long, head string", (0, ""))
+    return _keyed(events, key, step, f"{key} long, event_id long, seq long, previous_hash string, event_hash string", "seq long, head string", (0, ""), horizon)
 
 
-def stream_reviews(events: DataFrame, key: str) -> DataFrame:
+def stream_reviews(events: DataFrame, key: str, horizon: str | None = None) -> DataFrame:
     """Approvals and what stands against each, decided from the key's state alone: its editors, the latest
     text, and whether a needs-fix mark is open. Edits without an actor do not count."""
 
@@ -134,7 +162,7 @@ def stream_reviews(events: DataFrame, key: str) -> DataFrame:
         done.insert(0, key, rows[key].iloc[0])
         return ("\x1f".join(sorted(known)) if known else None, text, open_fix), done.astype({"event_id": "int64"})
 
-    return _keyed(events, key, step, f"{key} long, event_id long, against string", "editors string, text string, open_fix boolean", (None, None, False))
+    return _keyed(events, key, step, f"{key} long, event_id long, against string", "editors string, text string, open_fix boolean", (None, None, False), horizon)
 
 
 def stream_review_queue(blocks: DataFrame, batch: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
