@@ -37,6 +37,9 @@ from pyspark.sql import functions as F
 
 from docvigil.llm.common import materialize, n_words
 
+#: Sources up to which tables with a row a source are broadcast to the documents; beyond, Spark joins
+#: by shuffles, of which adaptive execution splits a hot source.
+FEW = 5_000
 #: Bins of the hash histogram of a source.
 BINS = 2048
 #: Bins of a round's hashes for each power of two.
@@ -117,6 +120,11 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
     sized = materialize(rows if light else rows.drop("row"), "sizes")
     sizes = materialize(sized.groupBy("source", "size").agg(F.count("key").alias("n")), "histogram")
     targets = materialize(source_targets(sizes, most, weights), "targets")
+    few = targets.count() <= FEW
+
+    def small(of_sources: DataFrame) -> DataFrame:
+        return F.broadcast(of_sources) if few else of_sources
+
     plan = materialize(entropy_rates(sizes, targets, most), "rates")
 
     tilted = F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.log(F.lit(float(most)))))
@@ -127,7 +135,7 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
     turn = (F.pmod(F.xxhash64("key", F.lit("turn")), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40)) / F.col("part")
 
     def planned(base: DataFrame, by: DataFrame) -> DataFrame:
-        named = by.withColumnRenamed("source", "s")
+        named = small(by.withColumnRenamed("source", "s"))
         out = base.join(named, base["source"].eqNullSafe(named["s"]), "left").drop("s")
         out = out.withColumn("rate", rate).withColumn("whole", whole).withColumn("part", part)
         return out.withColumn("bin", F.when(F.col("part") > 0, F.least(F.lit(BINS - 1), F.floor(turn / 2 * BINS))).cast("int"))
@@ -163,7 +171,7 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
     for n in count():
         nth = F.lit(n).cast("int")
         of_s, by_place = Window.partitionBy("s"), Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # at most 40 * FINE + 1 rows a source
-        seen = left.join(state.drop("rounds"), left["source"].eqNullSafe(state["s"])).filter(may)
+        seen = left.join(small(state.drop("rounds")), left["source"].eqNullSafe(state["s"])).filter(may)
         hist = seen.groupBy("s", "extra", place(F.col("unit"), nth).alias("place")).agg(F.sum("size").alias("tokens"), F.first("gap").alias("gap"))
         hist = hist.withColumn("level", F.min("extra").over(of_s)).filter("extra = level").withColumn("upto", F.sum("tokens").over(by_place))
         fit = F.col("upto") <= F.col("gap")
@@ -172,7 +180,7 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
         if not cut.limit(1).count():
             break
         # of the others the one that fits best; rows that are equal in all go together
-        best = left.join(cut, left["source"].eqNullSafe(cut["s"])).filter((F.col("extra") == F.col("level")) & (place(F.col("unit"), nth) > F.col("cut")) & (F.col("size") <= F.col("rest")))
+        best = left.join(small(cut), left["source"].eqNullSafe(cut["s"])).filter((F.col("extra") == F.col("level")) & (place(F.col("unit"), nth) > F.col("cut")) & (F.col("size") <= F.col("rest")))
         best = best.groupBy("s", "unit").agg(F.sum("size").alias("total"), F.first("rest").alias("room")).filter("total <= room")
         best = best.groupBy(F.col("s").alias("b")).agg(F.max(F.struct("total", "unit")).alias("best"))
         done = cut.withColumnRenamed("s", "c")
@@ -185,9 +193,9 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
             F.when(moved, F.concat("rounds", F.array(one))).otherwise(F.col("rounds")).alias("rounds")), "state")
         was = F.try_element_at("rounds", F.lit(-1))
         won = F.when(was["turn"] == nth, gains(was, F.col("unit"), F.col("size"), F.col("whole"), F.col("extra"))).otherwise(0)
-        left = left.join(state, left["source"].eqNullSafe(state["s"])).withColumn("extra", F.col("extra") + won).filter(may)
+        left = left.join(small(state), left["source"].eqNullSafe(state["s"])).withColumn("extra", F.col("extra") + won).filter(may)
         left = materialize(left.select("source", "unit", "size", "whole", "extra"), "left")
-    plan = plan.join(state.select("s", "rounds"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s")
+    plan = materialize(plan.join(state.select("s", "rounds"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s"), "rounds")
     out = planned(sized if light else rows, plan).withColumn("unit", unit)
     rounds = F.coalesce("rounds", F.array().cast(round_type))
     extra = F.aggregate(rounds, first, lambda x, r: x + gains(r, F.col("unit"), F.col("size"), F.col("whole"), x))
