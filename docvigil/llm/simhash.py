@@ -1,19 +1,22 @@
 """Near duplicates by SimHash fingerprints, linked through pivot distance tables.
 
 Fingerprints: A-Z are lowered, word shingles (repeats included) are hashed with XXH64 (seed 42), and
-a bit is set if it is in over half of the hashes. Whole texts are read; nothing is shuffled.
+a bit is set if it is in over half of the hashes. Whole texts are read; nothing is shuffled. Further
+fingerprints of a text are those of its rehashed shingles, as if of another seed.
 
 Links: equal fingerprints are one node. For all others, a table of Hamming distances to reference
-fingerprints (pivots) is computed once. The bits lie in five groups, and the pivots of a group differ
-from a common base only inside it, so the differences of a row's distances to them depend on that
-group's bits alone. Two fingerprints that differ in two bits at most agree in three groups at least,
-hence in all coordinates of these. Rows that share the coordinates of three groups meet in a bucket;
-a pair is discarded if any coordinate of the whole table differs by more than the radius (by the
-triangle inequality it cannot be near), and survivors are verified bit by bit.
-
-A bucket with more than ``BUCKET`` fingerprints does not form its pairs. Its rows emit themselves and
-their 64 one-bit neighbours instead; two fingerprints within two bits share one of these, at most 65
-fingerprints share any, and all that do are linked, so a star in each gives the same components.
+fingerprints (pivots) is computed once. The bits lie in ``radius + agree`` groups, and the pivots of a
+group differ from a common base only inside it, so the differences of a row's distances to them depend
+on that group's bits alone. Two fingerprints that differ in ``radius`` bits at most agree in ``agree``
+groups at least, hence in all coordinates of these. Rows that share the coordinates of so many groups
+meet in a bucket; a pair is discarded if any coordinate of the whole table differs by more than the
+radius (by the triangle inequality it cannot be near), and survivors are verified bit by bit. More
+groups must agree where there are more fingerprints, so that buckets stay small; links are the same.
+
+A bucket with more than ``BUCKET`` fingerprints does not form its pairs. Its rows emit all fingerprints
+around them instead, within half the radius (rounded down for centres, up for members). Two fingerprints
+within the radius share one of these, and all members of one are within the radius of its centre, so a
+star in each gives the same components.
 
 Edge cases: null text counts as empty; texts without a word have fingerprint 0 and link like others;
 fewer words than a shingle make one shingle; rows with equal doc_id are each returned; null doc_ids
@@ -31,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docvigil.llm.common import SPACE, Words, materialize, text_slices
+from docvigil.llm.common import SPACE, Words, materialize, mix, text_slices
 from docvigil.llm.components import connected_components
 
 BITS = 64
-#: Bits of a fingerprint in each pivot group, and pivots that each group has beside the base.
-GROUPS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
+#: Pivots that each group has beside the base.
 PIVOTS = 8
 #: Fingerprints in a bucket up to which its pairs are formed.
 BUCKET = 48
@@ -47,9 +49,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, text_hash, fp) of each row of ``docs(doc_id, text)``; fp is the fingerprint as a signed
-    long, and text_hash tells rows of equal doc_id apart."""
+def fingerprints(docs: DataFrame, shingle: int = 3, prints: int = 1) -> DataFrame:
+    """(doc_id, text_hash, fp, fp1, ...) of each row of ``docs(doc_id, text)``: ``prints`` fingerprints
+    as signed longs; text_hash tells rows of equal doc_id apart."""
+    names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -66,64 +69,94 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
                 place[at[1:] - 1] = False
                 joined[place] = words.data[keep]
                 joined = joined.tobytes()
-                out = np.zeros(high - low, np.uint64)
+                out = np.zeros((prints, high - low), np.uint64)
                 for i in range(high - low):
                     a, b = int(words.first[i]), int(words.first[i + 1])
                     if a == b:
                         continue
                     n = max(1, b - a - shingle + 1)
                     ahead = min(shingle, b - a)
-                    counts = np.zeros(BITS, np.int64)
+                    counts = np.zeros((prints, BITS), np.int64)
                     for c in range(a, a + n, STEP):
                         d = min(c + STEP, a + n)
                         hashes = np.array([xxh64_intdigest(joined[s:e], 42) for s, e in zip(at[c:d].tolist(), (at[c + ahead : d + ahead] - 1).tolist())], "<u8")
-                        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                    out[i] = np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0]
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(low, high - low) for c in ("doc_id", "text_hash")] + [pa.array(out.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+                        for k in range(prints):
+                            bits = np.unpackbits((mix(hashes, k) if k else hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                            counts[k] += bits.sum(0, dtype=np.int64)
+                    out[:, i] = np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(low, high - low) for c in ("doc_id", "text_hash")] + [pa.array(x.view(np.int64)) for x in out], names=["doc_id", "text_hash", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(sign, "doc_id long, text_hash long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(sign, ", ".join(f"{c} long" for c in ("doc_id", "text_hash", *names)))
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pivot_groups() -> list[list[int]]:
-    """For each group its pivots; the base of all groups is 0."""
+def bit_groups(n: int) -> list[tuple[int, int]]:
+    """``n`` runs of neighbouring bits of nearly equal length."""
+    edges = [-(-BITS * k // n) for k in range(n + 1)]
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def pivot_groups(n: int) -> list[list[int]]:
+    """For each of ``n`` groups its pivots; the base of all groups is 0."""
     draw = np.random.RandomState(7)
-    return [[int("".join(map(str, draw.randint(0, 2, high - low))), 2) << low for _ in range(PIVOTS)] for low, high in GROUPS]
+    return [[int("".join(map(str, draw.randint(0, 2, high - low))), 2) << low for _ in range(PIVOTS)] for low, high in bit_groups(n)]
 
 
-def distances(fp: Column) -> list[list[Column]]:
+def distances(fp: Column, n: int) -> list[list[Column]]:
     """A fingerprint's row of the pivot table, by group: the distances to its pivots."""
-    return [[F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))) for p in group] for group in pivot_groups()]
+    return [[F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))) for p in group] for group in pivot_groups(n)]
+
+
+def groups_to_agree(nodes: int, radius: int) -> int:
+    """The least number of groups, from three, whose bits part so many nodes into buckets of a few."""
+    agree = 3
+    while agree < 6 and 2 ** (BITS * agree / (radius + agree)) < nodes / 8:
+        agree += 1
+    return agree
+
+
+def _around(df: DataFrame, reach: int) -> DataFrame:
+    """``df(fp, rep)`` with every fingerprint within ``reach`` bits (2 at most) of fp, as ``ball``."""
+    own = df.select("rep", F.col("fp").alias("ball"))
+    if not reach:
+        return own
+    one = lambda c: F.expr(f"shiftleft(1L, {c})")
+    first = df.select("fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("i"))
+    if reach == 1:
+        return own.unionByName(first.select("rep", F.col("fp").bitwiseXOR(one("i")).alias("ball")))
+    both = first.select("fp", "rep", "i", F.explode(F.sequence(F.col("i"), F.lit(BITS - 1))).alias("j"))
+    flip = F.when(F.col("i") == F.col("j"), one("i")).otherwise(one("i").bitwiseOR(one("j")))
+    return own.unionByName(both.select("rep", F.col("fp").bitwiseXOR(flip).alias("ball")))
 
 
-def near_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
+def near_pairs(nodes: DataFrame, radius: int = 2, agree: int | None = None) -> DataFrame:
     """Edges (u, v) between ``nodes(fp, rep)``, distinct fingerprints, that connect exactly the
-    fingerprints within ``radius`` (2 at most) differing bits."""
-    if radius not in (1, 2):
-        raise ValueError("three equal groups are certain up to two differing bits only")
+    fingerprints within ``radius`` (4 at most) differing bits."""
+    if radius not in (1, 2, 3, 4):
+        raise ValueError("a radius of 1 to 4 bits: neighbourhoods of hot buckets grow with the power of half of it")
+    agree = agree or groups_to_agree(nodes.count(), radius)
+    n = radius + agree
     base = F.bit_count("fp")
-    table = nodes.select("fp", "rep", *[F.xxhash64(*[d - base for d in g]).alias(f"g{i}") for i, g in enumerate(distances(F.col("fp")))])
-    keys = F.array(*[F.xxhash64(F.lit(k), *[f"g{i}" for i in c]) for k, c in enumerate(combinations(range(len(GROUPS)), 3))])
+    table = nodes.select("fp", "rep", *[F.xxhash64(*[d - base for d in g]).alias(f"g{i}") for i, g in enumerate(distances(F.col("fp"), n))])
+    keys = F.array(*[F.xxhash64(F.lit(k), *[f"g{i}" for i in c]) for k, c in enumerate(combinations(range(n), agree))])
     keyed = materialize(table.select("fp", "rep", F.explode(keys).alias("key")), "pivots")
     buckets = materialize(keyed.groupBy("key").agg(F.count("fp").alias("n")).filter("n > 1"), "buckets")
     some = keyed.join(buckets.filter(F.col("n") <= BUCKET), "key").drop("n")
     a, b = some.select("key", F.col("fp").alias("a"), F.col("rep").alias("u")), some.select("key", F.col("fp").alias("b"), F.col("rep").alias("v"))
     pairs = a.join(b, "key").filter("u < v")
-    apart = [F.abs(x - y) for x, y in zip(sum(distances(F.col("a")), []), sum(distances(F.col("b")), []))]
+    apart = [F.abs(x - y) for x, y in zip(sum(distances(F.col("a"), n), []), sum(distances(F.col("b"), n), []))]
     pairs = pairs.filter(F.greatest(F.abs(F.bit_count("a") - F.bit_count("b")), *apart) <= radius)
     edges = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("u", "v")
 
-    hot = keyed.join(buckets.filter(F.col("n") > BUCKET).select("key"), "key").select("fp", "rep").distinct()
-    near = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(BITS)])
-    balls = materialize(hot.select("rep", F.explode(near).alias("ball")), "balls")
-    if radius == 2:
-        centre = balls.groupBy("ball").agg(F.min("rep").alias("v"), F.count("rep").alias("n")).filter("n > 1").drop("n")
-    else:  # one bit: a neighbour that is itself a fingerprint
-        centre = hot.select(F.col("fp").alias("ball"), F.col("rep").alias("v"))
-    stars = balls.join(materialize(centre, "centres"), "ball").filter("rep > v").select(F.col("rep").alias("u"), "v")
+    hot = materialize(keyed.join(buckets.filter(F.col("n") > BUCKET).select("key"), "key").select("fp", "rep").distinct(), "hot")
+    balls = materialize(_around(hot, (radius + 1) // 2), "balls")
+    near = balls if radius % 2 == 0 else _around(hot, radius // 2)
+    centre = near.groupBy("ball").agg(F.min("rep").alias("v"))
+    stars = balls.join(materialize(centre, "centres"), "ball").filter("rep <> v").select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v"))
     return edges.unionByName(stars).distinct()
 
 
@@ -142,14 +175,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return prints.join(_classes(prints, radius), "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, prints: int = 1) -> DataFrame:
     """The rows of ``docs`` with one document of each group: the one with the smallest doc_id, and of
-    several texts of this id in the group the one whose hash is least. A text of an id that goes does
-    not take the id's other texts along; rows equal in id and text stay or go together; rows with null
-    doc_id stay."""
-    prints = materialize(fingerprints(docs, shingle).filter("doc_id IS NOT NULL"), "fingerprints")
-    member = materialize(prints.join(_classes(prints, radius), "fp").select("doc_id", "text_hash", "component_id"), "members")
-    first = member.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("n"))
-    gone = member.join(materialize(first.filter("n > 1").select("component_id", "first"), "groups"), "component_id").filter(F.struct("doc_id", "text_hash") != F.col("first"))
+    several texts of this id in the group the one whose hash is least. Texts link if any of their
+    ``prints`` fingerprints do. A text of an id that goes does not take the id's other texts along; rows
+    equal in id and text stay or go together; rows with null doc_id stay."""
+    rows = fingerprints(docs, shingle, prints).filter("doc_id IS NOT NULL")
+    rows = materialize(rows.groupBy(*rows.columns).agg(F.lit(1).alias("one")).drop("one").withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
+    names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
+    edges = None
+    for name in names:
+        # a row stands for all that share this fingerprint; its rows are tied to it
+        nodes = materialize(rows.groupBy(name).agg(F.min("uid").alias("rep")).withColumnRenamed(name, "fp"), "nodes")
+        ties = rows.join(nodes.withColumnRenamed("fp", name), name).filter(F.col("uid") != F.col("rep")).select(F.col("uid").alias("u"), F.col("rep").alias("v"))
+        found = near_pairs(nodes, radius).unionByName(ties)
+        edges = materialize(found if edges is None else edges.unionByName(found), "links")
+    found = materialize(connected_components(edges), "components")
+    member = materialize(rows.join(found, rows["uid"] == found["node"]).select("doc_id", "text_hash", "component"), "members")
+    first = materialize(member.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "groups")
+    gone = member.join(first, "component").filter(F.struct("doc_id", "text_hash") != F.col("first"))
     gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "dropped")
     return docs.join(gone, (docs["doc_id"] == gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")
