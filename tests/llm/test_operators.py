@@ -565,6 +565,7 @@ def test_texts_as_pages(spark):
     for r in pages.dropna(subset="doc_id").itertuples():
         text = rows[int(r.doc_id)][1]
         assert bytes(r.pixels) == payload_of(text) and r.n_bytes == len((text or "").encode())
+    assert {8, 5, 32773} <= set(pages.compression) and pages.error.isna().all()
     same = pages[pages.doc_id.isin([6, 7])]
     assert same.media.map(bytes).nunique() == 1 and same.feature.nunique() == 1
 
