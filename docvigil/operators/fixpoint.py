@@ -30,3 +30,13 @@ def written(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "round")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing reads any more; other tables stay."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("docvigil-"):
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)

@@ -260,7 +260,7 @@ def cross_field(values: DataFrame, pairs: DataFrame) -> DataFrame:
     the related field must itself stay. Rounds end when nothing goes, at the latest when no field is left:
     each round but the last takes a field of some document.
     """
-    from docvigil.operators.fixpoint import written
+    from docvigil.operators.fixpoint import forget, written
 
     live = written(values)
     n = live.count()
@@ -268,7 +268,8 @@ def cross_field(values: DataFrame, pairs: DataFrame) -> DataFrame:
         other = live.select("doc_id", F.col("field_id").alias("related"), F.col("number").alias("limit"))
         j = live.join(pairs, "field_id").join(other, ["doc_id", "related"], "left")
         gone = j.filter(F.coalesce(F.col("number") > F.col("limit"), F.lit(True))).select("doc_id", "field_id").distinct()
-        live = written(live.join(gone, ["doc_id", "field_id"], "left_anti"))
+        before, live = live, written(live.join(gone, ["doc_id", "field_id"], "left_anti"))
+        forget(before)
         left = live.count()
         if left == n:
             break

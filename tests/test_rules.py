@@ -241,3 +241,15 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
     with pytest.raises(RuntimeError):
         shared_folder(Session())
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_only_written_tables_are_forgotten(spark, tmp_path):
+    from docvigil.operators.fixpoint import forget, written
+
+    spark.range(3).write.parquet(str(tmp_path / "own"))
+    own, scratch = spark.read.parquet(str(tmp_path / "own")), written(spark.range(5))
+    folder = scratch.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    forget(own, scratch)
+    import os
+
+    assert own.count() == 3 and not os.path.exists(folder)
