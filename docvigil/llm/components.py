@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docvigil.llm.common import materialize
+from docvigil.operators.fixpoint import forget
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -26,13 +27,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # large star: each larger neighbour of u goes to the least of u and its neighbours
         near = _both(edges)
         low = materialize(near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        edges = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        edges = materialize(edges, "edges")
+        large = near.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "edges")
+        forget(edges, low)
         # small star: u and its smaller neighbours go to the least of them
-        low = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "low")
-        joined = edges.join(low, "u")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        joined = large.join(low, "u")
         edges = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         edges = materialize(edges, "edges")
+        forget(large, low)
         now = tuple(edges.agg(F.count("u"), F.sum("v").cast("string"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == mark:
             break

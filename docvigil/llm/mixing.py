@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docvigil.llm.common import materialize, n_words
+from docvigil.operators.fixpoint import forget
 
 #: Sources up to which tables with a row a source are broadcast to the documents; beyond, Spark joins
 #: by shuffles, of which adaptive execution splits a hot source.
@@ -99,7 +100,8 @@ def entropy_rates(sizes: DataFrame, targets: DataFrame, most: float) -> DataFram
         step = F.when(fair, newton).otherwise(F.coalesce((F.col("low") + F.col("high")) / 2, wider))
         done = (F.abs(off) < TOLERANCE) | F.coalesce(F.col("high") - F.col("low") <= F.abs("high") * F.lit(1e-14), F.lit(False))
         moved = sums.withColumn("done", done).select("source", "mean", "target", F.when(F.col("done"), F.col("b")).otherwise(step).alias("b"), "low", "high", "done")
-        state = materialize(moved.unionByName(state.filter("done")), "dual")
+        before, state = state, materialize(moved.unionByName(state.filter("done")), "dual")
+        forget(before)
         if not state.filter("NOT done").limit(1).count():
             break
     else:
@@ -187,6 +189,7 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
         step = state.join(done, state["s"].eqNullSafe(done["c"]), "left").join(best, F.col("s").eqNullSafe(best["b"]), "left")
         moved = (F.col("cut") >= 0) | F.col("best").isNotNull()
         one = F.struct(nth.alias("turn"), "gap", "level", "cut", F.col("best.unit").alias("pick"))
+        old = state, left, cut
         state = materialize(step.select(
             "s", F.coalesce(F.col("rest") - F.coalesce("best.total", F.lit(0)), "gap").alias("gap"),
             F.when(F.col("level").isNull(), F.col("floor")).when(moved, F.col("level")).otherwise(F.col("level") + 1).alias("floor"),
@@ -195,6 +198,7 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
         won = F.when(was["turn"] == nth, gains(was, F.col("unit"), F.col("size"), F.col("whole"), F.col("extra"))).otherwise(0)
         left = left.join(small(state), left["source"].eqNullSafe(state["s"])).withColumn("extra", F.col("extra") + won).filter(may)
         left = materialize(left.select("source", "unit", "size", "whole", "extra"), "left")
+        forget(*old)
     plan = materialize(plan.join(state.select("s", "rounds"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s"), "rounds")
     out = planned(sized if light else rows, plan).withColumn("unit", unit)
     rounds = F.coalesce("rounds", F.array().cast(round_type))
