@@ -209,7 +209,7 @@ def p19(spark, sf_dir):
     return A.event_view(view(spark, sf_dir, "log"))
 
 
-_REVIEWS = "SELECT conv_id * 100 + turn AS event_id, CASE WHEN turn = 5 THEN 'shout' WHEN turn % 2 = 0 THEN 'edit' ELSE 'approve' END AS action, CASE WHEN conv_id % 9 = 0 THEN ' ' ELSE CAST(conv_id AS STRING) END AS block_id, CASE WHEN conv_id % 8 = 0 THEN 'x' ELSE '{0}' END AS hash, CAST(turn % 4 AS INT) AS page, CASE WHEN turn = 2 THEN NULL WHEN turn = 3 THEN NULL ELSE substr(text, 1, 5) END AS revised, text AS original FROM conversations".format("a" * 64)
+_REVIEWS = "SELECT conv_id * 100 + turn AS event_id, CASE WHEN turn = 5 THEN 'shout' WHEN turn % 2 = 0 THEN 'edit' ELSE 'approve' END AS action, CASE WHEN conv_id % 9 = 0 THEN ' ' ELSE CAST(conv_id AS STRING) END AS block_id, CASE WHEN conv_id % 8 = 0 THEN 'x' ELSE '{0}' END AS hash, CAST(turn % 4 AS INT) AS page, CASE WHEN turn = 2 THEN NULL WHEN turn = 3 THEN NULL ELSE CONCAT(text, '!') END AS revised, text AS original FROM conversations".format("a" * 64)
 
 
 @query("d21_check_review_events", f"""SELECT event_id, concat_ws('; ', CASE WHEN action = 'shout' THEN 'action' END, CASE WHEN trim(block_id) = '' THEN 'id' END, CASE WHEN hash = 'x' THEN 'hash' END, CASE WHEN page < 1 THEN 'page' END, CASE WHEN action = 'edit' AND coalesce(trim(revised), '') = '' THEN 'revised text' END) AS violations,
