@@ -120,30 +120,32 @@ def groups_to_agree(nodes: int, radius: int) -> int:
 
 
 def _around(df: DataFrame, reach: int) -> DataFrame:
-    """``df(fp, rep)`` with every fingerprint within ``reach`` bits (2 at most) of fp, as ``ball``."""
-    own = df.select("rep", F.col("fp").alias("ball"))
+    """``df(part, fp, rep)`` with every fingerprint within ``reach`` bits (2 at most) of fp, as ``ball``."""
+    own = df.select("part", "rep", F.col("fp").alias("ball"))
     if not reach:
         return own
     one = lambda c: F.expr(f"shiftleft(1L, {c})")
-    first = df.select("fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("i"))
+    first = df.select("part", "fp", "rep", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("i"))
     if reach == 1:
-        return own.unionByName(first.select("rep", F.col("fp").bitwiseXOR(one("i")).alias("ball")))
-    both = first.select("fp", "rep", "i", F.explode(F.sequence(F.col("i"), F.lit(BITS - 1))).alias("j"))
+        return own.unionByName(first.select("part", "rep", F.col("fp").bitwiseXOR(one("i")).alias("ball")))
+    both = first.select("part", "fp", "rep", "i", F.explode(F.sequence(F.col("i"), F.lit(BITS - 1))).alias("j"))
     flip = F.when(F.col("i") == F.col("j"), one("i")).otherwise(one("i").bitwiseOR(one("j")))
-    return own.unionByName(both.select("rep", F.col("fp").bitwiseXOR(flip).alias("ball")))
+    return own.unionByName(both.select("part", "rep", F.col("fp").bitwiseXOR(flip).alias("ball")))
 
 
 def near_pairs(nodes: DataFrame, radius: int = 2, agree: int | None = None) -> DataFrame:
     """Edges (u, v) between ``nodes(fp, rep)``, distinct fingerprints, that connect exactly the
-    fingerprints within ``radius`` (4 at most) differing bits."""
+    fingerprints within ``radius`` (4 at most) differing bits. With a column ``part``, fingerprints of
+    different parts do not meet."""
     if radius not in (1, 2, 3, 4):
         raise ValueError("a radius of 1 to 4 bits: neighbourhoods of hot buckets grow with the power of half of it")
     agree = agree or groups_to_agree(nodes.count(), radius)
+    nodes = nodes if "part" in nodes.columns else nodes.withColumn("part", F.lit(0))
     n = radius + agree
     base = F.bit_count("fp")
-    table = nodes.select("fp", "rep", *[F.xxhash64(*[d - base for d in g]).alias(f"g{i}") for i, g in enumerate(distances(F.col("fp"), n))])
-    keys = F.array(*[F.xxhash64(F.lit(k), *[f"g{i}" for i in c]) for k, c in enumerate(combinations(range(n), agree))])
-    keyed = materialize(table.select("fp", "rep", F.explode(keys).alias("key")), "pivots")
+    table = nodes.select("part", "fp", "rep", *[F.xxhash64(*[d - base for d in g]).alias(f"g{i}") for i, g in enumerate(distances(F.col("fp"), n))])
+    keys = F.array(*[F.xxhash64(F.lit(k), "part", *[f"g{i}" for i in c]) for k, c in enumerate(combinations(range(n), agree))])
+    keyed = materialize(table.select("part", "fp", "rep", F.explode(keys).alias("key")), "pivots")
     buckets = materialize(keyed.groupBy("key").agg(F.count("fp").alias("n")).filter("n > 1"), "buckets")
     some = keyed.join(buckets.filter(F.col("n") <= BUCKET), "key").drop("n")
     a, b = some.select("key", F.col("fp").alias("a"), F.col("rep").alias("u")), some.select("key", F.col("fp").alias("b"), F.col("rep").alias("v"))
@@ -152,11 +154,11 @@ def near_pairs(nodes: DataFrame, radius: int = 2, agree: int | None = None) -> D
     pairs = pairs.filter(F.greatest(F.abs(F.bit_count("a") - F.bit_count("b")), *apart) <= radius)
     edges = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("u", "v")
 
-    hot = materialize(keyed.join(buckets.filter(F.col("n") > BUCKET).select("key"), "key").select("fp", "rep").distinct(), "hot")
+    hot = materialize(keyed.join(buckets.filter(F.col("n") > BUCKET).select("key"), "key").select("part", "fp", "rep").distinct(), "hot")
     balls = materialize(_around(hot, (radius + 1) // 2), "balls")
     near = balls if radius % 2 == 0 else _around(hot, radius // 2)
-    centre = near.groupBy("ball").agg(F.min("rep").alias("v"))
-    stars = balls.join(materialize(centre, "centres"), "ball").filter("rep <> v").select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v"))
+    centre = near.groupBy("part", "ball").agg(F.min("rep").alias("v"))
+    stars = balls.join(materialize(centre, "centres"), ["part", "ball"]).filter("rep <> v").select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v"))
     return edges.unionByName(stars).distinct()
 
 
@@ -182,14 +184,12 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, prints: int = 1
     equal in id and text stay or go together; rows with null doc_id stay."""
     rows = fingerprints(docs, shingle, prints).filter("doc_id IS NOT NULL")
     rows = materialize(rows.groupBy(*rows.columns).agg(F.lit(1).alias("one")).drop("one").withColumn("uid", F.monotonically_increasing_id()), "fingerprints")
-    names = ["fp", *[f"fp{k}" for k in range(1, prints)]]
-    edges = None
-    for name in names:
-        # a row stands for all that share this fingerprint; its rows are tied to it
-        nodes = materialize(rows.groupBy(name).agg(F.min("uid").alias("rep")).withColumnRenamed(name, "fp"), "nodes")
-        ties = rows.join(nodes.withColumnRenamed("fp", name), name).filter(F.col("uid") != F.col("rep")).select(F.col("uid").alias("u"), F.col("rep").alias("v"))
-        found = near_pairs(nodes, radius).unionByName(ties)
-        edges = materialize(found if edges is None else edges.unionByName(found), "links")
+    each = F.array(*[F.struct(F.lit(k).alias("part"), F.col(f"fp{k}" if k else "fp").alias("fp")) for k in range(prints)])
+    each = rows.select("uid", F.explode(each).alias("p")).select("uid", "p.part", "p.fp")
+    # a row stands for all that share one of its fingerprints; they are tied to it
+    nodes = materialize(each.groupBy("part", "fp").agg(F.min("uid").alias("rep")), "nodes")
+    ties = each.join(nodes, ["part", "fp"]).filter(F.col("uid") != F.col("rep")).select(F.col("uid").alias("u"), F.col("rep").alias("v"))
+    edges = near_pairs(nodes, radius).unionByName(ties)
     found = materialize(connected_components(edges), "components")
     member = materialize(rows.join(found, rows["uid"] == found["node"]).select("doc_id", "text_hash", "component"), "members")
     first = materialize(member.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "groups")
