@@ -42,6 +42,8 @@ BITS = 64
 PIVOTS = 8
 #: Fingerprints in a bucket up to which its pairs are formed.
 BUCKET = 48
+#: Buckets of more than two up to which they are broadcast to the fingerprints.
+FEW = 200_000
 #: Shingles that are hashed at once.
 STEP = 65_536
 
@@ -145,16 +147,20 @@ def near_pairs(nodes: DataFrame, radius: int = 2, agree: int | None = None) -> D
     base = F.bit_count("fp")
     table = nodes.select("part", "fp", "rep", *[F.xxhash64(*[d - base for d in g]).alias(f"g{i}") for i, g in enumerate(distances(F.col("fp"), n))])
     keys = F.array(*[F.xxhash64(F.lit(k), "part", *[f"g{i}" for i in c]) for k, c in enumerate(combinations(range(n), agree))])
-    keyed = materialize(table.select("part", "fp", "rep", F.explode(keys).alias("key")), "pivots")
-    buckets = materialize(keyed.groupBy("key").agg(F.count("fp").alias("n")).filter("n > 1"), "buckets")
-    some = keyed.join(buckets.filter(F.col("n") <= BUCKET), "key").drop("n")
-    a, b = some.select("key", F.col("fp").alias("a"), F.col("rep").alias("u")), some.select("key", F.col("fp").alias("b"), F.col("rep").alias("v"))
-    pairs = a.join(b, "key").filter("u < v")
+    keyed = table.select("part", "fp", "rep", F.explode(keys).alias("key"))
+    # most buckets hold one or two fingerprints: least and largest are the pair, so only others are read again
+    held = keyed.groupBy("key").agg(F.count("fp").alias("n"), F.min("rep").alias("u"), F.max("rep").alias("v"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    buckets = materialize(held.filter("n > 1"), "buckets")
+    larger = buckets.filter("n > 2").select("key", "n")
+    larger = F.broadcast(larger) if larger.count() <= FEW else larger
+    some = keyed.join(larger.filter(F.col("n") <= BUCKET), "key").drop("n")
+    one, other = some.select("key", F.col("fp").alias("a"), F.col("rep").alias("u")), some.select("key", F.col("fp").alias("b"), F.col("rep").alias("v"))
+    pairs = one.join(other, "key").filter("u < v").select("u", "v", "a", "b").unionByName(buckets.filter("n = 2").select("u", "v", "a", "b"))
     apart = [F.abs(x - y) for x, y in zip(sum(distances(F.col("a"), n), []), sum(distances(F.col("b"), n), []))]
     pairs = pairs.filter(F.greatest(F.abs(F.bit_count("a") - F.bit_count("b")), *apart) <= radius)
     edges = pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("u", "v")
 
-    hot = materialize(keyed.join(buckets.filter(F.col("n") > BUCKET).select("key"), "key").select("part", "fp", "rep").distinct(), "hot")
+    hot = materialize(keyed.join(larger.filter(F.col("n") > BUCKET).select("key"), "key").select("part", "fp", "rep").distinct(), "hot")
     balls = materialize(_around(hot, (radius + 1) // 2), "balls")
     near = balls if radius % 2 == 0 else _around(hot, radius // 2)
     centre = near.groupBy("part", "ball").agg(F.min("rep").alias("v"))

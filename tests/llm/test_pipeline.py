@@ -60,7 +60,7 @@ def test_stages(spark, folder):
     assert sorted(after.doc_id) == sorted(best)
 
     before, after = by["simhash"]
-    kept_rows = plain_kept(list(zip(before.doc_id, before.text)), 2, 4, 3)
+    kept_rows = plain_kept(list(zip(before.doc_id, before.text)), 2, 2, 4)
     assert sorted(after.doc_id) == sorted(d for d, _ in kept_rows)
 
     before, after = by["mixing"]
