@@ -2,8 +2,8 @@
 
 1. ``toxicity``     documents that the classifier rejects go
 2. ``exact_dedup``  of equal texts the largest doc_id stays
-3. ``simhash``      of near copies the smallest doc_id stays: texts of which one of three fingerprints of
-                    two-word shingles differs in four bits at most, as those of similar texts do
+3. ``simhash``      of near copies the smallest doc_id stays: texts of which one of four fingerprints of
+                    two-word shingles differs in two bits at most
 4. ``mixing``       documents repeat or go until each source has its target
 5. ``packing``      token sequences whose lengths are powers of two
 
@@ -36,7 +36,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs, shingle=2, radius=4, prints=3)
+    return keep_one(docs, shingle=2, radius=2, prints=4)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
