@@ -31,6 +31,31 @@ def parse_bool(c: Column) -> Column:
     return F.when(word.isin("true", "yes", "1"), True).when(word.isin("false", "no", "0"), False)
 
 
+DATE_ORDER = {"before": "<", "before_or_equal": "<=", "after": ">", "after_or_equal": ">="}
+NUMBER_ORDER = {"less_than": "<", "less_than_or_equal": "<=", "greater_than": ">", "greater_than_or_equal": ">="}
+
+
+def fields_agree(operator: Column, value: Column, other: Column, value_type: Column) -> Column:
+    """Whether a field's value stands to a related one as ``operator`` says; false where it cannot be told.
+
+    Orders are those of dates or of numbers. Equality is that of the field's type where either text is such a
+    value, and then both must be; else that of trimmed texts.
+    """
+    compare = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    kind, op = F.lower(F.trim(value_type)), F.lower(F.trim(operator))
+    typed = F.when(kind == "number", F.struct(parse_number(value).cast("string").alias("a"), parse_number(other).cast("string").alias("b")))
+    typed = typed.when(kind == "date", F.struct(parse_date(value).cast("string").alias("a"), parse_date(other).cast("string").alias("b")))
+    typed = typed.when(kind == "boolean", F.struct(parse_bool(value).cast("string").alias("a"), parse_bool(other).cast("string").alias("b")))
+    a, b = typed["a"], typed["b"]
+    plain = F.coalesce(a.isNull() & b.isNull(), F.lit(True))
+    same = F.when(plain, F.trim(value) == F.trim(other)).otherwise(a == b)
+    told = F.when(op == "equals", same).when(op == "not_equals", ~same)
+    for orders, parse in ((DATE_ORDER, parse_date), (NUMBER_ORDER, parse_number)):
+        for name, sign in orders.items():
+            told = told.when(op == name, compare[sign](parse(value), parse(other)))
+    return F.coalesce(told, F.lit(False))
+
+
 def cell_type(c: Column) -> Column:
     """``number`` for plain numbers without leading zeros and with 15 significant digits at most,
     ``blank``, else ``text``."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docvigil.functions.text import norm
+from docvigil.functions.values import finite
 from docvigil.operators.cells import rules
 from docvigil.operators.fixpoint import written
 
@@ -137,32 +138,82 @@ def approval_check(events: DataFrame, by: list[str]) -> DataFrame:
 
 
 def check_contract(events: DataFrame, contracts: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Events that their action's contract does not allow: unknown action, scope, job status, uploader."""
-    c = contracts.select(F.explode(F.array_append(F.col("aliases"), F.col("action"))).alias("action"), "scopes", "statuses", F.lit(True).alias("known"))
-    j = events.join(c, "action", "left").join(jobs.select("job_id", "status", "uploader"), "job_id", "left")
-    known = F.coalesce("known", F.lit(False))
+    """Events that their action's contract does not allow.
+
+    ``events(event_id, job_id, action, event_type, actor, scope)``; ``contracts(action, aliases, scopes,
+    event_types, statuses, result_statuses, uploader, unattempted)``, where null lists allow all and an action
+    goes by its name or an alias; ``jobs(job_id, status, result_status, uploader, attempts)``. What a contract
+    asks for and a job does not have counts against the event.
+    """
+    c = contracts.select(
+        F.explode(F.array_distinct(F.array_append(F.col("aliases"), F.col("action")))).alias("action"), "scopes", "event_types", "statuses", "result_statuses",
+        F.coalesce("uploader", F.lit(False)).alias("by_uploader"), F.coalesce("unattempted", F.lit(False)).alias("unattempted"), F.lit(True).alias("known"))
+    j = events.join(c, "action", "left").join(jobs.select("job_id", "status", "result_status", "uploader", "attempts"), "job_id", "left")
+    known, no = F.coalesce("known", F.lit(False)), F.lit(False)
+    outside = lambda allowed, v: known & F.col(allowed).isNotNull() & ~F.coalesce(F.array_contains(F.col(allowed), F.col(v)), no)
     bad = rules(
-        ("unknown action", ~known), ("scope", known & ~F.array_contains("scopes", F.col("scope"))), ("job status", known & ~F.coalesce(F.array_contains("statuses", F.col("status")), F.lit(False))),
-        ("uploader", F.col("action").isin("purchase") & ~F.coalesce(F.col("actor") == F.col("uploader"), F.lit(False))))
+        ("unknown action", ~known), ("scope", outside("scopes", "scope")), ("event type", outside("event_types", "event_type")), ("job status", outside("statuses", "status")),
+        ("result status", outside("result_statuses", "result_status")), ("uploader", known & F.col("by_uploader") & ~F.coalesce(F.col("actor") == F.col("uploader"), no)),
+        ("attempted job", known & F.col("unattempted") & ~F.coalesce(F.col("attempts") == 0, no)))
     return j.select("event_id", F.concat_ws("; ", bad).alias("violations")).filter("violations <> ''")
 
 
+#: A SHA-256 digest in lowercase hexadecimal.
+DIGEST = "^[0-9a-f]{64}$"
+
+
 def download_evidence(events: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Download events and whether an artifact of their job and document exists; a declared hash or
-    name must be its own."""
-    a = artifacts.select("job_id", "document_id", F.col("sha").alias("_sha"), F.col("name").alias("_name"), "artifact_id")
-    same = (F.col("sha").isNull() | (F.col("sha") == F.col("_sha"))) & (F.col("name").isNull() | (F.col("name") == F.col("_name")))
-    j = events.join(a, ["job_id", "document_id"], "left").withColumn("hit", F.when(F.coalesce(same & F.col("artifact_id").isNotNull(), F.lit(False)), F.col("artifact_id")))
-    return j.groupBy("event_id").agg(F.count("hit").alias("evidence"), F.min("hit").alias("artifact_id"))
+    """What download events rest on: (event_id, evidence, artifact_id, verdict).
+
+    ``artifacts(job_id, document_id, artifact_id, sha, name)`` are those of successful results. A declared
+    hash or name asks for both, and for an artifact of the event's job and document that has them; without,
+    all of these artifacts match. ``required``, where not null, is the part of the matching ids that the event
+    stands for, else all. ``recorded`` ids, exploded and counted against them, must be the same set: what is
+    not recorded is missing, what is recorded of the same job is surplus, and of another or of none, foreign.
+    ``evidence`` counts the ids that the event stands for and ``artifact_id`` is the least of them.
+    """
+    declared = F.col("sha").isNotNull() | F.col("name").isNotNull()
+    formed = F.coalesce(F.col("sha").rlike(DIGEST) & (F.trim("name") != ""), F.lit(False))
+    e = events.select("event_id", "job_id", "document_id", "sha", "name", "required", "recorded", declared.alias("declared"), formed.alias("formed"))
+    a = artifacts.select("job_id", "document_id", "artifact_id", F.col("sha").alias("_sha"), F.col("name").alias("_name"))
+    yes, no = F.lit(True), F.lit(False)
+    match = ~F.col("declared") | F.coalesce(F.col("formed") & (F.col("sha") == F.col("_sha")) & (F.col("name") == F.col("_name")), no)
+    ids = e.join(a, ["job_id", "document_id"]).select("event_id", "artifact_id", yes.alias("own"), match.alias("match"), no.alias("asked"), no.alias("noted"))
+    ids = ids.unionByName(e.select("event_id", F.explode("required").alias("artifact_id")).select("*", no.alias("own"), no.alias("match"), yes.alias("asked"), no.alias("noted")))
+    ids = ids.unionByName(e.select("event_id", F.explode("recorded").alias("artifact_id")).select("*", no.alias("own"), no.alias("match"), no.alias("asked"), yes.alias("noted")))
+    ids = ids.groupBy("event_id", "artifact_id").agg(*[F.bool_or(c).alias(c) for c in ("own", "match", "asked", "noted")])
+    own, hit, asked, noted = (F.col(c) for c in ("own", "match", "asked", "noted"))
+    counts = ids.groupBy("event_id").agg(
+        F.count_if(own).alias("n_own"), F.count_if(hit).alias("n_match"), F.count_if(asked & ~hit).alias("n_astray"), F.min(F.when(hit, F.col("artifact_id"))).alias("least_match"), F.min(F.when(asked, F.col("artifact_id"))).alias("least_asked"), F.count_if(asked).alias("n_asked"),
+        F.count_if(hit & ~noted).alias("all_missing"), F.count_if(asked & ~noted).alias("asked_missing"), F.count_if(noted & own & ~hit).alias("all_surplus"), F.count_if(noted & own & ~asked).alias("asked_surplus"), F.count_if(noted & ~own).alias("foreign"))
+    j = e.join(counts, "event_id", "left").fillna(0, ["n_own", "n_match", "n_astray", "n_asked", "all_missing", "asked_missing", "all_surplus", "asked_surplus", "foreign"])
+    part = F.col("required").isNotNull()
+    pick = lambda x, y: F.when(part, F.col(x)).otherwise(F.col(y))
+    bad = rules(
+        ("no artifact", F.col("n_own") == 0), ("malformed declaration", F.col("declared") & ~F.col("formed")), ("no match", (F.col("n_own") > 0) & (F.col("n_match") == 0)),
+        ("required ids do not match", part & ((F.col("n_asked") == 0) | (F.col("n_astray") > 0))), ("missing", pick("asked_missing", "all_missing") > 0), ("surplus", pick("asked_surplus", "all_surplus") > 0), ("foreign", F.col("foreign") > 0))
+    return j.select("event_id", pick("n_asked", "n_match").alias("evidence"), pick("least_asked", "least_match").alias("artifact_id"), F.concat_ws("; ", bad).alias("verdict"))
 
 
-def resolve_scope(events: DataFrame, entities: DataFrame, states: dict[str, list[str]]) -> DataFrame:
-    """Events whose (scope_type, scope_id) is not an entity of their job in a state that allows the action."""
-    e = entities.select("scope_type", "scope_id", F.col("job_id").alias("_job"), F.col("status").alias("_status"))
+def resolve_scope(events: DataFrame, entities: DataFrame, states: dict[str, list[str]], uploads: list[str], acted: list[str]) -> DataFrame:
+    """Events whose scope is not an entity of their own job and document that allows the action.
+
+    ``events(event_id, job_id, document_id, action, actor, scope_type, scope_id)``; ``entities(scope_type,
+    scope_id, job_id, document_id, status, actor, verbs)``, job_id null for what belongs to a document only.
+    ``states``: the statuses that an action needs. The entity's actor (its uploader, or who decided) must be the
+    event's for actions in ``uploads`` and for scope types in ``acted``; ``verbs``, where not null, are the
+    actions that the entity itself stands for.
+    """
+    names = ["job_id", "document_id", "status", "actor", "verbs"]
+    e = entities.select("scope_type", "scope_id", *[F.col(c).alias(f"_{c}") for c in names], F.lit(True).alias("_found"))
     j = events.join(e, ["scope_type", "scope_id"], "left")
-    allowed = reduce(lambda w, kv: w.when(F.col("action") == kv[0], F.col("_status").isin(*kv[1])), states.items(), F.when(F.lit(False), F.lit(True))).otherwise(F.lit(True))
-    missing = F.col("_job").isNull()
-    bad = rules(("no such entity", missing), ("other job", ~missing & (F.col("job_id") != F.col("_job"))), ("state", ~missing & ~allowed))
+    no = F.lit(False)
+    allowed = reduce(lambda w, kv: w.when(F.col("action") == kv[0], F.col("_status").isin(*kv[1])), states.items(), F.when(no, True)).otherwise(F.lit(True))
+    found = F.coalesce("_found", no)
+    personal = F.col("action").isin(*uploads) | F.col("scope_type").isin(*acted)
+    bad = rules(
+        ("no such entity", ~found), ("other job", found & F.col("_job_id").isNotNull() & ~F.col("job_id").eqNullSafe(F.col("_job_id"))), ("other document", found & ~F.col("document_id").eqNullSafe(F.col("_document_id"))),
+        ("state", found & ~F.coalesce(allowed, no)), ("other actor", found & personal & ~F.coalesce(F.col("actor") == F.col("_actor"), no)), ("other action", found & F.col("_verbs").isNotNull() & ~F.coalesce(F.array_contains("_verbs", F.col("action")), no)))
     return j.select("event_id", F.concat_ws("; ", bad).alias("violations")).filter("violations <> ''")
 
 
@@ -198,7 +249,7 @@ def check_payloads(events: DataFrame, payload: str, fields: dict[str, tuple[str,
 
 def check_entities(df: DataFrame, key: str, texts: list[str], hashes: list[str], jsons: list[str]) -> DataFrame:
     """Rows with blank texts, malformed hashes, invalid JSON objects or a key that another row has."""
-    bad = [(f"{c} is blank", norm(F.coalesce(c, F.lit(""))) == "") for c in texts] + [(f"{c} is no hash", ~F.col(c).rlike("^[0-9a-f]{64}$")) for c in hashes]
+    bad = [(f"{c} is blank", norm(F.coalesce(c, F.lit(""))) == "") for c in texts] + [(f"{c} is no hash", ~F.col(c).rlike(DIGEST)) for c in hashes]
     bad += [(f"{c} is no object", F.try_parse_json(c).isNull() | ~F.trim(c).startswith("{")) for c in jsons] + [(f"{key} repeats", F.count(F.lit(1)).over(Window.partitionBy(key)) > 1)]
     return df.select(key, F.concat_ws("; ", rules(*bad)).alias("violations")).filter("violations <> ''")
 
@@ -223,17 +274,29 @@ def job_view(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.initcap("status").alias("label"), progress.alias("progress"), F.size(F.coalesce("warnings", F.array().cast("array<string>"))).alias("n_warnings"))
 
 
-def event_view(events: DataFrame) -> DataFrame:
-    """The few fields that workflow rules read."""
-    return events.select("event_id", "job_id", "action", F.get_json_object("props", "$.k").cast("long").alias("k"), F.date_trunc("second", "ts").alias("at"))
+def event_view(events: DataFrame, payload: str, fields: dict[str, tuple[str, str]], keep: list[str]) -> DataFrame:
+    """The few fields that workflow rules read: columns to ``keep``, and of the JSON column ``payload`` each
+    named field by its (path, type); what is absent or of another type is null."""
+    read = [F.get_json_object(payload, path).try_cast(kind).alias(name) for name, (path, kind) in fields.items()]
+    return events.select(*keep, *read)
 
 
 def check_review_events(e: DataFrame) -> DataFrame:
-    """Review events with malformed fields, and the revised text that each stands for."""
+    """Review events with malformed fields, and the revised text that each stands for.
+
+    A box is absent or whole: four finite numbers, none negative, with an area. An edit has a revised text
+    that is not its original; what is needed of a text must not be blank.
+    """
+    box = [F.col(c) for c in ("x", "y", "w", "h")]
+    absent = reduce(lambda a, b: a & b, [c.isNull() for c in box])
+    whole = reduce(lambda a, b: a & b, [finite(c) & (c >= 0) for c in box]) & (F.col("w") > 0) & (F.col("h") > 0)
+    blank = lambda c: F.coalesce(norm(F.col(c)) == "", F.lit(True))
+    edit = F.col("action") == "edit"
     bad = rules(
-        ("action", ~F.col("action").isin("edit", "approve", "reject", "needs_fix")), ("id", norm(F.coalesce("block_id", F.lit(""))) == ""), ("hash", ~F.col("hash").rlike("^[0-9a-f]{64}$")),
-        ("page", F.col("page") < 1), ("revised text", (F.col("action") == "edit") & F.coalesce(norm(F.col("revised")) == "", F.lit(True))))
-    text = F.when(F.col("action") == "edit", F.col("revised")).otherwise(F.coalesce("revised", "original"))
+        ("action", F.coalesce(~F.col("action").isin("edit", "approve", "reject", "needs_fix"), F.lit(True))), ("id", blank("block_id")), ("hash", ~F.coalesce(F.col("hash").rlike(DIGEST), F.lit(False))),
+        ("page", F.coalesce(F.col("page") < 1, F.lit(True))), ("box", ~absent & ~F.coalesce(whole, F.lit(False))), ("original text", F.col("original").isNull()),
+        ("revised text", edit & blank("revised")), ("unchanged text", edit & F.coalesce(F.col("revised") == F.col("original"), F.lit(False))))
+    text = F.when(edit, F.col("revised")).otherwise(F.coalesce("revised", "original"))
     return e.select("event_id", F.concat_ws("; ", bad).alias("violations"), F.md5(text).alias("text_md5"))
 
 

@@ -78,10 +78,11 @@ def fold_status(df: DataFrame, by: list[str], column: str = "status") -> DataFra
 
 def ratio_rollup(cases: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """Summed matched over total; unknown if a case is invalid, contradicts itself, or nothing counts."""
-    own = F.when(F.col("matched") >= threshold * F.col("total"), "pass").otherwise("fail")
+    reached = F.try_divide("matched", "total") >= threshold  # the ratio itself is compared, as rounded
+    own = F.when(reached, "pass").otherwise("fail")
     invalid = F.coalesce((F.col("matched") < 0) | (F.col("total") <= 0) | (F.col("matched") > F.col("total")) | (F.col("status") != own), F.lit(True))
     out = cases.groupBy(*by).agg(F.sum("matched").alias("matched"), F.sum("total").alias("total"), F.bool_or(invalid).alias("invalid"), F.count_if(F.col("status") == "fail").alias("failing"))
-    status = F.when(F.col("invalid") | (F.col("total") == 0), "unknown").when(F.col("matched") >= threshold * F.col("total"), "pass").otherwise("fail")
+    status = F.when(F.col("invalid") | (F.col("total") == 0), "unknown").when(reached, "pass").otherwise("fail")
     return out.select(*by, "matched", "total", "failing", F.when(status != "unknown", F.col("matched") / F.col("total")).alias("ratio"), status.alias("status"))
 
 
@@ -191,20 +192,57 @@ def reporting_run(runs: DataFrame) -> DataFrame:
     return runs.groupBy(*PAIR, "arm").agg(F.coalesce(F.min_by("run_id", F.when(F.col("included"), F.col("attempt"))), F.max_by("run_id", "attempt")).alias("run_id"))
 
 
-def pair_arms(runs: DataFrame, arms: tuple[str, str]) -> DataFrame:
-    """Participants' cases with one run in each arm (the first attempt), and whether both are complete."""
-    first = runs.filter("attempt = 1")
-    side = lambda arm, p: first.filter(F.col("arm") == arm).select(*PAIR, F.col("seconds").alias(f"{p}_seconds"), F.col("complete").alias(f"{p}_complete"))
-    j = side(arms[0], "a").join(side(arms[1], "b"), PAIR)
-    return j.withColumn("eligible", F.col("a_complete") & F.col("b_complete") & (F.col("a_seconds") > 0)).drop("a_complete", "b_complete")
+def pair_arms(runs: DataFrame, arms: tuple[str, str], completed: DataFrame | None = None, approved: str = "approved") -> DataFrame:
+    """One row a participant and case that has a run: what both arms reported, and whether the pair counts.
+
+    ``runs(participant, case_id, arm, run_id, attempt, included, outcome, checklist, seconds)``. An arm
+    reports its included run, else its last attempt. A pair is ``calculable`` if each arm has exactly one
+    included run, both approved with a complete checklist, in positive time (``seconds`` is less pauses); it is
+    ``eligible`` if besides its participant is in ``completed(participant)``. ``reduction_percent`` is what the
+    second arm saves of the first one's time. Nulls never count.
+    """
+    no = F.lit(False)
+    run = F.struct("run_id", "outcome", "checklist", "seconds", F.coalesce("included", no).alias("included"))
+    named = dict(zip("ab", arms, strict=True))
+    parts = []
+    for p, arm in named.items():
+        mine = F.col("arm") == arm
+        parts += [F.count_if(mine & F.coalesce("included", no)).alias(f"_{p}_n"), F.count_if(mine).alias(f"_{p}_all")]
+        parts.append(F.max_by(run, F.when(mine, F.struct(F.coalesce("included", no), "attempt", "run_id"))).alias(f"_{p}"))
+    g = runs.groupBy(*PAIR).agg(*parts)
+    good = [F.coalesce((F.col(f"_{p}_n") == 1) & (F.col(f"_{p}.outcome") == approved) & F.col(f"_{p}.checklist") & (F.col(f"_{p}.seconds") > 0), no) for p in named]
+    g = g.withColumn("calculable", good[0] & good[1])
+    if completed is None:
+        g = g.withColumn("eligible", F.col("calculable"))
+    else:
+        done = completed.select("participant").distinct().withColumn("_done", F.lit(True))
+        g = g.join(done, "participant", "left").withColumn("eligible", F.col("calculable") & F.coalesce("_done", no))
+    seconds = [F.when(F.col("calculable"), F.col(f"_{p}.seconds")) for p in named]
+    return g.select(
+        *PAIR, "calculable", "eligible", seconds[0].alias("a_seconds"), seconds[1].alias("b_seconds"),
+        F.col("_a.outcome").alias("a_outcome"), F.col("_b.outcome").alias("b_outcome"),
+        F.when(F.col("_a_all") > 0, F.col("_a_n") > 0).alias("a_included"), F.when(F.col("_b_all") > 0, F.col("_b_n") > 0).alias("b_included"),
+        (100 * (seconds[0] - seconds[1]) / seconds[0]).alias("reduction_percent"),
+    )
 
 
 def paired_median(pairs: DataFrame, target_percent: int = 30) -> DataFrame:
-    """Median seconds of both arms over eligible pairs and whether the saving reaches the target,
-    decided with doubled whole seconds before anything is divided."""
-    m = pairs.filter("eligible").agg(F.count("participant").alias("pairs"), (F.median("a_seconds") * 2).cast("long").alias("a2"), (F.median("b_seconds") * 2).cast("long").alias("b2"))
-    met = 100 * (F.col("a2") - F.col("b2")) >= target_percent * F.col("a2")
-    return m.select("pairs", (F.col("a2") / 2).alias("a_median"), (F.col("b2") / 2).alias("b_median"), (100 * (F.col("a2") - F.col("b2")) / F.col("a2")).alias("reduction_percent"), F.coalesce(met, F.lit(False)).alias("met"))
+    """The median of the eligible pairs' reductions and whether it reaches the target.
+
+    The decision is exact: each pair is held against the target as whole numbers, and only where an even
+    number of pairs splits in half are the two middle fractions added, over their common denominator.
+    """
+    a, b = (F.col(c).cast("decimal(18,0)") for c in ("a_seconds", "b_seconds"))
+    e = pairs.filter("eligible").select(F.struct(a.alias("a"), b.alias("b")).alias("p"), "reduction_percent", (100 * (a - b) >= target_percent * a).alias("over"))
+    m = e.agg(
+        F.count(F.lit(1)).alias("pairs"), F.median("reduction_percent").alias("reduction_percent"), F.count_if("over").alias("n_over"),
+        F.max_by("p", F.when(~F.col("over"), F.col("reduction_percent"))).alias("low"), F.min_by("p", F.when(F.col("over"), F.col("reduction_percent"))).alias("high"),
+    )
+    saved = (F.col("low.a") - F.col("low.b")) * F.col("high.a") + (F.col("high.a") - F.col("high.b")) * F.col("low.a")
+    half = 50 * saved >= target_percent * (F.col("low.a") * F.col("high.a"))
+    twice = 2 * F.col("n_over")
+    met = (F.col("pairs") > 0) & ((twice > F.col("pairs")) | ((twice == F.col("pairs")) & half))
+    return m.select("pairs", "reduction_percent", F.coalesce(met, F.lit(False)).alias("met"))
 
 
 def missing_runs(participants: DataFrame, cases: DataFrame, arms: DataFrame, runs: DataFrame) -> DataFrame:
@@ -232,25 +270,56 @@ def overlaps(runs: DataFrame) -> DataFrame:
     return runs.withColumn("before", F.max("ended").over(w)).filter("before > started").select("run_id", "participant")
 
 
-def arm_order(runs: DataFrame, first: str, second: str) -> DataFrame:
-    """Pairs whose first arm had not ended when the second began."""
-    g = runs.groupBy(*PAIR).agg(F.max(F.when(F.col("arm") == first, F.col("ended"))).alias("ended"), F.min(F.when(F.col("arm") == second, F.col("started"))).alias("started"))
-    return g.filter("ended > started").select(*PAIR)
+def arm_order(runs: DataFrame, orders: DataFrame) -> DataFrame:
+    """Participants whose runs do not follow the order declared for them: (participant, problem).
 
+    ``orders(participant, first, second)``: all timed activity of the first arm must end before the second
+    begins; a tie is in order, a second arm without a first is not, nor is activity without an order.
+    """
+    j = runs.join(orders, "participant", "left")
+    of = lambda c: F.coalesce(F.col("arm") == F.col(c), F.lit(False))
+    g = j.groupBy("participant").agg(
+        F.bool_or(F.col("first").isNotNull()).alias("ordered"), F.max(F.when(of("first"), F.greatest("started", "ended"))).alias("until"), F.min(F.when(of("second"), F.col("started"))).alias("since"))
+    late = F.col("since").isNotNull() & F.coalesce(F.col("until") > F.col("since"), F.lit(True))
+    problem = F.when(~F.coalesce("ordered", F.lit(False)), "no order").when(late, "order")
+    return g.select("participant", problem.alias("problem")).filter("problem IS NOT NULL")
 
-def check_runs(runs: DataFrame) -> DataFrame:
-    """Study runs whose own fields are wrong, or whose arm has not exactly one included run."""
+
+def revision_differences(runs: DataFrame, arms: tuple[str, str], fields: list[str]) -> DataFrame:
+    """Pairs of included runs that were not made with the same revisions: (participant, case_id, differs)."""
+    one = [F.struct(F.count_if(mine).alias("n"), *[F.min(F.when(mine, F.col(f))).alias(f) for f in fields]).alias(p) for p, arm in zip("ab", arms, strict=True) for mine in [(F.col("arm") == arm) & F.coalesce("included", F.lit(False))]]
+    g = runs.groupBy(*PAIR).agg(*one).filter("a.n = 1 AND b.n = 1")
+    differs = rules(*[(f, ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))) for f in fields])
+    return g.select(*PAIR, F.concat_ws("; ", differs).alias("differs")).filter("differs <> ''")
+
+
+def check_runs(runs: DataFrame, outcomes: list[str]) -> DataFrame:
+    """Study runs whose own fields are wrong, or whose arm has not exactly one included run; an outcome must
+    be one of ``outcomes``."""
     w = Window.partitionBy(*PAIR, "arm")
-    bad = rules(("timing", ~(F.col("ended") > F.col("started"))), ("pause", ~(F.col("pause") < F.unix_timestamp("ended") - F.unix_timestamp("started"))), ("included runs", F.count_if("included").over(w) != 1), ("outcome", ~F.col("outcome").isin("F", "O")))
+    bad = rules(
+        ("timing", ~(F.col("ended") > F.col("started"))), ("pause", ~(F.col("pause") < F.unix_timestamp("ended") - F.unix_timestamp("started"))),
+        ("included runs", F.count_if("included").over(w) != 1), ("outcome", F.coalesce(~F.col("outcome").isin(*outcomes), F.lit(True))))
     return runs.select("run_id", F.concat_ws("; ", bad).alias("violations")).filter("violations <> ''")
 
 
 def check_participants(participants: DataFrame, runs: DataFrame) -> DataFrame:
-    """Participants whose first run precedes consent, approval or practice, or who ran after leaving."""
-    g = runs.groupBy("participant").agg(F.min("started").alias("first"), F.max("ended").alias("last"))
-    j = participants.join(g, "participant")
-    late = [(c, F.coalesce(F.col(c) > F.col("first"), F.lit(True))) for c in ("consented", "approved", "practised")]
-    bad = rules(*late, ("withdrawn", F.coalesce(F.col("last") > F.col("withdrawn"), F.lit(False))))
+    """Participants whose times are out of order: approval before consent before practice before the first
+    run, nothing after leaving. A tie is out of order, except that practice and runs may end, but not begin, at
+    the moment of leaving. What is missing is out of order too, but for ``withdrawn``.
+
+    ``participants(participant, approved, consented, practised, withdrawn)``, ``runs(participant, started, ended)``.
+    """
+    g = runs.groupBy("participant").agg(F.min("started").alias("first"), F.max("started").alias("begun"), F.max("ended").alias("last"))
+    j = participants.join(g, "participant", "left")
+    before = lambda a, b: F.coalesce(F.col(a) < F.col(b), F.lit(False))
+    active = F.col("first").isNotNull()
+    gone = F.coalesce((F.col("begun") >= F.col("withdrawn")) | (F.col("last") > F.col("withdrawn")), F.lit(False))
+    bad = rules(
+        ("approval after a run", active & ~before("approved", "first")), ("consent after a run", active & ~before("consented", "first")), ("practice after a run", active & ~before("practised", "first")),
+        ("consent before approval", F.col("consented").isNotNull() & ~before("approved", "consented")), ("practice before consent", F.col("practised").isNotNull() & ~before("consented", "practised")),
+        ("consent after leaving", F.col("withdrawn").isNotNull() & F.coalesce(F.col("consented") >= F.col("withdrawn"), F.lit(False))), ("practice after leaving", F.coalesce(F.col("practised") > F.col("withdrawn"), F.lit(False))),
+        ("a run after leaving", gone))
     return j.select("participant", F.concat_ws("; ", bad).alias("violations")).filter("violations <> ''")
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from json import dumps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docvigil.functions.text import fold, norm, norm_col, split_table, value_after
-from docvigil.functions.values import parse_bool, parse_date, parse_number
+from docvigil.functions.values import fields_agree, parse_bool, parse_date, parse_number
 from docvigil.operators.cells import rules
 
 # ---------------------------------------------------------------- versions
@@ -44,34 +44,77 @@ def latest_templates(versions: DataFrame) -> DataFrame:
 
 #: Characters of the piece by which texts that contain others are found.
 PIECE = 4
+#: So many texts to be contained are looked for one by one; more are found by their first piece.
+FEW = 64
+#: Texts of a template library that one pass holds as literals.
+LIBRARY = 20_000
+#: Characters of a text that are cut into pieces at once.
+SEGMENT = 32_768
+
+
+def _literal(values: object, kind: str) -> Column:
+    """A constant that the optimizer folds, however many entries it has."""
+    return F.from_json(F.lit(dumps(values)), kind)
+
+
+def contained_texts(text: Column, wanted: list[str]) -> Column:
+    """Those of ``wanted`` that ``text`` contains. Time grows with the text's length, not with its square: up
+    to ``FEW`` are looked for one by one. Of more, a text is read in overlapping segments, each cut into all
+    pieces of up to ``PIECE`` characters, and only names that begin with a piece of the segment are looked for."""
+    if len(wanted) <= FEW:
+        return F.filter(_literal(wanted, "array<string>"), lambda n: F.contains(text, n))
+    overlap = max(map(len, wanted)) - 1
+    segments = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{SEGMENT + overlap}}})).{{1,{SEGMENT}}}"), F.lit(1))
+    begins: dict[int, dict[str, list[str]]] = {}
+    for n in wanted:
+        begins.setdefault(min(len(n), PIECE), {}).setdefault(n[:PIECE], []).append(n)
+
+    def of_segment(segment: Column) -> Column:
+        found = []
+        for size, names in begins.items():
+            pieces = F.regexp_extract_all(segment, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+            keys = F.array_intersect(pieces, _literal(list(names), "array<string>"))
+            by_key = _literal(names, "map<string,array<string>>")
+            found.append(F.flatten(F.transform(keys, partial(F.element_at, by_key))))
+        return F.filter(F.concat(*found), lambda n: F.contains(segment, n))
+
+    return F.array_distinct(F.flatten(F.transform(segments, of_segment)))
 
 
 def match_anchors(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     """(doc_id, template_id, anchor_id, block_id, page, y, x) of blocks that an anchor's page, type and text allow.
 
     ``exact`` texts are the same as written, ``contains`` and all others compare folded texts; blank is
-    nothing. A table header is looked for in the cells of table blocks only. Blocks and anchors meet on
-    equal keys, a shuffle or a broadcast as Spark sees fit: the text as written, the folded text, and for
-    ``contains`` the first ``PIECE`` characters of the anchor among all pieces of the text.
+    nothing. A table header is looked for in the cells of table blocks only. The library's distinct texts
+    (``LIBRARY`` of them a pass) are looked for inside each row, so that no text is copied or shuffled: what
+    leaves a row is which of them it has, and that meets the anchors on equal texts.
     """
     exact, inside = F.col("mode") == "exact", F.col("mode") == "contains"
-    a = anchors.select("template_id", "anchor_id", "mode", F.col("kind").alias("anchor_kind"), F.col("text").alias("anchor_text"), fold(F.col("text")).alias("name"), F.col("page").alias("anchor_page"), "block_types")
-    a = a.withColumn("in_cells", F.col("anchor_kind") == "table_header").filter(F.when(exact, F.col("anchor_text") != "").otherwise(F.col("name") != ""))
-    a = a.withColumn("key", F.when(exact, F.concat(F.lit("="), "anchor_text")).when(inside, F.concat(F.lit("<"), F.substring("name", 1, PIECE))).otherwise(F.concat(F.lit("~"), "name")))
-    sizes = [r[0] for r in a.filter(inside).select(F.least(F.length("name"), F.lit(PIECE)).alias("n")).distinct().collect()]  # PIECE numbers at most
-    b = blocks.select("doc_id", "block_id", "page", "type", "y", "x", F.explode(F.concat(
+    name = fold(F.col("text"))
+    find = F.when(exact, F.concat(F.lit("="), "text")).otherwise(F.concat(F.when(inside, F.lit("<")).otherwise(F.lit("~")), name))
+    a = anchors.filter(F.when(exact, F.col("text") != "").otherwise(name != "")).select(
+        "template_id", "anchor_id", (F.col("kind") == "table_header").alias("in_cells"), F.col("page").alias("anchor_page"), "block_types", find.alias("find"))
+    place = ["doc_id", "block_id", "page", "type", "y", "x"]
+    cells = F.transform(F.flatten(split_table(F.col("text"))), lambda c: F.struct(F.lit(True).alias("of_cell"), c.alias("written")))
+    texts = F.concat(
         F.array(F.struct(F.lit(False).alias("of_cell"), F.col("text").alias("written"))),
-        F.when(F.col("type") == "table", F.transform(F.flatten(split_table(F.col("text"))), lambda c: F.struct(F.lit(True).alias("of_cell"), c.alias("written")))).otherwise(F.array().cast("array<struct<of_cell:boolean,written:string>>")),
-    )).alias("t")).select("doc_id", "block_id", "page", "type", "y", "x", "t.*").withColumn("plain", fold(F.col("written")))
-
-    def pieces(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length("plain") - n + 1), lambda i: F.concat(F.lit("<"), F.substring(F.col("plain"), i, F.lit(n))))
-        return F.when(F.length("plain") >= n, cut).otherwise(F.array().cast("array<string>"))
-
-    keys = F.array_distinct(F.concat(F.array(F.concat(F.lit("="), "written"), F.concat(F.lit("~"), "plain")), *[pieces(n) for n in sizes]))
+        F.when(F.col("type") == "table", cells).otherwise(F.array().cast("array<struct<of_cell:boolean,written:string>>")),
+    )
+    b = blocks.select(*place, F.explode(texts).alias("t")).select(*place, "t.*").withColumn("plain", fold(F.col("written")))
+    library = [r["find"] for r in a.select("find").distinct().orderBy("find").toLocalIterator()]  # anchors of templates, not data
+
+    def found(part: list[str]) -> DataFrame:
+        whole = [f for f in part if f[0] != "<"]
+        own = F.array(F.concat(F.lit("="), "written"), F.concat(F.lit("~"), "plain"))
+        same = F.array_intersect(own, _literal(whole, "array<string>"))
+        part_of = F.transform(contained_texts(F.col("plain"), [f[1:] for f in part if f[0] == "<"]), lambda n: F.concat(F.lit("<"), n))
+        none = F.array().cast("array<string>")
+        return b.select(*place, "of_cell", F.explode(F.concat(F.coalesce(same, none), F.coalesce(part_of, none))).alias("find"))
+
+    hits = reduce(DataFrame.unionByName, [found(library[i : i + LIBRARY]) for i in range(0, max(1, len(library)), LIBRARY)])
     scope = (F.col("anchor_page").isNull() | (F.col("page") == F.col("anchor_page"))) & (F.col("block_types").isNull() | F.array_contains("block_types", F.col("type")))
-    hits = b.withColumn("key", F.explode(keys)).join(a, "key").filter((F.col("of_cell") == F.col("in_cells")) & scope & (~inside | F.contains("plain", "name")))
-    return hits.select("doc_id", "template_id", "anchor_id", "block_id", "page", "y", "x").distinct()
+    j = hits.join(a, "find").filter((F.col("of_cell") == F.col("in_cells")) & scope)
+    return j.select("doc_id", "template_id", "anchor_id", "block_id", "page", "y", "x").distinct()
 
 
 def anchor_roles(anchors: DataFrame, fields: DataFrame, tables: DataFrame) -> DataFrame:
@@ -176,8 +219,11 @@ def label_values(blocks: DataFrame, fields: DataFrame) -> DataFrame:
         return F.transform(F.filter(ends, lambda p: F.length(p) >= n), lambda p: F.right(p, F.lit(n)))
 
     keys = F.array_distinct(F.concat(F.array().cast("array<string>"), *[last(n) for n in sizes]))
-    j = blocks.select("doc_id", "block_id", "text", F.explode(keys).alias("key")).join(f, "key")
-    return j.withColumn("value", value_after(F.col("text"), F.col("label"), F.col("stops"))).filter("value IS NOT NULL").select("doc_id", "block_id", "template_id", "field_id", "value")
+    # keys travel without their text; a block's text then meets all labels that it may have at once
+    ask = blocks.select("doc_id", "block_id", F.explode(keys).alias("key")).join(f, "key").groupBy("doc_id", "block_id").agg(F.collect_set(F.struct("template_id", "field_id", "label", "stops")).alias("asked"))
+    value = F.transform("asked", lambda x: F.struct(x["template_id"].alias("template_id"), x["field_id"].alias("field_id"), value_after(F.col("text"), x["label"], x["stops"]).alias("value")))
+    j = blocks.select("doc_id", "block_id", "text").join(ask, ["doc_id", "block_id"]).select("doc_id", "block_id", F.inline(value))
+    return j.filter("value IS NOT NULL")
 
 
 RULE_CONFIDENCE = {"same_block": 0.98, "below": 0.95, "right": 0.94, "table_cell": 0.90}
@@ -195,8 +241,14 @@ def best_value(candidates: DataFrame) -> DataFrame:
 
 
 def check_rules(values: DataFrame, rule_table: DataFrame) -> DataFrame:
-    """Values that break a rule: required, type, range, allowed values. Keys (doc_id, field_id)."""
-    j = values.join(rule_table, "field_id")
+    """Values that break a rule: required, type, range, allowed values, cross_field. Keys (doc_id, field_id).
+
+    ``values(doc_id, field_id, value)``; ``rule_table(field_id, rule_id, rule_type, expected_type, minimum,
+    maximum, allowed, related, operator)``. A cross-field rule holds a value against the document's related
+    field, compared as ``expected_type``; without that field it is broken.
+    """
+    other = values.select("doc_id", F.col("field_id").alias("related"), F.col("value").alias("_other"))
+    j = values.join(rule_table, "field_id").join(other, ["doc_id", "related"], "left")
     text, number = F.col("value"), parse_number(F.col("value"))
     blank = F.coalesce(norm(text), F.lit("")) == ""
     typed = F.when(F.col("expected_type") == "number", number.isNotNull()).when(F.col("expected_type") == "date", parse_date(text).isNotNull()).when(F.col("expected_type") == "boolean", parse_bool(text).isNotNull()).otherwise(True)
@@ -205,6 +257,7 @@ def check_rules(values: DataFrame, rule_table: DataFrame) -> DataFrame:
         .when(F.col("rule_type") == "type", ~blank & ~typed)
         .when(F.col("rule_type") == "range", ~blank & F.coalesce((number < F.col("minimum")) | (number > F.col("maximum")) | number.isNull(), F.lit(True)))
         .when(F.col("rule_type") == "allowed", ~blank & ~F.coalesce(F.array_contains("allowed", norm(text)), F.lit(False)))
+        .when(F.col("rule_type") == "cross_field", ~fields_agree(F.col("operator"), text, F.col("_other"), F.coalesce("expected_type", F.lit(""))))
     )
     return j.filter(F.coalesce(broken, F.lit(True))).select("doc_id", "field_id", "rule_id", "rule_type")
 
@@ -253,35 +306,84 @@ def key_classes(keys: DataFrame) -> DataFrame:
     return up.unionByName(down).groupBy("template_id", "output_key").agg(*[F.sum(c).alias(c) for c in ("equal", "shorter", "longer")]).filter("equal + shorter + longer > 0")
 
 
-def cross_field(values: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Fields that stay reviewed when every field whose rule needs an unreviewed or larger one has gone.
-
-    ``values(doc_id, field_id, number)``, ``pairs(field_id, related)``: number <= related's number, and
-    the related field must itself stay. Rounds end when nothing goes, at the latest when no field is left:
-    each round but the last takes a field of some document.
-    """
+def dependents(pairs: DataFrame) -> DataFrame:
+    """(field_id, dependent): which fields' rules need each field, over any number of steps, by doubling.
+    Its size goes by templates, not by documents."""
     from docvigil.operators.fixpoint import forget, written
 
-    live = written(values)
-    n = live.count()
+    reach = written(pairs.select(F.col("related").alias("field_id"), F.col("field_id").alias("dependent")).distinct())
+    n = reach.count()
     while True:
-        other = live.select("doc_id", F.col("field_id").alias("related"), F.col("number").alias("limit"))
-        j = live.join(pairs, "field_id").join(other, ["doc_id", "related"], "left")
-        gone = j.filter(F.coalesce(F.col("number") > F.col("limit"), F.lit(True))).select("doc_id", "field_id").distinct()
-        before, live = live, written(live.join(gone, ["doc_id", "field_id"], "left_anti"))
+        far = reach.alias("a").join(reach.alias("b"), F.col("a.dependent") == F.col("b.field_id")).select("a.field_id", "b.dependent")
+        before, reach = reach, written(reach.unionByName(far).distinct())
         forget(before)
-        left = live.count()
-        if left == n:
-            break
-        n = left
-    return live
+        n, last = reach.count(), n
+        if n == last:
+            return reach
+
+
+def cross_field(values: DataFrame, rule_table: DataFrame) -> DataFrame:
+    """Values that stay reviewed when every field whose rule fails has gone, and with it all that need it.
+
+    ``values(doc_id, field_id, value, value_type)`` are the fields reviewed so far, ``rule_table(field_id,
+    related, operator)`` their cross-field rules (``fields_agree``). A rule fails too where its related field
+    is not among them. Values do not change, so after the first test a rule can only fail because its related
+    field went: fields that fail meet those that depend on them once, and the work after the first test grows
+    with what falls. Cycles are harmless.
+    """
+    other = values.select("doc_id", F.col("field_id").alias("related"), F.col("value").alias("_other"))
+    j = values.join(rule_table, "field_id").join(other, ["doc_id", "related"], "left")
+    failed = j.filter(~fields_agree(F.col("operator"), F.col("value"), F.col("_other"), F.col("value_type"))).select("doc_id", "field_id").distinct()
+    falls = failed.join(dependents(rule_table), "field_id").select("doc_id", F.col("dependent").alias("field_id"))
+    return values.join(failed.unionByName(falls).distinct(), ["doc_id", "field_id"], "left_anti")
+
+
+def _quoted(c: Column) -> Column:
+    """A text as a JSON string."""
+    one = F.to_json(F.array(c))
+    return F.substr(one, F.lit(2), F.length(one) - 2)
+
+
+def nested_json(entries: Column) -> Column:
+    """One JSON object of an array of (path, value), of which no path begins another. Sorted by path, an entry
+    closes what it does not share with the one before and opens what is its own, so one pass writes all."""
+    e = F.array_sort(entries)
+
+    def shared(a: Column, b: Column) -> Column:
+        return F.size(F.filter(F.sequence(F.lit(1), F.least(F.size(a), F.size(b))), lambda k: F.slice(a, F.lit(1), k) == F.slice(b, F.lit(1), k)))
+
+    def piece(x: Column, i: Column) -> Column:
+        before = F.get(e, i - 1)["path"]
+        common = F.when(i == 0, 0).otherwise(shared(before, x["path"]))
+        closed = F.when(i == 0, "").otherwise(F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - common), F.lit(",")))
+        opened = F.transform(F.slice(x["path"], common + 1, F.size(x["path"]) - 1 - common), lambda k: F.concat(_quoted(k), F.lit(":{")))
+        return F.concat(closed, F.array_join(opened, ""), _quoted(F.element_at(x["path"], -1)), F.lit(":"), _quoted(x["value"]))
+
+    end = F.repeat(F.lit("}"), F.size(F.element_at(e, -1)["path"]) - 1)
+    return F.when(F.size(e) == 0, "{}").otherwise(F.concat(F.lit("{"), F.array_join(F.transform(e, piece), ""), end, F.lit("}")))
 
 
 def map_fields(fields: DataFrame) -> DataFrame:
-    """A document's confirmed values (no warning) as JSON by output key, its review fields and warnings."""
+    """A document's confirmed values (no warning) as nested JSON by dotted output key, its review fields and warnings.
+
+    ``fields(doc_id, field_id, position, output_key, value, warning)``. Values are set in the order of ``position``:
+    a later one replaces what stood at its key, below it, or at a beginning of it. Empty parts of a key count
+    for nothing, a key without any sets nothing. Documents are dealt out once; all steps stay in that.
+    """
     ok = F.col("warning").isNull()
-    entries = F.array_sort(F.collect_list(F.when(ok, F.struct("output_key", "value"))))
-    return fields.groupBy("doc_id").agg(F.to_json(F.map_from_entries(entries)).alias("output"), F.count_if(ok).alias("confirmed"), F.array_join(F.array_sort(F.collect_set(F.when(~ok, F.concat_ws(": ", "field_id", "warning")))), "; ").alias("review"))
+    f = fields.repartition("doc_id")
+    e = f.filter(ok).select("doc_id", "position", F.filter(F.split("output_key", r"\."), lambda p: p != "").alias("path"), "value").filter("size(path) > 0")
+    e = e.withColumn("at", F.struct("position", F.array_join("path", "."), "value"))  # tells rows of one position apart
+    r = e.select("*", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("k")).withColumn("prefix", F.slice("path", F.lit(1), F.col("k")))
+    w = Window.partitionBy("doc_id", "prefix")
+    leaf = F.col("k") == F.size("path")
+    last_below, last_at = F.max("at").over(w), F.max(F.when(leaf, F.col("at"))).over(w)
+    r = r.withColumn("stays", F.when(leaf, last_below == F.col("at")).otherwise(F.coalesce(last_at < F.col("at"), F.lit(True))))
+    kept = r.groupBy("doc_id", "at").agg(F.bool_and("stays").alias("stays"), F.max(F.when(leaf, F.col("path"))).alias("path")).filter("stays")
+    nested = kept.groupBy("doc_id").agg(nested_json(F.collect_list(F.struct("path", F.col("at.value").alias("value")))).alias("output"))
+    review = F.array_join(F.array_sort(F.collect_set(F.when(~ok, F.concat_ws(": ", "field_id", "warning")))), "; ")
+    base = f.groupBy("doc_id").agg(F.count_if(ok).alias("confirmed"), review.alias("review"))
+    return base.join(nested, "doc_id", "left").select("doc_id", F.coalesce("output", F.lit("{}")).alias("output"), "confirmed", "review")
 
 
 def check_templates(templates: DataFrame, fields: DataFrame, levels: DataFrame, mapping: DataFrame, anchors: DataFrame | None = None, tables: DataFrame | None = None, rule_table: DataFrame | None = None) -> DataFrame:

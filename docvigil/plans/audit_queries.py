@@ -120,32 +120,57 @@ def j22(spark, sf_dir):
     return A.approval_check(_sql(spark, sf_dir, (), _THREADS), ["user_id", "block"])
 
 
-_CONTRACT_EVENTS = "SELECT event_id, user_id AS job_id, event_type AS action, user_id % 7 AS actor, CASE WHEN event_id % 5 = 0 THEN 'document' ELSE 'job' END AS scope FROM events"
-_JOBS = "SELECT DISTINCT user_id AS job_id, CASE WHEN user_id % 9 = 0 THEN 'failed' ELSE 'running' END AS status, user_id % 6 AS uploader FROM events"
+_CONTRACT_EVENTS = "SELECT event_id, user_id AS job_id, event_type AS action, CASE WHEN event_id % 27 = 0 THEN 'other' ELSE 'lifecycle' END AS event_type, user_id % 7 AS actor, CASE WHEN event_id % 5 = 0 THEN 'document' ELSE 'job' END AS scope FROM events"
+_JOBS = "SELECT DISTINCT user_id AS job_id, CASE WHEN user_id % 9 = 0 THEN 'failed' ELSE 'running' END AS status, CASE WHEN user_id % 4 = 0 THEN 'failed' WHEN user_id % 4 <> 1 THEN 'succeeded' END AS result_status, user_id % 6 AS uploader, user_id % 5 % 3 AS attempts FROM events"
 
 
-@query("j27_check_contract", f"""WITH e AS ({_CONTRACT_EVENTS}), j AS ({_JOBS}), v AS (SELECT event_id, concat_ws('; ', CASE WHEN action NOT IN ('click', 'view', 'purchase', 'pay') THEN 'unknown action' END, CASE WHEN action IN ('click', 'purchase') AND scope <> 'job' THEN 'scope' END, CASE WHEN action IN ('click', 'purchase') AND status <> 'running' THEN 'job status' END, CASE WHEN action = 'purchase' AND actor <> uploader THEN 'uploader' END) AS violations FROM e JOIN j USING (job_id)) SELECT * FROM v WHERE violations <> ''""")
+@query("j27_check_contract", f"""WITH e AS ({_CONTRACT_EVENTS}), j AS ({_JOBS}), v AS (SELECT event_id, concat_ws('; ', CASE WHEN action NOT IN ('click', 'view', 'purchase', 'pay', 'signup') THEN 'unknown action' END, CASE WHEN action IN ('click', 'purchase') AND scope <> 'job' THEN 'scope' END, CASE WHEN action IN ('click', 'signup') AND event_type <> 'lifecycle' THEN 'event type' END, CASE WHEN action IN ('click', 'purchase') AND status <> 'running' THEN 'job status' END,
+    CASE WHEN action = 'view' AND coalesce(result_status, '') <> 'succeeded' THEN 'result status' END, CASE WHEN action IN ('purchase', 'signup') AND actor <> uploader THEN 'uploader' END, CASE WHEN action = 'signup' AND attempts <> 0 THEN 'attempted job' END) AS violations FROM e JOIN j USING (job_id)) SELECT * FROM v WHERE violations <> ''""")
 def j27(spark, sf_dir):
-    contracts = spark.createDataFrame([("click", [], ["job"], ["running"]), ("view", [], ["job", "document"], ["running", "failed"]), ("pay", ["purchase"], ["job"], ["running"])], "action string, aliases array<string>, scopes array<string>, statuses array<string>")
+    rows = [
+        ("click", [], ["job"], ["lifecycle"], ["running"], None, False, False), ("view", [], ["job", "document"], None, ["running", "failed"], ["succeeded"], False, None),
+        ("pay", ["purchase"], ["job"], None, ["running"], None, True, False), ("signup", [], None, ["lifecycle"], None, None, True, True)]
+    contracts = spark.createDataFrame(rows, "action string, aliases array<string>, scopes array<string>, event_types array<string>, statuses array<string>, result_statuses array<string>, uploader boolean, unattempted boolean")
     return A.check_contract(_sql(spark, sf_dir, (), _CONTRACT_EVENTS), contracts, _sql(spark, sf_dir, (), _JOBS))
 
 
-_DOWNLOADS = "SELECT o_orderkey AS event_id, o_orderkey AS job_id, o_custkey AS document_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS STRING) END AS sha, CASE WHEN o_orderkey % 4 = 0 THEN 'n1' END AS name FROM orders"
-_ARTIFACTS = "SELECT l_orderkey AS job_id, o_custkey AS document_id, CAST(l_orderkey % 50 + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS STRING) AS sha, CONCAT('n', CAST(l_linenumber % 3 AS STRING)) AS name, l_partkey AS artifact_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 4 <> 0"
-
-
-@query("j28_download_evidence", f"WITH e AS ({_DOWNLOADS}), a AS ({_ARTIFACTS}) SELECT e.event_id, count(a.artifact_id) AS evidence, min(a.artifact_id) AS artifact_id FROM e LEFT JOIN a ON a.job_id = e.job_id AND a.document_id = e.document_id AND (e.sha IS NULL OR e.sha = a.sha) AND (e.name IS NULL OR e.name = a.name) GROUP BY e.event_id")
+#: Downloads of orders: some declare a hash and a name, some stand for one line, and what they recorded.
+_DOWNLOADS = """SELECT o_orderkey AS event_id, o_orderkey AS job_id, o_custkey AS document_id, CASE WHEN o_orderkey % 7 = 0 THEN 'short' WHEN o_orderkey % 3 <> 0 THEN LPAD(CAST(o_orderkey % 50 AS STRING), 64, '0') END AS sha, CASE WHEN o_orderkey % 3 = 1 THEN 'n1' WHEN o_orderkey % 3 = 2 THEN 'n0' END AS name,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'none' WHEN o_orderkey % 10 = 5 THEN 'one' WHEN o_orderkey % 10 = 6 THEN 'odd' END AS demand FROM orders"""
+_ARTIFACTS = "SELECT l_orderkey AS job_id, o_custkey AS document_id, LPAD(CAST(l_orderkey % 50 + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS STRING), 64, '0') AS sha, CONCAT('n', CAST(l_linenumber % 3 AS STRING)) AS name, l_orderkey * 10 + l_linenumber AS artifact_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey % 4 <> 0"
+#: Ids that were recorded: a job's lines but one in six, and for every ninth job a line of the next.
+_RECORDED = "SELECT l_orderkey AS event_id, l_orderkey * 10 + l_linenumber + CASE WHEN l_orderkey % 9 = 0 AND l_linenumber = 1 THEN 10 ELSE 0 END AS artifact_id FROM lineitem WHERE l_partkey % 6 <> 0"
+
+
+@query("j28_download_evidence", f"""WITH e AS ({_DOWNLOADS}), a AS (SELECT DISTINCT * FROM ({_ARTIFACTS})), n AS (SELECT DISTINCT * FROM ({_RECORDED})), f AS (SELECT *, sha IS NOT NULL OR name IS NOT NULL AS declared, coalesce(regexp_matches(sha, '^[0-9a-f]{{64}}$') AND trim(name) <> '', false) AS formed FROM e),
+    own AS (SELECT event_id, artifact_id, bool_or(NOT declared OR coalesce(formed AND f.sha = a.sha AND f.name = a.name, false)) AS hit FROM f JOIN a ON a.job_id = f.job_id AND a.document_id = f.document_id GROUP BY ALL),
+    asked AS (SELECT event_id, event_id * 10 + CASE WHEN demand = 'one' THEN 1 ELSE 9 END AS artifact_id FROM e WHERE demand IN ('one', 'odd')),
+    sel AS (SELECT event_id, artifact_id FROM own JOIN e USING (event_id) WHERE hit AND demand IS NULL UNION ALL SELECT * FROM asked),
+    g AS (SELECT f.*, (SELECT count(*) FROM own o WHERE o.event_id = f.event_id) AS n_own, (SELECT count(*) FROM own o WHERE o.event_id = f.event_id AND hit) AS n_match, (SELECT count(*) FROM sel s WHERE s.event_id = f.event_id) AS evidence, (SELECT min(artifact_id) FROM sel s WHERE s.event_id = f.event_id) AS artifact_id,
+        (SELECT count(*) FROM asked s WHERE s.event_id = f.event_id AND NOT EXISTS (SELECT 1 FROM own o WHERE o.event_id = s.event_id AND o.artifact_id = s.artifact_id AND hit)) AS astray,
+        (SELECT count(*) FROM sel s WHERE s.event_id = f.event_id AND NOT EXISTS (SELECT 1 FROM n WHERE n.event_id = s.event_id AND n.artifact_id = s.artifact_id)) AS missing,
+        (SELECT count(*) FROM n JOIN own o ON o.event_id = n.event_id AND o.artifact_id = n.artifact_id WHERE n.event_id = f.event_id AND NOT EXISTS (SELECT 1 FROM sel s WHERE s.event_id = n.event_id AND s.artifact_id = n.artifact_id)) AS surplus,
+        (SELECT count(*) FROM n WHERE n.event_id = f.event_id AND NOT EXISTS (SELECT 1 FROM own o WHERE o.event_id = n.event_id AND o.artifact_id = n.artifact_id)) AS alien FROM f)
+    SELECT event_id, evidence, artifact_id, concat_ws('; ', CASE WHEN n_own = 0 THEN 'no artifact' END, CASE WHEN declared AND NOT formed THEN 'malformed declaration' END, CASE WHEN n_own > 0 AND n_match = 0 THEN 'no match' END, CASE WHEN demand IS NOT NULL AND (demand = 'none' OR astray > 0) THEN 'required ids do not match' END, CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN surplus > 0 THEN 'surplus' END, CASE WHEN alien > 0 THEN 'foreign' END) AS verdict FROM g""")
 def j28(spark, sf_dir):
-    return A.download_evidence(_sql(spark, sf_dir, (), _DOWNLOADS), _sql(spark, sf_dir, (), _ARTIFACTS))
+    recorded = _sql(spark, sf_dir, (), _RECORDED).groupBy("event_id").agg(F.collect_set("artifact_id").alias("recorded"))
+    events = _sql(spark, sf_dir, (), _DOWNLOADS).join(recorded, "event_id", "left")
+    part = F.when(F.col("demand") == "none", F.array().cast("array<bigint>")).when(F.col("demand") == "one", F.array(F.col("event_id") * 10 + 1)).when(F.col("demand") == "odd", F.array(F.col("event_id") * 10 + 9))
+    return A.download_evidence(events.withColumn("required", part), _sql(spark, sf_dir, (), _ARTIFACTS))
 
 
-_SCOPED = "SELECT event_id, user_id AS job_id, event_type AS action, CASE WHEN event_id % 2 = 0 THEN 'job' ELSE 'document' END AS scope_type, CASE WHEN event_id % 101 = 0 THEN -1 WHEN event_id % 53 = 0 THEN (user_id + 1) % 150 ELSE user_id END AS scope_id FROM events"
-_ENTITIES = "SELECT 'job' AS scope_type, user_id AS scope_id, user_id AS job_id, CASE WHEN user_id % 8 = 0 THEN 'failed' ELSE 'running' END AS status FROM (SELECT DISTINCT user_id FROM events) a UNION ALL SELECT 'document', user_id, user_id, 'stored' FROM (SELECT DISTINCT user_id FROM events) b"
+_SCOPED = """SELECT event_id, user_id AS job_id, user_id AS document_id, event_type AS action, event_id % 4 AS actor, CASE event_id % 3 WHEN 0 THEN 'job' WHEN 1 THEN 'document' ELSE 'decision' END AS scope_type,
+    CASE WHEN event_id % 101 = 0 THEN -1 WHEN event_id % 53 = 0 THEN (user_id + 1) % 150 ELSE user_id END AS scope_id FROM events"""
+_USERS = "(SELECT DISTINCT user_id FROM events)"
+_ENTITIES = f"""SELECT 'job' AS scope_type, user_id AS scope_id, user_id AS job_id, user_id AS document_id, CASE WHEN user_id % 8 = 0 THEN 'failed' ELSE 'running' END AS status, user_id % 4 AS actor, CAST(NULL AS STRING) AS verb FROM {_USERS} a
+    UNION ALL SELECT 'document', user_id, CAST(NULL AS BIGINT), CASE WHEN user_id % 31 = 0 THEN 0 ELSE user_id END, 'stored', user_id % 4, CAST(NULL AS STRING) FROM {_USERS} b UNION ALL SELECT 'decision', user_id, user_id, user_id, 'stored', user_id % 3, CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'view' END FROM {_USERS} c"""
 
 
-@query("j34_resolve_scope", f"""WITH e AS ({_SCOPED}), n AS ({_ENTITIES}), j AS (SELECT e.*, n.job_id AS j, n.status FROM e LEFT JOIN n USING (scope_type, scope_id)), v AS (SELECT event_id, concat_ws('; ', CASE WHEN j IS NULL THEN 'no such entity' END, CASE WHEN j <> job_id THEN 'other job' END, CASE WHEN j IS NOT NULL AND action = 'purchase' AND status NOT IN ('running', 'stored') THEN 'state' END) AS violations FROM j) SELECT * FROM v WHERE violations <> ''""")
+@query("j34_resolve_scope", f"""WITH e AS ({_SCOPED}), n AS ({_ENTITIES}), j AS (SELECT e.*, n.scope_id IS NOT NULL AS found, n.job_id AS j, n.document_id AS d, n.status, n.actor AS a, n.verb FROM e LEFT JOIN n ON e.scope_type = n.scope_type AND e.scope_id = n.scope_id), v AS (SELECT event_id, concat_ws('; ', CASE WHEN NOT found THEN 'no such entity' END, CASE WHEN j <> job_id THEN 'other job' END, CASE WHEN d <> document_id THEN 'other document' END,
+    CASE WHEN found AND action = 'purchase' AND status NOT IN ('running', 'stored') THEN 'state' END, CASE WHEN (action = 'signup' OR scope_type = 'decision') AND a <> actor THEN 'other actor' END, CASE WHEN verb <> action THEN 'other action' END) AS violations FROM j) SELECT * FROM v WHERE violations <> ''""")
 def j34(spark, sf_dir):
-    return A.resolve_scope(_sql(spark, sf_dir, (), _SCOPED), _sql(spark, sf_dir, (), _ENTITIES), {"purchase": ["running", "stored"]})
+    entities = _sql(spark, sf_dir, (), _ENTITIES).withColumn("verbs", F.when(F.col("verb").isNotNull(), F.array("verb")))
+    return A.resolve_scope(_sql(spark, sf_dir, (), _SCOPED), entities, {"purchase": ["running", "stored"]}, ["signup"], ["decision"])
 
 
 @query("s11_objects", "SELECT sha256(text) AS sha, min(doc_id) AS first_key, count(*) AS uses, CAST(first(strlen(text)) AS INT) AS size FROM documents GROUP BY 1")
@@ -206,13 +231,14 @@ def p16(spark, sf_dir):
 
 @query("p19_event_view", duck("log") + " SELECT event_id, job_id, action, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, date_trunc('second', ts) AS at FROM log")
 def p19(spark, sf_dir):
-    return A.event_view(view(spark, sf_dir, "log"))
+    log = view(spark, sf_dir, "log").withColumn("at", F.date_trunc("second", "ts"))
+    return A.event_view(log, "props", {"k": ("$.k", "long")}, ["event_id", "job_id", "action", "at"])
 
 
-_REVIEWS = "SELECT conv_id * 100 + turn AS event_id, CASE WHEN turn = 5 THEN 'shout' WHEN turn % 2 = 0 THEN 'edit' ELSE 'approve' END AS action, CASE WHEN conv_id % 9 = 0 THEN ' ' ELSE CAST(conv_id AS STRING) END AS block_id, CASE WHEN conv_id % 8 = 0 THEN 'x' ELSE '{0}' END AS hash, CAST(turn % 4 AS INT) AS page, CASE WHEN turn = 2 THEN NULL WHEN turn = 3 THEN NULL ELSE CONCAT(text, '!') END AS revised, text AS original FROM conversations".format("a" * 64)
+_REVIEWS = "SELECT conv_id, conv_id * 100 + turn AS event_id, CASE WHEN turn = 5 THEN 'shout' WHEN turn % 2 = 0 THEN 'edit' ELSE 'approve' END AS action, CASE WHEN conv_id % 9 = 0 THEN ' ' ELSE CAST(conv_id AS STRING) END AS block_id, CASE WHEN conv_id % 8 = 0 THEN 'x' ELSE '{0}' END AS hash, CAST(turn % 4 AS INT) AS page, CASE WHEN turn = 2 THEN NULL WHEN turn = 3 THEN NULL WHEN turn = 4 AND conv_id % 7 = 0 THEN text ELSE CONCAT(text, '!') END AS revised, text AS original, CAST(CASE WHEN conv_id % 3 <> 0 THEN turn END AS DOUBLE) AS x, CAST(CASE WHEN conv_id % 3 <> 0 THEN 5 END AS DOUBLE) AS y, CAST(CASE WHEN conv_id % 12 = 1 THEN 0 WHEN conv_id % 3 <> 0 THEN 2 END AS DOUBLE) AS w, CAST(CASE WHEN conv_id % 12 = 2 THEN NULL WHEN conv_id % 3 <> 0 THEN 1 END AS DOUBLE) AS h FROM conversations".format("a" * 64)
 
 
-@query("d21_check_review_events", f"""SELECT event_id, concat_ws('; ', CASE WHEN action = 'shout' THEN 'action' END, CASE WHEN trim(block_id) = '' THEN 'id' END, CASE WHEN hash = 'x' THEN 'hash' END, CASE WHEN page < 1 THEN 'page' END, CASE WHEN action = 'edit' AND coalesce(trim(revised), '') = '' THEN 'revised text' END) AS violations,
+@query("d21_check_review_events", f"""SELECT event_id, concat_ws('; ', CASE WHEN action = 'shout' THEN 'action' END, CASE WHEN trim(block_id) = '' THEN 'id' END, CASE WHEN hash = 'x' THEN 'hash' END, CASE WHEN page < 1 THEN 'page' END, CASE WHEN conv_id % 12 IN (1, 2) THEN 'box' END, CASE WHEN original IS NULL THEN 'original text' END, CASE WHEN action = 'edit' AND coalesce(trim(revised), '') = '' THEN 'revised text' END, CASE WHEN action = 'edit' AND revised = original THEN 'unchanged text' END) AS violations,
     md5(CASE WHEN action = 'edit' THEN revised ELSE coalesce(revised, original) END) AS text_md5 FROM ({_REVIEWS})""")
 def d21(spark, sf_dir):
     return A.check_review_events(_sql(spark, sf_dir, (), _REVIEWS))

@@ -71,8 +71,8 @@ def a5(spark, sf_dir):
 _RATIOS = "SELECT user_id, event_id, CAST(floor(value * 10) AS BIGINT) % 90 + 10 AS matched, CAST(100 AS BIGINT) AS total, CASE WHEN (CAST(floor(value * 10) AS BIGINT) % 90 + 10 >= 50) <> (event_id % 1009 = 0) THEN 'pass' ELSE 'fail' END AS status FROM events"
 
 
-@query("a7_ratio_rollup", f"""WITH c AS ({_RATIOS}), g AS (SELECT user_id, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(total) AS BIGINT) AS total, count_if(status = 'fail') AS failing, bool_or(status <> CASE WHEN matched >= 0.5 * total THEN 'pass' ELSE 'fail' END) AS invalid FROM c GROUP BY user_id)
-    SELECT user_id, matched, total, failing, CASE WHEN NOT invalid THEN matched::DOUBLE / total END AS ratio, CASE WHEN invalid THEN 'unknown' WHEN matched >= 0.5 * total THEN 'pass' ELSE 'fail' END AS status FROM g""")
+@query("a7_ratio_rollup", f"""WITH c AS ({_RATIOS}), g AS (SELECT user_id, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(total) AS BIGINT) AS total, count_if(status = 'fail') AS failing, bool_or(status <> CASE WHEN matched / total >= 0.5 THEN 'pass' ELSE 'fail' END) AS invalid FROM c GROUP BY user_id)
+    SELECT user_id, matched, total, failing, CASE WHEN NOT invalid THEN matched::DOUBLE / total END AS ratio, CASE WHEN invalid THEN 'unknown' WHEN matched / total >= 0.5 THEN 'pass' ELSE 'fail' END AS status FROM g""")
 def a7(spark, sf_dir):
     return R.ratio_rollup(_sql(spark, sf_dir, (), _RATIOS), ["user_id"], 0.5)
 
@@ -192,18 +192,31 @@ def a17(spark, sf_dir):
 
 # ---------------------------------------------------------------- paired study
 
-_PAIRED = """, f AS (SELECT * FROM study WHERE attempt = 1), p AS (SELECT m.participant, m.case_id, m.seconds AS a_seconds, s.seconds AS b_seconds, m.complete AND s.complete AND m.seconds > 0 AS eligible
-    FROM f m JOIN f s ON m.participant = s.participant AND m.case_id = s.case_id AND m.arm = 'manual' AND s.arm = 'assisted')"""
+#: Runs of the study with what decides whether they count.
+_PAIR_RUNS = """SELECT run_id, participant, case_id, arm, attempt, run_id % 8 < 5 AS included, CASE WHEN outcome = 'P' THEN 'blocked' ELSE 'approved' END AS outcome,
+    complete AS checklist, CASE WHEN run_id % 53 = 0 THEN CAST(0 AS BIGINT) ELSE seconds END AS seconds FROM study"""
+_COMPLETED = "SELECT DISTINCT o_custkey AS participant FROM orders WHERE o_custkey % 7 <> 0"
+_PAIRED = f""", r AS ({_PAIR_RUNS}), w AS (SELECT *, count_if(included) OVER (PARTITION BY participant, case_id, arm) AS n, row_number() OVER (PARTITION BY participant, case_id, arm ORDER BY included DESC, attempt DESC, run_id DESC) AS nth FROM r),
+    one AS (SELECT * FROM w WHERE nth = 1), k AS (SELECT DISTINCT participant, case_id FROM r),
+    j AS (SELECT k.*, m.outcome AS a_outcome, s.outcome AS b_outcome, m.n > 0 AS a_included, s.n > 0 AS b_included, m.seconds AS a, s.seconds AS b,
+        coalesce(m.n = 1 AND s.n = 1 AND m.outcome = 'approved' AND s.outcome = 'approved' AND m.checklist AND s.checklist AND m.seconds > 0 AND s.seconds > 0, false) AS calculable
+        FROM k LEFT JOIN one m ON m.participant = k.participant AND m.case_id = k.case_id AND m.arm = 'manual' LEFT JOIN one s ON s.participant = k.participant AND s.case_id = k.case_id AND s.arm = 'assisted'),
+    p AS (SELECT participant, case_id, calculable, calculable AND participant IN ({_COMPLETED}) AS eligible, CASE WHEN calculable THEN a END AS a_seconds, CASE WHEN calculable THEN b END AS b_seconds,
+        a_outcome, b_outcome, a_included, b_included, CASE WHEN calculable THEN 100 * (a - b)::DOUBLE / a END AS reduction_percent FROM j)""".replace("count_if(included) OVER", "sum(CASE WHEN included THEN 1 ELSE 0 END) OVER")
+
+
+def _pairs(spark, sf_dir):
+    return R.pair_arms(_sql(spark, sf_dir, ("study",), _PAIR_RUNS), ("manual", "assisted"), _sql(spark, sf_dir, (), _COMPLETED))
 
 
 @query("j25_pair_arms", duck("study") + _PAIRED + " SELECT * FROM p")
 def j25(spark, sf_dir):
-    return R.pair_arms(view(spark, sf_dir, "study"), ("manual", "assisted"))
+    return _pairs(spark, sf_dir)
 
 
-@query("a16_paired_median", duck("study") + _PAIRED + ", m AS (SELECT count(*) AS pairs, median(a_seconds)::DOUBLE AS a, median(b_seconds)::DOUBLE AS b FROM p WHERE eligible) SELECT pairs, a AS a_median, b AS b_median, 100 * (a - b) / a AS reduction_percent, 100 * (a - b) >= 30 * a AS met FROM m")
+@query("a16_paired_median", duck("study") + _PAIRED + " SELECT count(*) AS pairs, median(reduction_percent) AS reduction_percent, coalesce(median(reduction_percent) >= 30, false) AS met FROM p WHERE eligible")
 def a16(spark, sf_dir):
-    return R.paired_median(R.pair_arms(view(spark, sf_dir, "study"), ("manual", "assisted")))
+    return R.paired_median(_pairs(spark, sf_dir))
 
 
 @query("j26_missing_runs", duck("study") + ", g AS (SELECT * FROM (SELECT DISTINCT participant FROM study) CROSS JOIN (SELECT DISTINCT case_id FROM study) CROSS JOIN (SELECT DISTINCT arm FROM study)) SELECT participant, case_id, arm FROM g EXCEPT SELECT participant, case_id, arm FROM study")
@@ -241,20 +254,40 @@ def w11(spark, sf_dir):
     return R.overlaps(_timed(spark, sf_dir))
 
 
-@query("w12_arm_order", duck("study") + f", t AS ({_TIMED}) SELECT participant, case_id FROM t GROUP BY ALL HAVING max(ended) FILTER (WHERE arm = 'manual') > min(started) FILTER (WHERE arm = 'assisted')")
+_ORDERS = "SELECT DISTINCT o_custkey AS participant, CASE WHEN o_custkey % 3 = 0 THEN 'assisted' ELSE 'manual' END AS first, CASE WHEN o_custkey % 3 = 0 THEN 'manual' ELSE 'assisted' END AS second FROM orders WHERE o_custkey % 5 <> 0"
+
+
+@query("w12_arm_order", duck("study") + f""", t AS ({_TIMED}), o AS ({_ORDERS}), g AS (SELECT t.participant, max(o.first) AS ordered, max(CASE WHEN arm = first THEN ended END) AS until, min(CASE WHEN arm = second THEN started END) AS since FROM t LEFT JOIN o ON t.participant = o.participant GROUP BY t.participant),
+    p AS (SELECT participant, CASE WHEN ordered IS NULL THEN 'no order' WHEN since IS NOT NULL AND (until IS NULL OR until > since) THEN 'order' END AS problem FROM g) SELECT * FROM p WHERE problem IS NOT NULL""")
 def w12(spark, sf_dir):
-    return R.arm_order(_timed(spark, sf_dir), "manual", "assisted")
+    return R.arm_order(_timed(spark, sf_dir), _sql(spark, sf_dir, (), _ORDERS))
+
+
+_REVISED = "SELECT run_id, participant, case_id, arm, run_id % 8 < 5 AS included, participant % 4 + CASE WHEN run_id % 6 = 0 THEN 1 ELSE 0 END AS task, CASE WHEN run_id % 10 = 1 THEN NULL ELSE 'c1' END AS checklist FROM study"
+
+
+@query("w12_revisions", duck("study") + f""", r AS ({_REVISED}), i AS (SELECT * FROM r WHERE included QUALIFY count(*) OVER (PARTITION BY participant, case_id, arm) = 1),
+    v AS (SELECT m.participant, m.case_id, concat_ws('; ', CASE WHEN m.task IS DISTINCT FROM s.task THEN 'task' END, CASE WHEN m.checklist IS DISTINCT FROM s.checklist THEN 'checklist' END) AS differs
+        FROM i m JOIN i s ON m.participant = s.participant AND m.case_id = s.case_id AND m.arm = 'manual' AND s.arm = 'assisted') SELECT * FROM v WHERE differs <> ''""")
+def w12_revisions(spark, sf_dir):
+    return R.revision_differences(_sql(spark, sf_dir, ("study",), _REVISED), ("manual", "assisted"), ["task", "checklist"])
 
 
-@query("d13_check_runs", duck("study") + f""", t AS ({_TIMED}), v AS (SELECT run_id, concat_ws('; ', CASE WHEN NOT pause < 1728000 THEN 'pause' END, CASE WHEN count_if(included) OVER (PARTITION BY participant, case_id, arm) <> 1 THEN 'included runs' END, CASE WHEN outcome NOT IN ('F', 'O') THEN 'outcome' END) AS violations FROM t) SELECT * FROM v WHERE violations <> ''""".replace("count_if(included) OVER", "sum(CASE WHEN included THEN 1 ELSE 0 END) OVER"))
+@query("d13_check_runs", duck("study") + f""", t AS ({_TIMED}), v AS (SELECT run_id, concat_ws('; ', CASE WHEN NOT pause < 1728000 THEN 'pause' END, CASE WHEN sum(CASE WHEN included THEN 1 ELSE 0 END) OVER (PARTITION BY participant, case_id, arm) <> 1 THEN 'included runs' END, CASE WHEN outcome NOT IN ('F', 'O') THEN 'outcome' END) AS violations FROM t) SELECT * FROM v WHERE violations <> ''""")
 def d13(spark, sf_dir):
-    return R.check_runs(_timed(spark, sf_dir))
+    return R.check_runs(_timed(spark, sf_dir), ["F", "O"])
 
 
-_PEOPLE = "SELECT DISTINCT o_custkey AS participant, CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE TIMESTAMP '1995-06-01 00:00:00' END AS consented, TIMESTAMP '1992-01-01 00:00:00' AS approved, CASE WHEN o_custkey % 4 = 0 THEN TIMESTAMP '1996-01-01 00:00:00' ELSE TIMESTAMP '1992-01-01 00:00:00' END AS practised, CASE WHEN o_custkey % 5 = 0 THEN TIMESTAMP '1998-01-01 00:00:00' END AS withdrawn FROM orders"
+#: Participants; the second customer in seven consents at the very start of the first run, which is too late.
+_PEOPLE = """SELECT o_custkey AS participant, CASE WHEN o_custkey % 6 = 0 THEN TIMESTAMP '1990-06-01 00:00:00' ELSE TIMESTAMP '1990-01-01 00:00:00' END AS approved,
+    CASE WHEN o_custkey % 9 = 0 THEN NULL WHEN o_custkey % 7 = 1 THEN min(o_orderdate) ELSE TIMESTAMP '1990-06-01 00:00:00' END AS consented,
+    CASE WHEN o_custkey % 4 = 0 THEN TIMESTAMP '1996-01-01 00:00:00' WHEN o_custkey % 13 = 0 THEN TIMESTAMP '1990-06-01 00:00:00' ELSE TIMESTAMP '1990-07-01 00:00:00' END AS practised,
+    CASE WHEN o_custkey % 5 = 0 THEN TIMESTAMP '1998-01-01 00:00:00' WHEN o_custkey % 17 = 0 THEN max(o_orderdate) + INTERVAL '20' DAY END AS withdrawn FROM orders GROUP BY o_custkey"""
 
 
-@query("d20_check_participants", duck("study") + f""", t AS ({_TIMED}), g AS (SELECT participant, min(started) AS f, max(ended) AS l FROM t GROUP BY participant), v AS (SELECT participant, concat_ws('; ', CASE WHEN coalesce(consented > f, true) THEN 'consented' END, CASE WHEN approved > f THEN 'approved' END, CASE WHEN practised > f THEN 'practised' END, CASE WHEN l > withdrawn THEN 'withdrawn' END) AS violations FROM ({_PEOPLE}) JOIN g USING (participant)) SELECT * FROM v WHERE violations <> ''""")
+@query("d20_check_participants", duck("study") + f""", t AS ({_TIMED}), g AS (SELECT participant, min(started) AS f, max(started) AS b, max(ended) AS l FROM t GROUP BY participant), v AS (SELECT participant, concat_ws('; ', CASE WHEN approved >= f THEN 'approval after a run' END,
+    CASE WHEN coalesce(consented >= f, true) THEN 'consent after a run' END, CASE WHEN practised >= f THEN 'practice after a run' END, CASE WHEN consented <= approved THEN 'consent before approval' END, CASE WHEN coalesce(practised <= consented, true) THEN 'practice before consent' END,
+    CASE WHEN consented >= withdrawn THEN 'consent after leaving' END, CASE WHEN practised > withdrawn THEN 'practice after leaving' END, CASE WHEN b >= withdrawn OR l > withdrawn THEN 'a run after leaving' END) AS violations FROM ({_PEOPLE}) JOIN g USING (participant)) SELECT * FROM v WHERE violations <> ''""")
 def d20(spark, sf_dir):
     return R.check_participants(_sql(spark, sf_dir, (), _PEOPLE), _timed(spark, sf_dir))
 

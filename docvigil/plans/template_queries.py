@@ -149,10 +149,13 @@ _VALUES = """SELECT o_orderkey AS doc_id, 'total' AS field_id, CASE WHEN o_order
 @query("d1_check_rules", f"""WITH v AS ({_VALUES}), n AS (SELECT *, try_cast(value AS DOUBLE) AS num FROM v)
     SELECT doc_id, field_id, 'r1' AS rule_id, 'required' AS rule_type FROM n WHERE coalesce(trim(value), '') = '' UNION ALL SELECT doc_id, field_id, 'r2', 'type' FROM n WHERE field_id = 'total' AND value IS NOT NULL AND num IS NULL
     UNION ALL SELECT doc_id, field_id, 'r3', 'range' FROM n WHERE field_id = 'total' AND value IS NOT NULL AND (num IS NULL OR num < 1000 OR num > 300000) UNION ALL SELECT doc_id, field_id, 'r4', 'allowed' FROM n WHERE field_id = 'status' AND trim(value) <> '' AND value NOT IN ('F', 'O')
-    UNION ALL SELECT doc_id, field_id, 'r5', 'type' FROM n WHERE field_id = 'day' AND try_cast(value AS DATE) IS NULL""")
+    UNION ALL SELECT doc_id, field_id, 'r5', 'type' FROM n WHERE field_id = 'day' AND try_cast(value AS DATE) IS NULL
+    UNION ALL SELECT a.doc_id, a.field_id, 'r6', 'cross_field' FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.field_id = 'total' AND b.field_id = 'status' WHERE a.num IS NULL UNION ALL SELECT doc_id, field_id, 'r7', 'cross_field' FROM n WHERE field_id = 'day'""")
 def d1(spark, sf_dir):
-    rows = [(f, "r1", "required", None, None, None, None) for f in ("total", "status", "day")] + [("total", "r2", "type", "number", None, None, None), ("total", "r3", "range", None, 1000.0, 300000.0, None), ("status", "r4", "allowed", None, None, None, ["F", "O"]), ("day", "r5", "type", "date", None, None, None)]
-    table = spark.createDataFrame(rows, "field_id string, rule_id string, rule_type string, expected_type string, minimum double, maximum double, allowed array<string>")
+    rows = [(f, "r1", "required", None, None, None, None, None, None) for f in ("total", "status", "day")]
+    rows += [("total", "r2", "type", "number", None, None, None, None, None), ("total", "r3", "range", None, 1000.0, 300000.0, None, None, None), ("status", "r4", "allowed", None, None, None, ["F", "O"], None, None), ("day", "r5", "type", "date", None, None, None, None, None)]
+    rows += [("total", "r6", "cross_field", "string", None, None, None, "total", "greater_than_or_equal"), ("day", "r7", "cross_field", "date", None, None, None, "none", "after")]
+    table = spark.createDataFrame(rows, "field_id string, rule_id string, rule_type string, expected_type string, minimum double, maximum double, allowed array<string>, related string, operator string")
     return T.check_rules(_sql(spark, sf_dir, (), _VALUES), table)
 
 
@@ -224,19 +227,44 @@ def w15_classes(spark, sf_dir):
     return T.key_classes(_sql(spark, sf_dir, (), _KEYS))
 
 
-_NUMBERS = "SELECT o_orderkey AS doc_id, CONCAT('f', CAST(k.k AS STRING)) AS field_id, CAST((o_custkey * (k.k + 3)) % 17 AS DOUBLE) AS number FROM orders CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"
+#: Reviewed fields of orders: three numbers, two dates, a flag and a text.
+_REVIEWED = """SELECT o_orderkey AS doc_id, k.k AS field_id, CASE WHEN k.k IN ('sent', 'paid') THEN 'date' WHEN k.k = 'open' THEN 'boolean' WHEN k.k = 'state' THEN 'string' ELSE 'number' END AS value_type,
+    CASE k.k WHEN 'net' THEN CASE WHEN o_orderkey % 19 = 0 THEN 'n/a' ELSE CAST(o_custkey * 3 % 17 AS STRING) END WHEN 'tax' THEN CAST(o_custkey % 9 AS STRING) WHEN 'gross' THEN CONCAT('+', CAST(o_custkey * 5 % 23 AS STRING))
+        WHEN 'sent' THEN CASE WHEN o_orderkey % 31 = 0 THEN '1999-02-30' ELSE CONCAT('1999-03-', LPAD(CAST(o_orderkey % 28 + 1 AS STRING), 2, '0')) END WHEN 'paid' THEN CONCAT('1999-03-', LPAD(CAST(o_custkey % 28 + 1 AS STRING), 2, '0'))
+        WHEN 'open' THEN CASE o_orderkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN ' No ' ELSE 'maybe' END WHEN 'state' THEN CASE o_custkey % 4 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'no' ELSE 'maybe ' END END AS value
+    FROM orders CROSS JOIN (SELECT 'net' AS k UNION ALL SELECT 'tax' UNION ALL SELECT 'gross' UNION ALL SELECT 'sent' UNION ALL SELECT 'paid' UNION ALL SELECT 'open' UNION ALL SELECT 'state') k WHERE NOT (o_orderkey % 13 = 0 AND k.k = 'gross')"""
+#: Rules of each kind; what the reviewed fields need of each other runs from open over tax and net to gross.
+_CROSS = [("net", "gross", "less_than_or_equal"), ("tax", "net", "not_equals"), ("tax", "net", "less_than"), ("sent", "paid", "before_or_equal"), ("paid", "tax", "equals"), ("open", "state", "equals"), ("state", "open", "not_equals"), ("open", "tax", "greater_than")]
 
 
-@query("w16_cross_field", f"""WITH v AS ({_NUMBERS}), w AS (SELECT doc_id, max(CASE WHEN field_id = 'f0' THEN number END) AS a, max(CASE WHEN field_id = 'f1' THEN number END) AS b, max(CASE WHEN field_id = 'f2' THEN number END) AS c, max(CASE WHEN field_id = 'f3' THEN number END) AS d FROM v GROUP BY doc_id)
-    SELECT doc_id, 'f3' AS field_id, d AS number FROM w UNION ALL SELECT doc_id, 'f2', c FROM w WHERE c <= d UNION ALL SELECT doc_id, 'f1', b FROM w WHERE c <= d AND b <= c UNION ALL SELECT doc_id, 'f0', a FROM w WHERE c <= d AND b <= c AND a <= b""")
+@query("w16_cross_field", f"""WITH v AS ({_REVIEWED}), w AS (SELECT doc_id, max(CASE WHEN field_id = 'net' THEN try_cast(value AS DOUBLE) END) AS net, max(CASE WHEN field_id = 'tax' THEN value::DOUBLE END) AS tax, max(CASE WHEN field_id = 'gross' THEN value::DOUBLE END) AS gross,
+    max(CASE WHEN field_id = 'sent' THEN try_cast(value AS DATE) END) AS sent, max(CASE WHEN field_id = 'paid' THEN value::DATE END) AS paid, max(CASE WHEN field_id = 'open' THEN trim(value) END) AS open, max(CASE WHEN field_id = 'state' THEN trim(value) END) AS state FROM v GROUP BY doc_id),
+    o AS (SELECT doc_id, coalesce(net <= gross, false) AS net_ok, coalesce(tax < net, false) AS tax_ok, false AS paid_ok, false AS open_ok FROM w),
+    s AS (SELECT doc_id, unnest(['gross', 'net', 'tax']) AS field_id, unnest([true, net_ok, net_ok AND tax_ok]) AS stays FROM o)
+    SELECT v.doc_id, v.field_id, v.value, v.value_type FROM v JOIN s ON v.doc_id = s.doc_id AND v.field_id = s.field_id WHERE stays""")
 def w16(spark, sf_dir):
-    pairs = spark.createDataFrame([("f0", "f1"), ("f1", "f2"), ("f2", "f3")], "field_id string, related string")
-    return T.cross_field(_sql(spark, sf_dir, (), _NUMBERS), pairs)
+    """Dates fall with ``paid`` (a date is never equal to a number), flags with ``open`` (never over a number)."""
+    return T.cross_field(_sql(spark, sf_dir, (), _REVIEWED), spark.createDataFrame(_CROSS, "field_id string, related string, operator string"))
 
 
-_MAPPED = f"SELECT doc_id, field_id, CONCAT('out.', field_id) AS output_key, value, CASE WHEN coalesce(value, '') = '' THEN 'missing' WHEN value = 'n/a' THEN 'not a number' END AS warning FROM ({_VALUES}) v"
+@query("w16_typed_equality", f"""WITH v AS ({_REVIEWED}), w AS (SELECT doc_id, max(CASE WHEN field_id = 'open' THEN lower(trim(value)) END) AS open, max(CASE WHEN field_id = 'state' THEN trim(value) END) AS state, max(CASE WHEN field_id = 'tax' THEN value::DOUBLE END) AS tax, max(CASE WHEN field_id = 'gross' THEN value::DOUBLE END) AS gross,
+    max(CASE WHEN field_id = 'sent' THEN try_cast(value AS DATE) END) AS sent, max(CASE WHEN field_id = 'paid' THEN value::DATE END) AS paid FROM v GROUP BY doc_id),
+    t AS (SELECT *, CASE open WHEN 'yes' THEN true WHEN 'no' THEN false END AS a, CASE lower(state) WHEN 'true' THEN true WHEN 'no' THEN false END AS b FROM w),
+    s AS (SELECT doc_id, unnest(['open', 'tax', 'sent', 'state', 'gross', 'paid', 'net']) AS field_id, unnest([coalesce(CASE WHEN a IS NULL AND b IS NULL THEN open = state ELSE a = b END, false), coalesce(tax <> gross, false), coalesce(sent > paid, false), true, true, true, true]) AS stays FROM t)
+    SELECT v.doc_id, v.field_id, v.value, v.value_type FROM v JOIN s ON v.doc_id = s.doc_id AND v.field_id = s.field_id WHERE stays""")
+def w16_typed(spark, sf_dir):
+    pairs = [("open", "state", "equals"), ("tax", "gross", " Not_Equals "), ("sent", "paid", "after")]
+    return T.cross_field(_sql(spark, sf_dir, (), _REVIEWED), spark.createDataFrame(pairs, "field_id string, related string, operator string"))
 
 
-@query("a25_map_fields", f"""WITH m AS ({_MAPPED}) SELECT doc_id, '{{' || coalesce(string_agg('"' || output_key || '":"' || value || '"', ',' ORDER BY output_key) FILTER (WHERE warning IS NULL), '') || '}}' AS output, count_if(warning IS NULL) AS confirmed, coalesce(string_agg(field_id || ': ' || warning, '; ' ORDER BY field_id) FILTER (WHERE warning IS NOT NULL), '') AS review FROM m GROUP BY doc_id""")
+#: Values with dotted keys; an order's day may stand under, at or above the key of its status.
+_MAPPED = f"""SELECT doc_id, field_id, CASE field_id WHEN 'total' THEN 1 WHEN 'status' THEN 2 ELSE 3 END AS position, CASE field_id WHEN 'total' THEN 'out..sum.total' WHEN 'status' THEN 'out.state' ELSE CASE doc_id % 5 WHEN 0 THEN 'out.state.day' WHEN 1 THEN 'out' WHEN 2 THEN 'out.state' ELSE 'out.day' END END AS output_key,
+    value, CASE WHEN coalesce(value, '') = '' THEN 'missing' WHEN value = 'n/a' THEN 'not a number' END AS warning FROM ({_VALUES}) v"""
+
+
+@query("a25_map_fields", f"""WITH m AS ({_MAPPED}), g AS (SELECT doc_id, doc_id % 5 AS k, max(CASE WHEN field_id = 'total' AND warning IS NULL THEN value END) AS t, max(CASE WHEN field_id = 'status' AND warning IS NULL THEN value END) AS s, max(CASE WHEN field_id = 'day' AND warning IS NULL THEN value END) AS d,
+    count_if(warning IS NULL) AS confirmed, coalesce(string_agg(field_id || ': ' || warning, '; ' ORDER BY field_id) FILTER (WHERE warning IS NOT NULL), '') AS review FROM m GROUP BY doc_id),
+    n AS (SELECT *, concat_ws(',', CASE WHEN k > 2 THEN '"day":"' || d || '"' END, CASE WHEN k = 0 AND d IS NOT NULL THEN '"state":{{"day":"' || d || '"}}' WHEN k = 2 AND d IS NOT NULL THEN '"state":"' || d || '"' ELSE '"state":"' || s || '"' END, '"sum":{{"total":"' || t || '"}}') AS body FROM g)
+    SELECT doc_id, CASE WHEN k = 1 AND d IS NOT NULL THEN '{{"out":"' || d || '"}}' WHEN body = '' THEN '{{}}' ELSE '{{"out":{{' || body || '}}}}' END AS output, confirmed, review FROM n""")
 def a25(spark, sf_dir):
     return T.map_fields(_sql(spark, sf_dir, (), _MAPPED))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -132,15 +134,203 @@ def test_job_states_by_hand(spark):
 
 
 def test_cross_field_reaches_a_fixed_point(spark):
-    v = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (1, "c", 1.5), (2, "a", 1.0), (2, "b", 2.0), (2, "c", 9.0)], "doc_id long, field_id string, number double")
-    p = spark.createDataFrame([("a", "b"), ("b", "c")], "field_id string, related string")
+    v = spark.createDataFrame([(1, "a", "1"), (1, "b", "2"), (1, "c", "1.5"), (2, "a", "1"), (2, "b", "2"), (2, "c", "9"), (3, "a", "0")], "doc_id long, field_id string, value string").withColumn("value_type", F.lit("number"))
+    p = spark.createDataFrame([("a", "b", "less_than_or_equal"), ("b", "c", "less_than_or_equal")], "field_id string, related string, operator string")
     assert sorted(T.cross_field(v, p).select("doc_id", "field_id").collect()) == [(1, "c"), (2, "a"), (2, "b"), (2, "c")]
 
 
-def test_paired_median_is_exact(spark):
-    p = spark.createDataFrame([(1, 10, 7, True), (2, 11, 8, True), (3, 99, 1, False)], "participant int, a_seconds long, b_seconds long, eligible boolean")
-    m = R.paired_median(p).first()
-    assert (m.pairs, m.a_median, m.b_median, m.met) == (2, 10.5, 7.5, False)
+def test_cross_field_follows_long_chains_and_cycles(spark):
+    names = [f"f{i:02d}" for i in range(50)]
+    rows = [(d, n, str(-i if not (d == 2 and n == "f30") else 7), "number") for d in (1, 2) for i, n in enumerate(names)]
+    chain = [(a, b, "greater_than") for a, b in zip(names, names[1:])]
+    v = spark.createDataFrame(rows, "doc_id long, field_id string, value string, value_type string")
+    live = T.cross_field(v, spark.createDataFrame(chain, "field_id string, related string, operator string")).groupBy("doc_id").count().collect()
+    assert sorted(map(tuple, live)) == [(1, 50), (2, 20)]  # f29 <= f30, so f00 to f29 fall; f30 is larger than f31 still
+    ring = [("f00", "f01", "equals"), ("f01", "f00", "equals"), ("f02", "f00", "not_equals")]
+    v = spark.createDataFrame([(1, "f00", "x", "string"), (1, "f01", " x ", "string"), (1, "f02", "y", "string"), (2, "f00", "x", "string"), (2, "f01", "z", "string"), (2, "f02", "y", "string")], v.schema)
+    assert sorted(tuple(r[:2]) for r in T.cross_field(v, spark.createDataFrame(ring, "field_id string, related string, operator string")).collect()) == [(1, "f00"), (1, "f01"), (1, "f02")]
+
+
+@pytest.mark.parametrize(
+    "operator, kind, a, b, holds",
+    [
+        ("before", "date", "2024-01-01", "2024-01-02", True), ("before", "date", "2024-01-02", "2024-01-02", False), ("before_or_equal", "date", "2024-01-02", "2024-01-02", True), ("after", "", "2024-01-03", "2024-01-02", True),
+        ("after_or_equal", "date", "2024-02-30", "2024-01-02", False), ("less_than", "number", "9", "10", True), ("less_than_or_equal", "number", "1,000", "1000", True), ("greater_than", "number", "10", "9", True), ("greater_than_or_equal", "number", "x", "9", False),
+        ("equals", "number", "1.0", "1", True), ("equals", "number", "1", "x", False), ("not_equals", "number", "1", "x", False), ("not_equals", "number", "1", "2", True), ("equals", "boolean", "Yes", "1", True), ("not_equals", "boolean", "yes", "no", True),
+        ("equals", "date", " a", "a ", True), ("equals", "string", "1.0", "1", False), ("not_equals", "string", "1.0", "1", True), ("like", "string", "a", "a", False), (None, "string", "a", "a", False), ("equals", "string", "a", None, False),
+    ],
+)
+def test_typed_comparisons(spark, operator, kind, a, b, holds):
+    row = spark.createDataFrame([(operator, a, b, kind)], "o string, a string, b string, k string")
+    assert row.select(V.fields_agree(*[F.col(c) for c in "oabk"])).first()[0] is holds
+
+
+def plain_output(fields):
+    out: dict = {}
+    for _, key, value in sorted(fields, key=lambda f: f[0]):
+        path = [p for p in key.split(".") if p]
+        at = out
+        for part in path[:-1]:
+            if not isinstance(at.get(part), dict):
+                at[part] = {}
+            at = at[part]
+        if path:
+            at[path[-1]] = value
+    return out
+
+
+def test_output_is_nested_as_values_are_set(spark):
+    import json
+    import random
+
+    rng = random.Random(4)
+    docs = {1: [(1, "a.b", "1"), (2, "a.c", "2")], 2: [(1, "a.b.c.d", "1"), (2, "a.b", "x"), (3, "a.b.e", "y")], 3: [(1, "k", "1"), (2, "k", "2")], 4: [(1, "..", "1")], 5: [(1, 'q"."\\n', 'v"\n')], 6: []}
+    for d in range(10, 60):
+        docs[d] = [(i, ".".join(rng.choices(["a", "b", "", "c d", "é"], k=rng.randint(1, 4))), f"{d}-{i}") for i in range(rng.randint(1, 12))]
+    rows = [(d, f"f{p}", p, k, v, None) for d, fields in docs.items() for p, k, v in fields] + [(6, "w", 1, "z", None, "missing"), (3, "w", 9, "k", "no", "low")]
+    got = T.map_fields(spark.createDataFrame(rows, "doc_id long, field_id string, position int, output_key string, value string, warning string")).collect()
+    assert {r.doc_id: json.loads(r.output) for r in got} == {d: plain_output(f) for d, f in docs.items()}
+    assert {r.doc_id: (r.confirmed, r.review) for r in got}[3] == (2, "w: low")
+
+
+PAIRS = "participant int, case_id string, a_seconds long, b_seconds long, eligible boolean, reduction_percent double"
+
+
+def reductions(spark, *pairs):
+    rows = [(i, "c", a, b, True, 100 * (a - b) / a) for i, (a, b) in enumerate(pairs)] + [(99, "c", 10, 1, False, 90.0)]
+    return tuple(R.paired_median(spark.createDataFrame(rows, PAIRS)).first())
+
+
+def test_paired_median_is_the_median_of_reductions(spark):
+    assert reductions(spark, (100, 50), (10, 10), (1000, 900)) == (3, 10.0, False)
+    assert reductions(spark, (100, 50), (100, 70), (1000, 900)) == (3, 30.0, True)
+    assert reductions(spark, (100, 50), (10, 10)) == (2, 25.0, False)
+    assert reductions(spark, (7, 4), (100, 83), (100, 10), (100, 99))[2] is False  # 42.857... and 17: 29.93
+    assert reductions(spark, (7, 4), (700, 581 - 1), (100, 10), (100, 99))[2] is True  # 42.857... and 17.142...: exactly 30
+    assert reductions(spark)[1:] == (None, False)
+
+
+def test_pairs_count_included_and_approved_runs(spark):
+    rows = [
+        (1, "c", "m", 1, 1, False, "approved", True, 100), (1, "c", "m", 2, 2, True, "approved", True, 80), (1, "c", "s", 3, 1, True, "approved", True, 40),  # the second attempt counts
+        (2, "c", "m", 4, 1, True, "approved", True, 90), (2, "c", "s", 5, 1, True, "blocked", True, 30), (3, "c", "m", 6, 1, True, "approved", False, 90), (3, "c", "s", 7, 1, True, "approved", True, 30),
+        (4, "c", "m", 8, 1, True, "approved", True, 90), (5, "c", "m", 9, 1, True, "approved", True, 90), (5, "c", "s", 10, 1, True, "approved", True, 30), (6, "c", "m", 11, 1, True, "approved", True, 9), (6, "c", "m", 12, 2, True, "approved", True, 9), (6, "c", "s", 13, 1, True, "approved", True, 3),
+    ]
+    runs = spark.createDataFrame(rows, "participant int, case_id string, arm string, run_id int, attempt int, included boolean, outcome string, checklist boolean, seconds long")
+    done = spark.createDataFrame([(1,), (2,), (3,), (4,), (6,)], "participant int")
+    got = {r.participant: r for r in R.pair_arms(runs, ("m", "s"), done).collect()}
+    assert (got[1].a_seconds, got[1].reduction_percent, got[1].eligible) == (80, 50.0, True)
+    assert [(p, r.calculable, r.eligible) for p, r in sorted(got.items())] == [(1, True, True), (2, False, False), (3, False, False), (4, False, False), (5, True, False), (6, False, False)]
+    assert (got[4].b_outcome, got[4].b_included, got[2].b_outcome) == (None, None, "blocked")
+
+
+def test_ratio_is_compared_as_rounded(spark):
+    df = spark.createDataFrame([(1, 55, 100, "pass"), (2, 54, 100, "fail")], "g int, matched long, total long, status string")
+    assert sorted(tuple(r) for r in R.ratio_rollup(df, ["g"], 0.55).select("g", "status").collect()) == [(1, "pass"), (2, "fail")]
+
+
+def test_participants_out_of_order_at_a_tie(spark):
+    def t(day):
+        return None if day is None else datetime(2024, 1, day)
+
+    people = [(1, 1, 2, 3, None), (2, 1, 1, 3, None), (3, 1, 2, 2, None), (4, 1, 2, 5, None), (5, 1, 2, 3, 6), (6, 1, 2, 3, 5), (7, 5, 6, 7, None), (8, 1, None, 3, None), (9, None, None, None, None)]
+    p = spark.createDataFrame([(i, *map(t, d)) for i, *d in people], "participant int, approved timestamp, consented timestamp, practised timestamp, withdrawn timestamp")
+    r = spark.createDataFrame([(i, t(5), t(6)) for i in range(1, 9)], "participant int, started timestamp, ended timestamp")
+    got = dict(map(tuple, R.check_participants(p, r).collect()))
+    assert got == {
+        2: "consent before approval", 3: "practice before consent", 4: "practice after a run", 6: "a run after leaving",
+        7: "approval after a run; consent after a run; practice after a run", 8: "consent after a run; practice before consent",
+    }
+
+
+def test_orders_and_revisions_of_pairs(spark):
+    def t(day):
+        return datetime(2024, 1, day)
+
+    runs = [(1, "c", "m", t(1), t(2), True, "a"), (1, "c", "s", t(2), t(3), True, "a"), (2, "c", "m", t(1), t(3), True, "a"), (2, "c", "s", t(2), t(4), True, "b"), (3, "c", "s", t(1), t(2), True, "a"), (4, "c", "m", t(1), t(2), True, None)]
+    runs += [(5, "c", "m", t(1), t(2), True, None), (5, "c", "s", t(3), t(4), True, "a"), (5, "c", "s", t(5), t(6), False, "b")]
+    r = spark.createDataFrame(runs, "participant int, case_id string, arm string, started timestamp, ended timestamp, included boolean, task string")
+    orders = spark.createDataFrame([(i, "m", "s") for i in (1, 2, 3, 5)], "participant int, first string, second string")
+    assert sorted(map(tuple, R.arm_order(r, orders).collect())) == [(2, "order"), (3, "order"), (4, "no order")]
+    assert sorted(map(tuple, R.revision_differences(r, ("m", "s"), ["task"]).collect())) == [(2, "c", "task"), (5, "c", "task")]
+
+
+def plain_hits(texts, anchors):
+    norm = lambda x: " ".join(x.split()).lower().replace("ß", "ss")
+    out = set()
+    for d, t in texts.items():
+        for template, anchor, mode, text in anchors:
+            if {"exact": t == text, "contains": norm(text) in norm(t) and norm(text) != ""}.get(mode, norm(t) == norm(text)):
+                out.add((d, template, anchor))
+    return out
+
+
+@pytest.mark.parametrize("few, library, segment", [(64, 20_000, 32_768), (0, 20_000, 7), (0, 9, 40)])
+def test_anchors_are_found_by_any_plan(spark, monkeypatch, few, library, segment):
+    import random
+
+    monkeypatch.setattr(T, "FEW", few)
+    monkeypatch.setattr(T, "LIBRARY", library)
+    monkeypatch.setattr(T, "SEGMENT", segment)
+    rng = random.Random(1)
+    texts = {d: "".join(rng.choices(["ab", "ß", "b a", " ", "cd\n", "é", "😀", "."], k=rng.randint(1, 60))) for d in range(60)}
+    anchors = [("t", f"c{i}", "contains", "".join(rng.choices(["ab", "SS", "b", " ", "c", "É", "😀"], k=rng.randint(1, 5)))) for i in range(40)]
+    anchors += [("t", "x", "exact", texts[3]), ("u", "n", "normalized", texts[4].upper().replace("SS", "ß")), ("u", "same", "contains", "ab"), ("u", "blank", "contains", " ")]
+    anchors = [a for a in anchors if a[3].strip()]
+    b = spark.createDataFrame([(d, str(d), 1, "paragraph", 0.0, 0.0, t) for d, t in texts.items()], "doc_id long, block_id string, page int, type string, y double, x double, text string")
+    a = spark.createDataFrame([(t, i, "label", m, x, None, None) for t, i, m, x in anchors], "template_id string, anchor_id string, kind string, mode string, text string, page int, block_types array<string>")
+    got = {(r.doc_id, r.template_id, r.anchor_id) for r in T.match_anchors(b, a).collect()}
+    assert got == plain_hits(texts, anchors)
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_anchors_take_time_in_proportion_to_texts(spark, monkeypatch, few):
+    import time
+
+    monkeypatch.setattr(T, "FEW", few)
+    text = "lorem ipsum dolor " * 58_000 + "seal number"  # 1 MB
+    b = spark.createDataFrame([(1, "1", 1, "paragraph", 0.0, 0.0, text)], "doc_id long, block_id string, page int, type string, y double, x double, text string")
+    a = spark.createDataFrame([("t", "a", "label", "contains", "Seal  Number", None, None), ("t", "b", "label", "contains", "seal numbers", None, None)], "template_id string, anchor_id string, kind string, mode string, text string, page int, block_types array<string>")
+    T.match_anchors(b, a).collect()
+    began = time.time()
+    assert [r.anchor_id for r in T.match_anchors(b, a).collect()] == ["a"]
+    assert time.time() - began < 5
+
+
+def test_contracts_of_other_names(spark):
+    """Nothing in the operators knows the given tables' values."""
+    contracts = spark.createDataFrame([("send", ["ship"], ["box"], ["post"], None, None, True, True)], "action string, aliases array<string>, scopes array<string>, event_types array<string>, statuses array<string>, result_statuses array<string>, uploader boolean, unattempted boolean")
+    jobs = spark.createDataFrame([(1, "new", None, 5, 0), (2, "new", None, 5, 1)], "job_id int, status string, result_status string, uploader int, attempts int")
+    rows = [(1, 1, "ship", "post", 5, "box"), (2, 1, "send", "post", 6, "box"), (3, 2, "send", "post", 5, "box"), (4, 1, "ship", "mail", 5, "bag"), (5, 9, "send", "post", 5, "box"), (6, 1, "sell", "post", 5, "box"), (7, 1, "send", None, 5, None)]
+    got = dict(map(tuple, A.check_contract(spark.createDataFrame(rows, "event_id int, job_id int, action string, event_type string, actor int, scope string"), contracts, jobs).collect()))
+    assert got == {2: "uploader", 3: "attempted job", 4: "scope; event type", 5: "uploader; attempted job", 6: "unknown action", 7: "scope; event type"}
+    runs = spark.createDataFrame([(1, 1, "c", "m", datetime(2024, 1, 1), datetime(2024, 1, 2), 0, True, "good"), (2, 2, "c", "m", datetime(2024, 1, 1), datetime(2024, 1, 2), 0, True, "F")], "run_id int, participant int, case_id string, arm string, started timestamp, ended timestamp, pause long, included boolean, outcome string")
+    assert [tuple(r) for r in R.check_runs(runs, ["good"]).collect()] == [(2, "outcome")]
+    events = spark.createDataFrame([(1, '{"deep":{"size":"7"}}'), (2, '{"deep":1}'), (3, None)], "event_id int, body string")
+    assert [tuple(r) for r in A.event_view(events, "body", {"size": ("$.deep.size", "int")}, ["event_id"]).orderBy("event_id").collect()] == [(1, 7), (2, None), (3, None)]
+
+
+def test_download_evidence_compares_ids(spark):
+    h = "a" * 64
+    artifacts = spark.createDataFrame([(1, 1, 10, h, "x"), (1, 1, 11, h, "y"), (2, 2, 20, h, "x")], "job_id int, document_id int, artifact_id int, sha string, name string")
+    rows = [
+        (1, 1, 1, None, None, None, [10, 11]), (2, 1, 1, h, "x", None, [10]), (3, 1, 1, h, "x", None, [10, 11]), (4, 1, 1, None, None, None, [10, 11, 20]), (5, 1, 1, None, None, None, [10]),
+        (6, 1, 1, None, None, [11], [11]), (7, 1, 1, None, None, [], []), (8, 1, 1, h, "x", [11], [11]), (9, 1, 2, None, None, None, [10]), (10, 1, 1, h, None, None, None), (11, 1, 1, None, None, [20], [20]), (12, 2, 2, h, "x", None, [20, 20]),
+    ]
+    e = spark.createDataFrame(rows, "event_id int, job_id int, document_id int, sha string, name string, required array<int>, recorded array<int>")
+    got = {r.event_id: (r.evidence, r.artifact_id, r.verdict) for r in A.download_evidence(e, artifacts).collect()}
+    assert got == {
+        1: (2, 10, ""), 2: (1, 10, ""), 3: (1, 10, "surplus"), 4: (2, 10, "foreign"), 5: (2, 10, "missing"), 6: (1, 11, ""), 7: (0, None, "required ids do not match"), 8: (1, 11, "required ids do not match"),
+        9: (0, None, "no artifact; foreign"), 10: (0, None, "malformed declaration; no match"), 11: (1, 20, "required ids do not match; foreign"), 12: (1, 20, ""),
+    }
+
+
+def test_scopes_bind_documents_actors_and_actions(spark):
+    entities = spark.createDataFrame([("doc", 1, None, 1, "ok", 5, None), ("vote", 1, 1, 1, "ok", 6, ["yes"])], "scope_type string, scope_id int, job_id int, document_id int, status string, actor int, verbs array<string>")
+    rows = [(1, 1, 1, "put", 5, "doc", 1), (2, 1, 1, "put", 6, "doc", 1), (3, 1, 2, "see", 6, "doc", 1), (4, 1, 1, "yes", 6, "vote", 1), (5, 2, 1, "no", 5, "vote", 1), (6, 1, 1, "see", 5, "vote", 7), (7, 1, 1, "pay", 5, "doc", 1)]
+    e = spark.createDataFrame(rows, "event_id int, job_id int, document_id int, action string, actor int, scope_type string, scope_id int")
+    got = dict(map(tuple, A.resolve_scope(e, entities, {"pay": ["done"]}, ["put"], ["vote"]).collect()))
+    assert got == {2: "other actor", 3: "other document", 5: "other job; other actor; other action", 6: "no such entity", 7: "state"}
 
 
 def test_empty_inputs(spark):
