@@ -2,10 +2,10 @@
 
 1. *Heads.* Two texts can only be equal if their byte lengths and first bytes are. A row whose
    (length, head) no other row shares is settled: it is alone. Whole texts of all others go on.
-2. *Blocks.* Each remaining text is cut into fixed-size blocks. The distinct blocks are sorted in the
-   partitions that they are dealt to and numbered in that order; a block's number is its name.
+2. *Blocks.* Each remaining text is cut into fixed-size blocks. The distinct blocks are sorted over all
+   partitions, by ranges; a block's place in that order is its name.
 3. *Pairs.* Names of adjacent blocks are paired, the distinct pairs sorted and numbered in turn,
-   until each text has one name. Texts are equal if and only if (length, name) are: no hashing of
+   until each text has one name. Names depend on the texts alone, not on partitions. Texts are equal if and only if (length, name) are: no hashing of
    contents decides anything, so nothing can collide.
 
 Names are fixed by writing each name table before it is used. Distinct blocks and pairs are
@@ -22,13 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docvigil.llm.common import materialize
-
-
-def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
-    """Integer names of distinct keys, written so that they stay: the keys are dealt out by hash, sorted
-    in each partition and numbered in that order."""
-    return materialize(distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id()), "names")
+from docvigil.llm.common import materialize, numbered
+from docvigil.operators.fixpoint import forget
 
 
 def exact_groups(docs: DataFrame, carry: list[str] | None = None, block_bytes: int = 8192, head_bytes: int = 64) -> DataFrame:
@@ -62,8 +57,9 @@ def _name(held: DataFrame, block_bytes: int) -> DataFrame:
     last = F.floor(F.greatest(F.col("n_bytes") - 1, F.lit(0)) / block_bytes).cast("int")
     blocks = held.select("uid", (last + 1).alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("pos"), "data").select(
         "uid", "n", "pos", F.expr(f"substring(data, pos * {block_bytes} + 1, {block_bytes})").alias("block"))
-    names = _numbered(blocks.select("block").distinct(), "block")
+    names = numbered(blocks.select("block").distinct(), "block")
     level = materialize(blocks.join(names, "block").select("uid", "n", "pos", "name"), "level")
+    forget(names)
     done = level.filter("n = 1").select("uid", "name")
     level = level.filter("n > 1")
     most = level.agg(F.max("n")).first()[0] or 1
@@ -71,8 +67,9 @@ def _name(held: DataFrame, block_bytes: int) -> DataFrame:
         pairs = level.groupBy("uid", "n", (F.col("pos") / 2).cast("int").alias("pos")).agg(
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         pairs = materialize(pairs.withColumn("n", ((F.col("n") + 1) / 2).cast("int")), "pairs")
-        names = _numbered(pairs.select("a", "b").distinct(), "a", "b")
+        names = numbered(pairs.select("a", "b").distinct(), "a", "b")
         level = materialize(pairs.join(names, ["a", "b"]).select("uid", "n", "pos", "name"), "level")
+        forget(names, pairs)
         done = done.unionByName(level.filter("n = 1").select("uid", "name"))
         level = level.filter("n > 1")
         most = (most + 1) // 2

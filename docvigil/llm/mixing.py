@@ -35,7 +35,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docvigil.llm.common import materialize, n_words
+from docvigil.llm.common import materialize, n_words, numbered
 from docvigil.operators.fixpoint import forget
 
 #: Sources up to which tables with a row a source are broadcast to the documents; beyond, Spark joins
@@ -51,18 +51,28 @@ TOLERANCE = 1e-10
 STEPS = 200
 
 
+def by_source(df: DataFrame, few: bool, pending: str = "false") -> tuple[DataFrame, bool]:
+    """A table with a row a source, computed once: held by the driver if there are ``few``, else written. And
+    whether its boolean column ``pending`` holds in any row."""
+    if few:
+        rows = df.collect()
+        return df.sparkSession.createDataFrame(rows, df.schema), pending != "false" and any(r[pending] for r in rows)
+    df = materialize(df, "sources")
+    return df, bool(df.filter(pending).limit(1).count())
+
+
+def forget_rounds(few: bool, *tables: DataFrame) -> None:
+    if not few:
+        forget(*tables)
+
+
 def source_targets(sizes: DataFrame, most: float, weights: tuple[int, ...]) -> DataFrame:
     """``sizes(source, size, n)`` to one row a source: its tokens, documents, mean and target."""
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
-    order = [F.col("source").asc_nulls_last()]
-    part = F.spark_partition_id()
-    dealt = materialize(materialize(per, "sources").repartitionByRange(*order).withColumn("part", part), "ranges")
-    # the number of sources in the ranges before each: a row a range
-    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    dealt = dealt.withColumn("place", place).join(before, "part").withColumn("place", F.col("place") + F.col("before"))
+    per = numbered(per.withColumn("none", F.col("source").isNull()), "none", "source", name="place")
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    per = materialize(dealt.select("source", "source_size", "n_docs", weight.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap")), "sources")
+    per = per.select("source", "source_size", "n_docs", weight.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap"))
+    per, _ = by_source(per, per.count() <= FEW)
     total, rest = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     level, held = (total / rest if rest else 0.0), None
     while True:  # the level only rises, and each step caps a further source or is the last
@@ -75,7 +85,7 @@ def source_targets(sizes: DataFrame, most: float, weights: tuple[int, ...]) -> D
     return per.select("source", "source_size", "n_docs", target.alias("target"), (F.col("source_size") / F.col("n_docs")).alias("mean"))
 
 
-def entropy_rates(sizes: DataFrame, targets: DataFrame, most: float) -> DataFrame:
+def entropy_rates(sizes: DataFrame, targets: DataFrame, most: float, few: bool = False) -> DataFrame:
     """``targets`` with ``tilt``: b of each source's rates min(most, exp(b size / mean)); null where the
     source takes nothing, infinite where it takes all ``most`` times."""
     x, limit = F.col("size") / F.col("mean"), F.log(F.lit(float(most)))
@@ -85,26 +95,30 @@ def entropy_rates(sizes: DataFrame, targets: DataFrame, most: float) -> DataFram
     # a first step: as if all tokens lay in documents of their mean length by tokens
     first = F.log(F.col("target") / F.col("source_size")) * F.col("source_size") / F.col("second")
     none = F.lit(None).cast("double")
-    state = materialize(spread.select("source", "mean", "target", first.alias("b"), none.alias("low"), none.alias("high"), F.lit(False).alias("done")), "dual")
+    state, pending = by_source(spread.select("source", "mean", "target", first.alias("b"), none.alias("low"), none.alias("high"), F.lit(True).alias("open")), few, "open")
     for _ in range(STEPS):
+        if not pending:
+            break
         power = F.col("b") * x
         tokens = F.col("n") * F.col("size") * F.exp(F.least(power, limit))
         slope = F.when(power < limit, tokens * x).otherwise(0.0)
-        open_ = state.filter("NOT done")
-        sums = sizes.join(open_, sizes["source"].eqNullSafe(open_["source"])).groupBy(open_["source"], "mean", "target", "b", "low", "high").agg(F.sum(tokens).alias("m"), F.sum(slope).alias("d"))
+        open_ = state.filter("open")
+        sums = sizes.join(open_, sizes["source"].eqNullSafe(open_["source"])).groupBy(open_["source"], "mean", "target", "b", "low", "high").agg(F.sum(tokens).alias("m"), F.sum(slope).alias("d"), F.sum(slope * x).alias("dd"))
         off = F.log(F.col("m") / F.col("target"))
         sums = sums.withColumn("low", F.when(off < 0, F.col("b")).otherwise(F.col("low"))).withColumn("high", F.when(off >= 0, F.col("b")).otherwise(F.col("high")))
-        newton = F.col("b") - off * F.col("m") / F.col("d")
+        # Newton's step on the logarithm of the tokens, corrected by its curvature where that is mild
+        grade, bend = F.col("d") / F.col("m"), F.col("dd") / F.col("m") - (F.col("d") / F.col("m")) * (F.col("d") / F.col("m"))
+        mild = F.greatest(F.lit(0.5), F.least(F.lit(1.5), 1 - off * bend / (2 * grade * grade)))
+        newton = F.col("b") - off / grade / mild
         wider = F.when(off < 0, F.greatest(2 * F.abs("b"), F.lit(1.0))).otherwise(-F.greatest(2 * F.abs("b"), F.lit(1.0)))
         fair = F.coalesce((F.col("d") > 0) & F.coalesce(newton > F.col("low"), F.lit(True)) & F.coalesce(newton < F.col("high"), F.lit(True)), F.lit(False))
         step = F.when(fair, newton).otherwise(F.coalesce((F.col("low") + F.col("high")) / 2, wider))
         done = (F.abs(off) < TOLERANCE) | F.coalesce(F.col("high") - F.col("low") <= F.abs("high") * F.lit(1e-14), F.lit(False))
-        moved = sums.withColumn("done", done).select("source", "mean", "target", F.when(F.col("done"), F.col("b")).otherwise(step).alias("b"), "low", "high", "done")
-        before, state = state, materialize(moved.unionByName(state.filter("done")), "dual")
-        forget(before)
-        if not state.filter("NOT done").limit(1).count():
-            break
-    else:
+        moved = sums.withColumn("open", ~done).select("source", "mean", "target", F.when(F.col("open"), step).otherwise(F.col("b")).alias("b"), "low", "high", "open")
+        before = state
+        state, pending = by_source(moved.unionByName(state.filter("NOT open")), few, "open")
+        forget_rounds(few, before)
+    if pending:
         raise ArithmeticError(f"the rates of some source did not converge in {STEPS} steps")
     # rounded, so that the order in which Spark adds cannot show
     found = state.select(F.col("source").alias("s"), F.round("b", 11).alias("b")).unionByName(live.filter("full").select(F.col("source").alias("s"), F.lit(float("inf")).alias("b")))
@@ -121,13 +135,13 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
     light = "text" not in carry
     sized = materialize(rows if light else rows.drop("row"), "sizes")
     sizes = materialize(sized.groupBy("source", "size").agg(F.count("key").alias("n")), "histogram")
-    targets = materialize(source_targets(sizes, most, weights), "targets")
+    targets = source_targets(sizes, most, weights)
     few = targets.count() <= FEW
 
     def small(of_sources: DataFrame) -> DataFrame:
         return F.broadcast(of_sources) if few else of_sources
 
-    plan = materialize(entropy_rates(sizes, targets, most), "rates")
+    plan, _ = by_source(entropy_rates(sizes, targets, most, few), few)
 
     tilted = F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.log(F.lit(float(most)))))
     rate = F.when(F.col("tilt").isNull(), 0.0).when(F.col("tilt") == float("inf"), float(most)).otherwise(tilted)
@@ -144,14 +158,13 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
 
     # the cut-off of each source: whole bins of turns that fit into what floor(rate) leaves of the target
     seen = planned(sized, plan)
-    hist = materialize(seen.groupBy("source", "bin").agg(F.sum("size").alias("tokens"), F.sum(F.col("size") * F.col("whole")).alias("base"), F.first("target").alias("target")), "turns")
+    hist = seen.groupBy("source", "bin").agg(F.sum("size").alias("tokens"), F.sum(F.col("size") * F.col("whole")).alias("base"), F.first("target").alias("target"))
     by_bin = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most BINS + 1 rows a source
     of_source = Window.partitionBy("source")
     hist = hist.withColumn("missing", F.col("target") - F.sum("base").over(of_source)).withColumn("upto", F.sum(F.when(F.col("bin").isNotNull(), F.col("tokens")).otherwise(0)).over(by_bin))
     fit = F.col("bin").isNotNull() & (F.col("upto") <= F.col("missing"))
     cut = hist.groupBy("source").agg(F.coalesce(F.max(F.when(fit, F.col("bin"))), F.lit(-1)).alias("cut"), (F.first("missing") - F.coalesce(F.max(F.when(fit, F.col("upto"))), F.lit(0))).alias("missing"))
-    cut = materialize(cut, "cuts")
-    plan = materialize(plan.join(cut.withColumnRenamed("source", "s"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s"), "plan")
+    plan, _ = by_source(plan.join(cut.withColumnRenamed("source", "s"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s"), few)
 
     # what is still missing: rounds among the documents that fit, until none does
     unit = F.xxhash64("key", "source")
@@ -160,50 +173,53 @@ def mix_sources(docs: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2
     def place(of: Column, turn: Column) -> Column:
         return F.floor(F.log2(F.pmod(F.xxhash64(of, turn), F.lit(1 << 40)) + 1) * FINE).cast("int")
 
-    def gains(r: Column, of: Column, size: Column, whole: Column, extra: Column) -> Column:
-        """Whether round ``r`` gives a document with ``extra`` copies beyond ``whole`` one more."""
-        open_ = (size <= r["gap"]) & (extra == r["level"]) & (whole + extra < most)
+    def gains(r: Column, of: Column, size: Column, whole: Column, held: Column) -> Column:
+        """Whether round ``r`` gives a document with ``held`` copies beyond ``whole`` one more."""
+        open_ = (size <= r["gap"]) & (held == r["level"]) & (whole + held < most)
         return F.when(open_ & ((place(of, r["turn"]) <= r["cut"]) | (of == r["pick"])), 1).otherwise(0).cast("long")
 
-    may = (F.col("size") <= F.col("gap")) & (F.col("whole") + F.col("extra") < most) & (F.col("extra") >= F.col("floor"))
     round_type = "array<struct<turn:int,gap:double,level:bigint,cut:int,pick:bigint>>"
-    state = materialize(plan.select(F.col("source").alias("s"), F.col("missing").alias("gap"), F.lit(0).cast("long").alias("floor"), F.array().cast(round_type).alias("rounds")), "state")
-    left = planned(sized, plan).filter("size > 0 AND size <= missing").select("source", unit.alias("unit"), "size", "whole", first.alias("extra")).filter(F.col("whole") + F.col("extra") < most)
-    left = materialize(left, "left")
+    no_rounds = F.array().cast(round_type)
+
+    def extra(rounds: Column, start: Column) -> Column:
+        """Copies beyond ``whole`` that a row has after these rounds."""
+        return F.aggregate(F.coalesce(rounds, no_rounds), start, lambda x, r: x + gains(r, F.col("unit"), F.col("size"), F.col("whole"), x))
+
+    state = plan.select(F.col("source").alias("s"), F.col("missing").alias("gap"), F.lit(0).cast("long").alias("floor"), no_rounds.alias("rounds"))
+    left = planned(sized, plan).filter("size > 0 AND size <= missing").select("source", unit.alias("unit"), "size", "whole", first.alias("first")).filter(F.col("whole") + F.col("first") < most)
+    left = materialize(left, "left")  # once: what a row has gained is found from the rounds
     for n in count():
         nth = F.lit(n).cast("int")
         of_s, by_place = Window.partitionBy("s"), Window.partitionBy("s").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)  # at most 40 * FINE + 1 rows a source
-        seen = left.join(small(state.drop("rounds")), left["source"].eqNullSafe(state["s"])).filter(may)
+        seen = left.join(small(state), left["source"].eqNullSafe(state["s"])).withColumn("extra", extra(F.col("rounds"), F.col("first")))
+        seen = seen.filter((F.col("size") <= F.col("gap")) & (F.col("whole") + F.col("extra") < most) & (F.col("extra") >= F.col("floor")))
         hist = seen.groupBy("s", "extra", place(F.col("unit"), nth).alias("place")).agg(F.sum("size").alias("tokens"), F.first("gap").alias("gap"))
         hist = hist.withColumn("level", F.min("extra").over(of_s)).filter("extra = level").withColumn("upto", F.sum("tokens").over(by_place))
         fit = F.col("upto") <= F.col("gap")
         cut = hist.groupBy("s").agg(F.first("level").alias("level"), F.coalesce(F.max(F.when(fit, F.col("place"))), F.lit(-1)).alias("cut"), (F.first("gap") - F.coalesce(F.max(F.when(fit, F.col("upto"))), F.lit(0))).alias("rest"))
-        cut = materialize(cut, "fit")
-        if not cut.limit(1).count():
-            break
+        if not few:
+            cut = materialize(cut, "fit")
         # of the others the one that fits best; rows that are equal in all go together
-        best = left.join(small(cut), left["source"].eqNullSafe(cut["s"])).filter((F.col("extra") == F.col("level")) & (place(F.col("unit"), nth) > F.col("cut")) & (F.col("size") <= F.col("rest")))
+        done = cut.withColumnRenamed("s", "c")
+        best = seen.join(small(done), seen["s"].eqNullSafe(done["c"])).filter((F.col("extra") == F.col("level")) & (place(F.col("unit"), nth) > F.col("cut")) & (F.col("size") <= F.col("rest")))
         best = best.groupBy("s", "unit").agg(F.sum("size").alias("total"), F.first("rest").alias("room")).filter("total <= room")
         best = best.groupBy(F.col("s").alias("b")).agg(F.max(F.struct("total", "unit")).alias("best"))
-        done = cut.withColumnRenamed("s", "c")
         step = state.join(done, state["s"].eqNullSafe(done["c"]), "left").join(best, F.col("s").eqNullSafe(best["b"]), "left")
         moved = (F.col("cut") >= 0) | F.col("best").isNotNull()
         one = F.struct(nth.alias("turn"), "gap", "level", "cut", F.col("best.unit").alias("pick"))
-        old = state, left, cut
-        state = materialize(step.select(
+        old = state, cut
+        state, pending = by_source(step.select(
             "s", F.coalesce(F.col("rest") - F.coalesce("best.total", F.lit(0)), "gap").alias("gap"),
             F.when(F.col("level").isNull(), F.col("floor")).when(moved, F.col("level")).otherwise(F.col("level") + 1).alias("floor"),
-            F.when(moved, F.concat("rounds", F.array(one))).otherwise(F.col("rounds")).alias("rounds")), "state")
-        was = F.try_element_at("rounds", F.lit(-1))
-        won = F.when(was["turn"] == nth, gains(was, F.col("unit"), F.col("size"), F.col("whole"), F.col("extra"))).otherwise(0)
-        left = left.join(small(state), left["source"].eqNullSafe(state["s"])).withColumn("extra", F.col("extra") + won).filter(may)
-        left = materialize(left.select("source", "unit", "size", "whole", "extra"), "left")
-        forget(*old)
-    plan = materialize(plan.join(state.select("s", "rounds"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s"), "rounds")
+            F.when(moved, F.concat("rounds", F.array(one))).otherwise(F.col("rounds")).alias("rounds"), F.col("level").isNotNull().alias("open")), few, "open")
+        state = state.drop("open")
+        forget_rounds(few, *old[n == 0 :])  # the first state is part of the plan
+        if not pending:
+            break
+    forget(left)
+    plan, _ = by_source(plan.join(state.select("s", "rounds"), plan["source"].eqNullSafe(F.col("s")), "left").drop("s"), few)
     out = planned(sized if light else rows, plan).withColumn("unit", unit)
-    rounds = F.coalesce("rounds", F.array().cast(round_type))
-    extra = F.aggregate(rounds, first, lambda x, r: x + gains(r, F.col("unit"), F.col("size"), F.col("whole"), x))
-    copies = F.least(F.lit(most), F.col("whole") + extra).cast("long")
+    copies = F.least(F.lit(most), F.col("whole") + extra(F.col("rounds"), first)).cast("long")
     return out.select("row", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 

@@ -45,6 +45,10 @@ def pieces(sizes: np.ndarray, context: int) -> tuple[np.ndarray, np.ndarray]:
     return owner, at
 
 
+#: Pieces that are handed on together: at most so many times ``context`` ids.
+BATCH_PIECES = 4096
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int, context: int = 2048) -> DataFrame:
     """Sequences of ``docs(doc_id, text)``: one row a piece with its ids (little-endian unsigned
     32-bit integers), its place in the document, its bucket (log2 of its length) and sequence."""
@@ -58,13 +62,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, context: int = 2048) -> D
                 ids, first = encoder(tokenizer).encode_ended(data, offsets, end_id)
                 owner, at = pieces(np.diff(first), context)
                 where = np.append(first[owner] + at, len(ids))
-                length = np.diff(where)
-                if where[-1] >= 1 << 29:
-                    raise ValueError("a text has over 2**29 ids")
-                cut_ids = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer((4 * where).astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])
-                yield pa.RecordBatch.from_arrays([
-                    keys.take(pa.array(low + owner)), pa.array(at), pa.array(length), pa.array(np.diff(first)[owner]), pa.array(np.log2(length).astype(np.int32)), cut_ids,
-                ], names=["doc_id", "start", "length", "doc_tokens", "bucket", "ids"])
+                length, tokens, ids = np.diff(where), np.diff(first)[owner], ids.astype("<u4", copy=False)
+                for a in range(0, len(owner), BATCH_PIECES):
+                    b = min(a + BATCH_PIECES, len(owner))
+                    places = pa.py_buffer((4 * (where[a : b + 1] - where[a])).astype(np.int32))
+                    cut_ids = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, places, pa.py_buffer(ids[where[a] : where[b]])])
+                    yield pa.RecordBatch.from_arrays([
+                        keys.take(pa.array(low + owner[a:b])), pa.array(at[a:b]), pa.array(length[a:b]), pa.array(tokens[a:b]), pa.array(np.log2(length[a:b]).astype(np.int32)), cut_ids,
+                    ], names=["doc_id", "start", "length", "doc_tokens", "bucket", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(cut, PIECES).select("doc_id", "start", "length", "doc_tokens", "bucket", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids")

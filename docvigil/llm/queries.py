@@ -76,7 +76,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docvigil.llm.tiff_media import decode_pages, texts_as_files, with_features
 
-    pages = with_features(decode_pages(texts_as_files(table(spark, sf_dir, "documents"))))
+    # a page may fill a Spark value: these files are our own
+    pages = with_features(decode_pages(texts_as_files(table(spark, sf_dir, "documents")), most_bytes=(1 << 31) - 1))
     return pages.select(
         "doc_id", "n_bytes", F.octet_length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")

@@ -290,13 +290,21 @@ def file_pages(data: bytes | None, most_bytes: int = 1 << 28) -> Iterator[dict]:
 
 
 def decode_pages(files: DataFrame, media: str = "media", most_bytes: int = 1 << 28) -> DataFrame:
-    """One row a page of each TIFF file in the binary column ``media``, with all columns of ``files``; a
-    page or tile of over ``most_bytes`` bytes is an error."""
+    """One row a page of each TIFF file in the binary column ``media``, with all columns of ``files``; those
+    with the name of a page's column, and one named ``file`` then, are fields of a struct ``file``. A page or
+    tile of over ``most_bytes`` bytes is an error."""
+    from pyspark.sql import functions as F
     from pyspark.sql import types as T
 
-    schema = T.StructType([*files.schema.fields, *T._parse_datatype_string(PAGES).fields])
-    if len(set(schema.names)) < len(schema):
-        raise ValueError("a column of the files has the name of a page's column")
+    own = T._parse_datatype_string(PAGES)
+    clash = [c for c in files.columns if c in own.names]
+    if clash:
+        clash = [c for c in files.columns if c in clash or c == "file"]
+        kept = [F.col(f"`{c}`") for c in files.columns if c not in clash]
+        inner = [F.col(f"`{media}`").alias("of_media")] if media in clash else []
+        pages = decode_pages(files.select(*kept, F.struct(*[F.col(f"`{c}`") for c in clash]).alias("file"), *inner), "of_media" if inner else media, most_bytes)
+        return pages.drop("of_media") if inner else pages
+    schema = T.StructType([*files.schema.fields, *own.fields])
     names = files.columns
     kinds = {"page": pa.int32(), "width": pa.int32(), "height": pa.int32(), "samples": pa.int32(), "bits": pa.int32(), "compression": pa.int32(), "pixels": pa.binary(), "error": pa.string()}
 
@@ -328,15 +336,11 @@ def payload_of(text: str | None) -> bytes:
     return data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
 
 
-#: Bytes of a payload up to which LZW, whose loop is plain Python, is used.
-LZW_BYTES = 2048
-
-
 def form_of(payload: bytes) -> tuple[int, int]:
-    """The scheme and tile size for a payload, chosen by its checksum: deflate in strips or in tiles,
-    PackBits, or LZW (deflate above ``LZW_BYTES``). Equal payloads have equal forms."""
-    scheme, tile = ((DEFLATE, 0), (DEFLATE, 64), (PACKBITS, 0), (LZW, 0))[zlib.crc32(payload) % 4]
-    return (DEFLATE, 0) if scheme == LZW and len(payload) > LZW_BYTES else (scheme, tile)
+    """The scheme and tile size for a payload, chosen by its checksum alone: LZW for one in sixteen, as its
+    loop is plain Python, PackBits for four, and deflate, in strips or in tiles. Equal payloads have equal forms."""
+    nth = zlib.crc32(payload) % 16
+    return (LZW, 0) if nth == 0 else (PACKBITS, 0) if nth < 5 else (DEFLATE, 0) if nth < 11 else (DEFLATE, 64)
 
 
 def texts_as_files(docs: DataFrame, scheme: int | None = None, predictor: int = 2) -> DataFrame:

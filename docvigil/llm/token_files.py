@@ -38,6 +38,9 @@ NO_ID = -(1 << 63)
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, width int"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids binary"
 
+#: Ids that a reader hands on together, unless one document has more.
+BATCH_IDS = 1 << 20
+
 
 def _filesystem(folder: str):
     from pyarrow import fs
@@ -119,17 +122,20 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 ids = _Flat(row["path"] + ".ids", f"<u{row['width']}")
                 starts = _Flat(row["path"] + ".offsets", "<i8")
                 docs = _Flat(row["path"] + ".docs", "<i8")
-                for low in range(0, docs.size, 500):
-                    high = min(low + 500, docs.size)
-                    at, keys = starts.part(low, high + 1), docs.part(low, high)
-                    found = ids.part(int(at[0]), int(at[-1])).astype("<u4")
+                low = 0
+                while low < docs.size:
+                    at = starts.part(low, min(low + 500, docs.size) + 1)
+                    n = max(1, int(np.searchsorted(at, at[0] + BATCH_IDS, side="right")) - 1)  # whole documents
+                    at, high = at[: n + 1], low + n
+                    keys, found = docs.part(low, high), ids.part(int(at[0]), int(at[-1])).astype("<u4")
                     if len(found) >= 1 << 29:
-                        raise ValueError("500 documents have over 2**29 ids")
+                        raise ValueError("a document has over 2**29 ids, more than the 2 GB of a Spark value")
                     places = pa.py_buffer((4 * (at - at[0])).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(keys, mask=keys == NO_ID), pa.array(row["base"] + at[:-1]), pa.array(np.diff(at)),
                         pa.BinaryArray.from_buffers(pa.binary(), high - low, [None, places, pa.py_buffer(found)]),
                     ], names=["doc_id", "start", "n_tokens", "ids"])
+                    low = high
 
     dealt = manifest.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "shard")
     return dealt.mapInArrow(read, DOCUMENTS)

@@ -558,6 +558,49 @@ def test_fuzzed_files_give_rows_with_an_error(spark):
         page_samples(whole, next(directories(whole)), most_bytes=100)
 
 
+def test_clashing_columns_of_files_move_into_a_struct(spark):
+    data = encode_page(np.arange(64, dtype=np.uint8).reshape(1, 64), 8, 2)
+    files = spark.createDataFrame([(7, "mine", data, 3, "f")], "page int, error string, media binary, k int, file string")
+    r = decode_pages(files).first()
+    assert (r.page, r.error, r.k, r.file.page, r.file.error, r.file.file) == (0, None, 3, 7, "mine", "f")
+    r = decode_pages(files.select(files.media.alias("pixels"), "k"), media="pixels").first()
+    assert bytes(r.pixels) == bytes(range(64)) and bytes(r.file.pixels) == data and r.__fields__ == ["k", "file", "page", "width", "height", "samples", "bits", "compression", "pixels", "error"]
+
+
+def test_no_form_depends_on_a_texts_size():
+    from docvigil.llm.tiff_media import form_of
+
+    for size in (64, 6400, 640_000):
+        forms = {form_of(payload_of(f"{i}".ljust(size, "x"))) for i in range(120)}
+        assert forms == {(5, 0), (8, 0), (8, 64), (32773, 0)}
+
+
+def test_names_of_texts_do_not_depend_on_partitions(spark):
+    from docvigil.llm.common import numbered
+
+    rows = [(f"block {i % 37:02d}".encode() * (i % 5),) for i in range(200)]
+    df = spark.createDataFrame(rows, "block binary").distinct()
+    names = [sorted((bytes(r.block), r.name) for r in numbered(df.repartition(n), "block").collect()) for n in (1, 3, 8)]
+    assert names[0] == names[1] == names[2] and [n for _, n in names[0]] == list(range(len(names[0])))
+    from pyspark.sql import functions as F
+
+    nulls = spark.createDataFrame([(3, None), (1, "b"), (2, "a")], "k int, source string").withColumn("none", F.col("source").isNull())
+    assert sorted((r.k, r.place) for r in numbered(nulls, "none", "source", name="place").collect()) == [(1, 1), (2, 0), (3, 2)]
+
+
+def test_batches_end_at_whole_documents(spark, monkeypatch):
+    from docvigil.llm import packing, token_files
+
+    rows = [(i, "word " * (i * 40 % 130)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = read_token_files(write_token_files(df, vocabulary("word_bpe_49k.json"), 1)).orderBy("doc_id").collect()
+    packed = pack(df, vocabulary("byte_bpe_50k.json"), 1).drop("sequence_id").orderBy("doc_id", "start").collect()
+    monkeypatch.setattr(token_files, "BATCH_IDS", 50)
+    monkeypatch.setattr(packing, "BATCH_PIECES", 3)
+    assert read_token_files(write_token_files(df, vocabulary("word_bpe_49k.json"), 1)).orderBy("doc_id").collect() == whole
+    assert pack(df, vocabulary("byte_bpe_50k.json"), 1).drop("sequence_id").orderBy("doc_id", "start").collect() == packed
+
+
 def test_texts_as_pages(spark):
     rows = awkward()
     pages = with_features(decode_pages(texts_as_files(frame(spark, rows)))).toPandas()
@@ -565,7 +608,7 @@ def test_texts_as_pages(spark):
     for r in pages.dropna(subset="doc_id").itertuples():
         text = rows[int(r.doc_id)][1]
         assert bytes(r.pixels) == payload_of(text) and r.n_bytes == len((text or "").encode())
-    assert {8, 5, 32773} <= set(pages.compression) and pages.error.isna().all()
+    assert {8, 32773} <= set(pages.compression) <= {8, 5, 32773} and pages.error.isna().all()
     same = pages[pages.doc_id.isin([6, 7])]
     assert same.media.map(bytes).nunique() == 1 and same.feature.nunique() == 1
 
