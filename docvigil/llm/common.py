@@ -40,14 +40,15 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(marked, " "), lambda w: w != "")).cast("long")
 
 
-def numbered(df: DataFrame, *keys: str, name: str = "name") -> DataFrame:
+def numbered(df: DataFrame, *keys: str, name: str = "name", deal: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with a number from 0 for each row in the order of ``keys``, written so that it stays.
 
     Rows are dealt out by ranges of the keys, sorted and counted inside each range, and a range's first number
     is the sum of the counts before it, so numbers do not depend on the number of ranges. Keys must
-    tell all rows apart."""
+    tell all rows apart. Bounds of ranges come from samples on the driver: where a key is long, ``deal`` names
+    the first keys by which ranges are cut."""
     at = F.monotonically_increasing_id()  # the partition above 33 bits of the place in it
-    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", at)
+    rows = df.repartitionByRange(*(deal or keys)).sortWithinPartitions(*keys).withColumn("at", at)
     rows = materialize(rows.withColumn("range", F.shiftright("at", 33)).withColumn("nth", F.col("at").bitwiseAND((1 << 33) - 1)).drop("at"), "ranges")
     counts = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row a range
     before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))

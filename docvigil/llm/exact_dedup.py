@@ -3,7 +3,7 @@
 1. *Heads.* Two texts can only be equal if their byte lengths and first bytes are. A row whose
    (length, head) no other row shares is settled: it is alone. Whole texts of all others go on.
 2. *Blocks.* Each remaining text is cut into fixed-size blocks. The distinct blocks are sorted over all
-   partitions, by ranges; a block's place in that order is its name.
+   partitions, by ranges of a hash and then by their bytes; a block's place in that order is its name.
 3. *Pairs.* Names of adjacent blocks are paired, the distinct pairs sorted and numbered in turn,
    until each text has one name. Names depend on the texts alone, not on partitions. Texts are equal if and only if (length, name) are: no hashing of
    contents decides anything, so nothing can collide.
@@ -57,8 +57,9 @@ def _name(held: DataFrame, block_bytes: int) -> DataFrame:
     last = F.floor(F.greatest(F.col("n_bytes") - 1, F.lit(0)) / block_bytes).cast("int")
     blocks = held.select("uid", (last + 1).alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("pos"), "data").select(
         "uid", "n", "pos", F.expr(f"substring(data, pos * {block_bytes} + 1, {block_bytes})").alias("block"))
-    names = numbered(blocks.select("block").distinct(), "block")
-    level = materialize(blocks.join(names, "block").select("uid", "n", "pos", "name"), "level")
+    # in the order of a hash, then of the bytes: ranges are even, and their bounds short
+    names = numbered(blocks.select("block").distinct().withColumn("hash", F.xxhash64("block")), "hash", "block", deal=("hash",))
+    level = materialize(blocks.join(names.drop("hash"), "block").select("uid", "n", "pos", "name"), "level")
     forget(names)
     done = level.filter("n = 1").select("uid", "name")
     level = level.filter("n > 1")
