@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docvigil.operators import blocks as B
-from docvigil.plans.registry import query
+from docvigil.plans.registry import query, select
 from docvigil.streaming import logs as L
 
 
@@ -63,3 +63,15 @@ def x7(spark, sf_dir):
         return B.review_gate(df).groupBy("doc_id").agg(F.count("text").alias("blocks"), F.count_if("requires_review").alias("to_review"))
 
     return L.stream_review_queue(blocks, count, "queue")
+
+
+_ITEMS = """SELECT doc_id, CAST(ln AS BIGINT) AS block_id, CAST(ln * 13 % 41 + doc_id * 7 % 41 < 12 AS BOOLEAN) AS requires_review FROM (SELECT doc_id, n_chars, l.k AS ln FROM documents CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) l) x WHERE n_chars > ln * 400"""
+_DECIDED = "SELECT doc_id, CAST(doc_id % 4 AS BIGINT) AS block_id FROM documents WHERE doc_id % 3 = 0"
+
+
+@query("x7_running_counts", f"SELECT source, count(*) AS blocks, count(CASE WHEN requires_review THEN 1 END) AS to_review, count(CASE WHEN requires_review AND NOT EXISTS (SELECT 1 FROM ({_DECIDED}) c WHERE c.doc_id = i.doc_id AND c.block_id = i.block_id) THEN 1 END) AS waiting FROM documents d JOIN ({_ITEMS}) i ON i.doc_id = d.doc_id GROUP BY source")
+def x7_counts(spark, sf_dir):
+    """A stream of documents against batch tables of their blocks and of decisions, counted by source in update mode."""
+    docs = L.stream_table(spark, sf_dir, "documents", "doc_id long, text string, lang string, source string, n_chars long").select("doc_id", "source")
+    items = L.review_items(docs, select(spark, sf_dir, _ITEMS), select(spark, sf_dir, _DECIDED))
+    return L.keep_latest(L.running_counts(items, ["source"]), ["source"], "counts")

@@ -1,10 +1,15 @@
 """Streams of events: idempotent ingest, conflicts, job states, hash chains, review rules, queues.
 
-Keyed state is held by ``applyInPandasWithState``, one group a key. The rows of a key inside one
-micro-batch are handled in (ts, event_id) order; across batches, in order of arrival. A micro-batch's
-rows of a key are held at once; the source's limits on a batch bound them. State has no time-out
-unless ``horizon`` is given: exactness is the default, and with a horizon a key is forgotten in the first
-batch without it after the watermark has passed its last event, which bounds the state.
+A key's state is held by stateful processors (``transformWithStateInPandas``): values, lists and maps in RocksDB,
+so that an entry of a map is read and written alone and what a key holds need not fit into a batch's memory. The
+rows of a key inside one micro-batch are handled in (ts, event_id) order; across batches, in order of arrival.
+A micro-batch's rows of a key are held at once; the source's limits on a batch bound them.
+
+State stays for ever unless ``horizon`` or ``ttl`` is given: exactness is the default. With a horizon (event time)
+a timer forgets a key in the first batch after the watermark has passed its last event; with ``ttl``
+(milliseconds of processing time) each value is forgotten so long after it was last written; such a stream
+goes on in empty batches until it is stopped, so it is not for ``drain``. ``initial``, a batch
+table of keys with their state, is what the first batch starts from.
 """
 
 from __future__ import annotations
@@ -15,11 +20,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docvigil.operators.fixpoint import new_folder
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
@@ -43,33 +49,97 @@ def stream_once(events: DataFrame, keys: list[str], horizon: str | None = None)
     return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def _keyed(events: DataFrame, key: str | list[str], step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], output: str, state: str, start: tuple, horizon: str | None = None) -> DataFrame:
-    """Events by key through ``step(state, rows) -> (state, output rows)``."""
+def plain(v: object) -> object:
+    """A value as state holds it: Python's own types, null for NaN."""
+    return None if v is None or v != v else v.item() if hasattr(v, "item") else v
 
-    def handle(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        after, out = step(held.get if held.exists else start, rows)
-        held.update(after)
-        if horizon is not None:
-            held.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000), held.getCurrentWatermarkMs()) + 1)
+
+class KeyedProcessor(StatefulProcessor):
+    """A processor whose states are named in ``declare`` and forgotten together by a timer, if ``timed``."""
+
+    def __init__(self, timed: bool, ttl: int | None):
+        self.timed, self.ttl = timed, ttl
+
+    def declare(self, handle: StatefulProcessorHandle) -> list:
+        """The states of a key."""
+        raise NotImplementedError
+
+    def handle(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        """What a micro-batch's rows of a key yield."""
+        raise NotImplementedError
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.api = handle
+        self.states = self.declare(handle)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        for t in list(self.api.listTimers()) if self.timed else []:
+            self.api.deleteTimer(t)
+            if t <= timerValues.getCurrentWatermarkInMs():  # due, but rows come before timers
+                self.forget()
+        out = self.handle(key, part)
+        if self.timed:
+            self.api.registerTimer(max(int(part["ts"].iloc[-1].timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + 1)
         yield out
 
-    if horizon is None:
-        return events.groupBy(key).applyInPandasWithState(handle, output, state, "append", GroupStateTimeout.NoTimeout)
-    return events.withWatermark("ts", horizon).groupBy(key).applyInPandasWithState(handle, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.forget()
+        return iter(())
+
+    def forget(self) -> None:
+        for state in self.states:
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class ValueProcessor(KeyedProcessor):
+    """One value a key, through ``step(state, rows) -> (state, output rows)``."""
+
+    def __init__(self, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], state: str, start: tuple, timed: bool, ttl: int | None):
+        super().__init__(timed, ttl)
+        self.step, self.state, self.start = step, state, start
+
+    def declare(self, handle: StatefulProcessorHandle) -> list:
+        self.held = handle.getValueState("held", self.state, self.ttl)
+        return [self.held]
+
+    def handle(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        after, out = self.step(tuple(self.held.get()) if self.held.exists() else self.start, rows)
+        self.held.update(tuple(map(plain, after)))
+        return out
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        names = [c.split()[0] for c in self.state.split(", ")]
+        self.held.update(tuple(plain(initialState[c].iloc[0]) for c in names))
+
+
+def _stateful(events: DataFrame, key: str | list[str], processor: KeyedProcessor, output: str, horizon: str | None, initial: DataFrame | None) -> DataFrame:
+    keys = [key] if isinstance(key, str) else key
+    spark = events.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != ROCKS:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only store that holds lists and maps
+    if horizon is not None:
+        events = events.withWatermark("ts", horizon)
+    mode = "EventTime" if horizon is not None else "ProcessingTime" if processor.ttl is not None else "None"
+    begin = initial.groupBy(*keys) if initial is not None else None
+    return events.groupBy(*keys).transformWithStateInPandas(processor, output, "Append", mode, initialState=begin)
+
+
+def _keyed(events: DataFrame, key: str | list[str], step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], output: str, state: str, start: tuple, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Events by key through ``step``; ``initial`` has the columns of the key and of the state."""
+    return _stateful(events, key, ValueProcessor(step, state, start, horizon is not None, ttl), output, horizon, initial)
 
 
-def stream_record_once(events: DataFrame, keys: list[str], payload: list[str], horizon: str | None = None) -> DataFrame:
+def stream_record_once(events: DataFrame, keys: list[str], payload: list[str], horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Every request with the event that was recorded for its keys: the first one, with its own
     ``payload`` columns; ``repeated`` says that the request itself was not recorded."""
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     kept = ["event_id", *payload]
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
         first = state if state[0] is not None else tuple(plain(rows[c].iloc[0]) for c in kept)
         out = rows[[*keys, "event_id"]].copy()
         out["repeated"] = out["event_id"] != first[0]
@@ -78,10 +148,10 @@ def stream_record_once(events: DataFrame, keys: list[str], payload: list[str], h
         return first, out
 
     output = ", ".join([*[f"{c} {fields[c]}" for c in keys], "event_id long", "repeated boolean", *[f"first_{c} {fields[c]}" for c in kept]])
-    return _keyed(events, keys, step, output, ", ".join(f"{c} {fields[c]}" for c in kept), (None,) * len(kept), horizon)
+    return _keyed(events, keys, step, output, ", ".join(f"{c} {fields[c]}" for c in kept), (None,) * len(kept), horizon, ttl, initial)
 
 
-def stream_conflicts(requests: DataFrame, key: str, parameter: str, horizon: str | None = None) -> DataFrame:
+def stream_conflicts(requests: DataFrame, key: str, parameter: str, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Requests that use a key again with other parameters than its first."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -89,7 +159,7 @@ def stream_conflicts(requests: DataFrame, key: str, parameter: str, horizon: str
         first = state[0] or digests.iloc[0]
         return (first,), rows.loc[digests != first, [key, "event_id"]]
 
-    return _keyed(requests, key, step, f"{key} long, event_id long", "first string", ("",), horizon)
+    return _keyed(requests, key, step, f"{key} long, event_id long", "first string", ("",), horizon, ttl, initial)
 
 
 # The state after an event, by state and action; a failed attempt queues again while attempts remain.
@@ -108,7 +178,7 @@ def job_step(status: str, attempts: int, action: str, most: int) -> tuple[str, i
     return after, attempts + (after == "running"), True
 
 
-def stream_jobs(events: DataFrame, most: int = 3, horizon: str | None = None) -> DataFrame:
+def stream_jobs(events: DataFrame, most: int = 3, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Each lifecycle event (job_id, action) with the job's status after it; illegal ones change nothing."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
@@ -121,11 +191,11 @@ def stream_jobs(events: DataFrame, most: int = 3, horizon: str | None = None) ->
         done[["status", "attempts", "legal"]] = out
         return (status, attempts), done
 
-    return _keyed(events, "job_id", step, "job_id long, event_id long, action string, status string, attempts int, legal boolean", "status string, attempts int", ("new", 0), horizon)
+    return _keyed(events, "job_id", step, "job_id long, event_id long, action string, status string, attempts int, legal boolean", "status string, attempts int", ("new", 0), horizon, ttl, initial)
 
 
-def stream_chain(events: DataFrame, key: str, horizon: str | None = None) -> DataFrame:
-    """Events with their number and digest in their key's chain."""
+def stream_chain(events: DataFrame, key: str, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Events with their number and digest in their key's chain, which ``initial`` (key, seq, head) may begin."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         seq, head = state
@@ -138,31 +208,60 @@ def stream_chain(events: DataFrame, key: str, horizon: str | None = None) -> Dat
         done[["seq", "previous_hash", "event_hash"]] = out
         return (seq, head), done
 
-    return _keyed(events, key, step, f"{key} long, event_id long, seq long, previous_hash string, event_hash string", "seq long, head string", (0, ""), horizon)
+    return _keyed(events, key, step, f"{key} long, event_id long, seq long, previous_hash string, event_hash string", "seq long, head string", (0, ""), horizon, ttl, initial)
 
 
-def stream_reviews(events: DataFrame, key: str, horizon: str | None = None) -> DataFrame:
-    """Approvals and what stands against each, decided from the key's state alone: its editors, the latest
-    text, and whether a needs-fix mark is open. Edits without an actor do not count."""
+class ReviewProcessor(KeyedProcessor):
+    """A block's review: its latest text, its editors (an entry each), and its open marks (a list)."""
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        editors, text, open_fix = state
-        known = set(editors.split("\x1f")) if editors is not None else set()
+    def declare(self, handle: StatefulProcessorHandle) -> list:
+        self.text = handle.getValueState("text", "text string", self.ttl)
+        self.editors = handle.getMapState("editors", "actor string", "event_id long", self.ttl)
+        self.marks = handle.getListState("marks", "event_id long", self.ttl)
+        return [self.text, self.editors, self.marks]
+
+    def handle(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        edited = self.text.exists()
+        text = self.text.get()[0] if edited else None
+        marked = self.marks.exists()
         out = []
         for i, actor, action, digest in zip(rows["event_id"], rows["actor"], rows["action"], rows["hash"]):
-            if action == "edit" and actor is not None:
-                known.add(str(actor))
-                text, open_fix = digest, False
+            who = plain(actor)
+            if action == "edit" and who is not None:
+                self.editors.updateValue((str(who),), (int(i),))
+                text, edited = plain(digest), True
+                if marked:
+                    self.marks.clear()
+                    marked = False
             elif action == "needs_fix":
-                open_fix = True
+                self.marks.appendValue((int(i),))
+                marked = True
             elif action == "approve":
-                bad = [("needs fix", open_fix), ("same actor", str(actor) in known), ("no edit", not known), ("stale text", bool(known) and digest != text)]
+                own = who is not None and self.editors.containsKey((str(who),))
+                bad = [("needs fix", marked), ("same actor", own), ("no edit", not edited), ("stale text", edited and plain(digest) != text)]
                 out.append((i, "; ".join(n for n, b in bad if b)))
+        if edited:
+            self.text.update((text,))
         done = pd.DataFrame(out, columns=["event_id", "against"])
-        done.insert(0, key, rows[key].iloc[0])
-        return ("\x1f".join(sorted(known)) if known else None, text, open_fix), done.astype({"event_id": "int64"})
+        done.insert(0, "key", key[0])
+        return done.astype({"event_id": "int64"})
 
-    return _keyed(events, key, step, f"{key} long, event_id long, against string", "editors string, text string, open_fix boolean", (None, None, False), horizon)
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        first = initialState.iloc[0]
+        if plain(first["text"]) is not None:
+            self.text.update((first["text"],))
+        for actor in first["editors"]:
+            self.editors.updateValue((str(actor),), (-1,))
+        if first["marked"]:
+            self.marks.appendValue((-1,))
+
+
+def stream_reviews(events: DataFrame, key: str, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+    """Approvals and what stands against each, decided from the key's state alone: its editors, the latest
+    text, and whether a needs-fix mark is open. Edits without an actor do not count. ``initial`` has the key,
+    ``text``, ``editors`` (a list) and ``marked``."""
+    out = _stateful(events, key, ReviewProcessor(horizon is not None, ttl), "key long, event_id long, against string", horizon, initial)
+    return out.withColumnRenamed("key", key)
 
 
 def stream_review_queue(blocks: DataFrame, batch: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
@@ -178,6 +277,44 @@ def stream_review_queue(blocks: DataFrame, batch: Callable[[DataFrame], DataFram
     return spark.read.parquet(out).drop("batch")
 
 
+def review_items(documents: DataFrame, blocks: DataFrame, decided: DataFrame) -> DataFrame:
+    """Review items of a stream of documents: each meets its blocks, a batch table, in a stream-static join,
+    and of the blocks that need review those wait that no decision names.
+
+    ``documents(doc_id, ts, ...)`` a stream, ``blocks(doc_id, block_id, requires_review)``, ``decided(doc_id,
+    block_id)``; the result has the documents' columns, ``block_id``, ``requires_review`` and ``waits``.
+    """
+    done = decided.select("doc_id", "block_id").distinct().withColumn("_done", F.lit(True))
+    j = documents.join(blocks.select("doc_id", "block_id", "requires_review"), "doc_id").join(done, ["doc_id", "block_id"], "left")
+    return j.withColumn("waits", F.col("requires_review") & F.col("_done").isNull()).drop("_done")
+
+
+def running_counts(items: DataFrame, by: list[str]) -> DataFrame:
+    """A stream's items, those to review, and those that wait, by group so far; run in update mode, a group has a
+    row in each batch that changes it. Counts are the engine's own state: a batch that is repeated after a
+    failure begins from the state before it."""
+    return items.groupBy(*by).agg(F.count("block_id").alias("blocks"), F.count_if("requires_review").alias("to_review"), F.count_if("waits").alias("waiting"))
+
+
+def keep_latest(counts: DataFrame, by: list[str], name: str, folder: str | None = None) -> DataFrame:
+    """Run a stream of counts in update mode to its present end and return each group's latest row.
+
+    Each batch is written under its number, so a batch that runs again replaces what it wrote before and counts
+    nothing twice; the last number of a group wins. With a ``folder`` a later call goes on where the last ended.
+    """
+    spark = counts.sparkSession
+    folder = folder or new_folder(spark, name)
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows")
+    values = [c for c in rows.columns if c not in by and c != "batch"]
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*by, "v.*")
+
+
 def lifecycle(events: DataFrame) -> DataFrame:
     """The given events as lifecycle events of jobs."""
     action = F.create_map(*[F.lit(x) for kv in {"signup": "submit", "view": "start", "click": "succeed", "error": "fail", "purchase": "retry"}.items() for x in kv])
