@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvigil.llm.common import crc_mod, table
+from docvigil.llm.common import crc_mod, give_back, table
 
 #: The end id that the contracts of ops 1 and 8 name.
 END_ID = 1
@@ -87,7 +87,9 @@ def toxicity_model(spark: SparkSession, sf_dir: str):
     from docvigil.llm.toxicity import fit_toxicity, labelled_sample
 
     train = crc_mod(F.col("doc_id"), 5) != 0
-    return fit_toxicity(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train, positives=2500, negatives=5000))
+    model = fit_toxicity(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train, positives=2500, negatives=5000))
+    give_back()
+    return model
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
