@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvigil.llm.common import crc_mod, materialize, table
+from docvigil.llm.common import crc_mod, give_back, materialize, table
 from docvigil.llm.exact_dedup import drop_copies
 from docvigil.llm.mixing import mixed
 from docvigil.llm.packing import pack
@@ -27,8 +27,9 @@ from docvigil.llm.toxicity import drop_toxic, fit_toxicity, labelled_sample
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     train = crc_mod(F.col("doc_id"), 5) != 0
-    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), train, positives=2500, negatives=5000)
-    return drop_toxic(docs, fit_toxicity(sample))
+    model = fit_toxicity(labelled_sample(docs, table(spark, sf_dir, "labels"), train, positives=2500, negatives=5000))
+    give_back()
+    return drop_toxic(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
