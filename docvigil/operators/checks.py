@@ -47,21 +47,45 @@ def warning_diff(expected: DataFrame, actual: DataFrame, allowed: list[str]) ->
 
 
 def check_merges(merges: DataFrame, cells: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Merge ranges whose block is unknown, that leave their table, overlap another, or hide a value.
+    """Merge ranges whose block is unknown, that leave their table or are no range, overlap another, or hide a value.
 
-    ``merges(block_id, merge_id, r1, c1, r2, c2)``; a pair shares a block, so the join is by block.
+    ``merges(block_id, merge_id, r1, c1, r2, c2)``, ``cells(block_id, row, col, text)``, ``blocks(block_id, n_rows,
+    n_cols)``, the tables. A range is dealt out to its rows; in a row ranges are intervals, of which one overlaps
+    another if an earlier one reaches it or the next begins before its end, and the filled cells that it covers
+    are the difference of two running counts. So no range meets all others, nor all cells, of its block:
+    work grows with the rows that ranges cover, and (block, row) deals out a hot block.
     """
-    m = merges.join(blocks.select("block_id", "n_rows", "n_cols"), "block_id", "left")
-    o = merges.select("block_id", F.col("merge_id").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("r1", "c1", "r2", "c2")])
-    over = merges.join(o, "block_id").filter((F.col("merge_id") != F.col("other")) & (F.col("r1") <= F.col("or2")) & (F.col("or1") <= F.col("r2")) & (F.col("c1") <= F.col("oc2")) & (F.col("oc1") <= F.col("c2"))).select("merge_id").distinct().withColumn("over", F.lit(True))
-    c = cells.filter(norm(F.col("text")) != "").select("block_id", "row", "col")
-    lost = merges.join(c, "block_id").filter((F.col("row").between(F.col("r1"), F.col("r2"))) & (F.col("col").between(F.col("c1"), F.col("c2"))) & ~((F.col("row") == F.col("r1")) & (F.col("col") == F.col("c1")))).select("merge_id").distinct().withColumn("lost", F.lit(True))
-    j = m.join(over, "merge_id", "left").join(lost, "merge_id", "left")
+    place, own = ["block_id", "row"], ["block_id", "merge_id"]
+    m = merges.select(*own, "r1", "c1", "r2", "c2").join(blocks.select("block_id", "n_rows", "n_cols"), "block_id", "left")
+    low, high = (F.col("r1") <= F.col("r2")) & (F.col("c1") <= F.col("c2")), (F.col("r2") >= F.col("n_rows")) | (F.col("c2") >= F.col("n_cols"))
+    rows = merges.filter("r1 <= r2 AND c1 <= c2").select(*own, "r1", "c1", "c2", F.explode(F.sequence("r1", "r2")).alias("row"))
+    w = Window.partitionBy(*place).orderBy("c1", "c2", "merge_id")
+    reached = F.max("c2").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("c1")
+    reaches = F.lead("c1").over(w) <= F.col("c2")
+    over = rows.withColumn("hit", F.coalesce(reached, F.lit(False)) | F.coalesce(reaches, F.lit(False))).groupBy(*own).agg(F.bool_or("hit").alias("over"))
+    # points of a row in halves: filled cells count one, ranges read the count before and after them
+    at = lambda c: 2 * F.col(c)
+    begin = F.when(F.col("row") == F.col("r1"), at("c1") + 1).otherwise(at("c1") - 1)  # a range's first cell may be filled
+    filled = cells.filter(norm(F.col("text")) != "").select(*place, F.lit(None).cast(dict(merges.dtypes)["merge_id"]).alias("merge_id"), at("col").alias("pos"), F.lit(1).alias("n"))
+    points = rows.select(*place, "merge_id", F.explode(F.array(begin, at("c2") + 1)).alias("pos"), F.lit(0).alias("n")).unionByName(filled)
+    count = F.sum("n").over(Window.partitionBy(*place).orderBy("pos"))
+    lost = points.withColumn("n", count).filter("merge_id IS NOT NULL").groupBy(*place, "merge_id").agg((F.max("n") > F.min("n")).alias("lost")).groupBy(*own).agg(F.bool_or("lost").alias("lost"))
+    j = m.join(over, own, "left").join(lost, own, "left")
     unknown = F.col("n_rows").isNull()
-    bad = rules(("unknown block", unknown), ("outside table", ~unknown & ((F.col("r2") >= F.col("n_rows")) | (F.col("c2") >= F.col("n_cols")))), ("overlap", F.coalesce("over", F.lit(False))), ("value lost", F.coalesce("lost", F.lit(False))))
+    bad = rules(
+        ("unknown block", unknown), ("outside table", ~unknown & F.coalesce(~low | high | (F.col("r1") < 0) | (F.col("c1") < 0), F.lit(True))),
+        ("overlap", F.coalesce("over", F.lit(False))), ("value lost", F.coalesce("lost", F.lit(False))))
     return j.select("merge_id", F.concat_ws("; ", bad).alias("violations")).filter("violations <> ''")
 
 
+def check_annotations(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Source annotations ``(annotation_id, block_id, text)`` of a block that is not there once, or without text."""
+    b = blocks.groupBy("block_id").agg(F.count(F.lit(1)).alias("_n"))
+    j = annotations.join(b, "block_id", "left")
+    bad = rules(("unknown block", F.col("_n").isNull()), ("repeated block", F.coalesce(F.col("_n") > 1, F.lit(False))), ("no text", F.coalesce(norm(F.col("text")) == "", F.lit(True))))
+    return j.select("annotation_id", F.concat_ws("; ", bad).alias("violations")).filter("violations <> ''")
+
+
 def check_plans(runs: DataFrame, plan: str, actions: list[str]) -> DataFrame:
     """Conversion plans that are no plan, have unsupported actions, or send anything out."""
     p = F.from_json(plan, "struct<operations:array<struct<action:string>>,external:boolean>")

@@ -16,16 +16,55 @@ from docvigil.operators.cells import rules
 
 
 def effective_version(docs: DataFrame, templates: DataFrame) -> DataFrame:
-    """The highest active version of each document's template that is in force on its day.
+    """The template version that a document asks for, or else the highest active one in force on its day.
 
-    ``docs(doc, template_id, as_of)``, ``templates(template_id, version, active, valid_from,
-    valid_until)``; version is a struct of integers, from is inclusive, until exclusive or null.
+    ``docs(doc, template_id, as_of)``, with ``asked`` (a version or null) where documents may name one;
+    ``templates(template_id, version, active, valid_from, valid_until)``; version is a struct of integers, from
+    is inclusive, until exclusive or null. An asked version is found as it is, active and in force or not.
+
+    The days on which some version opens or shuts are numbered in each template. A version covers a range of
+    these numbers, which falls into at most two aligned pieces of each power of two; each piece keeps the highest
+    version, and a day asks the pieces that it lies in, one of each power. So versions never meet days one by one,
+    and nothing grows faster than versions and days times the logarithm of the borders.
     """
-    t = templates.filter("active").select("template_id", "version", "valid_from", "valid_until")
-    # versions meet the distinct (template, day) keys, not every document
-    j = docs.select("template_id", "as_of").distinct().join(t, "template_id").filter((F.col("valid_from") <= F.col("as_of")) & (F.col("valid_until").isNull() | (F.col("as_of") < F.col("valid_until"))))
-    best = j.groupBy("template_id", "as_of").agg(F.max("version").alias("version"))
-    return docs.select("doc", "template_id", "as_of").join(best, ["template_id", "as_of"], "left").select("doc", "template_id", "version")
+    key = ["template_id"]
+    t = templates.filter("active AND (valid_until IS NULL OR valid_from < valid_until)").select(*key, "version", "valid_from", "valid_until")
+    days = docs.select(*key, F.col("as_of").alias("day")).filter("day IS NOT NULL").distinct()
+    borders = t.select(*key, F.explode(F.array("valid_from", "valid_until")).alias("day")).filter("day IS NOT NULL").distinct()
+    in_order = Window.partitionBy(*key).orderBy("day")
+    ranked = borders.withColumn("rank", F.row_number().over(in_order).cast("long") - 1)
+    powers = int(ranked.agg(F.coalesce(F.max("rank"), F.lit(0))).first()[0] + 1).bit_length()
+    last = (1 << powers) - 1
+    v = t.join(ranked.withColumnsRenamed({"day": "valid_from", "rank": "a"}), [*key, "valid_from"]).join(ranked.withColumnsRenamed({"day": "valid_until", "rank": "b"}), [*key, "valid_until"], "left")
+    v = v.select(*key, "version", F.explode(_aligned(F.col("a"), F.coalesce("b", F.lit(last)), powers)).alias("piece"))
+    highest = v.groupBy(*key, "piece").agg(F.max("version").alias("version"))
+    at = F.last("rank", ignorenulls=True).over(in_order.rangeBetween(Window.unboundedPreceding, 0))
+    asked = days.withColumn("rank", F.lit(None).cast("long")).unionByName(ranked).withColumn("rank", at).join(days, [*key, "day"], "left_semi").filter("rank IS NOT NULL").distinct()
+    piece = F.explode(F.transform(F.sequence(F.lit(0), F.lit(powers - 1)), lambda p: F.struct(p.alias("power"), F.floor(F.col("rank") / F.pow(F.lit(2.0), p)).alias("nth"))))
+    best = asked.select(*key, "day", piece.alias("piece")).join(highest, [*key, "piece"]).groupBy(*key, F.col("day").alias("as_of")).agg(F.max("version").alias("in_force"))
+    j = docs.join(best, ["template_id", "as_of"], "left")
+    if "asked" not in docs.columns:
+        return j.select("doc", "template_id", F.col("in_force").alias("version"))
+    exact = templates.select("template_id", F.col("version").alias("asked")).distinct().withColumn("there", F.lit(True))
+    j = j.join(exact, ["template_id", "asked"], "left")
+    return j.select("doc", "template_id", F.when(F.col("asked").isNull(), F.col("in_force")).when(F.col("there"), F.col("asked")).alias("version"))
+
+
+def _aligned(a: Column, b: Column, powers: int) -> Column:
+    """The pieces (power, nth) of aligned ranges of two to a power that make up the numbers from a to below b,
+    which is below two to ``powers``."""
+    start = F.struct(a.alias("a"), b.alias("b"), F.array().cast("array<struct<power:int,nth:bigint>>").alias("pieces"))
+
+    def halve(acc: Column, p: Column) -> Column:
+        open_ = acc["a"] < acc["b"]
+        left, right = open_ & (acc["a"] % 2 == 1), open_ & (acc["b"] % 2 == 1)
+        piece = lambda n: F.array(F.struct(p.alias("power"), n.alias("nth")))
+        none = F.array().cast("array<struct<power:int,nth:bigint>>")
+        a, b = F.when(left, acc["a"] + 1).otherwise(acc["a"]), F.when(right, acc["b"] - 1).otherwise(acc["b"])
+        pieces = F.concat(acc["pieces"], F.when(left, piece(acc["a"])).otherwise(none), F.when(right & (acc["b"] - 1 >= a), piece(acc["b"] - 1)).otherwise(none))
+        return F.struct(F.shiftright(a, 1).alias("a"), F.shiftright(b, 1).alias("b"), pieces.alias("pieces"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(powers - 1)), start, halve)["pieces"]
 
 
 def template_snapshot(jobs: DataFrame, versions: DataFrame) -> DataFrame:

@@ -172,6 +172,15 @@ def j36(spark, sf_dir):
     return H.check_merges(_sql(spark, sf_dir, (), _MERGES), _sql(spark, sf_dir, (), _MERGE_CELLS), _sql(spark, sf_dir, (), _MERGE_BLOCKS))
 
 
+_NOTES = "SELECT l_orderkey * 10 + l_linenumber AS annotation_id, l_orderkey AS block_id, CASE WHEN l_partkey % 8 = 0 THEN ' ' WHEN l_partkey % 8 = 1 THEN NULL ELSE 'seen' END AS text FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber) x"
+_NOTED = "SELECT o_orderkey AS block_id FROM orders WHERE o_orderkey % 9 <> 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 0"
+
+
+@query("j36_check_annotations", f"""WITH b AS (SELECT block_id, count(*) AS n FROM ({_NOTED}) GROUP BY block_id), v AS (SELECT annotation_id, concat_ws('; ', CASE WHEN n IS NULL THEN 'unknown block' END, CASE WHEN n > 1 THEN 'repeated block' END, CASE WHEN coalesce(trim(text), '') = '' THEN 'no text' END) AS violations FROM ({_NOTES}) a LEFT JOIN b USING (block_id)) SELECT * FROM v WHERE violations <> ''""")
+def j36_annotations(spark, sf_dir):
+    return H.check_annotations(_sql(spark, sf_dir, (), _NOTES), _sql(spark, sf_dir, (), _NOTED))
+
+
 _PLANS = """SELECT o_orderkey AS run_id, CASE o_orderkey % 6 WHEN 0 THEN '{"operations":[{"action":"copy"}],"external":false}' WHEN 1 THEN '{"operations":[{"action":"send"}],"external":false}' WHEN 2 THEN '{"operations":[],"external":true}' WHEN 3 THEN '{"operations":[{"action":"map"}],"external":false,"x":1}' WHEN 4 THEN 'no plan' ELSE '{"external":false}' END AS plan FROM orders"""
 
 

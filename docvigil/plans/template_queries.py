@@ -27,6 +27,18 @@ def j16(spark, sf_dir):
     return out.select("doc", "template_id", F.when(F.col("version").isNotNull(), F.concat_ws(".", *[F.col(f"version.{c}").cast("string") for c in ("major", "minor", "patch")])).alias("version"))
 
 
+@query("j16_asked_version", duck("versions") + f""", d AS (SELECT *, CASE WHEN doc % 3 = 0 THEN doc % 2500 END AS patch FROM ({_DOCS})), b AS (SELECT d.doc, max(CASE WHEN t.active AND t.valid_from <= d.as_of AND (t.valid_until IS NULL OR d.as_of < t.valid_until) THEN CAST(t.major AS BIGINT) * 1000000000 + t.minor * 10000000 + t.patch END) AS v, bool_or(t.patch = d.patch) AS there FROM d JOIN versions t ON t.template_id = d.template_id GROUP BY d.doc)
+    SELECT doc, template_id, CASE WHEN d.patch IS NULL THEN v % 10000000 WHEN there THEN d.patch END AS patch FROM d LEFT JOIN b USING (doc)""")
+def j16_asked(spark, sf_dir):
+    """Every third document asks for one version, whatever its state."""
+    v = _versions(spark, sf_dir)
+    names = v.select(F.col("version.patch").alias("p"), F.col("version").alias("asked"))  # a patch number is one version's
+    docs = _sql(spark, sf_dir, (), _DOCS).withColumn("p", F.when(F.col("doc") % 3 == 0, F.col("doc") % 2500)).join(names, "p", "left")
+    unknown = F.struct(F.lit(-1).alias("major"), F.lit(-1).alias("minor"), F.col("p").alias("patch")).cast(dict(v.dtypes)["version"])
+    docs = docs.withColumn("asked", F.when(F.col("p").isNotNull(), F.coalesce("asked", unknown)))
+    return T.effective_version(docs, v).select("doc", "template_id", F.col("version.patch").alias("patch"))
+
+
 @query("t6_latest_templates", duck("versions") + " SELECT template_id, concat_ws('.', arg_max(major, (major, minor, patch)), arg_max(minor, (major, minor, patch)), arg_max(patch, (major, minor, patch))) AS version, count(*) AS versions, arg_max(document_type, (major, minor, patch)) AS content FROM versions GROUP BY template_id")
 def t6(spark, sf_dir):
     return T.latest_templates(_versions(spark, sf_dir)).select("template_id", F.concat_ws(".", *[F.col(f"version.{c}").cast("string") for c in ("major", "minor", "patch")]).alias("version"), "versions", "content")
