@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docvigil.operators import audit as A
+from docvigil.operators.fixpoint import new_folder
 from docvigil.plans.registry import query, select
 from docvigil.plans.views import duck, view, with_views
+from docvigil.sources.sinks import read_objects, store_objects
 
 
 def _sql(spark, sf_dir, views, text):
@@ -183,6 +185,16 @@ def s11b(spark, sf_dir):
     return A.dedupe_by_content(_sql(spark, sf_dir, (), "SELECT doc_id, text FROM documents"), "text", "doc_id")[1]
 
 
+@query("s11_store", "SELECT sha256(text) AS sha, CAST(max(strlen(text)) AS BIGINT) AS size, NOT bool_or(doc_id % 3 <> 0) AS created, true AS valid FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def s11_store(spark, sf_dir):
+    """Texts of two documents in three are stored, then all: the second call adds the rest. Read back and verified."""
+    d = _sql(spark, sf_dir, (), "SELECT doc_id, text FROM documents")
+    folder = new_folder(spark, "store")
+    store_objects(d.filter("doc_id % 3 <> 0"), "text", folder)
+    second = store_objects(d, "text", folder)
+    return second.join(read_objects(spark, folder).select("sha", "valid"), "sha")
+
+
 @query("j35_orphan_objects", "SELECT sha256(text) AS sha FROM documents EXCEPT SELECT sha256(text) FROM documents WHERE doc_id % 3 <> 0")
 def j35(spark, sf_dir):
     d = _sql(spark, sf_dir, (), "SELECT doc_id, text FROM documents")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docvigil.functions.text import split_field, split_table
 from docvigil.functions.values import cell_type
+from docvigil.operators.fixpoint import forget, written
 
 
 def canonical_json(df: DataFrame) -> Column:
@@ -30,3 +31,47 @@ def export_grid(blocks: DataFrame) -> DataFrame:
     out = b.select("doc_id", "block_id", "start", "label", "value", F.posexplode_outer(F.when(F.size("rows") > 0, F.col("rows"))).alias("k", "cells"))
     text = F.coalesce(F.array_join("cells", " | "), F.col("value"))
     return out.select("doc_id", (F.col("start") + F.coalesce("k", F.lit(0))).alias("row"), "block_id", F.when(F.col("cells").isNull(), F.col("label")).otherwise("").alias("label"), text.alias("value"), cell_type(text).alias("value_type"))
+
+
+#: Characters of a digest by which the store's folders are named.
+SHARD = 2
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    schema = "sha string, size bigint, content binary, shard string"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    return spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+
+
+def read_objects(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(sha, size, content, valid) of the store's objects, one a digest, or of those in ``wanted(sha)`` only.
+
+    ``valid``: the content has the digest and size that it is stored under. A store that does not exist yet is
+    empty; a digest that two writers stored at once is one object, a valid copy of it where there is one.
+    """
+    stored = _stored(spark, folder)
+    if wanted is not None:  # folders of other digests are not read
+        stored = stored.join(wanted.select("sha", F.substring("sha", 1, SHARD).alias("shard")).distinct(), ["shard", "sha"], "left_semi")
+    valid = F.coalesce((F.sha2("content", 256) == F.col("sha")) & (F.octet_length("content") == F.col("size")), F.lit(False))
+    return stored.withColumn("valid", valid).groupBy("sha").agg(F.max_by(F.struct("size", "content", "valid"), "valid").alias("o")).select("sha", "o.*")
+
+
+def store_objects(df: DataFrame, column: str, folder: str) -> DataFrame:
+    """Store the distinct contents of ``column`` by digest and return (sha, size, created): all digests of ``df``
+    and whether this call stored them.
+
+    What is stored already and whole is not written again (an anti-join with the store's objects of these
+    digests), so a call that is repeated, or that follows one which was killed, adds only what is missing; a
+    writer's files appear when its job commits. Null contents are nothing; a damaged object is stored anew.
+    """
+    spark = df.sparkSession
+    data = F.col(column).cast("binary")
+    given = df.filter(data.isNotNull()).select(F.sha2(data, 256).alias("sha"), data.alias("content"))
+    one = written(given.groupBy("sha").agg(F.first("content").alias("content")).withColumn("size", F.octet_length("content").cast("bigint")))
+    known = read_objects(spark, folder, one).filter("valid").select("sha", F.lit(False).alias("created"))
+    marked = written(one.select("sha", "size").join(known, "sha", "left").select("sha", "size", F.coalesce("created", F.lit(True)).alias("created")))
+    new = one.join(marked.filter("created").select("sha"), "sha", "left_semi").select("sha", "size", "content", F.substring("sha", 1, SHARD).alias("shard"))
+    new.repartition("shard").write.mode("append").partitionBy("shard").parquet(folder)
+    forget(one)
+    return marked

@@ -255,6 +255,105 @@ def test_orders_and_revisions_of_pairs(spark):
     assert sorted(map(tuple, R.revision_differences(r, ("m", "s"), ["task"]).collect())) == [(2, "c", "task"), (5, "c", "task")]
 
 
+def test_the_store_keeps_one_whole_object_a_digest(spark, tmp_path):
+    import glob
+    import hashlib
+    import os
+
+    from docvigil.sources.sinks import read_objects, store_objects
+
+    folder = str(tmp_path / "store")
+    df = lambda *texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    found = lambda out: sorted((r.sha, r.size, r.created) for r in out.collect())
+    assert read_objects(spark, folder).count() == 0
+    assert found(store_objects(df("a", "b", "a", None, "é"), "text", folder)) == sorted([(sha("a"), 1, True), (sha("b"), 1, True), (sha("é"), 2, True)])
+    assert found(store_objects(df("b", "c"), "text", folder)) == sorted([(sha("b"), 1, False), (sha("c"), 1, True)])
+    # a run that was killed before its job committed left files that no reader sees
+    killed = f"{folder}/_temporary/0/_temporary/attempt_1/shard={sha('d')[:2]}"
+    os.makedirs(killed)
+    open(f"{killed}/part-0.parquet", "wb").write(b"half")
+    assert found(store_objects(df("a", "d"), "text", folder)) == sorted([(sha("a"), 1, False), (sha("d"), 1, True)])
+    # damage: another content under a's digest
+    part = glob.glob(f"{folder}/shard={sha('a')[:2]}/part-*")[0]
+    os.remove(part)
+    spark.createDataFrame([(sha("a"), 1, b"x", sha("a")[:2])], "sha string, size bigint, content binary, shard string").write.mode("append").partitionBy("shard").parquet(folder)
+    assert {r.sha: r.valid for r in read_objects(spark, folder).collect()} == {sha(t): t != "a" for t in "abcdé"}
+    assert found(store_objects(df("a"), "text", folder)) == [(sha("a"), 1, True)]
+    rows = read_objects(spark, folder).collect()
+    assert all(r.valid for r in rows) and sorted(bytes(r.content).decode() for r in rows) == ["a", "b", "c", "d", "é"]
+
+
+def test_merges_of_a_crowded_block(spark):
+    import random
+
+    from docvigil.operators import checks as H
+
+    rng = random.Random(5)
+    merges, cells = [], []
+    for b in range(30):
+        for m in range(rng.randint(0, 7)):
+            r, c = rng.randint(0, 8), rng.randint(0, 8)
+            merges.append((b, f"{b}-{m}", r, c, r + rng.randint(-1, 3), c + rng.randint(-1, 3)))
+        cells += [(b, rng.randint(0, 11), rng.randint(0, 11), rng.choice(["v", " ", None])) for _ in range(12)]
+    blocks = [(b, 10, 10) for b in range(30) if b % 7]
+    wanted = {}
+    for b, m, r1, c1, r2, c2 in merges:
+        real = r1 <= r2 and c1 <= c2
+        hit = real and any(o[0] == b and o[1] != m and o[2] <= o[4] and o[3] <= o[5] and o[2] <= r2 and r1 <= o[4] and o[3] <= c2 and c1 <= o[5] for o in merges)
+        lost = real and any(x == b and r1 <= r <= r2 and c1 <= c <= c2 and (r, c) != (r1, c1) and (t or "").strip() for x, r, c, t in cells)
+        known = b % 7 != 0
+        bad = [n for n, v in (("unknown block", not known), ("outside table", known and (not real or r2 >= 10 or c2 >= 10)), ("overlap", hit), ("value lost", lost)) if v]
+        if bad:
+            wanted[m] = "; ".join(bad)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    out = H.check_merges(frame(merges, "block_id int, merge_id string, r1 int, c1 int, r2 int, c2 int"), frame(cells, "block_id int, row int, col int, text string"), frame(blocks, "block_id int, n_rows int, n_cols int"))
+    assert dict(map(tuple, out.collect())) == wanted
+    # one block with 100,000 ranges of which two overlap
+    many = spark.range(100_000).selectExpr("1 AS block_id", "CAST(id AS STRING) AS merge_id", "CAST(id DIV 100 AS INT) AS r1", "CAST(id % 100 AS INT) * 3 AS c1", "CAST(id DIV 100 AS INT) AS r2", "CAST(id % 100 AS INT) * 3 + IF(id = 777, 3, 1) AS c2")
+    out = H.check_merges(many, frame([], "block_id int, row int, col int, text string"), frame([(1, 1000, 300)], "block_id int, n_rows int, n_cols int"))
+    assert sorted(map(tuple, out.collect())) == [("777", "overlap"), ("778", "overlap")]
+
+
+def test_annotations_need_one_block_and_text(spark):
+    from docvigil.operators import checks as H
+
+    notes = spark.createDataFrame([(1, "b", "x"), (2, "c", "x"), (3, "b", " "), (4, "d", None), (5, None, "x")], "annotation_id int, block_id string, text string")
+    blocks = spark.createDataFrame([("b",), ("c",), ("c",)], "block_id string")
+    assert dict(map(tuple, H.check_annotations(notes, blocks).collect())) == {2: "repeated block", 3: "no text", 4: "unknown block; no text", 5: "unknown block"}
+
+
+def test_versions_in_force_and_as_asked(spark):
+    import random
+
+    rng = random.Random(6)
+    versions = [(t, (rng.randint(0, 3), i), rng.random() < 0.8, (a := rng.randint(0, 30)), None if rng.random() < 0.3 else a + rng.randint(-2, 12)) for t in "ab" for i in range(25)]
+    docs = [(i, rng.choice("abc"), rng.choice([None, *range(-2, 45)]), rng.choice([None, None, v[1]])) for i, v in enumerate(rng.choices(versions, k=150))]
+    schema = "struct<major:int,minor:int>"
+    t = spark.createDataFrame(versions, f"template_id string, version {schema}, active boolean, valid_from int, valid_until int")
+    d = spark.createDataFrame(docs, f"doc int, template_id string, as_of int, asked {schema}")
+
+    def plain(t_id, day, asked):
+        mine = [v for v in versions if v[0] == t_id]
+        if asked is not None:
+            return asked if any(v[1] == asked for v in mine) else None
+        return max((v[1] for v in mine if v[2] and day is not None and v[3] <= day and (v[4] is None or day < v[4])), default=None)
+
+    got = {r.doc: r.version and tuple(r.version) for r in T.effective_version(d, t).collect()}
+    assert got == {i: plain(t_id, day, asked) for i, t_id, day, asked in docs}
+    got = {r.doc: r.version and tuple(r.version) for r in T.effective_version(d.drop("asked"), t).collect()}
+    assert got == {i: plain(t_id, day, None) for i, t_id, day, _ in docs}
+    assert T.effective_version(d, t.limit(0)).filter("version IS NOT NULL").count() == 0
+
+
+def test_headers_in_pairs_and_numbers_beyond_range(spark):
+    from docvigil.operators import parameters as P
+
+    rows = [(1, '{"request_headers":[["Authorization","abc"]]}'), (2, '{"x":1e400}'), (3, '{"x":1e300}')]
+    got = {r.id: r.parameters for r in P.redact_params(spark.createDataFrame(rows, "id int, p string"), "id", "p").collect()}
+    assert got[1] == '{"request_headers":[["Authorization","[REDACTED]"]]}' and "Infinity" not in got[2] and got[3] == '{"x":1e+300}'
+
+
 def plain_hits(texts, anchors):
     norm = lambda x: " ".join(x.split()).lower().replace("ß", "ss")
     out = set()
