@@ -177,10 +177,21 @@ def validate_ir(docs: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFra
     return j.select("doc_id", F.array_distinct(every).alias("errors"), (F.size(every) == 0).alias("ok"), (F.coalesce("review", F.lit(True)) | (F.size(every) > 0)).alias("requires_review"))
 
 
+def _levels(y: Column, h: Column, around: int) -> Column:
+    """The (level, strip) keys under which a block is found by its top: strips of two to the level, from 4 up to
+    about half its height, and ``around`` neighbours of each. Blocks that share a row meet at the lower
+    one's level, where their tops are at most one strip apart."""
+    top = F.greatest(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(4.0), h / 2))).cast("int"))
+    keys = F.transform(F.sequence(F.lit(2), F.coalesce(top, F.lit(2))), lambda l: F.transform(F.sequence(F.lit(-around), F.lit(around)), lambda d: F.struct(l.alias("level"), (F.floor(y / F.pow(F.lit(2.0), l)) + d).alias("strip"))))
+    return F.flatten(keys)
+
+
 def right_of(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Each anchor's nearest block to the right on the same text row: (doc_id, anchor_id, block_id)."""
-    a = anchors.select("doc_id", "page", "anchor_id", F.col("block_id").alias("own"), G.box(*[F.col(c) for c in "xywh"]).alias("a"))
-    j = blocks.join(a, PAGE).withColumn("b", G.box(*[F.col(c) for c in "xywh"]))
+    """Each anchor's nearest block to the right on the same text row: (doc_id, anchor_id, block_id). Blocks and
+    anchors meet in strips of a page (``_levels``), not all of a page's with each other."""
+    a = anchors.select("doc_id", "page", "anchor_id", F.col("block_id").alias("own"), G.box(*[F.col(c) for c in "xywh"]).alias("a"), F.explode(_levels(F.col("y"), F.col("h"), 1)).alias("key"))
+    b = blocks.select(*PAGE, "block_id", *"xywh", F.explode(_levels(F.col("y"), F.col("h"), 0)).alias("key"))
+    j = b.join(a, [*PAGE, "key"]).withColumn("b", G.box(*[F.col(c) for c in "xywh"]))
     j = j.filter((F.col("block_id") != F.col("own")) & (F.col("x") >= F.col("a.x") + F.col("a.width")) & G.share_row(F.col("b"), F.col("a")))
     return j.groupBy("doc_id", "anchor_id").agg(F.min_by("block_id", F.struct("x", "y", "block_id")).alias("block_id"))
 
@@ -189,16 +200,26 @@ def below(blocks: DataFrame, anchors: DataFrame, values: tuple[str, ...] = ("par
     """(doc_id, anchor_id, block_id, place) of blocks under an anchor that may hold its value.
 
     A label's only candidate is the first block below that overlaps it horizontally, if its type can be
-    a value. Other anchors take the blocks below in reading order, up to the first that cannot be one.
+    a value. Other anchors take the blocks below in reading order, up to the first that cannot be one: by a
+    running number of such stops on the page they meet only blocks between the same two stops.
     """
-    a = anchors.select("doc_id", "page", "anchor_id", "kind", F.col("block_id").alias("own"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw"))
-    j = blocks.join(a, PAGE).filter((F.col("block_id") != F.col("own")) & (F.col("y") > F.col("ay")))
-    aligned = (F.col("x") < F.col("ax") + F.col("aw")) & (F.col("ax") < F.col("x") + F.col("w"))
-    j = j.filter((F.col("kind") != "label") | aligned)
+    names = ["doc_id", "page", "anchor_id", F.col("block_id").alias("own"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("w").alias("aw")]
+    stop = F.when(F.col("type").isin(*values), 0).otherwise(1)
+    labels = anchors.filter("kind = 'label'").select(*names)
+    j = blocks.join(labels, PAGE).filter((F.col("block_id") != F.col("own")) & (F.col("y") > F.col("ay")) & (F.col("x") < F.col("ax") + F.col("aw")) & (F.col("ax") < F.col("x") + F.col("w")))
+    first = j.groupBy("doc_id", "anchor_id").agg(F.min_by(F.struct("block_id", stop.alias("stop")), F.struct("y", "x", "block_id")).alias("b")).filter("b.stop = 0")
+    first = first.select("doc_id", "anchor_id", F.col("b.block_id").alias("block_id"), F.lit(1).alias("place"))
+    # stops up to each block in reading order, and up to each anchor's height
+    run = F.sum(stop).over(Window.partitionBy(*PAGE).orderBy("y", "x", "block_id").rowsBetween(Window.unboundedPreceding, 0))
+    b = blocks.select(*PAGE, "block_id", "x", "y", run.alias("stops"), stop.alias("stop"))
+    a = anchors.filter("kind IS NULL OR kind <> 'label'").select(*names)
+    heights = a.select(*PAGE, F.col("ay").alias("y")).distinct().withColumns({"stop": F.lit(0), "asks": F.lit(True)})
+    seen = F.sum("stop").over(Window.partitionBy(*PAGE).orderBy("y").rangeBetween(Window.unboundedPreceding, 0))
+    heights = heights.unionByName(b.select(*PAGE, "y", "stop").withColumn("asks", F.lit(False))).withColumn("stops", seen).filter("asks").select(*PAGE, F.col("y").alias("ay"), "stops")
+    a = a.join(heights, [*PAGE, "ay"]).select("doc_id", "page", "anchor_id", "own", "ay", "stops")
+    taken = b.filter("stop = 0").join(a, [*PAGE, "stops"]).filter((F.col("y") > F.col("ay")) & (F.col("block_id") != F.col("own")))
     w = Window.partitionBy("doc_id", "anchor_id").orderBy("y", "x", "block_id")
-    stopped = F.sum(F.when(F.col("type").isin(*values), 0).otherwise(1)).over(w)
-    j = j.withColumns({"place": F.row_number().over(w), "stopped": stopped})
-    return j.filter((F.col("stopped") == 0) & ((F.col("kind") != "label") | (F.col("place") == 1))).select("doc_id", "anchor_id", "block_id", "place")
+    return first.unionByName(taken.select("doc_id", "anchor_id", "block_id", F.row_number().over(w).alias("place")))
 
 
 def label_cells(labels: DataFrame, cells: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def export_grid(blocks: DataFrame) -> DataFrame:
 
 
 #: Characters of a digest by which the store's folders are named.
-SHARD = 2
+SHARD = 1
 
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:

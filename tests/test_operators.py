@@ -270,14 +270,14 @@ def test_the_store_keeps_one_whole_object_a_digest(spark, tmp_path):
     assert found(store_objects(df("a", "b", "a", None, "é"), "text", folder)) == sorted([(sha("a"), 1, True), (sha("b"), 1, True), (sha("é"), 2, True)])
     assert found(store_objects(df("b", "c"), "text", folder)) == sorted([(sha("b"), 1, False), (sha("c"), 1, True)])
     # a run that was killed before its job committed left files that no reader sees
-    killed = f"{folder}/_temporary/0/_temporary/attempt_1/shard={sha('d')[:2]}"
+    killed = f"{folder}/_temporary/0/_temporary/attempt_1/shard={sha('d')[:1]}"
     os.makedirs(killed)
     open(f"{killed}/part-0.parquet", "wb").write(b"half")
     assert found(store_objects(df("a", "d"), "text", folder)) == sorted([(sha("a"), 1, False), (sha("d"), 1, True)])
     # damage: another content under a's digest
-    part = glob.glob(f"{folder}/shard={sha('a')[:2]}/part-*")[0]
+    part = glob.glob(f"{folder}/shard={sha('a')[:1]}/part-*")[0]
     os.remove(part)
-    spark.createDataFrame([(sha("a"), 1, b"x", sha("a")[:2])], "sha string, size bigint, content binary, shard string").write.mode("append").partitionBy("shard").parquet(folder)
+    spark.createDataFrame([(sha("a"), 1, b"x", sha("a")[:1])], "sha string, size bigint, content binary, shard string").write.mode("append").partitionBy("shard").parquet(folder)
     assert {r.sha: r.valid for r in read_objects(spark, folder).collect()} == {sha(t): t != "a" for t in "abcdé"}
     assert found(store_objects(df("a"), "text", folder)) == [(sha("a"), 1, True)]
     rows = read_objects(spark, folder).collect()
@@ -354,6 +354,29 @@ def test_headers_in_pairs_and_numbers_beyond_range(spark):
     assert got[1] == '{"request_headers":[["Authorization","[REDACTED]"]]}' and "Infinity" not in got[2] and got[3] == '{"x":1e+300}'
 
 
+def test_neighbours_equal_plain_loops(spark):
+    import random
+
+    rng = random.Random(7)
+    rows = [(d, p, f"{d}-{p}-{i}", float(rng.randint(0, 90)), float(rng.choice([rng.randint(0, 60), 13.5])), float(rng.randint(0, 30)), float(rng.choice([0, 3, 9, 10, 40, 300])), rng.choice(["paragraph", "field", "table"])) for d in range(4) for p in (1, 2) for i in range(40)]
+    blocks = spark.createDataFrame(rows, "doc_id int, page int, block_id string, x double, y double, w double, h double, type string")
+    chosen = [(*r, r[2], rng.choice(["label", "text"])) for r in rows if rng.random() < 0.4]
+    anchors = spark.createDataFrame(chosen, "doc_id int, page int, block_id string, x double, y double, w double, h double, type string, anchor_id string, kind string")
+    right, under = {}, set()
+    for d, p, own, x, y, w, h, _, a, kind in chosen:
+        page = [r for r in rows if r[:2] == (d, p) and r[2] != own]
+        beside = [(r[3], r[4], r[2]) for r in page if r[3] >= x + w and r[4] < y + h and y < r[4] + r[6] and abs(r[4] - y) <= max(4, min(h, r[6]) / 2)]
+        if beside:
+            right[(d, a)] = min(beside)[2]
+        lower = sorted((r[4], r[3], r[2], r[7]) for r in page if r[4] > y and (kind != "label" or (r[3] < x + w and x < r[3] + r[5])))
+        for place, r in enumerate(lower, 1):
+            if r[3] == "table" or (kind == "label" and place > 1):
+                break
+            under.add((d, a, r[2], place))
+    assert {(r.doc_id, r.anchor_id): r.block_id for r in B.right_of(blocks, anchors).collect()} == right
+    assert {tuple(r) for r in B.below(blocks, anchors).collect()} == under
+
+
 def plain_hits(texts, anchors):
     norm = lambda x: " ".join(x.split()).lower().replace("ß", "ss")
     out = set()
