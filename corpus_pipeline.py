@@ -7,8 +7,8 @@
 4. ``mixing``       documents repeat or go until each source has its target
 5. ``packing``      token sequences whose lengths are powers of two
 
-All stages but the last return the columns of ``documents``. The toxicity classifier learns from the
-labels of a bounded sample; SQL cannot express the stages, so brute-force tests stand in for it.
+All stages but the last return the columns of ``documents``. The toxicity classifier learns from
+all labels but a fifth of the ids'; SQL cannot express the stages, so brute-force tests stand in for it.
 """
 
 from __future__ import annotations
@@ -16,20 +16,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvigil.llm.common import crc_mod, give_back, materialize, table
+from docvigil.llm.common import crc_mod, materialize, table
 from docvigil.llm.exact_dedup import drop_copies
 from docvigil.llm.mixing import mixed
 from docvigil.llm.packing import pack
 from docvigil.llm.queries import END_ID, vocabulary
 from docvigil.llm.simhash import keep_one
-from docvigil.llm.toxicity import drop_toxic, fit_toxicity, labelled_sample
+from docvigil.llm.toxicity import drop_toxic, train_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    train = crc_mod(F.col("doc_id"), 5) != 0
-    model = fit_toxicity(labelled_sample(docs, table(spark, sf_dir, "labels"), train, positives=2500, negatives=5000))
-    give_back()
-    return drop_toxic(docs, model)
+    return drop_toxic(docs, train_toxicity(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@ segmentation of Arrow batches in numpy, and exact selection by distributed histo
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +30,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def give_back() -> None:
-    """Return to the system what Arrow and the C library hold in reserve after large arrays, so that what a
-    model's training needed on the driver does not stand beside later stages."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docvigil.llm.common import crc_mod, give_back, table
+from docvigil.llm.common import crc_mod, table
 
 #: The end id that the contracts of ops 1 and 8 name.
 END_ID = 1
@@ -84,12 +84,9 @@ def op6_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str):
-    from docvigil.llm.toxicity import fit_toxicity, labelled_sample
+    from docvigil.llm.toxicity import train_toxicity
 
-    train = crc_mod(F.col("doc_id"), 5) != 0
-    model = fit_toxicity(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train, positives=2500, negatives=5000))
-    give_back()
-    return model
+    return train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), 5) != 0)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

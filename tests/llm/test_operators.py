@@ -711,6 +711,38 @@ def test_a_cut_has_the_best_f1():
         assert math.isclose(f1(_cut(z, y)), max(f1(c) for c in z))
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """Several shards; a word that only long texts have; the cut against all held-out scores; counts of words."""
+    import re
+
+    from docvigil.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SHARD", 400)
+    rows, labels = toxic_rows(1200)
+    rows = [(i, t + " grub" + " ok" * 25_000 if i % 60 == 0 else t, lang, s) for i, t, lang, s in rows]
+    labels = [(i, q, int(i % 60 == 0 or y)) for i, q, y in labels]
+    table = spark.createDataFrame([*labels, (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    docs, train = frame(spark, rows), common.crc_mod(F.col("doc_id"), 5) != 0
+    words = toxicity.labelled_words(docs, table, train)
+    used = {i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 5}
+    assert words.count() == len(used) and words.select("shard").distinct().count() > 1
+    plain = Counter(w for i, t, _, _ in rows if i in used for w in set(re.findall(r"[a-z\x80-\U0010ffff]+", t.translate(LOWER))))
+    assert len(toxicity.frequent_words(words, 3, 1000)) == sum(n >= 3 for n in plain.values())
+    model = toxicity.train_toxicity(docs, table, train)
+    found = score_toxicity(docs, model).toPandas().set_index("doc_id")
+    held = [x for x in labels if x[0] not in used]
+    assert sum((found.score[i] >= 0.5) == bool(y) for i, _, y in held) >= 0.97 * len(held)
+    grub = [i for i, _, _ in held if i % 60 == 0]
+    assert sum(found.score[grub] >= 0.5) >= 0.9 * len(grub)
+    calibrating = {r.id for r in spark.range(1200).filter(F.pmod(F.xxhash64("id", F.lit("held")), F.lit(4)) == 0).collect()} & used
+    z, y = found.score[sorted(calibrating)].to_numpy(), np.array([dict((i, y) for i, _, y in labels)[i] for i in sorted(calibrating)])
+    f1 = lambda c: 2 * ((z >= c) & (y == 1)).sum() / ((z >= c).sum() + y.sum())
+    assert f1(0.5) >= max(f1(c) for c in z) - 0.005
+    again = toxicity.train_toxicity(docs.repartition(5), table, train)
+    assert again.shift == model.shift and (again.embedding == model.embedding).all()
+    assert score_toxicity(docs, toxicity.train_toxicity(docs, table.limit(0), train)).filter("score >= 0.5").count() == 0
+
+
 def test_toxicity_without_labels(spark):
     rows, _ = toxic_rows(20)
     docs = frame(spark, rows)
