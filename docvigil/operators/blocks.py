@@ -6,7 +6,10 @@ document or page, so one exchange by doc_id serves them all.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,31 +36,57 @@ def native_lines(fragments: DataFrame) -> DataFrame:
     })
 
 
+def _page_by_page(rows: DataFrame, order: list[Column], handle: Callable[[list[list]], Iterator[tuple]], schema: str) -> DataFrame:
+    """``handle(columns)`` on each page's rows in ``order``; ``rows`` begin with doc_id and page, as the result does.
+
+    Pages are dealt out, sorted by Spark and read one after another from whole batches, so a page costs what its
+    rows cost; a task holds a batch and one page.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = None
+        rest: list[list] = [[] for _ in rows_names]
+
+        def done(groups: list[list[list]]) -> pa.RecordBatch:
+            found = [(g[0][0], g[1][0], *r) for g in groups for r in handle(g)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=names)
+
+        for batch in batches:
+            types = types or [batch.schema.field(0).type, batch.schema.field(1).type] + [pa.int64()] * (len(names) - 2)
+            columns = [r + c.to_pylist() for r, c in zip(rest, batch.columns)]
+            keys = list(zip(columns[0], columns[1]))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]]
+            rest = [c[cuts[-1] :] for c in columns]
+            yield done([[c[i:j] for c in columns] for i, j in zip(cuts, cuts[1:])])
+        if types:
+            yield done([rest])
+
+    rows_names = rows.columns
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(run, schema)
+
+
 def visual_lines(fragments: DataFrame) -> DataFrame:
     """(doc_id, page, fragment_id, line): fragments gathered into visual lines.
 
     In order of y and x, a fragment joins the latest line that it fits: its centre within a quarter of
     the height of the line's leftmost fragment and two heights of a neighbour at most, or else a quarter
     of the lower height in common with the line and a neighbour in line. Each decision depends on those
-    before it, so a page is handled as a whole; a group is one page.
+    before it, so a page is handled as a whole.
     """
 
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "fragment_id"], kind="stable")
+    def page(columns: list[list]) -> Iterator[tuple]:
         lines: list[dict] = []
-        numbers = []
-        for x, y, w, h in zip(pdf.x, pdf.y, pdf.w, pdf.h):
+        for i, x, y, w, h in zip(*columns[2:]):
             for number in range(len(lines) - 1, -1, -1):
                 line = lines[number]
                 _, top, tall = line["first"]
                 height = max(tall, h)
-                ahead = [x - right for _, right in line["spans"]]
-                behind = [left - x - w for left, _ in line["spans"]]
                 if abs(y + h / 2 - top - tall / 2) <= 0.25 * height:
-                    fits = min(max(a, b, 0.0) for a, b in zip(ahead, behind)) <= 2 * height
+                    fits = min(max(x - right, left - x - w, 0.0) for left, right in line["spans"]) <= 2 * height
                 else:
                     common = min(y + h, line["low"]) - max(y, line["top"])
-                    fits = max(common, 0.0) >= 0.25 * min(h, line["low"] - line["top"]) and any(-0.15 * height <= g <= 2 * height for g in ahead + behind)
+                    fits = max(common, 0.0) >= 0.25 * min(h, line["low"] - line["top"]) and any(-0.15 * height <= g <= 2 * height for left, right in line["spans"] for g in (x - right, left - x - w))
                 if fits:
                     break
             else:
@@ -67,11 +96,10 @@ def visual_lines(fragments: DataFrame) -> DataFrame:
             line["spans"].append((x, x + w))
             line["first"] = min(line["first"], (x, y, h), key=lambda f: f[0])
             line["top"], line["low"] = min(line["top"], y), max(line["low"], y + h)
-            numbers.append(number + 1)
-        return pd.DataFrame({"doc_id": pdf.doc_id, "page": pdf.page, "fragment_id": pdf.fragment_id, "line": numbers})
+            yield i, number + 1
 
-    rows = fragments.select("doc_id", "page", "fragment_id", *[F.col(c).cast("double").alias(c) for c in "xywh"])
-    return rows.groupBy(*PAGE).applyInPandas(page, "doc_id long, page int, fragment_id long, line int")
+    rows = fragments.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("fragment_id").cast("long").alias("fragment_id"), *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in "xywh"])
+    return _page_by_page(rows, [F.col("y"), F.col("x"), F.asc_nulls_last("fragment_id")], page, "doc_id long, page int, fragment_id long, line long").withColumn("line", F.col("line").cast("int"))
 
 
 def line_text(fragments: DataFrame, by: list[str]) -> DataFrame:
@@ -240,25 +268,48 @@ def adapt_v0(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 def assign_metadata(fragments: DataFrame, sources: DataFrame) -> DataFrame:
     """Each fragment's metadata source, each used once: same page and text, best by box then extractor.
 
-    Which source is free depends on the choices before, so a page is handled as a whole.
+    Which source is free depends on the choices before, so a page is handled as a whole: the best of all pairs
+    whose fragment and source are free is the least of the fragments' own best sources, which are looked for
+    again when theirs is taken. Pairs are never laid out.
     """
-    key = [*PAGE, "text"]
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["distance", "rank", "fragment_id", "source_id"], kind="stable")
-        seen_f: set = set()
-        seen_s: set = set()
-        rows = []
-        for f, s in zip(pdf.fragment_id, pdf.source_id):
-            if f not in seen_f and s not in seen_s:
-                seen_f.add(f)
-                seen_s.add(s)
-                rows.append((f, s))
-        return pd.DataFrame({"doc_id": pdf.doc_id.iloc[0], "fragment_id": [r[0] for r in rows], "source_id": [r[1] for r in rows]})
-
-    s = sources.select(*key, "source_id", "rank", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    pairs = fragments.join(s, key).select(*key, "fragment_id", "source_id", "rank", (F.abs(F.col("x") - F.col("sx")) + F.abs(F.col("y") - F.col("sy"))).alias("distance"))
-    return pairs.groupBy(*PAGE).applyInPandas(greedy, "doc_id long, fragment_id long, source_id long")
+    def greedy(columns: list[list]) -> Iterator[tuple]:
+        free: dict[str, list[tuple]] = {}
+        asked = []
+        for text, source, i, rank, x, y in zip(*columns[2:]):
+            if source:
+                free.setdefault(text, []).append((i, (rank is None, rank), x, y))
+            else:
+                asked.append((text, i, x, y))
+        used_f: set = set()
+        used_s: set = set()
+
+        def best(text: str, i: int, x: float, y: float, at: int) -> tuple | None:
+            left = free[text] = [s for s in free.get(text, ()) if s[0] not in used_s]
+            pairs = ((abs(x - sx) + abs(y - sy), rank, s) for s, rank, sx, sy in left)
+            found = min(((d != d, d if d == d else 0.0, rank, i, s) for d, rank, s in pairs), default=None)
+            return found and (*found, at)
+
+        heap = [b for at, f in enumerate(asked) if (b := best(*f, at))]
+        heapify(heap)
+        while heap:
+            *_, i, s, at = heappop(heap)
+            if i in used_f:
+                continue
+            if s not in used_s:
+                used_f.add(i)
+                used_s.add(s)
+                yield i, s
+            elif again := best(*asked[at], at):
+                heappush(heap, again)
+
+    def side(df: DataFrame, source: bool, i: str, rank: Column) -> DataFrame:
+        at = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in "xy"]
+        return df.filter("doc_id IS NOT NULL AND page IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("int").alias("page"), "text", F.lit(source).alias("source"), F.col(i).cast("long").alias("i"), rank.alias("rank"), *at)
+
+    none = F.lit(None).cast(dict(sources.dtypes)["rank"])
+    rows = side(fragments, False, "fragment_id", none).unionByName(side(sources, True, "source_id", F.col("rank")))
+    return _page_by_page(rows, [], greedy, "doc_id long, page int, fragment_id long, source_id long").drop("page")
 
 
 def attach_rows(tables: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -253,3 +253,32 @@ def test_only_written_tables_are_forgotten(spark, tmp_path):
     import os
 
     assert own.count() == 3 and not os.path.exists(folder)
+
+
+def test_pages_are_read_in_batches(spark):
+    """Pages that cross batches, repeated texts, and more copies on a page than pairs can be laid out for."""
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng = random.Random(9)
+        f = [(d, p, i, rng.choice("abc"), float(rng.randint(0, 9)), float(rng.randint(0, 9)), 5.0, 4.0) for i, (d, p) in enumerate((d, p) for d in range(4) for p in (1, 2) for _ in range(20))]
+        s = [(d, p, t, i, rng.randint(0, 2), x + rng.randint(0, 3), y) for d, p, i, t, x, y, _, _ in f if rng.random() < 0.7]
+        fragments = spark.createDataFrame(f, "doc_id long, page int, fragment_id long, text string, x double, y double, w double, h double")
+        sources = spark.createDataFrame(s, "doc_id long, page int, text string, source_id long, rank int, x double, y double")
+        wanted, used_f, used_s = set(), set(), set()
+        for _, _, i, j in sorted((abs(a[4] - b[5]) + abs(a[5] - b[6]), b[4], a[2], b[3]) for a in f for b in s if a[:2] == b[:2] and a[3] == b[2]):
+            if i not in used_f and j not in used_s:
+                used_f.add(i)
+                used_s.add(j)
+                wanted.add((f[i][0], i, j))
+        assert {tuple(r) for r in B.assign_metadata(fragments, sources).collect()} == wanted
+        lines = {r.fragment_id: r.line for r in B.visual_lines(fragments).collect()}
+        for d in range(4):
+            for p in (1, 2):
+                own = naive_lines([(r[2], *r[4:]) for r in f if r[:2] == (d, p)])
+                assert own == {i: lines[i] for i in own}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    many = spark.range(20_000).selectExpr("1L AS doc_id", "1 AS page", "id AS fragment_id", "CAST(id AS STRING) AS text", "CAST(id AS DOUBLE) AS x", "0D AS y")
+    pairs = B.assign_metadata(many, many.selectExpr("doc_id", "page", "text", "fragment_id AS source_id", "0 AS rank", "x", "y"))
+    assert pairs.filter("fragment_id = source_id").count() == 20_000
