@@ -1,6 +1,6 @@
 """Streams of events: idempotent ingest, conflicts, job states, hash chains, review rules, queues.
 
-A key's state is held by stateful processors (``transformWithStateInPandas``): values, lists and maps in RocksDB,
+A key's state is held by stateful processors (``transformWithState``, row by row: no frame is built for a key): values, lists and maps in RocksDB,
 so that an entry of a map is read and written alone and what a key holds need not fit into a batch's memory. The
 rows of a key inside one micro-batch are handled in (ts, event_id) order; across batches, in order of arrival.
 A micro-batch's rows of a key are held at once; the source's limits on a batch bound them.
@@ -17,14 +17,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docvigil.operators.fixpoint import new_folder
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+#: The time of a row in microseconds, by which a key's rows are ordered.
+AT = "_at"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -49,13 +50,11 @@ def stream_once(events: DataFrame, keys: list[str], horizon: str | None = None)
     return events.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys)
 
 
-def plain(v: object) -> object:
-    """A value as state holds it: Python's own types, null for NaN."""
-    return None if v is None or v != v else v.item() if hasattr(v, "item") else v
-
-
 class KeyedProcessor(StatefulProcessor):
-    """A processor whose states are named in ``declare`` and forgotten together by a timer, if ``timed``."""
+    """A processor whose states are named in ``declare`` and forgotten together by a timer, if ``timed``. It
+    yields tuples of the columns ``names``."""
+
+    names: list[str] = []
 
     def __init__(self, timed: bool, ttl: int | None):
         self.timed, self.ttl = timed, ttl
@@ -64,26 +63,27 @@ class KeyedProcessor(StatefulProcessor):
         """The states of a key."""
         raise NotImplementedError
 
-    def handle(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """What a micro-batch's rows of a key yield."""
+    def handle(self, rows: list[Row]) -> Iterator[tuple]:
+        """What a micro-batch's rows of a key yield, and the states after them."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.api = handle
         self.states = self.declare(handle)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+    def handleInputRows(self, key: object, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        part = sorted(rows, key=lambda r: tuple((v is None, v) for v in (r[AT], r["event_id"])))
         for t in list(self.api.listTimers()) if self.timed else []:
             self.api.deleteTimer(t)
             if t <= timerValues.getCurrentWatermarkInMs():  # due, but rows come before timers
                 self.forget()
-        out = self.handle(key, part)
+        as_row = Row(*self.names)
+        for r in self.handle(part):
+            yield as_row(*r)
         if self.timed:
-            self.api.registerTimer(max(int(part["ts"].iloc[-1].timestamp() * 1000), timerValues.getCurrentWatermarkInMs()) + 1)
-        yield out
+            self.api.registerTimer(max((part[-1][AT] or 0) // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: object, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.forget()
         return iter(())
 
@@ -95,10 +95,14 @@ class KeyedProcessor(StatefulProcessor):
         pass
 
 
+#: From a key's state and rows to the state after them and what they yield.
+Step = Callable[[tuple, list[Row]], tuple[tuple, list[tuple]]]
+
+
 class ValueProcessor(KeyedProcessor):
     """One value a key, through ``step(state, rows) -> (state, output rows)``."""
 
-    def __init__(self, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], state: str, start: tuple, timed: bool, ttl: int | None):
+    def __init__(self, step: Step, state: str, start: tuple, timed: bool, ttl: int | None):
         super().__init__(timed, ttl)
         self.step, self.state, self.start = step, state, start
 
@@ -106,14 +110,14 @@ class ValueProcessor(KeyedProcessor):
         self.held = handle.getValueState("held", self.state, self.ttl)
         return [self.held]
 
-    def handle(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        after, out = self.step(tuple(self.held.get()) if self.held.exists() else self.start, rows)
-        self.held.update(tuple(map(plain, after)))
-        return out
+    def handle(self, rows: list[Row]) -> Iterator[tuple]:
+        held = self.held.get()
+        after, out = self.step(self.start if held is None else tuple(held), rows)
+        self.held.update(after)
+        yield from out
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        names = [c.split()[0] for c in self.state.split(", ")]
-        self.held.update(tuple(plain(initialState[c].iloc[0]) for c in names))
+    def handleInitialState(self, key: object, initialState: Row, timerValues) -> None:
+        self.held.update(tuple(initialState[c.split()[0]] for c in self.state.split(", ")))
 
 
 def _stateful(events: DataFrame, key: str | list[str], processor: KeyedProcessor, output: str, horizon: str | None, initial: DataFrame | None) -> DataFrame:
@@ -123,12 +127,13 @@ def _stateful(events: DataFrame, key: str | list[str], processor: KeyedProcessor
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the only store that holds lists and maps
     if horizon is not None:
         events = events.withWatermark("ts", horizon)
+    processor.names = [c.split()[0] for c in output.split(", ")]
     mode = "EventTime" if horizon is not None else "ProcessingTime" if processor.ttl is not None else "None"
     begin = initial.groupBy(*keys) if initial is not None else None
-    return events.groupBy(*keys).transformWithStateInPandas(processor, output, "Append", mode, initialState=begin)
+    return events.withColumn(AT, F.unix_micros("ts")).groupBy(*keys).transformWithState(processor, output, "Append", mode, initialState=begin)
 
 
-def _keyed(events: DataFrame, key: str | list[str], step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], output: str, state: str, start: tuple, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
+def _keyed(events: DataFrame, key: str | list[str], step: Step, output: str, state: str, start: tuple, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Events by key through ``step``; ``initial`` has the columns of the key and of the state."""
     return _stateful(events, key, ValueProcessor(step, state, start, horizon is not None, ttl), output, horizon, initial)
 
@@ -139,13 +144,9 @@ def stream_record_once(events: DataFrame, keys: list[str], payload: list[str], h
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     kept = ["event_id", *payload]
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        first = state if state[0] is not None else tuple(plain(rows[c].iloc[0]) for c in kept)
-        out = rows[[*keys, "event_id"]].copy()
-        out["repeated"] = out["event_id"] != first[0]
-        for c, v in zip(kept, first):
-            out[f"first_{c}"] = pd.Series([v] * len(out), index=out.index, dtype=rows[c].dtype)
-        return first, out
+    def step(state: tuple, rows: list[Row]) -> tuple[tuple, list[tuple]]:
+        first = state if state[0] is not None else tuple(rows[0][c] for c in kept)
+        return first, [(*[r[c] for c in keys], r["event_id"], r["event_id"] != first[0], *first) for r in rows]
 
     output = ", ".join([*[f"{c} {fields[c]}" for c in keys], "event_id long", "repeated boolean", *[f"first_{c} {fields[c]}" for c in kept]])
     return _keyed(events, keys, step, output, ", ".join(f"{c} {fields[c]}" for c in kept), (None,) * len(kept), horizon, ttl, initial)
@@ -154,10 +155,10 @@ def stream_record_once(events: DataFrame, keys: list[str], payload: list[str], h
 def stream_conflicts(requests: DataFrame, key: str, parameter: str, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Requests that use a key again with other parameters than its first."""
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
-        digests = rows[parameter].map(lambda x: hashlib.sha256(str(x).encode()).hexdigest())
-        first = state[0] or digests.iloc[0]
-        return (first,), rows.loc[digests != first, [key, "event_id"]]
+    def step(state: tuple, rows: list[Row]) -> tuple[tuple, list[tuple]]:
+        digests = [hashlib.sha256(str(r[parameter]).encode()).hexdigest() for r in rows]
+        first = state[0] or digests[0]
+        return (first,), [(r[key], r["event_id"]) for r, d in zip(rows, digests) if d != first]
 
     return _keyed(requests, key, step, f"{key} long, event_id long", "first string", ("",), horizon, ttl, initial)
 
@@ -181,15 +182,13 @@ def job_step(status: str, attempts: int, action: str, most: int) -> tuple[str, i
 def stream_jobs(events: DataFrame, most: int = 3, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Each lifecycle event (job_id, action) with the job's status after it; illegal ones change nothing."""
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def step(state: tuple, rows: list[Row]) -> tuple[tuple, list[tuple]]:
         status, attempts = state
         out = []
-        for action in rows["action"]:
-            status, attempts, legal = job_step(status, attempts, action, most)
-            out.append((status, attempts, legal))
-        done = rows[["job_id", "event_id", "action"]].copy()
-        done[["status", "attempts", "legal"]] = out
-        return (status, attempts), done
+        for r in rows:
+            status, attempts, legal = job_step(status, attempts, r["action"], most)
+            out.append((r["job_id"], r["event_id"], r["action"], status, attempts, legal))
+        return (status, attempts), out
 
     return _keyed(events, "job_id", step, "job_id long, event_id long, action string, status string, attempts int, legal boolean", "status string, attempts int", ("new", 0), horizon, ttl, initial)
 
@@ -197,16 +196,14 @@ def stream_jobs(events: DataFrame, most: int = 3, horizon: str | None = None, tt
 def stream_chain(events: DataFrame, key: str, horizon: str | None = None, ttl: int | None = None, initial: DataFrame | None = None) -> DataFrame:
     """Events with their number and digest in their key's chain, which ``initial`` (key, seq, head) may begin."""
 
-    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    def step(state: tuple, rows: list[Row]) -> tuple[tuple, list[tuple]]:
         seq, head = state
         out = []
-        for i, action in zip(rows["event_id"], rows["action"]):
+        for r in rows:
             seq, previous = seq + 1, head
-            head = hashlib.sha256(f"{previous}|{seq}|{i}|{action}".encode()).hexdigest()
-            out.append((seq, previous, head))
-        done = rows[[key, "event_id"]].copy()
-        done[["seq", "previous_hash", "event_hash"]] = out
-        return (seq, head), done
+            head = hashlib.sha256(f"{previous}|{seq}|{r['event_id']}|{r['action']}".encode()).hexdigest()
+            out.append((r[key], r["event_id"], seq, previous, head))
+        return (seq, head), out
 
     return _keyed(events, key, step, f"{key} long, event_id long, seq long, previous_hash string, event_hash string", "seq long, head string", (0, ""), horizon, ttl, initial)
 
@@ -220,39 +217,42 @@ class ReviewProcessor(KeyedProcessor):
         self.marks = handle.getListState("marks", "event_id long", self.ttl)
         return [self.text, self.editors, self.marks]
 
-    def handle(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        edited = self.text.exists()
-        text = self.text.get()[0] if edited else None
+    def __init__(self, key: str, timed: bool, ttl: int | None):
+        super().__init__(timed, ttl)
+        self.key = key
+
+    def handle(self, rows: list[Row]) -> Iterator[tuple]:
+        held = self.text.get()
+        edited, text = held is not None, held and held[0]
         marked = self.marks.exists()
-        out = []
-        for i, actor, action, digest in zip(rows["event_id"], rows["actor"], rows["action"], rows["hash"]):
-            who = plain(actor)
+        changed, own = False, {}  # who edited, as far as asked or seen here
+        for r in rows:
+            who, action = r["actor"], r["action"]
             if action == "edit" and who is not None:
-                self.editors.updateValue((str(who),), (int(i),))
-                text, edited = plain(digest), True
+                if not own.get(str(who)):
+                    self.editors.updateValue((str(who),), (int(r["event_id"]),))
+                    own[str(who)] = True
+                text, edited, changed = r["hash"], True, True
                 if marked:
                     self.marks.clear()
                     marked = False
             elif action == "needs_fix":
-                self.marks.appendValue((int(i),))
+                self.marks.appendValue((int(r["event_id"]),))
                 marked = True
             elif action == "approve":
-                own = who is not None and self.editors.containsKey((str(who),))
-                bad = [("needs fix", marked), ("same actor", own), ("no edit", not edited), ("stale text", edited and plain(digest) != text)]
-                out.append((i, "; ".join(n for n, b in bad if b)))
-        if edited:
+                if who is not None and str(who) not in own:
+                    own[str(who)] = self.editors.containsKey((str(who),))
+                bad = [("needs fix", marked), ("same actor", who is not None and own[str(who)]), ("no edit", not edited), ("stale text", edited and r["hash"] != text)]
+                yield r[self.key], r["event_id"], "; ".join(n for n, b in bad if b)
+        if changed:
             self.text.update((text,))
-        done = pd.DataFrame(out, columns=["event_id", "against"])
-        done.insert(0, "key", key[0])
-        return done.astype({"event_id": "int64"})
-
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        first = initialState.iloc[0]
-        if plain(first["text"]) is not None:
-            self.text.update((first["text"],))
-        for actor in first["editors"]:
+
+    def handleInitialState(self, key: object, initialState: Row, timerValues) -> None:
+        if initialState["text"] is not None:
+            self.text.update((initialState["text"],))
+        for actor in initialState["editors"]:
             self.editors.updateValue((str(actor),), (-1,))
-        if first["marked"]:
+        if initialState["marked"]:
             self.marks.appendValue((-1,))
 
 
@@ -260,7 +260,7 @@ def stream_reviews(events: DataFrame, key: str, horizon: str | None = None, ttl:
     """Approvals and what stands against each, decided from the key's state alone: its editors, the latest
     text, and whether a needs-fix mark is open. Edits without an actor do not count. ``initial`` has the key,
     ``text``, ``editors`` (a list) and ``marked``."""
-    out = _stateful(events, key, ReviewProcessor(horizon is not None, ttl), "key long, event_id long, against string", horizon, initial)
+    out = _stateful(events, key, ReviewProcessor(key, horizon is not None, ttl), "key long, event_id long, against string", horizon, initial)
     return out.withColumnRenamed("key", key)
 
 

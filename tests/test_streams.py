@@ -158,3 +158,12 @@ def test_running_counts_equal_the_batch_after_replays(spark, tmp_path):
     write(spark, tmp_path, 2, docs[7:], DOCS)
     assert counted() == plain(docs)
     assert counted() == plain(docs)  # nothing new
+
+
+def test_recorded_values_stay_as_they_are(spark, tmp_path):
+    """Rows reach the state without a frame: NaN stays NaN beside null, and a long beside null stays a long."""
+    schema = "event_id long, ts timestamp, user_id long, value double, n long"
+    write(spark, tmp_path, 1, [(1, DAY, 1, float("nan"), 2**60 + 1), (2, DAY, 2, None, None), (3, DAY + timedelta(1), 1, 5.0, None)], schema)
+    found = {r.event_id: r for r in L.drain(L.stream_record_once(stream(spark, tmp_path, schema), ["user_id"], ["value", "n"]), "recorded").collect()}
+    assert found[3].first_value != found[3].first_value and found[3].first_n == 2**60 + 1 and found[3].repeated
+    assert found[2].first_value is None and found[2].first_n is None
