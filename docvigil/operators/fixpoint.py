@@ -32,6 +32,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task of a dealt table holds, on average.
+SHARE = 250_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None, share: int | None = None) -> DataFrame:
+    """``df`` dealt out by ``keys`` to as many partitions as keep each at about ``share`` (``SHARE``) rows.
+
+    Spark sizes partitions by their compressed bytes, but sorts hold whole rows, of which well compressed ones
+    may be ten or thirty times as large; so what a task holds would grow with the table up to that size.
+    ``rows``: how many there are, where the caller knows; else they are counted.
+    """
+    n = df.count() if rows is None else rows
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // (share or SHARE))), *keys)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the folders of written tables that nothing reads any more; other tables stay."""
     for t in tables:

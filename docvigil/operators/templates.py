@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docvigil.functions.text import fold, norm, norm_col, split_table, value_after
 from docvigil.functions.values import fields_agree, parse_bool, parse_date, parse_number
 from docvigil.operators.cells import rules
+from docvigil.operators.fixpoint import SHARE, dealt, forget, written
 
 # ---------------------------------------------------------------- versions
 
@@ -201,24 +202,32 @@ def score_templates(docs: DataFrame, roles: DataFrame, matches: DataFrame, pages
     return s.select(*key, score.alias("score"), kind.alias("class"), "matched")
 
 
-def header_spans(rows: DataFrame, longest: int) -> DataFrame:
-    """Names that runs of up to ``longest`` filled neighbouring cells of a row spell together:
-    (doc_id, table_no, row, name, first_col, last_col). Headers may be merged over several cells."""
-    filled = F.array_sort(F.collect_list(F.when(norm(F.col("text")) != "", F.struct("col", "text"))))
-    r = rows.groupBy("doc_id", "table_no", "row").agg(filled.alias("cells")).filter("size(cells) > 0")
+def header_spans(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Where runs of neighbouring filled cells of a row spell one of ``names(name, ...)`` together: their columns
+    and (doc_id, table_no, row, first_col, last_col). Headers may be merged over several cells.
 
-    def span(i: Column, n: Column) -> Column:
-        part = F.slice("cells", i, n)
-        name = norm_col(F.array_join(F.transform(part, lambda c: c["text"]), " "))
-        return F.struct(name.alias("name"), part[0]["col"].alias("first_col"), F.element_at(part, -1)["col"].alias("last_col"))
+    A run has no more cells than its name has words, so a cell meets as many that follow it at most, and only
+    cells that begin a name make runs. These meet the names, which go by templates, where they are made.
+    """
+    longest = names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    w = Window.partitionBy("doc_id", "table_no", "row").orderBy("col", "text")
+    ahead = [F.struct("col", "text") if k == 0 else F.lead(F.struct("col", "text"), k).over(w) for k in range(longest)]
+    words = F.split("name", " ")
+    begins = written(names.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))).alias("begin")).distinct())
+    r = filled_cells(rows).select("doc_id", "table_no", "row", "col", norm_col(F.col("text")).alias("begin"), F.array(*ahead).alias("run"))
+    r = r.join(begins, "begin", "left_semi")
+
+    def span(x: Column, k: Column) -> Column:
+        text = F.array_join(F.transform(F.slice("run", F.lit(1), k + 1), lambda c: c["text"]), " ")
+        return F.when(x.isNotNull(), F.struct(norm_col(text).alias("name"), F.col("col").alias("first_col"), x["col"].alias("last_col")))
 
-    spans = F.transform(F.sequence(F.lit(1), F.size("cells")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("cells") - i + 1)), lambda n: span(i, n)))
-    return r.select("doc_id", "table_no", "row", F.explode(F.flatten(spans)).alias("s")).select("doc_id", "table_no", "row", "s.*")
+    spans = r.select("doc_id", "table_no", "row", F.explode(F.transform("run", span)).alias("s")).select("doc_id", "table_no", "row", "s.*")
+    return spans.join(names, "name")
 
 
-def _longest(names: DataFrame, column: str) -> int:
-    """Words of the longest name: no span of more filled cells can spell it."""
-    return names.agg(F.max(F.size(F.split(column, " ")))).first()[0] or 1
+def filled_cells(rows: DataFrame) -> DataFrame:
+    """Cells that are not blank, dealt out by table."""
+    return dealt(rows.filter(norm(F.col("text")) != "").select("doc_id", "table_no", "row", "col", "text"), "doc_id", "table_no", rows=rows.count())
 
 
 def column_score(rows: DataFrame, tables: DataFrame) -> DataFrame:
@@ -226,20 +235,19 @@ def column_score(rows: DataFrame, tables: DataFrame) -> DataFrame:
 
     ``rows(doc_id, table_no, row, col, text)`` are cells, ``tables(template_id, columns)``.
     """
-    need = tables.select("template_id", F.size("columns").alias("n"), F.explode("columns").alias("column")).select("template_id", "n", norm_col(F.col("column")).alias("name"))
-    spans = header_spans(rows, _longest(need, "name"))
-    hits = spans.join(need, "name").groupBy("doc_id", "table_no", "row", "template_id", "n").agg(F.count_distinct("name").alias("found"))
+    need = written(tables.select("template_id", F.size("columns").alias("n"), F.explode("columns").alias("column")).select("template_id", "n", norm_col(F.col("column")).alias("name")))
+    hits = header_spans(rows, need).groupBy("doc_id", "table_no", "row", "template_id", "n").agg(F.count_distinct("name").alias("found"))
     return hits.groupBy("doc_id", "table_no", "template_id").agg(F.max(F.col("found") / F.col("n")).alias("share"), F.max_by("row", F.struct("found", -F.col("row"))).alias("header_row"))
 
 
 def table_lookup(rows: DataFrame, fields: DataFrame) -> DataFrame:
     """The first filled value under a field's label: header span by name, then its columns downwards."""
-    f = fields.select("template_id", "field_id", norm_col(F.col("label")).alias("name"))
-    heads = header_spans(rows, _longest(f, "name")).join(f, "name").groupBy("doc_id", "table_no", "template_id", "field_id").agg(F.min(F.struct("row", "first_col", "last_col")).alias("head"))
-    heads = heads.select("doc_id", "table_no", "template_id", "field_id", F.col("head.row").alias("head_row"), "head.first_col", "head.last_col")
-    body = rows.filter(norm(F.col("text")) != "")
-    j = heads.join(body, ["doc_id", "table_no"]).filter((F.col("row") > F.col("head_row")) & F.col("col").between(F.col("first_col"), F.col("last_col")))
-    return j.groupBy("doc_id", "table_no", "template_id", "field_id").agg(F.min_by("text", F.struct("row", "col")).alias("value"))
+    key = ["doc_id", "table_no", "template_id", "field_id"]
+    f = written(fields.select("template_id", "field_id", norm_col(F.col("label")).alias("name")))
+    heads = header_spans(rows, f).groupBy(*key).agg(F.min(F.struct("row", "first_col", "last_col")).alias("head"))
+    heads = heads.select(*key, F.col("head.row").alias("head_row"), "head.first_col", "head.last_col")
+    j = heads.join(filled_cells(rows), ["doc_id", "table_no"]).filter((F.col("row") > F.col("head_row")) & F.col("col").between(F.col("first_col"), F.col("last_col")))
+    return j.groupBy(*key).agg(F.min_by("text", F.struct("row", "col")).alias("value"))
 
 
 def label_values(blocks: DataFrame, fields: DataFrame) -> DataFrame:
