@@ -356,8 +356,6 @@ def key_classes(keys: DataFrame) -> DataFrame:
 def dependents(pairs: DataFrame) -> DataFrame:
     """(field_id, dependent): which fields' rules need each field, over any number of steps, by doubling.
     Its size goes by templates, not by documents."""
-    from docvigil.operators.fixpoint import forget, written
-
     reach = written(pairs.select(F.col("related").alias("field_id"), F.col("field_id").alias("dependent")).distinct())
     n = reach.count()
     while True:
@@ -374,15 +372,33 @@ def cross_field(values: DataFrame, rule_table: DataFrame) -> DataFrame:
 
     ``values(doc_id, field_id, value, value_type)`` are the fields reviewed so far, ``rule_table(field_id,
     related, operator)`` their cross-field rules (``fields_agree``). A rule fails too where its related field
-    is not among them. Values do not change, so after the first test a rule can only fail because its related
-    field went: fields that fail meet those that depend on them once, and the work after the first test grows
-    with what falls. Cycles are harmless.
+    is not among them; without ``operator`` it asks for nothing else. Values do not change, so after the first
+    test a rule can only fail because its related field went: what depends on a field is known by template, and a
+    document's fields decide in one row. They are dealt out once. Cycles are harmless.
     """
-    other = values.select("doc_id", F.col("field_id").alias("related"), F.col("value").alias("_other"))
-    j = values.join(rule_table, "field_id").join(other, ["doc_id", "related"], "left")
-    failed = j.filter(~fields_agree(F.col("operator"), F.col("value"), F.col("_other"), F.col("value_type"))).select("doc_id", "field_id").distinct()
-    falls = failed.join(dependents(rule_table), "field_id").select("doc_id", F.col("dependent").alias("field_id"))
-    return values.join(failed.unionByName(falls).distinct(), ["doc_id", "field_id"], "left_anti")
+    plain = "operator" not in rule_table.columns
+    of = rule_table.select("field_id", F.struct("related", *([] if plain else ["operator"])).alias("rule")).filter("field_id IS NOT NULL")
+    by_field = of.groupBy("field_id").agg(F.collect_set("rule").alias("_rules"))
+    falls = dependents(rule_table).groupBy("field_id").agg(F.collect_set("dependent").alias("_falls"))
+    known = written(by_field.join(falls, "field_id", "full_outer"))
+    own = F.struct(*values.columns).alias("v")
+    v = dealt(values, "doc_id").join(known, "field_id", "left").select("doc_id", F.struct(own, "_rules", "_falls").alias("f"))
+    docs = v.groupBy("doc_id").agg(F.collect_list("f").alias("f"))
+
+    def fails(x: Column) -> Column:
+        def broken(rule: Column) -> Column:
+            other = F.filter("f", lambda y: y["v"]["field_id"] == rule["related"])
+            if plain:
+                return F.size(other) == 0
+            return (F.size(other) == 0) | F.exists(other, lambda y: ~fields_agree(rule["operator"], x["v"]["value"], y["v"]["value"], x["v"]["value_type"]))
+
+        return F.exists(F.coalesce(x["_rules"], F.array().cast(dict(known.dtypes)["_rules"])), broken)
+
+    names = dict(known.dtypes)["_falls"]
+    gone = F.flatten(F.transform(F.filter("f", fails), lambda x: F.concat(F.array(x["v"]["field_id"]), F.coalesce(x["_falls"], F.array().cast(names)))))
+    stays = lambda x: ~F.coalesce(F.array_contains("gone", x["v"]["field_id"]), F.lit(False))
+    docs = docs.withColumn("gone", F.when(F.col("doc_id").isNotNull(), gone))
+    return docs.select(F.explode(F.filter("f", stays)).alias("f")).select("f.v.*")
 
 
 def _quoted(c: Column) -> Column:

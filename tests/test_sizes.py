@@ -34,3 +34,18 @@ def test_header_spans_are_not_shuffled_by_name(spark, small_shares, capsys):
     text = plan(score, capsys)
     assert "hashpartitioning(name" not in text and re.search(r"hashpartitioning\(doc_id#\d+L?, table_no#\d+L?, 40\), REPARTITION_BY_NUM", text)
     assert {(r.share, r.header_row) for r in score.collect()} == {(2 / 3, 0)} and score.count() == 500
+
+
+def test_reviewed_fields_go_out_once_by_document(spark, small_shares, capsys):
+    v = spark.range(1_000).selectExpr("id div 4 AS doc_id", "concat('f', id % 4) AS field_id", "CAST(id % 4 AS STRING) AS value", "'number' AS value_type")
+    rules = spark.createDataFrame([("f0", "f1", "less_than"), ("f1", "f2", "greater_than"), ("f3", "f1", "equals"), ("f0", "f1", "not_equals")], "field_id string, related string, operator string")
+    left = T.cross_field(v, rules)
+    text = plan(left, capsys)
+    assert "SortMergeJoin" not in text and re.search(r"hashpartitioning\(doc_id#\d+L?, 20\), REPARTITION_BY_NUM", text)
+    assert {r.field_id for r in left.collect()} == {"f2"} and left.count() == 250
+
+
+def test_rows_without_a_document_or_field_stay(spark):
+    v = spark.createDataFrame([(None, "a", "2", "number"), (1, "a", "2", "number"), (1, None, "1", "number"), (1, "b", "1", "number"), (1, "b", "3", "number")], "doc_id long, field_id string, value string, value_type string")
+    rules = spark.createDataFrame([("a", "b", "less_than")], "field_id string, related string, operator string")
+    assert sorted((str(r.doc_id), str(r.field_id), r.value) for r in T.cross_field(v, rules).collect()) == [("1", "None", "1"), ("1", "b", "1"), ("1", "b", "3"), ("None", "a", "2")]
