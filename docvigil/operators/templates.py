@@ -431,10 +431,11 @@ def map_fields(fields: DataFrame) -> DataFrame:
 
     ``fields(doc_id, field_id, position, output_key, value, warning)``. Values are set in the order of ``position``:
     a later one replaces what stood at its key, below it, or at a beginning of it. Empty parts of a key count
-    for nothing, a key without any sets nothing. Documents are dealt out once; all steps stay in that.
+    for nothing, a key without any sets nothing. Documents are dealt out once; all steps stay in that, each with
+    a sort of its own, so shares are small.
     """
     ok = F.col("warning").isNull()
-    f = fields.repartition("doc_id")
+    f = dealt(fields, "doc_id", share=SHARE // 4)
     e = f.filter(ok).select("doc_id", "position", F.filter(F.split("output_key", r"\."), lambda p: p != "").alias("path"), "value").filter("size(path) > 0")
     e = e.withColumn("at", F.struct("position", F.array_join("path", "."), "value"))  # tells rows of one position apart
     r = e.select("*", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("k")).withColumn("prefix", F.slice("path", F.lit(1), F.col("k")))

@@ -49,3 +49,11 @@ def test_rows_without_a_document_or_field_stay(spark):
     v = spark.createDataFrame([(None, "a", "2", "number"), (1, "a", "2", "number"), (1, None, "1", "number"), (1, "b", "1", "number"), (1, "b", "3", "number")], "doc_id long, field_id string, value string, value_type string")
     rules = spark.createDataFrame([("a", "b", "less_than")], "field_id string, related string, operator string")
     assert sorted((str(r.doc_id), str(r.field_id), r.value) for r in T.cross_field(v, rules).collect()) == [("1", "None", "1"), ("1", "b", "1"), ("1", "b", "3"), ("None", "a", "2")]
+
+
+def test_mapped_fields_go_out_in_small_shares(spark, capsys, monkeypatch):
+    monkeypatch.setattr(T, "SHARE", 400, raising=False)
+    f = spark.range(3_000).selectExpr("id div 3 AS doc_id", "concat('f', id % 3) AS field_id", "id % 3 AS position", "concat('out.k', id % 3) AS output_key", "CAST(id AS STRING) AS value", "CAST(NULL AS STRING) AS warning")
+    out = T.map_fields(f)
+    assert re.search(r"hashpartitioning\(doc_id#\d+L?, 30\), REPARTITION_BY_NUM", plan(out, capsys))
+    assert out.filter("doc_id = 1").first().output == '{"out":{"k0":"3","k1":"4","k2":"5"}}' and out.count() == 1_000
