@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docvigil.functions.categories import REVIEW_CATEGORIES, llm_involved, norm_category, ocr_derived
 from docvigil.functions.text import norm, same_text
 from docvigil.functions.values import finite, needs_review
+from docvigil.operators.fixpoint import dealt, written
 
 CELL = ["case_id", "table_id", "cell_id"]
 
@@ -244,8 +245,9 @@ def ocr_engines(page_status: DataFrame) -> DataFrame:
 def same_set(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: whether both have the same distinct rows, and how many only one has."""
     cols = a.columns
-    both = a.distinct().withColumn("_a", F.lit(1)).join(b.select(*cols).distinct().withColumn("_b", F.lit(1)), cols, "full_outer")
-    return both.agg(F.count_if(F.col("_b").isNull()).alias("only_left"), F.count_if(F.col("_a").isNull()).alias("only_right")).withColumn("same", F.col("only_left") + F.col("only_right") == 0)
+    side = lambda df, n: df.select(*cols, F.lit(n == "a").alias("_a"), F.lit(n == "b").alias("_b"))
+    both = dealt(side(a, "a").unionByName(side(b, "b")), *cols).groupBy(*cols).agg(F.bool_or("_a").alias("_a"), F.bool_or("_b").alias("_b"))
+    return both.agg(F.count_if(~F.col("_b")).alias("only_left"), F.count_if(~F.col("_a")).alias("only_right")).withColumn("same", F.col("only_left") + F.col("only_right") == 0)
 
 
 def union_labels(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from docvigil.operators import cells as C
 from docvigil.operators import fixpoint
 from docvigil.operators import templates as T
 from docvigil.plans.registry import select
@@ -57,3 +58,13 @@ def test_mapped_fields_go_out_in_small_shares(spark, capsys, monkeypatch):
     out = T.map_fields(f)
     assert re.search(r"hashpartitioning\(doc_id#\d+L?, 30\), REPARTITION_BY_NUM", plan(out, capsys))
     assert out.filter("doc_id = 1").first().output == '{"out":{"k0":"3","k1":"4","k2":"5"}}' and out.count() == 1_000
+
+
+def test_sets_compare_in_even_shares(spark, small_shares, capsys):
+    a, b = spark.range(1_000).selectExpr("id div 4 AS k", "CAST(id % 4 AS STRING) AS c"), spark.range(4, 1_000).selectExpr("id div 4 AS k", "CAST(id % 4 AS STRING) AS c")
+    out = C.same_set(a, b)
+    text = plan(out, capsys)
+    assert "Join" not in text and re.search(r", 40\), REPARTITION_BY_NUM", text)
+    assert tuple(out.first()) == (4, 0, False)
+    none = spark.createDataFrame([(None, "x")], "k long, c string")
+    assert tuple(C.same_set(none, none).first()) == (0, 0, True)
