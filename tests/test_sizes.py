@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob
 import re
 
 import pytest
@@ -9,11 +10,16 @@ import pytest
 from docvigil.operators import cells as C
 from docvigil.operators import fixpoint
 from docvigil.operators import templates as T
+from docvigil.plans import load
 from docvigil.plans.registry import select
+from docvigil.plans.source_queries import s4
 
 SF = "/root/testdata/sf0.001"
 
 
+load()
+
+
 def plan(df, capsys) -> str:
     df.explain()
     return capsys.readouterr().out
@@ -68,3 +74,9 @@ def test_sets_compare_in_even_shares(spark, small_shares, capsys):
     assert tuple(out.first()) == (4, 0, False)
     none = spark.createDataFrame([(None, "x")], "k long, c string")
     assert tuple(C.same_set(none, none).first()) == (0, 0, True)
+
+
+def test_cases_move_once_and_are_written_small(spark, capsys):
+    out = s4(spark, SF)
+    path = re.search(r"file:(/\S*docvigil-cases-[0-9a-f]+)", plan(out, capsys))[1]
+    assert glob.glob(f"{path}*/*.json.gz") and not glob.glob(f"{path}*/*.json")
