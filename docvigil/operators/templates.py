@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 from json import dumps
+from math import prod
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,10 +27,13 @@ def effective_version(docs: DataFrame, templates: DataFrame) -> DataFrame:
     The days on which some version opens or shuts are numbered in each template. A version covers a range of
     these numbers, which falls into at most two aligned pieces of each power of two; each piece keeps the highest
     version, and a day asks the pieces that it lies in, one of each power. So versions never meet days one by one,
-    and nothing grows faster than versions and days times the logarithm of the borders.
+    and nothing grows faster than versions and days times the logarithm of the borders. Of versions with the same
+    days only the highest is in question, found by their places in one order, since Spark aggregates numbers
+    without sorting rows.
     """
     key = ["template_id"]
     t = templates.filter("active AND (valid_until IS NULL OR valid_from < valid_until)").select(*key, "version", "valid_from", "valid_until")
+    t = written(_highest(t, [*key, "valid_from", "valid_until"]))
     days = docs.select(*key, F.col("as_of").alias("day")).filter("day IS NOT NULL").distinct()
     borders = t.select(*key, F.explode(F.array("valid_from", "valid_until")).alias("day")).filter("day IS NOT NULL").distinct()
     in_order = Window.partitionBy(*key).orderBy("day")
@@ -42,13 +46,33 @@ def effective_version(docs: DataFrame, templates: DataFrame) -> DataFrame:
     at = F.last("rank", ignorenulls=True).over(in_order.rangeBetween(Window.unboundedPreceding, 0))
     asked = days.withColumn("rank", F.lit(None).cast("long")).unionByName(ranked).withColumn("rank", at).join(days, [*key, "day"], "left_semi").filter("rank IS NOT NULL").distinct()
     piece = F.explode(F.transform(F.sequence(F.lit(0), F.lit(powers - 1)), lambda p: F.struct(p.alias("power"), F.floor(F.col("rank") / F.pow(F.lit(2.0), p)).alias("nth"))))
-    best = asked.select(*key, "day", piece.alias("piece")).join(highest, [*key, "piece"]).groupBy(*key, F.col("day").alias("as_of")).agg(F.max("version").alias("in_force"))
-    j = docs.join(best, ["template_id", "as_of"], "left")
+    best = written(asked.select(*key, "day", piece.alias("piece")).join(highest, [*key, "piece"]).groupBy(*key, F.col("day").alias("as_of")).agg(F.max("version").alias("in_force")))
+    free = docs if "asked" not in docs.columns else docs.filter("asked IS NULL")
+    found = free.join(best, ["template_id", "as_of"], "left").select("doc", "template_id", F.col("in_force").alias("version"))
     if "asked" not in docs.columns:
-        return j.select("doc", "template_id", F.col("in_force").alias("version"))
-    exact = templates.select("template_id", F.col("version").alias("asked")).distinct().withColumn("there", F.lit(True))
-    j = j.join(exact, ["template_id", "asked"], "left")
-    return j.select("doc", "template_id", F.when(F.col("asked").isNull(), F.col("in_force")).when(F.col("there"), F.col("asked")).alias("version"))
+        return found
+    # documents that ask for nothing would all meet in one task
+    asking = docs.filter("asked IS NOT NULL").select("doc", "template_id", "asked")
+    exact = templates.select("template_id", F.col("version").alias("asked")).join(asking.select("template_id", "asked").distinct(), ["template_id", "asked"], "left_semi").distinct()
+    exact = asking.join(exact.withColumn("there", F.lit(True)), ["template_id", "asked"], "left")
+    return found.unionByName(exact.select("doc", "template_id", F.when(F.col("there"), F.col("asked")).alias("version")))
+
+
+def _highest(versions: DataFrame, by: list[str]) -> DataFrame:
+    """Each group's highest version. A version's numbers, counted from the least of their kind, make one long, as
+    in a number of several digits, where their ranges allow that and none is null; else versions are compared."""
+    parts = [f.name for f in versions.schema["version"].dataType]
+    c = {p: F.col("version")[p].cast("decimal(38,0)") for p in parts}
+    seen = versions.agg(*[F.min(c[p]).alias(f"low_{i}") for i, p in enumerate(parts)], *[F.max(c[p]).alias(f"high_{i}") for i, p in enumerate(parts)], *[F.count_if(c[p].isNull()).alias(f"none_{i}") for i, p in enumerate(parts)]).first()
+    lows = [int(seen[f"low_{i}"] or 0) for i in range(len(parts))]
+    sizes = [int(seen[f"high_{i}"] or 0) - low + 1 for i, low in enumerate(lows)]
+    if any(seen[f"none_{i}"] for i in range(len(parts))) or prod(sizes) >= 2**63:
+        return versions.groupBy(*by).agg(F.max("version").alias("version"))
+    code = reduce(lambda n, i: n * sizes[i] + (F.col("version")[parts[i]].cast("long") - lows[i]), range(len(parts)), F.lit(0).cast("long"))
+    top = versions.groupBy(*by).agg(F.max(code).alias("code"))
+    below = [prod(sizes[i + 1 :]) for i in range(len(parts))]
+    digit = lambda i: F.expr(f"code DIV {below[i]}L % {sizes[i]}L") + lows[i]
+    return top.select(*by, F.struct(*[digit(i).alias(p) for i, p in enumerate(parts)]).cast(dict(versions.dtypes)["version"]).alias("version"))
 
 
 def _aligned(a: Column, b: Column, powers: int) -> Column:

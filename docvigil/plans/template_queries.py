@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docvigil.operators import templates as T
+from docvigil.operators.fixpoint import written
 from docvigil.plans.registry import query, select
 from docvigil.plans.views import duck, view, with_views
 
@@ -33,9 +34,12 @@ def j16_asked(spark, sf_dir):
     """Every third document asks for one version, whatever its state."""
     v = _versions(spark, sf_dir)
     names = v.select(F.col("version.patch").alias("p"), F.col("version").alias("asked"))  # a patch number is one version's
-    docs = _sql(spark, sf_dir, (), _DOCS).withColumn("p", F.when(F.col("doc") % 3 == 0, F.col("doc") % 2500)).join(names, "p", "left")
+    docs = _sql(spark, sf_dir, (), _DOCS)
+    asking = docs.filter("doc % 3 = 0").withColumn("p", F.col("doc") % 2500)
+    names = written(names.join(asking.select("p").distinct(), "p", "left_semi"))
     unknown = F.struct(F.lit(-1).alias("major"), F.lit(-1).alias("minor"), F.col("p").alias("patch")).cast(dict(v.dtypes)["version"])
-    docs = docs.withColumn("asked", F.when(F.col("p").isNotNull(), F.coalesce("asked", unknown)))
+    asking = asking.join(names, "p", "left").withColumn("asked", F.coalesce("asked", unknown)).drop("p")
+    docs = asking.unionByName(docs.filter("doc % 3 <> 0").withColumn("asked", F.lit(None).cast(dict(v.dtypes)["version"])))
     return T.effective_version(docs, v).select("doc", "template_id", F.col("version.patch").alias("patch"))
 
 

@@ -80,3 +80,23 @@ def test_cases_move_once_and_are_written_small(spark, capsys):
     out = s4(spark, SF)
     path = re.search(r"file:(/\S*docvigil-cases-[0-9a-f]+)", plan(out, capsys))[1]
     assert glob.glob(f"{path}*/*.json.gz") and not glob.glob(f"{path}*/*.json")
+
+
+@pytest.mark.parametrize("far", [1, 2**40])
+def test_the_highest_version_by_numbers_or_as_it_is(spark, far):
+    kind = "struct<major:int,minor:int,patch:bigint>"
+    rows = [("t", (1, 9, 5), 1), ("t", (2, -3, far), 1), ("t", (2, -3, 0), 1), ("t", (1, 9, -(2**40)), 2), ("u", (0, 0, 0), 1)]
+    v = spark.createDataFrame(rows, f"template_id string, version {kind}, valid_from int")
+    assert v.schema["version"].dataType.simpleString() == T._highest(v, ["template_id", "valid_from"]).schema["version"].dataType.simpleString()
+    got = {(r.template_id, r.valid_from): tuple(r.version) for r in T._highest(v, ["template_id", "valid_from"]).collect()}
+    assert got == {("t", 1): (2, -3, max(far, 0)), ("t", 2): (1, 9, -(2**40)), ("u", 1): (0, 0, 0)}
+    none = v.union(spark.createDataFrame([("n", (None, 1, 2), 1), ("n", (None, 1, 3), 1)], v.schema))
+    assert {r.template_id: tuple(r.version) for r in T._highest(none, ["template_id"]).collect()}["n"] == (None, 1, 3)
+
+
+def test_who_asks_for_no_version_is_not_shuffled_by_it(spark, capsys):
+    v = spark.createDataFrame([("t", (1, 0, 0), True, 1, None), ("t", (1, 0, 1), False, 1, None)], "template_id string, version struct<major:int,minor:int,patch:bigint>, active boolean, valid_from int, valid_until int")
+    docs = spark.createDataFrame([(1, "t", 5, None), (2, "t", 5, (1, 0, 1)), (3, "t", 0, None), (4, "t", 5, (9, 9, 9))], "doc long, template_id string, as_of int, asked struct<major:int,minor:int,patch:bigint>")
+    out = T.effective_version(docs, v)
+    assert "isnotnull(asked" in plan(out, capsys)
+    assert {r.doc: r.version and r.version.patch for r in out.collect()} == {1: 0, 2: 1, 3: None, 4: None}
