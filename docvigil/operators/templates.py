@@ -158,6 +158,7 @@ def match_anchors(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     find = F.when(exact, F.concat(F.lit("="), "text")).otherwise(F.concat(F.when(inside, F.lit("<")).otherwise(F.lit("~")), name))
     a = anchors.filter(F.when(exact, F.col("text") != "").otherwise(name != "")).select(
         "template_id", "anchor_id", (F.col("kind") == "table_header").alias("in_cells"), F.col("page").alias("anchor_page"), "block_types", find.alias("find"))
+    a = written(a)  # its size is known then: hits do not go out by the few texts that they have
     place = ["doc_id", "block_id", "page", "type", "y", "x"]
     cells = F.transform(F.flatten(split_table(F.col("text"))), lambda c: F.struct(F.lit(True).alias("of_cell"), c.alias("written")))
     texts = F.concat(

@@ -100,3 +100,10 @@ def test_who_asks_for_no_version_is_not_shuffled_by_it(spark, capsys):
     out = T.effective_version(docs, v)
     assert "isnotnull(asked" in plan(out, capsys)
     assert {r.doc: r.version and r.version.patch for r in out.collect()} == {1: 0, 2: 1, 3: None, 4: None}
+
+
+def test_anchor_hits_are_not_shuffled_by_text(spark, capsys):
+    blocks = spark.createDataFrame([(1, "b", 1, "label", 0.0, 0.0, "the total")], "doc_id long, block_id string, page int, type string, y double, x double, text string")
+    anchors = spark.createDataFrame([("t", "a", "label", "contains", "total", None, None)], "template_id string, anchor_id string, kind string, mode string, text string, page int, block_types array<string>")
+    out = T.match_anchors(blocks, anchors)
+    assert "hashpartitioning(find" not in plan(out, capsys) and out.count() == 1
