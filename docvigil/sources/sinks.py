@@ -53,8 +53,14 @@ def read_objects(spark: SparkSession, folder: str, wanted: DataFrame | None = No
     stored = _stored(spark, folder)
     if wanted is not None:  # folders of other digests are not read
         stored = stored.join(wanted.select("sha", F.substring("sha", 1, SHARD).alias("shard")).distinct(), ["shard", "sha"], "left_semi")
-    valid = F.coalesce((F.sha2("content", 256) == F.col("sha")) & (F.octet_length("content") == F.col("size")), F.lit(False))
-    return stored.withColumn("valid", valid).groupBy("sha").agg(F.max_by(F.struct("size", "content", "valid"), "valid").alias("o")).select("sha", "o.*")
+    stored = stored.withColumn("valid", _valid())
+    # one order picks all columns of a copy; who does not ask for contents has none moved
+    best = F.struct("valid", "size", F.sha2("content", 256))
+    return stored.groupBy("sha").agg(F.max_by("size", best).alias("size"), F.max_by("content", best).alias("content"), F.bool_or("valid").alias("valid"))
+
+
+def _valid() -> Column:
+    return F.coalesce((F.sha2("content", 256) == F.col("sha")) & (F.octet_length("content") == F.col("size")), F.lit(False))
 
 
 def store_objects(df: DataFrame, column: str, folder: str) -> DataFrame:
@@ -64,14 +70,17 @@ def store_objects(df: DataFrame, column: str, folder: str) -> DataFrame:
     What is stored already and whole is not written again (an anti-join with the store's objects of these
     digests), so a call that is repeated, or that follows one which was killed, adds only what is missing; a
     writer's files appear when its job commits. Null contents are nothing; a damaged object is stored anew.
+    Only digests and sizes decide; contents move once, those to be stored, and are written once.
     """
     spark = df.sparkSession
     data = F.col(column).cast("binary")
     given = df.filter(data.isNotNull()).select(F.sha2(data, 256).alias("sha"), data.alias("content"))
-    one = written(given.groupBy("sha").agg(F.first("content").alias("content")).withColumn("size", F.octet_length("content").cast("bigint")))
-    known = read_objects(spark, folder, one).filter("valid").select("sha", F.lit(False).alias("created"))
-    marked = written(one.select("sha", "size").join(known, "sha", "left").select("sha", "size", F.coalesce("created", F.lit(True)).alias("created")))
-    new = one.join(marked.filter("created").select("sha"), "sha", "left_semi").select("sha", "size", "content", F.substring("sha", 1, SHARD).alias("shard"))
-    new.repartition("shard").write.mode("append").partitionBy("shard").parquet(folder)
+    one = written(given.groupBy("sha").agg(F.max(F.octet_length("content").cast("bigint")).alias("size")))
+    shard = F.substring("sha", 1, SHARD)
+    shards = [r[0] for r in one.select(shard).distinct().collect()]  # as many as digits, to the power of SHARD
+    known = _stored(spark, folder).filter(F.col("shard").isin(shards)).withColumn("valid", _valid()).select("sha", "valid").filter("valid").select("sha").distinct().withColumn("created", F.lit(False))
+    marked = written(one.join(known, "sha", "left").select("sha", "size", F.coalesce("created", F.lit(True)).alias("created")))
+    new = given.join(marked.filter("created").select("sha", "size"), "sha").groupBy("sha").agg(F.first("size").alias("size"), F.first("content").alias("content"))
+    new.withColumn("shard", shard).write.mode("append").partitionBy("shard").parquet(folder)
     forget(one)
     return marked

@@ -13,6 +13,7 @@ from docvigil.operators import templates as T
 from docvigil.plans import load
 from docvigil.plans.registry import select
 from docvigil.plans.source_queries import s4
+from docvigil.sources import sinks as K
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,3 +108,12 @@ def test_anchor_hits_are_not_shuffled_by_text(spark, capsys):
     anchors = spark.createDataFrame([("t", "a", "label", "contains", "total", None, None)], "template_id string, anchor_id string, kind string, mode string, text string, page int, block_types array<string>")
     out = T.match_anchors(blocks, anchors)
     assert "hashpartitioning(find" not in plan(out, capsys) and out.count() == 1
+
+
+def test_stored_contents_move_once(spark, tmp_path, capsys):
+    d = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "text string")
+    folder = f"file://{tmp_path}/store"
+    assert {r.created for r in K.store_objects(d.limit(1), "text", folder).collect()} == {True}
+    assert sorted(r.created for r in K.store_objects(d, "text", folder).collect()) == [False, True]
+    text = plan(K.read_objects(spark, folder).select("sha", "valid"), capsys)
+    assert "max_by(" not in text and K.read_objects(spark, folder).filter("valid").count() == 2
