@@ -153,13 +153,16 @@ def table_shape(cells: DataFrame, by: list[str]) -> DataFrame:
         F.count("row").alias("n_rows"), F.min("width").alias("narrowest"), F.max("width").alias("widest"), (F.min("width") == F.max("width")).alias("rectangular"), (F.sum("unboxed") == 0).alias("complete_boxes"))
 
 
-def _candidate_tables(cells: DataFrame) -> DataFrame:
-    """Each extractor's tables in order: place, page, row widths and a digest of the texts."""
+def candidate_tables(cells: DataFrame) -> DataFrame:
+    """Each extractor's tables in order: place, page, row widths and a digest of the texts; written, since checks
+    and comparisons read them several times. What is such a table already stays as it is."""
+    if "widths" in cells.columns:
+        return cells
     rows = cells.groupBy("doc", "extractor", "rank", "table_no", "row").agg(F.min("page").alias("page"), F.count("col").alias("width"), F.transform(F.array_sort(F.collect_list(F.struct("col", norm(F.col("text")).alias("t")))), lambda c: c["t"]).alias("texts"), F.bool_and("boxed").alias("boxed"))
     body = F.array_sort(F.collect_list(F.struct("row", "width", "texts")))
     t = rows.groupBy("doc", "extractor", "rank", "table_no").agg(F.min("page").alias("page"), F.bool_and("boxed").alias("boxed"), body.alias("body"))
     t = t.withColumn("place", F.row_number().over(Window.partitionBy("doc", "extractor").orderBy("table_no")))
-    return t.select("doc", "extractor", "rank", "place", "page", "boxed", F.transform("body", lambda r: r["width"]).alias("widths"), F.sha2(F.to_json(F.transform("body", lambda r: r["texts"])), 256).alias("content"))
+    return written(t.select("doc", "extractor", "rank", "place", "page", "boxed", F.transform("body", lambda r: r["width"]).alias("widths"), F.sha2(F.to_json(F.transform("body", lambda r: r["texts"])), 256).alias("content")))
 
 
 def compare_candidates(cells: DataFrame, extractors: DataFrame) -> DataFrame:
@@ -167,10 +170,10 @@ def compare_candidates(cells: DataFrame, extractors: DataFrame) -> DataFrame:
 
     Kinds: another number of tables; and of tables at the same place another page, other row widths,
     or, where these agree, other texts. ``extractors(doc, extractor, rank, status)`` that are not ok
-    have no say.
+    have no say. ``cells`` may be their ``candidate_tables``.
     """
     ok = extractors.filter("status = 'ok'").select("doc", "extractor", "rank")
-    t = _candidate_tables(cells).join(ok.select("doc", "extractor"), ["doc", "extractor"], "left_semi")
+    t = candidate_tables(cells).join(ok.select("doc", "extractor"), ["doc", "extractor"], "left_semi")
     counts = ok.join(t.groupBy("doc", "extractor").agg(F.count("place").alias("n")), ["doc", "extractor"], "left").fillna(0, ["n"])
     side = lambda df, p: df.select("doc", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c != "doc"])
     pairs = side(counts, "l").join(side(counts, "r"), "doc").filter("l_rank < r_rank AND l_n <> r_n").select("doc", F.col("l_extractor").alias("left"), F.col("r_extractor").alias("right"), F.lit("candidate-table-count").alias("kind"))
@@ -183,9 +186,9 @@ def compare_candidates(cells: DataFrame, extractors: DataFrame) -> DataFrame:
 
 def check_candidates(cells: DataFrame, extractors: DataFrame, expected: tuple[int, int] | None = None, require_boxes: bool = True) -> DataFrame:
     """What is wrong with each extractor's own tables: (doc, extractor, kind, tables). Without a shape to
-    expect, only absent tables and cells without boxes count."""
+    expect, only absent tables and cells without boxes count. ``cells`` may be their ``candidate_tables``."""
     ok = extractors.filter("status = 'ok'").select("doc", "extractor")
-    t = _candidate_tables(cells).join(ok, ["doc", "extractor"], "left_semi")
+    t = candidate_tables(cells).join(ok, ["doc", "extractor"], "left_semi")
     found = [ok.join(t.select("doc", "extractor").distinct(), ["doc", "extractor"], "left_anti").withColumn("kind", F.lit("missing-table"))]
     if expected is not None:
         first = t.filter("place = 1")

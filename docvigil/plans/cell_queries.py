@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docvigil.operators import cells as C
+from docvigil.operators.fixpoint import written
 from docvigil.plans.registry import query, select
 from docvigil.plans.views import duck, view, with_views
 
@@ -133,7 +134,7 @@ _APART = f""", x AS ({_EXTRACTED}), e AS ({_RAN}), w AS (SELECT doc, extractor,
 
 def _candidates(spark, sf_dir):
     x, e = (select(spark, sf_dir, with_views("spark", "cells") + " " + q) for q in (_EXTRACTED, _RAN))
-    return x, e
+    return C.candidate_tables(x), written(e)
 
 
 @query("j15_compare_candidates", duck("cells") + _APART + ' SELECT doc, "left", "right", kind, CAST(tables AS BIGINT) AS tables FROM apart')

@@ -11,7 +11,7 @@ from docvigil.operators import cells as C
 from docvigil.operators import fixpoint
 from docvigil.operators import templates as T
 from docvigil.plans import load
-from docvigil.plans.registry import select
+from docvigil.plans.registry import QUERIES, select
 from docvigil.plans.source_queries import s4
 from docvigil.sources import sinks as K
 
@@ -117,3 +117,7 @@ def test_stored_contents_move_once(spark, tmp_path, capsys):
     assert sorted(r.created for r in K.store_objects(d, "text", folder).collect()) == [False, True]
     text = plan(K.read_objects(spark, folder).select("sha", "valid"), capsys)
     assert "max_by(" not in text and K.read_objects(spark, folder).filter("valid").count() == 2
+
+
+def test_candidate_tables_are_made_once(spark, capsys):
+    assert "Window" not in plan(QUERIES["d15_table_warnings"](spark, SF), capsys)
