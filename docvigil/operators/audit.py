@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docvigil.functions.text import norm
 from docvigil.functions.values import finite
 from docvigil.operators.cells import rules
-from docvigil.operators.fixpoint import written
+from docvigil.operators.fixpoint import dealt, written
 
 EVENT_FILTERS = ("document_id", "block_id", "conversion_id", "job_id", "action", "status")
 
@@ -162,7 +162,7 @@ def check_contract(events: DataFrame, contracts: DataFrame, jobs: DataFrame) ->
 DIGEST = "^[0-9a-f]{64}$"
 
 
-def download_evidence(events: DataFrame, artifacts: DataFrame) -> DataFrame:
+def download_evidence(events: DataFrame, artifacts: DataFrame, rows: int | None = None) -> DataFrame:
     """What download events rest on: (event_id, evidence, artifact_id, verdict).
 
     ``artifacts(job_id, document_id, artifact_id, sha, name)`` are those of successful results. A declared
@@ -170,23 +170,26 @@ def download_evidence(events: DataFrame, artifacts: DataFrame) -> DataFrame:
     all of these artifacts match. ``required``, where not null, is the part of the matching ids that the event
     stands for, else all. ``recorded`` ids, exploded and counted against them, must be the same set: what is
     not recorded is missing, what is recorded of the same job is surplus, and of another or of none, foreign.
-    ``evidence`` counts the ids that the event stands for and ``artifact_id`` is the least of them.
+    ``evidence`` counts the ids that the event stands for and ``artifact_id`` is the least of them. ``rows``: about
+    how many artifacts there are, where the caller knows; else they are counted.
     """
+    n = artifacts.count() if rows is None else rows
     declared = F.col("sha").isNotNull() | F.col("name").isNotNull()
     formed = F.coalesce(F.col("sha").rlike(DIGEST) & (F.trim("name") != ""), F.lit(False))
     e = events.select("event_id", "job_id", "document_id", "sha", "name", "required", "recorded", declared.alias("declared"), formed.alias("formed"))
     a = artifacts.select("job_id", "document_id", "artifact_id", F.col("sha").alias("_sha"), F.col("name").alias("_name"))
     yes, no = F.lit(True), F.lit(False)
     match = ~F.col("declared") | F.coalesce(F.col("formed") & (F.col("sha") == F.col("_sha")) & (F.col("name") == F.col("_name")), no)
-    ids = e.join(a, ["job_id", "document_id"]).select("event_id", "artifact_id", yes.alias("own"), match.alias("match"), no.alias("asked"), no.alias("noted"))
+    scope = ["job_id", "document_id"]
+    ids = dealt(e, *scope, rows=n).join(dealt(a, *scope, rows=n), scope).select("event_id", "artifact_id", yes.alias("own"), match.alias("match"), no.alias("asked"), no.alias("noted"))
     ids = ids.unionByName(e.select("event_id", F.explode("required").alias("artifact_id")).select("*", no.alias("own"), no.alias("match"), yes.alias("asked"), no.alias("noted")))
     ids = ids.unionByName(e.select("event_id", F.explode("recorded").alias("artifact_id")).select("*", no.alias("own"), no.alias("match"), no.alias("asked"), yes.alias("noted")))
-    ids = ids.groupBy("event_id", "artifact_id").agg(*[F.bool_or(c).alias(c) for c in ("own", "match", "asked", "noted")])
+    ids = dealt(ids, "event_id", rows=2 * n).groupBy("event_id", "artifact_id").agg(*[F.bool_or(c).alias(c) for c in ("own", "match", "asked", "noted")])
     own, hit, asked, noted = (F.col(c) for c in ("own", "match", "asked", "noted"))
     counts = ids.groupBy("event_id").agg(
         F.count_if(own).alias("n_own"), F.count_if(hit).alias("n_match"), F.count_if(asked & ~hit).alias("n_astray"), F.min(F.when(hit, F.col("artifact_id"))).alias("least_match"), F.min(F.when(asked, F.col("artifact_id"))).alias("least_asked"), F.count_if(asked).alias("n_asked"),
         F.count_if(hit & ~noted).alias("all_missing"), F.count_if(asked & ~noted).alias("asked_missing"), F.count_if(noted & own & ~hit).alias("all_surplus"), F.count_if(noted & own & ~asked).alias("asked_surplus"), F.count_if(noted & ~own).alias("foreign"))
-    j = e.join(counts, "event_id", "left").fillna(0, ["n_own", "n_match", "n_astray", "n_asked", "all_missing", "asked_missing", "all_surplus", "asked_surplus", "foreign"])
+    j = dealt(e, "event_id", rows=2 * n).join(counts, "event_id", "left").fillna(0, ["n_own", "n_match", "n_astray", "n_asked", "all_missing", "asked_missing", "all_surplus", "asked_surplus", "foreign"])
     part = F.col("required").isNotNull()
     pick = lambda x, y: F.when(part, F.col(x)).otherwise(F.col(y))
     bad = rules(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docvigil.operators import audit as A
-from docvigil.operators.fixpoint import new_folder
+from docvigil.operators.fixpoint import dealt, new_folder
 from docvigil.plans.registry import query, select
 from docvigil.plans.views import duck, view, with_views
 from docvigil.sources.sinks import read_objects, store_objects
@@ -155,10 +155,11 @@ _RECORDED = "SELECT l_orderkey AS event_id, l_orderkey * 10 + l_linenumber + CAS
         (SELECT count(*) FROM n WHERE n.event_id = f.event_id AND NOT EXISTS (SELECT 1 FROM own o WHERE o.event_id = n.event_id AND o.artifact_id = n.artifact_id)) AS alien FROM f)
     SELECT event_id, evidence, artifact_id, concat_ws('; ', CASE WHEN n_own = 0 THEN 'no artifact' END, CASE WHEN declared AND NOT formed THEN 'malformed declaration' END, CASE WHEN n_own > 0 AND n_match = 0 THEN 'no match' END, CASE WHEN demand IS NOT NULL AND (demand = 'none' OR astray > 0) THEN 'required ids do not match' END, CASE WHEN missing > 0 THEN 'missing' END, CASE WHEN surplus > 0 THEN 'surplus' END, CASE WHEN alien > 0 THEN 'foreign' END) AS verdict FROM g""")
 def j28(spark, sf_dir):
-    recorded = _sql(spark, sf_dir, (), _RECORDED).groupBy("event_id").agg(F.collect_set("artifact_id").alias("recorded"))
-    events = _sql(spark, sf_dir, (), _DOWNLOADS).join(recorded, "event_id", "left")
+    n = _sql(spark, sf_dir, (), "SELECT l_orderkey FROM lineitem").count()
+    recorded = dealt(_sql(spark, sf_dir, (), _RECORDED), "event_id", rows=n).groupBy("event_id").agg(F.collect_set("artifact_id").alias("recorded"))
+    events = dealt(_sql(spark, sf_dir, (), _DOWNLOADS), "event_id", rows=n).join(recorded, "event_id", "left")
     part = F.when(F.col("demand") == "none", F.array().cast("array<bigint>")).when(F.col("demand") == "one", F.array(F.col("event_id") * 10 + 1)).when(F.col("demand") == "odd", F.array(F.col("event_id") * 10 + 9))
-    return A.download_evidence(events.withColumn("required", part), _sql(spark, sf_dir, (), _ARTIFACTS))
+    return A.download_evidence(events.withColumn("required", part), _sql(spark, sf_dir, (), _ARTIFACTS), n)
 
 
 _SCOPED = """SELECT event_id, user_id AS job_id, user_id AS document_id, event_type AS action, event_id % 4 AS actor, CASE event_id % 3 WHEN 0 THEN 'job' WHEN 1 THEN 'document' ELSE 'decision' END AS scope_type,

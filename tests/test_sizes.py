@@ -121,3 +121,8 @@ def test_stored_contents_move_once(spark, tmp_path, capsys):
 
 def test_candidate_tables_are_made_once(spark, capsys):
     assert "Window" not in plan(QUERIES["d15_table_warnings"](spark, SF), capsys)
+
+
+def test_evidence_goes_out_in_even_shares(spark, small_shares, capsys):
+    text = plan(QUERIES["j28_download_evidence"](spark, SF), capsys)
+    assert min(map(int, re.findall(r"hashpartitioning\(event_id#\d+L?, (\d+)\)", text))) > 100
